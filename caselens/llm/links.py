@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,10 +42,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int, head: int =
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInArrow(judge, "a long, b long")
 
 
-def link_components(postings: DataFrame, sets: DataFrame, num: int, den: int, head: int = 0, least: int = 0, rounds: int = 2) -> DataFrame:
+def link_components(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
     """(node, component) of the items that link with another one.
 
-    postings: (key, item); two items may link only if they share a key. Each round compares the
+    postings: (key, item); two items may link only if they share a key. confirm keeps the pairs
+    (a, b) that link. Each round compares the
     members of a key with one pivot and contracts what links, so that a large group of copies
     needs one comparison a member. Then only members of different components under one key are
     left, and all of those pairs are compared: no link between components is lost.
@@ -63,7 +66,7 @@ def link_components(postings: DataFrame, sets: DataFrame, num: int, den: int, he
             p = written(p.join(live.select("key"), "key", "left_semi"), "crossing")
             met = p.join(p.select("key", F.col("item").alias("other"), F.col("comp").alias("other_comp")), "key").where("comp < other_comp")
         pairs = met.select(F.least("item", "other").alias("a"), F.greatest("item", "other").alias("b")).distinct()
-        new = written(confirmed(pairs, sets, num, den, head, least), "links")
+        new = written(confirm(pairs), "links")
         if r and new.isEmpty():
             continue
         links = new if links is None else links.union(new)

@@ -245,7 +245,7 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
     hot = same.where("window is not null")
     across = hot.join(hot.groupBy("window").agg(F.count("*").alias("k")).where("k > 1"), "window", "left_semi")
     ranges = same.where("window is null").union(across.select(*same.columns))
-    # an unequal copy within the part shares its rank with the one sent, so it is in a range already
+    # of equal windows within a part one was sent; all of them are in a range already
     place = distinct.where("n = 1").select("ch", "tk", F.col("first").alias("base"))
     once = ranges.join(place, "ch").select("tk", (F.col("base") + F.col("first")).alias("a"), (F.col("base") + F.col("last") + length).alias("b"))
     return twice.union(once)
