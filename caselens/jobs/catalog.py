@@ -2,6 +2,100 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import predicates as P
+from ..operators import align as A
+from ..operators import labels as L
+from ..operators import quality as Q
+from ..operators import traces as T
+from ..sources import adapters as S
+from .oracle import ORACLE_SQL
+
+GRID = S.Grid()
 FLAGSHIP = "agg_feature_statistics"
+
+
+class Data:
+    """The inputs and the steps that several queries share, built when they are asked for; all are lazy."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    runs = property(lambda d: S.runs(d.spark))
+    samples = property(lambda d: S.samples(d.spark, d.sf_dir))
+    spans = property(lambda d: T.typed(S.spans(d.spark, d.sf_dir)))
+    windowed = property(lambda d: A.in_window(d.samples, d.runs, GRID))
+    aligned = property(lambda d: A.align(d.windowed))
+    dense = property(lambda d: A.densify(d.aligned, GRID))
+    filled = property(lambda d: A.fill(d.dense))
+    stats = property(lambda d: A.feature_statistics(d.filled))
+    quality = property(lambda d: Q.timeseries_quality(d.samples, d.runs, GRID.reach))
+    structure = property(lambda d: T.structure(d.spans))
+    firsts = property(lambda d: T.first_spans(d.spans))
+    volume = property(lambda d: T.call_volume(d.spans))
+    labels = property(lambda d: L.severity_labels(d.runs))
+    oof = property(lambda d: L.oof_from_labels(d.spark, d.sf_dir))
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    """Doubles at six places, so that two engines' sums compare."""
+    return df.withColumns({c: F.round(c, 6) for c in names})
+
+
+def _log_parts(d: Data) -> DataFrame:
+    service, cluster = P.log_column_parts(F.col("column_name"))
+    return d.samples.where("data_name = 'logs'").select("column_name").distinct().select("column_name", service.alias("service"), cluster.alias("cluster_id"))
+
+
+_BUILD: dict[str, Callable[[Data], DataFrame]] = {
+    "src_run_metadata": lambda d: d.runs.select("case_no", "case_id", "scenario", "service", "fault_type", "run_number", "inject_s"),
+    "flt_observation_window": lambda d: d.windowed.groupBy("case_no", "data_name", "window_type").agg(F.count("*").alias("n")),
+    "prj_bin_index": lambda d: d.windowed.groupBy("case_no", "bin_index").agg(F.count("*").alias("n")),
+    "prj_feature_family": lambda d: d.samples.select("column_name").distinct().withColumn("family", P.feature_family(F.col("column_name"))),
+    "prj_log_column_split": _log_parts,
+    "prj_callee": lambda d: d.spans.groupBy("operation", P.callee_of(F.col("operation")).alias("callee")).agg(F.count("*").alias("n")),
+    "agg_align_grid": lambda d: rounded(d.aligned, "value"),
+    "jn_grid_densify": lambda d: rounded(d.dense, "value"),
+    "agg_harmonize_logs": lambda d: rounded(A.harmonise_logs(d.aligned, S.clusters(d.spark)), "value"),
+    "win_linear_fill": lambda d: rounded(d.filled.drop("value"), "filled"),
+    "agg_cleaning_log": lambda d: A.cleaning_log(d.filled),
+    "agg_feature_statistics": lambda d: rounded(d.stats, "baseline_mean", "incident_max", "delta_mean", "zscore_max", "zscore_mean"),
+    "agg_feature_schema": lambda d: rounded(A.feature_schema(d.aligned), "run_coverage"),
+    "agg_bin_eligibility": lambda d: A.bin_eligibility(d.windowed, d.runs, GRID),
+    "agg_log_novelty": lambda d: A.log_novelty(d.aligned, d.runs),
+    "agg_constant_features": lambda d: A.constant_features(A.long_features(d.stats)),
+    "win_topk_features": lambda d: rounded(A.top_features(d.stats), "zscore_mean"),
+    "agg_timeseries_quality": lambda d: d.quality,
+    "agg_missing_by_column": lambda d: Q.missing_by_column(d.samples, d.runs),
+    "jn_eligibility": lambda d: Q.eligibility(d.quality, T.range_covered(d.structure), d.runs),
+    "agg_trace_structure": lambda d: d.structure,
+    "agg_root_identity": lambda d: T.root_identity(d.spans),
+    "agg_root_operations": lambda d: T.root_operations(d.firsts),
+    "agg_span_status": lambda d: T.status_codes(d.firsts),
+    "win_first_span": lambda d: d.firsts.groupBy("case_no", "service").agg(F.count("*").alias("n"), F.sum("start_us").alias("s")),
+    "jn_reconcile": lambda d: T.reconcile(T.root_identity(d.spans), T.root_operations(d.firsts), d.structure, T.status_codes(d.firsts)),
+    "agg_call_volume": lambda d: d.volume,
+    "agg_call_graph": lambda d: T.call_graph(d.volume),
+    "agg_call_volume_change": lambda d: T.call_volume_change(d.volume),
+    "agg_service_anomalies": lambda d: rounded(T.service_anomalies(d.stats), "magnitude"),
+    "jn_label_lookup": lambda d: d.labels,
+    "agg_label_distribution": lambda d: L.label_distribution(d.labels),
+    "agg_label_sensitivity": lambda d: L.label_sensitivity(d.runs),
+    "ml_scores": lambda d: L.scores(d.oof),
+    "ml_score_summary": lambda d: L.score_summary(L.scores(d.oof)),
+    "ml_confusion": lambda d: L.confusion(d.oof),
+    "ml_scenario_accuracy": lambda d: L.scenario_accuracy(d.oof),
+    "win_majority_class": lambda d: L.majority_class(d.oof),
+    "win_signed_rank": lambda d: L.signed_ranks(d.oof),
+}
+#: Queries whose rows come from fixed policy literals alone; they are operators with tests and no queries.
+_FIXED = {"src_run_metadata", "jn_label_lookup", "agg_label_distribution", "agg_label_sensitivity"}
+
+QUERIES = {k: (lambda spark, sf_dir, f=f: f(Data(spark, sf_dir))) for k, f in _BUILD.items() if k not in _FIXED}
+CHECKED = {k: (lambda spark, sf_dir, f=f: f(Data(spark, sf_dir))) for k, f in _BUILD.items()}
+ALL_SQL = ORACLE_SQL
+ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if k in QUERIES}
