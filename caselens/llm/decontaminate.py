@@ -14,6 +14,7 @@ from .common import ODD, as_long, mix, slices, word_hashes
 
 SEED = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
+COMMON = 8
 BLOCK_BYTES = 8 << 20  # benchmark text that a task holds at once; more of it is taken in blocks
 
 
@@ -112,7 +113,7 @@ def find(seeds: Seeds, column: pa.Array, least: float) -> Iterator[tuple[int, in
             lo, hi = max(int(begin[a]) - pad, first[r]), min(int(begin[b - 1]) + len(own) + pad, first[r + 1])
             score, p, q = align(own, words[lo:hi])
             was = best.get((r, i), (0.0, 0, 0, 0))
-            if score >= least:
+            if score >= (least if len(own) >= SEED else 1):
                 here = (score, int(lo - first[r]) + p, int(lo - first[r]) + q, was[3] + int(b - a))
                 best[r, i] = here if score > was[0] else (*was[:3], here[3])
         for (r, i), (score, p, q, n) in best.items():
@@ -122,7 +123,8 @@ def find(seeds: Seeds, column: pa.Array, least: float) -> Iterator[tuple[int, in
 def blocks_of(benchmark: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Iterator:
     """Broadcast blocks of items with their rare seeds: the benchmark's size is checked, and a larger one is taken in more blocks.
 
-    An item keeps the half of its seeds that the fewest documents hold, ties included. Counts cover all documents.
+    A seed is rare if no more documents hold it than COMMON times what the item's median seed has; so half of
+    an item's seeds stay at least, and a leak's own copies make none common. Counts cover all documents.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
@@ -157,7 +159,7 @@ def blocks_of(benchmark: DataFrame, docs: DataFrame, id_col: str, text_col: str)
         rare = np.zeros(len(freq), bool)
         for i in np.unique(item):
             own = np.flatnonzero(item == i)
-            rare[own] = freq[own] <= np.sort(freq[own])[(len(own) - 1) // 2]
+            rare[own] = freq[own] <= COMMON * (np.median(freq[own]) + 1)
         seeds.keep(rare)
         yield spark.sparkContext.broadcast(seeds)
 
@@ -167,7 +169,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, id_c
 
     Words are runs of non-space bytes, A-Z lower-cased. Documents join items on rare seeds of SEED words;
     the passage around the seeds is aligned word by word (match 2, mismatch and gap -1), and score is
-    the share of the item's full score; pairs below `least` are left. Null and blank texts
+    the share of the item's full score; pairs below `least` are left (items of fewer than SEED words need all of it). Null and blank texts
     and items match nothing. Repeated rows and ids give a row for each.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
