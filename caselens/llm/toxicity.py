@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Slice, lists, slices, spans_hash
+from .common import Slice, lists, slices, spans_hash, written
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6, 7)  # in bytes
@@ -57,11 +57,30 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - z[:, None], -40, 40)))
 
 
-def fit(words: list[np.ndarray], grades: np.ndarray, grades_n: int = GRADES, steps: int = 600) -> OrdinalModel:
-    """Picks the features that tell grades above 0 apart, then fits their weights and the cuts together.
+def pick(sample: DataFrame, rate: float) -> np.ndarray:
+    """Features by which the sample's rows above grade 0 stand out: more of them have it than chance gives, by five standard deviations.
 
-    A feature is picked if the rows above grade 0 that have it differ from what chance gives by
-    five standard deviations upwards. A row's picked features have length 1 together. Adam steps on the likelihood, with a light L2 penalty.
+    sample: (grade, words); rate: the share of rows above grade 0.
+    """
+
+    def count(batches):
+        seen, bad = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        for x in batches:
+            flat, size = x.column(1).flatten().to_numpy(), np.diff(x.column(1).offsets.to_numpy())
+            seen += np.bincount(flat, minlength=BUCKETS)
+            bad += np.bincount(flat[np.repeat(x.column(0).to_numpy() > 0, size)], minlength=BUCKETS)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some]), pa.array(bad[some])], names=["f", "seen", "bad"])
+
+    n = sample.mapInArrow(count, "f long, seen long, bad long").groupBy("f").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
+    out = n.where(F.col("bad") - F.col("seen") * rate > 5 * F.sqrt(F.col("seen") * (rate * (1 - rate)) + 1)).select("f")
+    return np.sort(np.array([r[0] for r in out.collect()], np.int64))
+
+
+def fit(row: np.ndarray, col: np.ndarray, features: np.ndarray, grades: np.ndarray, grades_n: int = GRADES, steps: int = 600) -> OrdinalModel:
+    """Fits the features' weights and the cuts together, by Adam steps on the likelihood with a light L2 penalty.
+
+    row and col: which row has which of the features; a row's features have length 1 together.
     """
     n, k = len(grades), grades_n - 1
     # cuts from smoothed shares, so that a grade without rows keeps a finite one
@@ -71,15 +90,8 @@ def fit(words: list[np.ndarray], grades: np.ndarray, grades_n: int = GRADES, ste
     whole = np.zeros(BUCKETS)
     if not n or grades.max() == 0 or grades.min() > 0:
         return OrdinalModel(whole, cuts)
-    size = np.array([len(u) for u in words])
-    col, row = np.concatenate(words), np.repeat(np.arange(n), size)
-    seen, bad = np.bincount(col, minlength=BUCKETS), np.bincount(col, (grades > 0)[row], BUCKETS)
-    rate = (grades > 0).mean()
-    picked = bad - seen * rate > 5 * np.sqrt(seen * rate * (1 - rate) + 1)
-    pick = picked[col]
-    kept, col = np.unique(col[pick], return_inverse=True)
-    row = row[pick]
-    x = 1 / np.sqrt(np.bincount(row, minlength=n)[row])
+    kept = features
+    x = 1 / np.sqrt(np.bincount(row, minlength=n)[row]) if len(row) else np.zeros(0)
     w, first = np.zeros(len(kept)), cuts.copy()
     m, v = np.zeros(len(kept) + k), np.zeros(len(kept) + k)
     for t in range(1, steps + 1):
@@ -114,9 +126,23 @@ def train(docs: DataFrame, graded: DataFrame, rows: int = TRAIN_ROWS, grades: in
     graded: (doc_id, grade); rows without id or grade don't count. Of several rows for one id the highest grade holds.
     """
     sample = graded.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = docs.join(F.broadcast(sample), "doc_id").select("grade", "text").mapInArrow(_sets, "grade int, words array<int>").toArrow()
-    words = [np.asarray(x, np.int64) for x in got.column("words").to_pylist()]
-    return fit(words, np.clip(np.array(got.column("grade").to_pylist(), np.int64), 0, grades - 1), grades)
+    held = written(docs.join(F.broadcast(sample), "doc_id").select(F.least("grade", F.lit(grades - 1)).cast("int").alias("grade"), "text").mapInArrow(_sets, "grade int, words array<int>"), "graded")
+    n, bad = held.agg(F.count("*"), F.count_if(F.col("grade") > 0)).first()
+    chosen = pick(held, bad / max(n, 1)) if bad else np.zeros(0, np.int64)
+
+    def only(batches):
+        for x in batches:
+            flat, size = x.column(1).flatten().to_numpy(), np.diff(x.column(1).offsets.to_numpy())
+            at = np.searchsorted(chosen, flat)
+            hit = at < len(chosen)
+            hit[hit] = chosen[at[hit]] == flat[hit]
+            ends = np.append(0, np.cumsum(hit))[np.append(0, np.cumsum(size))]
+            yield pa.RecordBatch.from_arrays([x.column(0), lists(at[hit].astype(np.int32), np.diff(ends), pa.int32())], names=["grade", "words"])
+
+    got = held.mapInArrow(only, "grade int, words array<int>").toArrow()
+    words = got.column("words").combine_chunks()
+    size = np.array([len(x) for x in words], np.int64)
+    return fit(np.repeat(np.arange(len(size)), size), words.flatten().to_numpy().astype(np.int64), chosen, np.maximum(np.array(got.column("grade").to_pylist(), np.int64), 0), grades)
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
