@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import connected_components, mix, written
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int, head: int = 0, least: int = 0) -> DataFrame:
@@ -42,14 +43,42 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int, head: int =
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInArrow(judge, "a long, b long")
 
 
-def link_components(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
+BITS = 128
+_seeds = np.random.default_rng(72)
+_FACTOR = _seeds.integers(1, 1 << 63, BITS, dtype=np.uint64) | np.uint64(1)
+_OFFSET = _seeds.integers(1, 1 << 63, BITS, dtype=np.uint64)
+SKETCH = "size int, bits0 long, bits1 long"
+
+
+def sketch(u: np.ndarray) -> tuple[int, int, int]:
+    """Size and BITS one-bit MinHash values of a set of hashes: what pairs are screened by before they are met."""
+    low = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(u), 1 << 13):
+        low = np.minimum(low, (u[i : i + (1 << 13), None] * _FACTOR + _OFFSET).min(axis=0))
+    bits = np.packbits((mix(low) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+    return len(u), int(bits[0]), int(bits[1])
+
+
+def sketch_columns(sketches: list[tuple[int, int, int]]) -> list[pa.Array]:
+    return [pa.array([x[k] for x in sketches], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64()))]
+
+
+def alike(num: int, den: int) -> str:
+    """Condition under which sketches can be of a linked pair: sizes always tell, bits but for one pair in ten million."""
+    p = (1 - num / den) / 2
+    most = math.ceil(BITS * p + 5.5 * math.sqrt(BITS * p * (1 - p)))
+    return f"{den} * least(size, other_size) >= {num} * greatest(size, other_size) and bit_count(bits0 ^ other_bits0) + bit_count(bits1 ^ other_bits1) <= {most}"
+
+
+def link_components(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = 2, sketches: DataFrame | None = None, screen: str = "true") -> DataFrame:
     """(node, component) of the items that link with another one.
 
     postings: (key, item); two items may link only if they share a key. confirm keeps the pairs
     (a, b) that link. Each round compares the
     members of a key with one pivot and contracts what links, so that a large group of copies
     needs one comparison a member. Then only members of different components under one key are
-    left, and all of those pairs are compared: no link between components is lost.
+    left, and all of those pairs are compared: no link between components is lost. With sketches
+    (item and SKETCH's columns), the pairs that `screen` rules out aren't made.
     """
     comp, links = None, None
     for r in range(rounds + 1):
@@ -63,8 +92,9 @@ def link_components(postings: DataFrame, confirm: Callable[[DataFrame], DataFram
             live = live.select("key", F.col("pivot.item").alias("other"), F.col("pivot.comp").alias("other_comp"))
             met = p.join(live, "key").where("comp <> other_comp")
         else:
-            p = written(p.join(live.select("key"), "key", "left_semi"), "crossing")
-            met = p.join(p.select("key", F.col("item").alias("other"), F.col("comp").alias("other_comp")), "key").where("comp < other_comp")
+            p = p.join(live.select("key"), "key", "left_semi")
+            p = written(p if sketches is None else p.join(sketches, "item"), "crossing")
+            met = p.join(p.select("key", *(F.col(c).alias("other" if c == "item" else f"other_{c}") for c in p.columns if c != "key")), "key").where(f"comp < other_comp and {screen}")
         pairs = met.select(F.least("item", "other").alias("a"), F.greatest("item", "other").alias("b")).distinct()
         new = written(confirm(pairs), "links")
         if r and new.isEmpty():

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_long, lists, mix, only_maybe, shingles, slices, word_hashes, written
-from .links import confirmed, link_components
+from .links import SKETCH, alike, confirmed, link_components, sketch, sketch_columns
 
 _seeds = np.random.default_rng(71)
 FACTOR = _seeds.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -92,17 +92,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = 32,
 
     def full(batches):
         for x in batches:
-            keys, elems = [], []
+            keys, elems, sketches = [], [], []
             for u in _sets(n, x.column(1)):
                 if len(u):
                     keys.append(_set_key(u))
                     elems.append(coordinates_of(u, k).tobytes() + u.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(elems, pa.binary())], names=["item", "elems"])
+                    sketches.append(sketch(u))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(elems, pa.binary()), *sketch_columns(sketches)], names=["item", "elems", "size", "bits0", "bits1"])
 
-    sets = only_maybe(docs, "doc_id", lows).join(lows.distinct(), F.col("doc_id").eqNullSafe(F.col("low")), "left_semi").mapInArrow(full, "item long, elems binary")
+    sets = only_maybe(docs, "doc_id", lows).join(lows.distinct(), F.col("doc_id").eqNullSafe(F.col("low")), "left_semi").mapInArrow(full, f"item long, elems binary, {SKETCH}")
     sets = written(sets.join(live, "item", "left_semi").dropDuplicates(["item"]), "sets")
 
-    comp = link_components(postings, lambda pairs: confirmed(pairs, sets, percent, 100, k, t))
+    comp = link_components(postings, lambda pairs: confirmed(pairs, sets, percent, 100, k, t), sketches=sets.drop("elems"), screen=alike(percent, 100))
     whole = firsts.join(comp, firsts["item"] == comp["node"], "left").select("item", "low", F.coalesce("component", "item").alias("component"))
     least = whole.groupBy("component").agg(F.min("low").alias("component_id"))
     named = whole.join(least, "component").select("item", "component_id")
