@@ -59,15 +59,19 @@ def within_radius(prints: DataFrame, radius: int = 7) -> DataFrame:
     blocks = F.array(*(F.xxhash64(F.lit(i), F.substring("fingerprint", 1 + i * width, width if i < radius else BITS)) for i in range(radius + 1)))
     postings = items.select(F.explode(blocks).alias("key"), "item")
 
+    part = lambda c, i: F.conv(F.substring(c, 1 + 8 * i, 8), 16, 10).cast("long")
+    lanes = range(BITS // 32)
+    bits = items.select("item", *(part("fingerprint", i).alias(f"d{i}") for i in lanes))
+    screen = " + ".join(f"bit_count(d{i} ^ other_d{i})" for i in lanes) + f" <= {radius}"
+
     def confirm(pairs):
         a = items.select(F.col("item").alias("a"), F.col("fingerprint").alias("fa"))
         b = items.select(F.col("item").alias("b"), F.col("fingerprint").alias("fb"))
-        part = lambda c, i: F.conv(F.substring(c, 1 + 8 * i, 8), 16, 10).cast("long")
-        distance = sum((F.bit_count(part("fa", i).bitwiseXOR(part("fb", i))) for i in range(BITS // 32)), F.lit(0))
+        distance = sum((F.bit_count(part("fa", i).bitwiseXOR(part("fb", i))) for i in lanes), F.lit(0))
         return pairs.join(a, "a").join(b, "b").where(distance <= radius).select("a", "b")
 
     met = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    comp = link_components(written(postings.join(met, "key"), "postings"), confirm)
+    comp = link_components(written(postings.join(met, "key"), "postings"), confirm, sketches=bits, screen=screen)
     return items.join(comp, items["item"] == comp["node"], "left").select("item", "fingerprint", F.coalesce("component", "item").alias("class_item"))
 
 
