@@ -1,4 +1,4 @@
-"""Components of a similarity link, from postings of candidates, without all pairs of a group."""
+"""Components of a similarity link, from postings of candidates, without all pairs of a group as rows."""
 
 from __future__ import annotations
 
@@ -70,7 +70,105 @@ def alike(num: int, den: int) -> str:
     return f"{den} * least(size, other_size) >= {num} * greatest(size, other_size) and bit_count(bits0 ^ other_bits0) + bit_count(bits1 ^ other_bits1) <= {most}"
 
 
-def link_components(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = 2, sketches: DataFrame | None = None, screen: str = "true") -> DataFrame:
+PAIRED = 32  # members of a key up to which their pairs are made as rows
+BLOCK, BLOCK_BYTES = 1024, 1 << 25  # members of a block and bytes of their sets, about
+
+
+def _between(comp: np.ndarray, elems: list[np.ndarray], num: int, den: int, head: int, least: int) -> list[tuple[int, int]]:
+    """Links (i, j) that join the components of a cell as all of its linked pairs do; sets as in `confirmed`."""
+    names, comp, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return []
+    # two members of the most frequent component need no comparison
+    rows = np.flatnonzero(comp != sizes.argmax())
+    n = np.array([len(e) - head for e in elems])
+    asked = (comp[rows, None] != comp) & (den * np.minimum(n[rows, None], n) >= num * np.maximum(n[rows, None], n))
+    if head:
+        asked &= _shared([e[:head] for e in elems], rows, np.arange(len(n))) >= least
+    rows, asked = rows[asked.any(axis=1)], asked[asked.any(axis=1)]
+    columns = np.flatnonzero(asked.any(axis=0))
+    if not len(rows):
+        return []
+    both = _shared([e[head:] for e in elems], rows, columns)
+    good = asked[:, columns] & (both > 0) & (den * both >= num * (n[rows, None] + n[columns] - both))
+    parent = np.arange(len(names))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    r, c = np.nonzero(good)
+    r, c = rows[r], columns[c]
+    out = []
+    for k in np.unique(comp[r] * len(names) + comp[c], return_index=True)[1]:
+        p, q = root(comp[r[k]]), root(comp[c[k]])
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((int(r[k]), int(c[k])))
+    return out
+
+
+def _shared(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, width: int = 4096) -> np.ndarray:
+    """How many elements the sets `rows` share with the sets `columns`: products of their incidence matrices."""
+    used = np.unique(np.concatenate([rows, columns]))
+    member = np.repeat(used, [len(sets[i]) for i in used])
+    _, element, count = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True, return_counts=True)
+    often = np.cumsum(count > 1) - 1  # an element of one set alone adds nothing
+    keep = count[element] > 1
+    member, element = member[keep], often[element[keep]]
+    order = np.argsort(element, kind="stable")
+    member, element = member[order], element[order]
+    out = np.zeros((len(rows), len(columns)), np.int64)
+    for low in range(0, int(element[-1]) + 1 if len(element) else 0, width):
+        a, b = np.searchsorted(element, (low, low + width))
+        m = np.zeros((len(sets), width), np.float32)
+        m[member[a:b], element[a:b] - low] = 1
+        out += (m[rows] @ m[columns].T).astype(np.int64)
+    return out
+
+
+def in_cells(p: DataFrame, sets: DataFrame, num: int, den: int, head: int = 0, least: int = 0) -> DataFrame:
+    """Links (a, b) between components of the postings p (key, item, comp, n, bytes), without their pairs as rows.
+
+    A key's members are dealt into blocks of about BLOCK members and BLOCK_BYTES of sets; every two blocks
+    meet in a cell (a key with one block is one cell), where one task counts all intersections as matrix products. A
+    member goes to as many cells as its key has blocks, less one. All pairs are judged, by the same rule as in `confirmed`.
+    """
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    p = p.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("item", F.lit(5)), "blocks").cast("int"))
+    p = p.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or other <> own")
+    cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = p.select(cell.alias("cell"), "item", "comp").join(sets.select("item", "elems"), "item").select("cell", "item", "comp", "elems")
+
+    def cells(batches):
+        now, item, comp, elems = None, [], [], []
+
+        def judged():
+            if item:
+                for i, j in _between(np.array(comp), elems, num, den, head, least):
+                    yield item[i], item[j]
+
+        def batch(pairs):
+            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in pairs], pa.int64()), pa.array([max(x) for x in pairs], pa.int64())], names=["a", "b"])
+
+        for x in batches:
+            at = x.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1), len(at)]
+            for a, b in zip(edges, edges[1:]):
+                if b > a and at[a] != now:
+                    yield batch(list(judged()))
+                    now, item, comp, elems = at[a], [], [], []
+                item += x.column(1)[a:b].to_pylist()
+                comp += x.column(2)[a:b].to_pylist()
+                elems += [np.frombuffer(v.as_buffer(), np.uint64) for v in x.column(3)[a:b]]
+        yield batch(list(judged()))
+
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(cells, "a long, b long")
+
+
+def link_components(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = 2, sketches: DataFrame | None = None, screen: str = "true", cells: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of the items that link with another one.
 
     postings: (key, item); two items may link only if they share a key. confirm keeps the pairs
@@ -78,7 +176,8 @@ def link_components(postings: DataFrame, confirm: Callable[[DataFrame], DataFram
     members of a key with one pivot and contracts what links, so that a large group of copies
     needs one comparison a member. Then only members of different components under one key are
     left, and all of those pairs are compared: no link between components is lost. With sketches
-    (item and SKETCH's columns), the pairs that `screen` rules out aren't made.
+    (item and SKETCH's columns), the pairs that `screen` rules out aren't made. With `cells` (see in_cells),
+    keys of more than PAIRED members make no pairs at all.
     """
     comp, links = None, None
     for r in range(rounds + 1):
@@ -87,16 +186,23 @@ def link_components(postings: DataFrame, confirm: Callable[[DataFrame], DataFram
         else:
             p = postings.join(comp, postings["item"] == comp["node"], "left").select("key", "item", F.coalesce("component", "item").alias("comp"))
         order = F.col("item") if r == 0 else F.xxhash64("item", F.lit(r))
-        live = p.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(order.alias("o"), "item", "comp")).alias("pivot")).where("lo <> hi")
+        live = p.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min(F.struct(order.alias("o"), "item", "comp")).alias("pivot")).where("lo <> hi")
+        large = None
         if r < rounds:
             live = live.select("key", F.col("pivot.item").alias("other"), F.col("pivot.comp").alias("other_comp"))
             met = p.join(live, "key").where("comp <> other_comp")
         else:
-            p = p.join(live.select("key"), "key", "left_semi")
+            p = p.join(live.select("key", "n"), "key")
             p = written(p if sketches is None else p.join(sketches, "item"), "crossing")
+            if cells:
+                large = p.where(F.col("n") > PAIRED)
+                large = large.join(large.groupBy("key").agg((8 * F.sum("size")).alias("bytes")), "key").select("key", "item", "comp", "n", "bytes")
+                p = p.where(F.col("n") <= PAIRED)
+            p = p.drop("n")
             met = p.join(p.select("key", *(F.col(c).alias("other" if c == "item" else f"other_{c}") for c in p.columns if c != "key")), "key").where(f"comp < other_comp and {screen}")
         pairs = met.select(F.least("item", "other").alias("a"), F.greatest("item", "other").alias("b")).distinct()
-        new = written(confirm(pairs), "links")
+        new = confirm(pairs)
+        new = written(new if large is None else new.union(cells(large)), "links")
         if r and new.isEmpty():
             continue
         links = new if links is None else links.union(new)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_long, lists, mix, only_maybe, shingles, slices, word_hashes, written
-from .links import SKETCH, alike, confirmed, link_components, sketch, sketch_columns
+from .links import SKETCH, alike, confirmed, in_cells, link_components, sketch, sketch_columns
 
 _seeds = np.random.default_rng(71)
 FACTOR = _seeds.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -103,7 +103,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = 32,
     sets = only_maybe(docs, "doc_id", lows).join(lows.distinct(), F.col("doc_id").eqNullSafe(F.col("low")), "left_semi").mapInArrow(full, f"item long, elems binary, {SKETCH}")
     sets = written(sets.join(live, "item", "left_semi").dropDuplicates(["item"]), "sets")
 
-    comp = link_components(postings, lambda pairs: confirmed(pairs, sets, percent, 100, k, t), sketches=sets.drop("elems"), screen=alike(percent, 100))
+    comp = link_components(postings, lambda pairs: confirmed(pairs, sets, percent, 100, k, t), sketches=sets.drop("elems"), screen=alike(percent, 100), cells=lambda p: in_cells(p, sets, percent, 100, k, t))
     whole = firsts.join(comp, firsts["item"] == comp["node"], "left").select("item", "low", F.coalesce("component", "item").alias("component"))
     least = whole.groupBy("component").agg(F.min("low").alias("component_id"))
     named = whole.join(least, "component").select("item", "component_id")

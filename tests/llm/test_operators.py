@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from caselens.llm import common, decontaminate, fingerprints, licenses, line_dedup, lm_scores, near_dups, packing, substrings, toxicity, url_filters
+from caselens.llm import common, decontaminate, fingerprints, licenses, line_dedup, links, lm_scores, near_dups, packing, substrings, toxicity, url_filters
 
 rng = np.random.default_rng(3)
 WORDS = ["".join(rng.choice(list("abcdeé"), 5)) for _ in range(400)]
@@ -83,6 +83,28 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(1, 31), 1), 40: 40, 41: 40, 50: 40}
 
 
+@pytest.mark.parametrize("head", [0, 2])
+def test_cells(spark, monkeypatch, head):
+    """Large keys in cells give the components that brute force gives, and that pairs give."""
+    monkeypatch.setattr(links, "BLOCK", 7)
+    r = np.random.default_rng(8)
+    base = r.integers(1, 1 << 40, (3, 60))
+    sets = {i: np.unique(np.where(r.random(60) < 0.07 * (i % 4), r.integers(1, 1 << 40, 60), base[i % 3])).astype(np.uint64) for i in range(60)}
+    elems = {i: np.concatenate([u[:head], u]) for i, u in sets.items()}
+    found = spark.createDataFrame([(i, e.tobytes(), len(sets[i]), 0, 0) for i, e in elems.items()], "item long, elems binary, size int, bits0 long, bits1 long").repartition(3)
+    postings = spark.createDataFrame([(key, i) for key in (1, 2) for i in range(60) if key == 1 or i % 5], "key long, item long")
+
+    def link(a, b):
+        same = len(np.intersect1d(sets[a], sets[b]))
+        return 10 * same >= 8 * (len(sets[a]) + len(sets[b]) - same) and (elems[a][:head] == elems[b][:head]).all()
+
+    # no coordinate moves in sorted sets that share their least elements, so `least` asks for all of them
+    want = components(list(range(60)), link)
+    for cells in (lambda p: links.in_cells(p, found, 8, 10, head, head), None):
+        got = {x.node: x.component for x in links.link_components(postings, lambda q: links.confirmed(q, found, 8, 10, head, head), rounds=0, sketches=found.drop("elems"), cells=cells).collect()}
+        assert [got.get(i, i) for i in range(60)] == want
+
+
 def test_line_dedup(docs, none):
     got = line_dedup.dedup_lines(docs).collect()
     by = {}
