@@ -13,10 +13,21 @@ from pyspark.sql import functions as F
 from .common import connected_components, mix, written
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int, head: int = 0, least: int = 0) -> DataFrame:
+def as_words(elems: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_buffer(), np.uint64) for v in elems]
+
+
+def _unpacked(elems: pa.Array, unpack: Callable) -> list[np.ndarray]:
+    """The sets of a column; equal entries are unpacked once."""
+    coded = elems.dictionary_encode()
+    found = unpack(coded.dictionary)
+    return [found[i] for i in coded.indices.to_numpy()]
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int, head: int = 0, least: int = 0, unpack: Callable = as_words) -> DataFrame:
     """Pairs (a, b) whose sets link: den * intersection >= num * union, judged on full sets.
 
-    sets: (item, elems), elems holding `head` signature coordinates and then the sorted distinct
+    sets: (item, elems); `unpack` makes of elems `head` signature coordinates and then the sorted distinct
     element hashes, all as 64-bit words. Pairs with fewer than `least` equal coordinates are left
     before their sets are compared.
     """
@@ -25,10 +36,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int, head: int =
 
     def judge(batches):
         for x in batches:
-            a, b = x.column(2), x.column(3)
+            a, b = _unpacked(x.column(2), unpack), _unpacked(x.column(3), unpack)
             good = np.zeros(x.num_rows, bool)
             for i in range(x.num_rows):
-                p, q = np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)
+                p, q = a[i], b[i]
                 if head and int((p[:head] == q[:head]).sum()) < least:
                     continue
                 p, q = p[head:], q[head:]
@@ -129,7 +140,7 @@ def _shared(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, width
     return out
 
 
-def in_cells(p: DataFrame, sets: DataFrame, num: int, den: int, head: int = 0, least: int = 0) -> DataFrame:
+def in_cells(p: DataFrame, sets: DataFrame, num: int, den: int, head: int = 0, least: int = 0, unpack: Callable = as_words) -> DataFrame:
     """Links (a, b) between components of the postings p (key, item, comp, n, bytes), without their pairs as rows.
 
     A key's members are dealt into blocks of about BLOCK members and BLOCK_BYTES of sets; every two blocks
@@ -162,7 +173,7 @@ def in_cells(p: DataFrame, sets: DataFrame, num: int, den: int, head: int = 0, l
                     now, item, comp, elems = at[a], [], [], []
                 item += x.column(1)[a:b].to_pylist()
                 comp += x.column(2)[a:b].to_pylist()
-                elems += [np.frombuffer(v.as_buffer(), np.uint64) for v in x.column(3)[a:b]]
+                elems += unpack(x.column(3)[a:b])
         yield batch(list(judged()))
 
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(cells, "a long, b long")

@@ -98,7 +98,6 @@ def test_cells(spark, monkeypatch, head):
         same = len(np.intersect1d(sets[a], sets[b]))
         return 10 * same >= 8 * (len(sets[a]) + len(sets[b]) - same) and (elems[a][:head] == elems[b][:head]).all()
 
-    # no coordinate moves in sorted sets that share their least elements, so `least` asks for all of them
     want = components(list(range(60)), link)
     for cells in (lambda p: links.in_cells(p, found, 8, 10, head, head), None):
         got = {x.node: x.component for x in links.link_components(postings, lambda q: links.confirmed(q, found, 8, 10, head, head), rounds=0, sketches=found.drop("elems"), cells=cells).collect()}
