@@ -180,25 +180,25 @@ def only_maybe(df: DataFrame, key: str, ids: DataFrame, bits: int = 23) -> DataF
     return df.withColumn("_place", F.pmod(F.xxhash64(key), F.lit(1 << bits))).mapInArrow(keep, schema)
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether each node of the edges (u, v) has one v at most, and none if it is a v itself."""
+    ends = e.select(F.col("u").alias("n"), F.lit(1).alias("below")).union(e.select("v", F.lit(0)))
+    return ends.groupBy("n").agg(F.sum("below").alias("s"), F.count("*").alias("c")).where("s > 1 or s > 0 and s < c").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the smallest node reachable.
 
-    Alternates large-star and small-star steps until the edges stay; all steps are joins and
+    Alternates large-star and small-star steps until only stars are left; all steps are joins and
     aggregations with partial sums, so a node with very many edges is no group in one task.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    nodes = e
-    before = None
-    while True:
+    while not _stars(e):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         e = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    roots = nodes.select("u").union(nodes.select(F.col("v").alias("u"))).distinct()
-    return roots.join(e, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))
+    roots = e.select(F.col("v").alias("node")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))

@@ -179,7 +179,7 @@ def in_cells(p: DataFrame, sets: DataFrame, num: int, den: int, head: int = 0, l
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(cells, "a long, b long")
 
 
-def link_components(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = 2, sketches: DataFrame | None = None, screen: str = "true", cells: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link_components(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = 1, sketches: DataFrame | None = None, screen: str = "true", cells: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of the items that link with another one.
 
     postings: (key, item); two items may link only if they share a key. confirm keeps the pairs
@@ -190,7 +190,7 @@ def link_components(postings: DataFrame, confirm: Callable[[DataFrame], DataFram
     (item and SKETCH's columns), the pairs that `screen` rules out aren't made. With `cells` (see in_cells),
     keys of more than PAIRED members make no pairs at all.
     """
-    comp, links = None, None
+    comp = None
     for r in range(rounds + 1):
         if comp is None:
             p = postings.withColumn("comp", F.col("item"))
@@ -216,6 +216,7 @@ def link_components(postings: DataFrame, confirm: Callable[[DataFrame], DataFram
         new = written(new if large is None else new.union(cells(large)), "links")
         if r and new.isEmpty():
             continue
-        links = new if links is None else links.union(new)
+        # components so far are stars, so they stand for all links that made them
+        links = new if comp is None else new.union(comp.where("node <> component").select("node", "component"))
         comp = written(connected_components(links), "components")
     return comp
