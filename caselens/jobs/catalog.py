@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..operators import align as A
+from ..operators import features as X
 from ..operators import labels as L
 from ..operators import quality as Q
 from ..operators import traces as T
@@ -37,6 +38,9 @@ class Data:
     structure = property(lambda d: T.structure(d.spans))
     firsts = property(lambda d: T.first_spans(d.spans))
     volume = property(lambda d: T.call_volume(d.spans))
+    long = property(lambda d: A.long_features(d.stats))
+    mapped = property(lambda d: X.harmonisation_map(d.aligned, S.clusters(d.spark)))
+    eligible = property(lambda d: Q.eligibility(d.quality, T.range_covered(d.structure), d.runs))
     labels = property(lambda d: L.severity_labels(d.runs))
     oof = property(lambda d: L.oof_from_labels(d.spark, d.sf_dir))
 
@@ -61,7 +65,7 @@ _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "agg_align_grid": lambda d: rounded(d.aligned, "value"),
     "jn_grid_densify": lambda d: rounded(d.dense, "value"),
     "agg_harmonize_logs": lambda d: rounded(A.harmonise_logs(d.aligned, S.clusters(d.spark)), "value"),
-    "win_linear_fill": lambda d: rounded(d.filled.drop("value"), "filled"),
+    "win_linear_fill": lambda d: rounded(d.filled.drop("value", "method"), "filled"),
     "agg_cleaning_log": lambda d: A.cleaning_log(d.filled),
     "agg_feature_statistics": lambda d: rounded(d.stats, "baseline_mean", "incident_max", "delta_mean", "zscore_max", "zscore_mean"),
     "agg_feature_schema": lambda d: rounded(A.feature_schema(d.aligned), "run_coverage"),
@@ -71,7 +75,7 @@ _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "win_topk_features": lambda d: rounded(A.top_features(d.stats), "zscore_mean"),
     "agg_timeseries_quality": lambda d: d.quality,
     "agg_missing_by_column": lambda d: Q.missing_by_column(d.samples, d.runs),
-    "jn_eligibility": lambda d: Q.eligibility(d.quality, T.range_covered(d.structure), d.runs),
+    "jn_eligibility": lambda d: d.eligible,
     "agg_trace_structure": lambda d: d.structure,
     "agg_root_identity": lambda d: T.root_identity(d.spans),
     "agg_root_operations": lambda d: T.root_operations(d.firsts),
@@ -91,6 +95,27 @@ _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "ml_scenario_accuracy": lambda d: L.scenario_accuracy(d.oof),
     "win_majority_class": lambda d: L.majority_class(d.oof),
     "win_signed_rank": lambda d: L.signed_ranks(d.oof),
+    "prj_trace_column_service": lambda d: d.samples.where("data_name like 'trace%'").select("column_name").distinct().withColumn("service", X.column_service(F.col("column_name"))),
+    "prj_blank_missing": lambda d: d.spans.groupBy("case_no").agg(*(F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in ("trace_id", "span_id", "parent_id"))),
+    "jn_cluster_dictionary": lambda d: X.with_templates(d.aligned, S.clusters(d.spark)).groupBy("case_no", "column_name", "template", "category").agg(F.count("*").alias("n")),
+    "jn_window_range": lambda d: T.in_windows(d.spans).groupBy("case_no", "window_type").agg(F.count("*").alias("n")),
+    "agg_harmonization_map": lambda d: rounded(d.mapped, "baseline_sum", "incident_sum"),
+    "agg_template_catalog": lambda d: X.template_catalog(d.mapped),
+    "agg_align_quality": lambda d: X.align_quality(d.windowed, d.aligned, GRID),
+    "agg_validate_aligned": lambda d: X.validate_aligned(d.dense, GRID),
+    "agg_run_summaries": lambda d: d.filled.groupBy("policy", "method").agg(F.count("*").alias("cell_count")),
+    "win_edge_fill": lambda d: rounded(d.filled.where("method = 'edge'").select("case_no", "column_name", "bin_index", "filled"), "filled"),
+    "win_zero_fill": lambda d: d.filled.where("method = 'zero'").groupBy("case_no", "column_name").agg(F.count("*").alias("n")),
+    "set_missing_extra": lambda d: X.absent_columns(d.aligned),
+    "set_traces_without_root": lambda d: T.traces_without_root(d.spans),
+    "agg_numeric_quality": lambda d: X.numeric_quality(d.long),
+    "agg_proxy_variance": lambda d: X.proxy_variance(d.long, d.runs),
+    "agg_leakage_audit": lambda d: X.leakage(d.long, d.labels),
+    "ml_relative_features": lambda d: rounded(X.relative_features(d.stats, d.runs), "zscore_max", "zscore_mean"),
+    "agg_excluded_runs": lambda d: X.excluded_runs(d.eligible, A.bin_eligibility(d.windowed, d.runs, GRID)),
+    "agg_case_consistency": lambda d: X.case_consistency(d.runs, d.aligned, d.spans),
+    "jn_feature_merge": lambda d: rounded(X.merged_features(d.stats, A.log_novelty(d.aligned, d.runs), T.call_volume_change(d.volume)), "largest_z"),
+    "ml_dummy_baseline": lambda d: X.majority_baseline(d.oof),
 }
 #: Queries whose rows come from fixed policy literals alone; they are operators with tests and no queries.
 _FIXED = {"src_run_metadata", "jn_label_lookup", "agg_label_distribution", "agg_label_sensitivity"}

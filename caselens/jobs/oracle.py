@@ -39,6 +39,14 @@ _CTE = {
     "gapped": """select s.*, inject_s, value is null as gap, row_number() over (partition by s.case_no, data_name, column_name order by ts_us, case when value is null then 1 else 0 end) as rn from samples s join runs r on s.case_no = r.case_no""",
     "isl": "select *, rn - row_number() over (partition by case_no, data_name, column_name order by rn) as island from gapped where gap",
     "cl": """select n // 3 as case_no, n % 3 as cluster_id, case (n % 3 + n // 3) % 3 when 0 then 'lifecycle' when 1 then 'error' else 'routine' end as category from range(24) t(n)""",
+    "clt": "select *, case category when 'lifecycle' then 'server initializing on port' when 'error' then 'request failed with error code' else 'handled request in time' end as template from cl",
+    "maps": """select a.case_no, column_name, split_part(column_name, '_', 3) as service, clt.cluster_id, template, category, 'log__' || split_part(column_name, '_', 3) || '_' || category as harmonized_column,
+      count(*) as n, coalesce(sum(value) filter (bin_index < 0), 0.0) as baseline_sum, coalesce(sum(value) filter (bin_index >= 0), 0.0) as incident_sum
+      from aligned a join clt on clt.case_no = a.case_no and clt.cluster_id = cast(split_part(column_name, '_', 4) as bigint) where data_name = 'logs' group by all""",
+    "how": """select case_no, column_name, bin_index, policy, case when value is not null then 'observed' when policy = 'zero' then 'zero' when pb is not null and nb is not null then 'linear'
+      when bin_index - pb <= 2 or nb - bin_index <= 2 then 'edge' else 'none' end as method from near""",
+    "chg": """select case_no, round(avg(case when baseline_calls > 0 and (baseline_calls - incident_calls) / baseline_calls > 0.2 then 1.0 else 0.0 end), 6) as edge_drop_share, round(greatest(max(case when baseline_calls > 0 then (baseline_calls - incident_calls) / baseline_calls else 0.0 end), 0.0), 6) as max_drop,
+      round(coalesce((sum(incident_calls) - sum(baseline_calls)) / nullif(sum(baseline_calls), 0), 0), 6) as total_change from vol group by case_no""",
     "cnt": "select count(*) as np from part",
     "spans": """select o_custkey % 8 as case_no, cast(l_orderkey as varchar) as trace_id, l_orderkey || '-' || l_linenumber as span_id,
       case when l_linenumber = 1 or l_partkey % 40 = 0 or l_linenumber = 5 then null else l_orderkey || '-' || (l_linenumber - 1) end as parent_id, lower(a.p_type) || 'service' as service,
@@ -72,7 +80,7 @@ _CTE = {
       round(coalesce(max(tp / nullif(t, 0)) filter (c = 'Low'), 0), 6) as recall_low, round(coalesce(max(tp / nullif(t, 0)) filter (c = 'Medium'), 0), 6) as recall_medium, round(coalesce(max(tp / nullif(t, 0)) filter (c = 'High'), 0), 6) as recall_high from cm group by repeat""",
     "df": """select scenario, round(avg(case when y_true = y_pred then 1.0 else 0.0 end) filter (repeat = 0) - avg(case when y_true = y_pred then 1.0 else 0.0 end) filter (repeat = 1), 6) as diff from oof where repeat < 2 group by scenario""",
 }
-_NEEDS = {"samples": "ev", "win": "samples runs", "aligned": "win", "dense": "aligned", "near": "dense", "filled": "near", "st": "filled", "stats": "st", "long": "stats", "quality": "samples runs", "q2": "quality", "gapped": "samples runs", "isl": "gapped", "spans": "cnt", "firsts": "spans", "struct": "spans", "rt": "spans", "roots": "rt", "ops": "firsts", "stc": "firsts", "vol": "spans", "anom": "stats", "lab": "runs pol", "dl": "lab", "cm": "oof", "sc": "cm", "df": "oof"}
+_NEEDS = {"samples": "ev", "win": "samples runs", "aligned": "win", "dense": "aligned", "near": "dense", "filled": "near", "st": "filled", "stats": "st", "long": "stats", "quality": "samples runs", "q2": "quality", "gapped": "samples runs", "isl": "gapped", "spans": "cnt", "firsts": "spans", "struct": "spans", "rt": "spans", "roots": "rt", "ops": "firsts", "stc": "firsts", "vol": "spans", "anom": "stats", "lab": "runs pol", "dl": "lab", "cm": "oof", "sc": "cm", "df": "oof", "clt": "cl", "maps": "aligned clt", "how": "near", "chg": "vol"}
 
 
 def sql(body: str, *heads: str) -> str:
@@ -90,8 +98,31 @@ def sql(body: str, *heads: str) -> str:
     return "with " + ", ".join(f"{n} as ({_CTE[n]})" for n in order) + " " + body
 
 
+EXTRA_SQL = {
+    "prj_trace_column_service": sql("select distinct column_name, case when column_name like '%svc0%' then 'svc0' else 'svc1' end as service from samples where data_name like 'trace%'", "samples"),
+    "prj_blank_missing": sql("select case_no, count(*) - count(trace_id) as missing_trace_id, count(*) - count(span_id) as missing_span_id, count(*) - count(parent_id) as missing_parent_id from spans group by case_no", "spans"),
+    "jn_cluster_dictionary": sql("select case_no, column_name, template, category, n from maps", "maps"),
+    "jn_window_range": sql("select case_no, case when start_us < 899251200000000 then 'baseline' else 'incident' end as window_type, count(*) as n from spans where start_us >= 899251200000000 - 31536000000000 and start_us < 899251200000000 + 31536000000000 group by all", "spans"),
+    "agg_harmonization_map": sql("select * exclude (n) replace (round(baseline_sum, 6) as baseline_sum, round(incident_sum, 6) as incident_sum) from maps", "maps"),
+    "agg_template_catalog": sql("select template, category, count(distinct case_no) as run_count from maps group by all", "maps"),
+    "agg_align_quality": sql("select w.*, observed_bins, incomplete_cells, 40 - observed_bins as missing_bins, source_features * 40 - f as aligned_missing_cells from (select case_no, data_name, count(*) as source_rows, count(distinct column_name) as source_features, count(*) - count(value) as source_missing_cells from win group by all) w join (select case_no, data_name, count(distinct bin_index) as observed_bins, count(*) - count(value) as incomplete_cells, count(value) as f from aligned group by all) a on a.case_no = w.case_no and a.data_name = w.data_name", "aligned"),
+    "agg_validate_aligned": sql("select case_no, count(*) as column_count, cast(sum(n) as bigint) as cell_count, count(*) filter (n <> 40 or d <> 40 or b <> 20) as bad_column_count from (select case_no, column_name, count(*) as n, count(distinct bin_index) as d, count(*) filter (bin_index < 0) as b from dense group by all) group by case_no", "dense"),
+    "agg_run_summaries": sql("select policy, method, count(*) as cell_count from how group by all", "how"),
+    "win_edge_fill": sql("select case_no, column_name, bin_index, round(filled, 6) as filled from filled join how using (case_no, column_name, bin_index) where method = 'edge'", "filled", "how"),
+    "win_zero_fill": sql("select case_no, column_name, count(*) as n from how where method = 'zero' group by all", "how"),
+    "set_missing_extra": sql("select case_no, column_name from (select distinct case_no from aligned) cross join (select distinct column_name from aligned) except select case_no, column_name from aligned", "aligned"),
+    "set_traces_without_root": sql("select case_no, trace_id from spans group by all having count(*) = count(parent_id)", "spans"),
+    "agg_numeric_quality": sql("select feature_name, count(*) filter (isinf(value)) as infinite_count, count(*) - count(value) as missing_count, count(value) = 0 as all_missing, coalesce(min(value) = max(value), false) as constant from long group by feature_name", "long"),
+    "agg_proxy_variance": sql("select feature_name, ratio, case when ratio is null then 'constant' when ratio < 0.05 then 'rejected' else 'accepted' end as decision from (select feature_name, case when lo < hi then round(w / v, 6) end as ratio from (select feature_name, var_pop(value) as v, min(value) as lo, max(value) as hi from long group by feature_name) join (select feature_name, avg(v) as w from (select feature_name, service, var_pop(value) as v from long join runs using (case_no) group by all) group by feature_name) using (feature_name))", "long", "runs"),
+    "agg_leakage_audit": sql("select feature_name, ingredient, bool_and(value is not distinct from x) as copies from long join (select case_no, 'fcw' as ingredient, cast(fcw as double) as x from dl union all select case_no, 'sct', sct from dl union all select case_no, 'severity_score', severity_score from dl) using (case_no) group by all", "long", "dl"),
+    "ml_relative_features": sql("select case_no, service, 'self__' || case when column_name like 'trace%' then split_part(column_name, '__', 1) || '_operation' else replace(column_name, '__' || service, '') end as feature_name, round(max(zscore_max), 6) as zscore_max, round(max(zscore_mean), 6) as zscore_mean from stats join runs using (case_no) where contains(column_name, service) group by all", "stats", "runs"),
+    "agg_excluded_runs": sql("select case_no, 'coverage' as stage, concat_ws('|', case when not sc then 'timeseries_not_covered' end, case when not tc then 'trace_not_covered' end) as reason from (select case_no, bool_and(window_covered) as sc from q2 group by case_no) join (select case_no, start_us <= 899251200000000 - 31536000000000 and end_us >= 899251200000000 + 31536000000000 as tc from struct) using (case_no) where not (sc and tc) union all select case_no, 'bins', string_agg(m, '|' order by m) from (select r.case_no, d || ':' || w as m from runs r cross join (values ('metrics'),('logs'),('trace_latency'),('trace_error')) a(d) cross join (values ('baseline'),('incident')) b(w) left join win on win.case_no = r.case_no and data_name = d and window_type = w group by r.case_no, d, w having (20 - count(distinct bin_index)) / 20 > 0.1) group by case_no", "q2", "struct", "win"),
+    "agg_case_consistency": sql("select case_no, bool_or(t = 1) as in_runs, bool_or(t = 2) as in_series, bool_or(t = 3) as in_spans from (select case_no, 1 as t from runs union all select case_no, 2 from aligned union all select case_no, 3 from spans) group by case_no", "aligned", "spans"),
+    "jn_feature_merge": sql("select s.case_no, column_count, largest_z, coalesce(nov, 0) as log__all__novel, edge_drop_share, max_drop, total_change from (select case_no, count(*) as column_count, round(max(abs(zscore_max)), 6) as largest_z from stats group by case_no) s left join (select case_no, count(*) as nov from maps where baseline_sum = 0 and incident_sum > 0 group by case_no) n on n.case_no = s.case_no left join chg on chg.case_no = s.case_no", "stats", "maps", "chg"),
+    "ml_dummy_baseline": sql("select fold, y_true as majority, cast(total as bigint) as test_count, round(n / total, 6) as accuracy from (select *, row_number() over (partition by fold order by train desc, y_true) as rn from (select fold, y_true, n, sum(n) over (partition by y_true) - n as train, sum(n) over (partition by fold) as total from (select f.fold, c.y_true, count(o.case_id) as n from (select distinct scenario % 5 as fold from oof) f cross join (select distinct y_true from oof) c left join oof o on o.repeat = 0 and o.scenario % 5 = f.fold and o.y_true = c.y_true group by all))) where rn = 1", "oof"),
+}
 R5 = "round(baseline_mean, 6) as baseline_mean, round(incident_max, 6) as incident_max, round(delta_mean, 6) as delta_mean, round(zscore_max, 6) as zscore_max, round(zscore_mean, 6) as zscore_mean"
-ORACLE_SQL = {
+ORACLE_SQL = EXTRA_SQL | {
     "src_run_metadata": sql("select case_no, case_id, scenario, service, fault_type, run_number, inject_s from runs", "runs"),
     "flt_observation_window": sql("select case_no, data_name, window_type, count(*) as n from win group by all", "win"),
     "prj_bin_index": sql("select case_no, bin_index, count(*) as n from win group by all", "win"),

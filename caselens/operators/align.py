@@ -57,7 +57,9 @@ def fill(dense: DataFrame, edge: int = 2) -> DataFrame:
     inside = F.col("pv") + (F.col("nv") - F.col("pv")) * (b - F.col("pb")) / (F.col("nb") - F.col("pb"))
     linear = F.when(F.col("pb").isNotNull() & F.col("nb").isNotNull(), inside).when(F.col("pb").isNotNull() & (b - F.col("pb") <= edge), F.col("pv")).when(F.col("nb").isNotNull() & (F.col("nb") - b <= edge), F.col("nv"))
     filled = F.when(F.col("value").isNotNull(), F.col("value")).when(F.col("policy") == "zero", 0.0).otherwise(linear)
-    return d.select("case_no", "column_name", "bin_index", "policy", "value", filled.alias("filled"))
+    both = F.col("pb").isNotNull() & F.col("nb").isNotNull()
+    method = F.when(F.col("value").isNotNull(), "observed").when(F.col("policy") == "zero", "zero").when(both, "linear").when(linear.isNotNull(), "edge").otherwise("none")
+    return d.select("case_no", "column_name", "bin_index", "policy", "value", filled.alias("filled"), method.alias("method"))
 
 
 def feature_statistics(filled: DataFrame, cap: float = 100.0) -> DataFrame:

@@ -69,6 +69,17 @@ def reconcile(roots: DataFrame, operations: DataFrame, structure_: DataFrame, st
     return j.withColumn("spans_agree", F.col("unique_span_count").eqNullSafe(F.col("status_spans")))
 
 
+def traces_without_root(spans: DataFrame) -> DataFrame:
+    t = spans.where("trace_id is not null").select("case_no", "trace_id", F.col("parent_id").isNull().alias("root"))
+    return t.groupBy("case_no", "trace_id").agg(F.bool_or("root").alias("rooted")).where("not rooted").select("case_no", "trace_id")
+
+
+def in_windows(spans: DataFrame, inject_us: int = INJECTION_US, reach_us: int = YEAR_US) -> DataFrame:
+    """Spans of the half-open window around the injection, with baseline or incident."""
+    s = spans.where((F.col("start_us") >= inject_us - reach_us) & (F.col("start_us") < inject_us + reach_us))
+    return s.withColumn("window_type", F.when(F.col("start_us") < inject_us, "baseline").otherwise("incident"))
+
+
 def call_volume(spans: DataFrame, inject_us: int = INJECTION_US, reach_us: int = YEAR_US) -> DataFrame:
     """Client calls for each caller and callee before and from the injection on; windows are half-open."""
     s = spans.where((F.col("start_us") >= inject_us - reach_us) & (F.col("start_us") < inject_us + reach_us)).select("case_no", F.col("service").alias("caller"), callee_of(F.col("operation")).alias("callee"), "start_us")
