@@ -1,16 +1,16 @@
-"""8. Document fingerprints: SimHash with a permuted-block search."""
+"""8. Document fingerprints: SimHash with a block search."""
 
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, shingles, slices, word_hashes, written
-from .links import link_components
+from .common import connected_components, mix, shingles, slices, word_hashes, written
 
 BITS = 256
 _sign = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2 - 1)
@@ -47,35 +47,138 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - np.bitwise_count(a ^ b).sum(axis=-1) / BITS
 
 
-def within_radius(prints: DataFrame, radius: int = 7) -> DataFrame:
+def radius_for(similarity: float) -> int:
+    """The Hamming distance to expect of two texts whose term sets have this Jaccard similarity (term counts alike)."""
+    return int(BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+SIMILARITY = 0.8  # of the near copies that a class links: 38 of 256 bits
+CELL, CELLS = (1 << 15, 1 << 20), 16  # fingerprints of a block, at least and at most; blocks while they aren't larger
+
+
+def _tables(radius: int) -> tuple[int, list[tuple[int, int]]]:
+    """(flips, [(first bit, width)]): two fingerprints within the radius differ by at most `flips` bits in one of the blocks.
+
+    radius + 1 bits can't be dealt to radius // (flips + 1) + 1 blocks with more than `flips` in each. As few
+    flips as blocks of 16 bits allow.
+    """
+    flips = next(t for t in range(BITS) if BITS // (radius // (t + 1) + 1) >= 16)
+    m = radius // (flips + 1) + 1
+    edges = np.arange(m + 1) * BITS // m
+    return flips, [(int(p), int(min(q - p, 20))) for p, q in pairwise(edges)]
+
+
+def _block(prints: np.ndarray, first: int, width: int) -> np.ndarray:
+    low, high = first // 8, (first + width + 7) // 8
+    v = np.zeros(len(prints), np.int64)
+    for k in range(low, high):
+        v = v << 8 | prints[:, k]
+    return v >> (8 * high - first - width) & ((1 << width) - 1)
+
+
+def _joined(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """comp (each node's least known node) after the links (a, b)."""
+    a, b = comp[a], comp[b]
+    p = np.arange(len(comp))
+    while len(a):
+        live = a != b
+        a, b = a[live], b[live]
+        np.minimum.at(p, np.maximum(a, b), np.minimum(a, b))
+        while (p[p] != p).any():
+            p = p[p]
+        a, b = p[a], p[b]
+    return p[comp]
+
+
+def near_in_cell(left: np.ndarray, right: np.ndarray, radius: int, most: int = 1 << 20) -> np.ndarray:
+    """For each fingerprint of left and then of right the least number that links reach, by all pairs of left x right within the radius.
+
+    A table for each block holds right sorted by the block's bits; left looks it up with up to `flips` bits
+    changed, so that no pair within the radius is missed. Pairs known to be of one component aren't judged.
+    """
+    flips, blocks = _tables(radius)
+    x, y, n = left.view(np.uint64), right.view(np.uint64), len(left)
+    comp = np.arange(n + len(right))
+    for first, width in blocks:
+        own, other = _block(left, first, width), _block(right, first, width)
+        order = np.argsort(other, kind="stable")
+        start = np.append(0, np.cumsum(np.bincount(other, minlength=1 << width)))
+        found, held = [], 0
+        for mask in (sum(1 << k for k in c) for t in range(flips + 1) for c in combinations(range(width), t)):
+            at = own ^ mask
+            size = start[at + 1] - start[at]
+            i = np.flatnonzero(size)
+            ends = np.cumsum(size[i])
+            low = 0
+            while low < len(i):
+                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, side="right")))
+                some = i[low:high]
+                c = size[some]
+                p = np.repeat(some, c)
+                q = order[np.repeat(start[at[some]] - (np.cumsum(c) - c), c) + np.arange(len(p))]
+                low = high
+                apart = comp[p] != comp[n + q]
+                p, q = p[apart], q[apart]
+                close = np.bitwise_count(x[p] ^ y[q]).sum(axis=1) <= radius
+                p, q = p[close], q[close]
+                found.append((p, n + q))
+                held += len(p)
+                if held > 1 << 16:
+                    comp, found, held = _joined(comp, *map(np.concatenate, zip(*found))), [], 0
+        if held:
+            comp = _joined(comp, *map(np.concatenate, zip(*found)))
+    return comp
+
+
+def within_radius(prints: DataFrame, radius: int) -> DataFrame:
     """(item, fingerprint, class_item): classes of fingerprints linked by a Hamming distance of `radius` or less.
 
-    prints: (fingerprint) as hex; distinct ones become items. The bits are cut into radius + 1
-    blocks; two fingerprints within the radius agree in one block at least. There is a table
-    for each block, sorted by that block's bits first, here as postings (block, bits).
+    prints: (fingerprint) as hex; distinct ones become items. They are dealt into blocks, and every two
+    blocks meet in a cell, whose task searches all their pairs by near_in_cell. A fingerprint goes to as many cells as there
+    are blocks: CELLS, more only where blocks would pass CELL[1] fingerprints. A cell
+    gives one link for each fingerprint, however many are near it.
     """
     items = written(prints.distinct().select("fingerprint", F.xxhash64("fingerprint").alias("item")), "prints")
-    width = BITS // 4 // (radius + 1)
-    blocks = F.array(*(F.xxhash64(F.lit(i), F.substring("fingerprint", 1 + i * width, width if i < radius else BITS)) for i in range(radius + 1)))
-    postings = items.select(F.explode(blocks).alias("key"), "item")
-
-    part = lambda c, i: F.conv(F.substring(c, 1 + 8 * i, 8), 16, 10).cast("long")
-    lanes = range(BITS // 32)
-    bits = items.select("item", *(part("fingerprint", i).alias(f"d{i}") for i in lanes))
-    screen = " + ".join(f"bit_count(d{i} ^ other_d{i})" for i in lanes) + f" <= {radius}"
-
-    def confirm(pairs):
-        a = items.select(F.col("item").alias("a"), F.col("fingerprint").alias("fa"))
-        b = items.select(F.col("item").alias("b"), F.col("fingerprint").alias("fb"))
-        distance = sum((F.bit_count(part("fa", i).bitwiseXOR(part("fb", i))) for i in lanes), F.lit(0))
-        return pairs.join(a, "a").join(b, "b").where(distance <= radius).select("a", "b")
-
-    met = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    comp = link_components(written(postings.join(met, "key"), "postings"), confirm, sketches=bits, screen=screen)
+    n = items.count()
+    blocks = max(1, -(-n // min(max(-(-n // CELLS), CELL[0]), CELL[1])))
+    dealt = items.select("item", F.unhex("fingerprint").alias("bits"), F.pmod(F.xxhash64("item", F.lit(5)), F.lit(blocks)).cast("int").alias("own"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select((F.least("own", "other") * blocks + F.greatest("own", "other")).alias("cell"), (F.col("own") > F.col("other")).alias("right"), "item", "bits")
+
+    def search(batches):
+        now, parts = None, []
+
+        def links():
+            if now is None:
+                return
+            item, right, bits = (np.concatenate(c) for c in zip(*parts))
+            same = not (now // blocks - now % blocks)
+            order = np.argsort(right, kind="stable")
+            item, bits, k = item[order], bits[order], len(item) - int(right.sum())
+            comp = near_in_cell(bits, bits, radius) if same else near_in_cell(bits[:k], bits[k:], radius)
+            if same:
+                # a node and its second number are one
+                comp = _joined(comp, np.arange(k), np.arange(k) + k)[:k]
+            linked = np.flatnonzero(comp != np.arange(len(comp)))
+            yield pa.RecordBatch.from_arrays([pa.array(item[comp[linked]]), pa.array(item[linked])], names=["a", "b"])
+
+        for x in batches:
+            cell = x.column(0).to_numpy()
+            for p, q in pairwise([0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1), len(cell)]):
+                if q > p:
+                    if cell[p] != now:
+                        yield from links()
+                        now, parts = int(cell[p]), []
+                    raw = b"".join(x.column(3).slice(p, q - p).to_pylist())
+                    parts.append((x.column(2)[p:q].to_numpy(), x.column(1)[p:q].to_numpy(zero_copy_only=False), np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8)))
+        yield from links()
+
+    found = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(search, "a long, b long")
+    comp = written(connected_components(found), "components")
     return items.join(comp, items["item"] == comp["node"], "left").select("item", "fingerprint", F.coalesce("component", "item").alias("class_item"))
 
 
-def fingerprint_documents(docs: DataFrame, radius: int = 7, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_documents(docs: DataFrame, radius: int = radius_for(SIMILARITY), n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id.
 
     The edited text: the last n_chars // 2 code points replaced by the first as many (or all) of

@@ -233,6 +233,26 @@ def test_within_radius(spark):
     assert got[rows[0][0]] == got[rows[1][0]] != got[rows[2][0]]
 
 
+@pytest.mark.parametrize("cell", [None, 40])
+def test_near_copies_share_a_class(spark, monkeypatch, cell):
+    """Texts with words changed are found, and classes are those of all pairs of fingerprints."""
+    if cell:
+        monkeypatch.setattr(fingerprints, "CELL", (cell, cell))
+    r, texts = np.random.default_rng(5), []
+    for k in range(40):
+        w = prose(100, 500 + k).split()
+        texts.append(" ".join(w))
+        for changed in (1, 2, 6):
+            v = list(w)
+            for i in r.choice(100, changed, replace=False):
+                v[i] = f"new{i}"
+            texts.append(" ".join(v))
+    got = {x.doc_id: x for x in fingerprints.fingerprint_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[i].class_id == i // 4 * 4 for i in range(160) if i % 4 < 3)
+    bits = [np.frombuffer(bytes.fromhex(got[i].fingerprint), np.uint8) for i in range(160)]
+    assert [got[i].class_id for i in range(160)] == components(bits, lambda a, b: np.bitwise_count(a ^ b).sum() <= 38)
+
+
 def test_lm_scores(docs, none, monkeypatch):
     monkeypatch.setattr(lm_scores, "FREQUENT", 20)
     out = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 10 == 0
