@@ -47,9 +47,13 @@ def _sets(batches):
 
 @dataclass
 class OrdinalModel:
-    """P(grade > k) = sigmoid(w . x - cut[k]): one weight vector for all ordered thresholds; x has length 1."""
+    """P(grade > k) = sigmoid(w . x - cut[k]): one weight vector for all ordered thresholds.
+
+    x has the scales of a text's features, brought to length 1; weights are the products of w and the scales.
+    """
 
     weights: np.ndarray
+    scale: np.ndarray
     cuts: np.ndarray
     reject: float = 0.5  # P(grade > 0) from which a text counts as toxic
 
@@ -57,10 +61,10 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - z[:, None], -40, 40)))
 
 
-def pick(sample: DataFrame, rate: float) -> np.ndarray:
-    """Features by which the sample's rows above grade 0 stand out: more of them have it than chance gives, by five standard deviations.
+def scales(sample: DataFrame, rate: float) -> np.ndarray:
+    """How many standard deviations each feature's rows above grade 0 are off what chance gives; 0 for features of fewer than two rows.
 
-    sample: (grade, words); rate: the share of rows above grade 0.
+    sample: (grade, words); rate: the share of rows above grade 0. Under one penalty for all, a feature of small scale is shrunk more.
     """
 
     def count(batches):
@@ -72,43 +76,111 @@ def pick(sample: DataFrame, rate: float) -> np.ndarray:
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some]), pa.array(bad[some])], names=["f", "seen", "bad"])
 
-    n = sample.mapInArrow(count, "f long, seen long, bad long").groupBy("f").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
-    out = n.where(F.col("bad") - F.col("seen") * rate > 5 * F.sqrt(F.col("seen") * (rate * (1 - rate)) + 1)).select("f")
-    return np.sort(np.array([r[0] for r in out.collect()], np.int64))
+    n = sample.mapInArrow(count, "f long, seen long, bad long").groupBy("f").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).where("seen > 1")
+    got = n.select("f", (F.abs(F.col("bad") - F.col("seen") * rate) / F.sqrt(F.col("seen") * (rate * (1 - rate)) + 1)).cast("float").alias("scale")).toArrow()
+    out = np.zeros(BUCKETS, np.float32)
+    out[got.column("f").to_numpy()] = got.column("scale").to_numpy()
+    return out
+
+
+def likelihood(z: np.ndarray, cuts: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Sum of the rows' negative log likelihoods, and its slopes by z and by the cuts."""
+    n, k = len(z), len(cuts)
+    p = np.hstack([np.ones((n, 1)), 1 / (1 + np.exp(np.clip(cuts[None] - z[:, None], -40, 40))), np.zeros((n, 1))])
+    lo, hi = p[np.arange(n), grades], p[np.arange(n), grades + 1]
+    mass = np.maximum(lo - hi, 1e-9)
+    slope = p[:, 1:-1] * (1 - p[:, 1:-1])
+    by_cut = np.array([(np.where(grades == j, -slope[:, j], 0) + np.where(grades == j + 1, slope[:, j], 0)) @ (1 / mass) for j in range(k)])
+    return float(-np.log(mass).sum()), -(lo * (1 - lo) - hi * (1 - hi)) / mass, by_cut
+
+
+def descend(f, p: np.ndarray, steps: int = 60, memory: int = 6) -> np.ndarray:
+    """L-BFGS steps from p; f gives value and gradient."""
+    v, g = f(p)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        d, shares = -g, []
+        for a, b in reversed(past):
+            shares.append((a @ d) / (a @ b))
+            d = d - shares[-1] * b
+        d = d * ((past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1e-12, np.linalg.norm(d)))
+        for (a, b), r in zip(past, reversed(shares)):
+            d = d + (r - (b @ d) / (a @ b)) * a
+        step = 1.0
+        while True:
+            q = p + step * d
+            value, slope = f(q)
+            if value <= v + 1e-4 * step * (g @ d) or step < 1e-4:
+                break
+            step /= 4
+        if value >= v - 1e-6 * abs(v):
+            break
+        if (q - p) @ (slope - g) > 1e-12:
+            past = [*past, (q - p, slope - g)][-memory:]
+        p, v, g = q, value, slope
+    return p
+
+
+def fit(sample: DataFrame, scale: np.ndarray, n: int, cuts: np.ndarray, tasks: int = 16, penalty: float = 1e-4) -> OrdinalModel:
+    """Fits the weights of all features with a scale and the cuts together, with an L2 penalty on the weights.
+
+    sample: (grade, words), n rows. Each step's gradient is summed up on the executors: a
+    task gives one vector, and there are at most `tasks` tasks, so the driver's memory doesn't follow the rows.
+    """
+    sc, chosen, k = sample.sparkSession.sparkContext, np.flatnonzero(scale), len(cuts)
+    scale_held = sc.broadcast(scale)
+    sample = sample.coalesce(tasks)
 
+    def rows(held):
+        """(grades, row, feature, x, z) of the batches."""
+        scale, w = scale_held.value, held.value[0]
 
-def fit(row: np.ndarray, col: np.ndarray, features: np.ndarray, grades: np.ndarray, grades_n: int = GRADES, steps: int = 600) -> OrdinalModel:
-    """Fits the features' weights and the cuts together, by Adam steps on the likelihood with a light L2 penalty.
+        def of(x):
+            flat, size = x.column(1).flatten().to_numpy(), np.diff(x.column(1).offsets.to_numpy())
+            row, v = np.repeat(np.arange(len(size)), size), scale[flat].astype(np.float64)
+            v /= np.sqrt(np.maximum(np.bincount(row, v * v, len(size)), 1e-12))[row]
+            return np.maximum(x.column(0).to_numpy(), 0), row, flat, v, np.bincount(row, w[flat] * v, len(size))
+
+        return of
+
+    def placed(p):
+        whole = np.zeros(BUCKETS, np.float32)
+        whole[chosen] = p[:-k]
+        return sc.broadcast((whole, p[-k:]))
+
+    def step(p):
+        held = placed(p)
+
+        def slopes(batches):
+            of, value, g, gc = rows(held), 0.0, np.zeros(BUCKETS), np.zeros(k)
+            for x in batches:
+                grades, row, flat, v, z = of(x)
+                one, dz, dc = likelihood(z, held.value[1], grades)
+                value, gc = value + one, gc + dc
+                g += np.bincount(flat, dz[row] * v, BUCKETS)
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[value], gc]).tobytes()]), pa.array([g[scale_held.value != 0].astype(np.float32).tobytes()])], names=["cuts", "weights"])
+
+        value, g = 0.5e-4 * float(((p[-k:] - cuts) ** 2).sum()) + penalty / 2 * float(p[:-k] @ p[:-k]), np.concatenate([penalty * p[:-k], 1e-4 * (p[-k:] - cuts)])
+        for r in sample.mapInArrow(slopes, "cuts binary, weights binary").toArrow().to_pylist():
+            c = np.frombuffer(r["cuts"])
+            value += c[0] / n
+            g[-k:] += c[1:] / n
+            g[:-k] += np.frombuffer(r["weights"], np.float32) / n
+        held.unpersist()
+        return value, g
+
+    p = descend(step, np.append(np.zeros(len(chosen)), cuts))
+    held = placed(p)
+
+    def scored(batches):
+        of = rows(held)
+        for x in batches:
+            grades, _, _, _, z = of(x)
+            yield pa.RecordBatch.from_arrays([pa.array(grades > 0), pa.array(z)], names=["bad", "z"])
 
-    row and col: which row has which of the features; a row's features have length 1 together.
-    """
-    n, k = len(grades), grades_n - 1
-    # cuts from smoothed shares, so that a grade without rows keeps a finite one
-    share = np.array([((grades > j).sum() + 0.5 / (j + 1)) / (n + 1) for j in range(k)]) if n else np.array([0.02 / (j + 1) for j in range(k)])
-    share = np.minimum(share, 1 - 1e-6)
-    cuts = np.maximum.accumulate(np.log(1 - share) - np.log(share))
-    whole = np.zeros(BUCKETS)
-    if not n or grades.max() == 0 or grades.min() > 0:
-        return OrdinalModel(whole, cuts)
-    kept = features
-    x = 1 / np.sqrt(np.bincount(row, minlength=n)[row]) if len(row) else np.zeros(0)
-    w, first = np.zeros(len(kept)), cuts.copy()
-    m, v = np.zeros(len(kept) + k), np.zeros(len(kept) + k)
-    for t in range(1, steps + 1):
-        z = np.bincount(row, w[col] * x, n) if len(col) else np.zeros(n)
-        p = np.hstack([np.ones((n, 1)), 1 / (1 + np.exp(np.clip(cuts[None] - z[:, None], -40, 40))), np.zeros((n, 1))])
-        lo, hi = p[np.arange(n), grades], p[np.arange(n), grades + 1]
-        mass = np.maximum(lo - hi, 1e-9)
-        g = np.bincount(col, (-(lo * (1 - lo) - hi * (1 - hi)) / mass / n)[row] * x, len(kept)) + 1e-5 * w
-        slope = p[:, 1:-1] * (1 - p[:, 1:-1])
-        gc = np.array([(np.where(grades == j, -slope[:, j], 0) + np.where(grades == j + 1, slope[:, j], 0)) @ (1 / mass) / n for j in range(k)])
-        g = np.concatenate([g, gc + 1e-4 * (cuts - first)])
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-        w, cuts = w - step[: len(kept)], np.maximum.accumulate(cuts - step[len(kept) :])
-    whole[kept] = w
-    model = OrdinalModel(whole, cuts)
-    model.reject = best_cut(model.above(np.bincount(row, w[col] * x, n) if len(col) else np.zeros(n))[:, 0], grades > 0)
+    model = OrdinalModel(held.value[0] * scale, scale, np.maximum.accumulate(p[-k:]))
+    got = sample.mapInArrow(scored, "bad boolean, z double").toArrow()
+    model.reject = best_cut(model.above(got.column("z").to_numpy())[:, 0], np.array(got.column("bad").to_pylist(), bool))
     return model
 
 
@@ -128,21 +200,14 @@ def train(docs: DataFrame, graded: DataFrame, rows: int = TRAIN_ROWS, grades: in
     sample = graded.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     held = written(docs.join(F.broadcast(sample), "doc_id").select(F.least("grade", F.lit(grades - 1)).cast("int").alias("grade"), "text").mapInArrow(_sets, "grade int, words array<int>"), "graded")
     n, bad = held.agg(F.count("*"), F.count_if(F.col("grade") > 0)).first()
-    chosen = pick(held, bad / max(n, 1)) if bad else np.zeros(0, np.int64)
-
-    def only(batches):
-        for x in batches:
-            flat, size = x.column(1).flatten().to_numpy(), np.diff(x.column(1).offsets.to_numpy())
-            at = np.searchsorted(chosen, flat)
-            hit = at < len(chosen)
-            hit[hit] = chosen[at[hit]] == flat[hit]
-            ends = np.append(0, np.cumsum(hit))[np.append(0, np.cumsum(size))]
-            yield pa.RecordBatch.from_arrays([x.column(0), lists(at[hit].astype(np.int32), np.diff(ends), pa.int32())], names=["grade", "words"])
-
-    got = held.mapInArrow(only, "grade int, words array<int>").toArrow()
-    words = got.column("words").combine_chunks()
-    size = np.array([len(x) for x in words], np.int64)
-    return fit(np.repeat(np.arange(len(size)), size), words.flatten().to_numpy().astype(np.int64), chosen, np.maximum(np.array(got.column("grade").to_pylist(), np.int64), 0), grades)
+    # cuts from smoothed shares, so that a grade without rows keeps a finite one
+    above = held.agg(*(F.count_if(F.col("grade") > j) for j in range(grades - 1))).first()
+    share = np.array([(above[j] + 0.5 / (j + 1)) / (n + 1) if n else 0.02 / (j + 1) for j in range(grades - 1)])
+    share = np.minimum(share, 1 - 1e-6)
+    cuts = np.maximum.accumulate(np.log(1 - share) - np.log(share))
+    if not 0 < bad < n:
+        return OrdinalModel(np.zeros(BUCKETS), np.zeros(BUCKETS), cuts)
+    return fit(held, scales(held, bad / n), n, cuts)
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
@@ -166,11 +231,11 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
             z = np.zeros(x.num_rows)
             for s in slices(x.column(at)):
                 f, first = features(s)
-                live = np.flatnonzero(m.weights[f])
+                live = np.flatnonzero(m.scale[f])
                 row = np.searchsorted(first, live, side="right") - 1
                 # a word counts once a text
                 pair = np.unique(row * BUCKETS + f[live])
-                z[s.first : s.first + s.n] = np.bincount(pair // BUCKETS, m.weights[pair % BUCKETS], s.n) / np.sqrt(np.maximum(np.bincount(pair // BUCKETS, minlength=s.n), 1))
+                z[s.first : s.first + s.n] = np.bincount(pair // BUCKETS, m.weights[pair % BUCKETS], s.n) / np.sqrt(np.maximum(np.bincount(pair // BUCKETS, m.scale[pair % BUCKETS].astype(np.float64) ** 2, s.n), 1e-12))
             p = m.above(z)
             mass = -np.diff(np.hstack([np.ones((len(z), 1)), p, np.zeros((len(z), 1))]), axis=1)
             yield pa.RecordBatch.from_arrays([*x.columns, pa.array(p.sum(axis=1)), pa.array(mass.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0] > m.reject)], names=[*x.schema.names, "expected_severity", "grade", "toxic"])

@@ -233,6 +233,16 @@ def test_within_radius(spark):
     assert got[rows[0][0]] == got[rows[1][0]] != got[rows[2][0]]
 
 
+def test_toxicity_of_few_rows(spark):
+    """Words that a handful of labelled rows hold count: no number of rows is needed before anything is rejected."""
+    bad = ["scumlike", "widerlich", "asqueroso"]
+    d = spark.createDataFrame([(i, prose(30, 900 + i) + (" " + bad[i // 8 % 3] if i % 8 == 0 else "")) for i in range(240)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 8 == 0)) for i in range(96)], "doc_id long, quality int, toxic int")  # four rows for each word
+    model = toxicity.train(d, toxicity.grades_of(labels))
+    held = {r.doc_id: r.toxic for r in toxicity.score(d, model).where("doc_id >= 96").collect()}
+    assert sum(held[i] for i in range(96, 240, 8)) >= 15 and sum(v for i, v in held.items() if i % 8) <= 6
+
+
 @pytest.mark.parametrize("cell", [None, 40])
 def test_near_copies_share_a_class(spark, monkeypatch, cell):
     """Texts with words changed are found, and classes are those of all pairs of fingerprints."""
