@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import Slice, slices, spans_hash, written
 
 END = 2
+ROUND_ROWS = 8192  # items that a task of the first round packs, about
 MEMBERS = "array<struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long>>"
 _tokenizers: dict[str, "ChunkTokenizer"] = {}
 
@@ -141,13 +142,16 @@ def _packed(capacity: int, full: int, last: bool, most: int):
 
         part, n, sizes, members = TaskContext.get().partitionId(), 0, [], []
 
-        def flush():
+        def flush(carried):
+            """Bins of the items held; of the underfull ones, the `carried` emptiest stay as items for the next batch."""
             nonlocal n, sizes, members
-            for b in best_fit(np.array(sizes, np.int64), capacity) if sizes else ():
-                size = sum(sizes[i] for i in b)
-                yield last or size >= full, part << 32 | n, size, [m for i in b for m in members[i]]
+            bins = [(sum(sizes[i] for i in b), [m for i in b for m in members[i]]) for b in best_fit(np.array(sizes, np.int64), capacity)] if sizes else []
+            bins.sort(key=lambda b: b[0])
+            stay = min(carried, sum(size < full for size, _ in bins))
+            sizes, members = [b[0] for b in bins[:stay]], [b[1] for b in bins[:stay]]
+            for size, own in bins[stay:]:
+                yield last or size >= full, part << 32 | n, size, own
                 n += 1
-            sizes, members = [], []
 
         def rows(found):
             found = list(found)
@@ -156,9 +160,9 @@ def _packed(capacity: int, full: int, last: bool, most: int):
         for x in batches:
             sizes += x.column(0).to_pylist()
             members += x.column(1).to_pylist()
-            if len(sizes) >= most:
-                yield rows(flush())
-        yield rows(flush())
+            if len(sizes) >= 2 * most:
+                yield rows(flush(most))
+        yield rows(flush(0))
 
     return pack
 
@@ -168,10 +172,10 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 102
 
     A text's ids (null: none) and the end id 2 are one piece; longer ones are cut into pieces of
     `capacity` ids, the first of which may be shorter. Pieces go into sequences of at most `capacity` ids.
-    Each partition packs its pieces best-fit and emits the bins filled to `nearly` of the
+    Each partition of about ROUND_ROWS pieces packs them best-fit and emits the bins filled to `nearly` of the
     capacity; underfull bins go on as single items to `fan_in` times fewer partitions, until one
-    is left. A task packs `most` items at a time, so its memory is bounded; as full bins leave in
-    every round, the last partition gets a small share of the items. Repeated and null ids are
+    is left. A task packs twice `most` items at a time, and passes on up to `most` underfull bins to the next
+    batch, so its memory is bounded; as full bins leave in every round, the last partition gets a small share of the items. Repeated and null ids are
     rows of their own; an empty table gives no row.
     """
     path = path or default_path()
@@ -188,14 +192,15 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 102
     member = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
     done = [found.where(F.col("length") == whole).select(F.lit(0).alias("round"), F.monotonically_increasing_id().alias("bin"), F.array(member).alias("members"))]
     items = found.where(F.col("length") < whole).select(F.col("length").alias("size"), F.array(member).alias("members"))
-    n, k = max(1, min(found.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism * 64)), 0
+    n, k = max(1, -(-items.count() // ROUND_ROWS)), 0
     while True:
-        k, n = k + 1, max(1, n // fan_in)
+        k += 1
         out = written(items.repartition(n).mapInArrow(_packed(capacity, full, n == 1, most), f"done boolean, bin long, size long, members {MEMBERS}"), f"bins{k}")
         done.append(out.where("done").select(F.lit(k).alias("round"), "bin", "members"))
         items = out.where("not done").select("size", "members")
         if n == 1:
             break
+        n = max(1, n // fan_in)
     bins = done[0]
     for d in done[1:]:
         bins = bins.unionByName(d)

@@ -177,6 +177,33 @@ def test_best_fit():
     assert sorted(i for b in bins for i in b) == list(range(6)) and len(bins) == 2
 
 
+def test_packing_rounds(spark, monkeypatch):
+    """Every round packs in several partitions before one is left, and loses no piece."""
+    monkeypatch.setattr(packing, "ROUND_ROWS", 20, raising=False)
+    d = spark.createDataFrame([(i, prose(20 + i % 90, 700 + i)) for i in range(400)], "doc_id long, text string")
+    got = packing.pack_documents(d, fan_in=4, nearly=0.98).collect()
+    want = packing.pack_documents(d, capacity=1 << 20).collect()
+    assert sum(r.length for r in got) == sum(r.length for r in want) and {r.doc_id for r in got} == set(range(400))
+    fill, tasks = Counter(), {}
+    for r in got:
+        fill[r.sequence_id] += r.length
+        tasks.setdefault(r.sequence_id >> 56, set()).add(r.sequence_id >> 32 & 0xFFFFFF)
+    assert max(fill.values()) <= 1024 and len(tasks.keys() - {0}) >= 3 and len(tasks[1]) > 8 and len(tasks[max(tasks)]) == 1
+    assert len(fill) <= 1.1 * len(packing.best_fit(np.array([r.length for r in got]), 1024)) + 1
+
+
+def test_packing_batches(spark):
+    """Underfull bins of one batch meet the items of the next one."""
+    member = [(1, 0, 0, 1, 0)]
+    items = spark.createDataFrame([(n, member) for n in [600] * 40 + [424] * 40], f"size long, members {packing.MEMBERS}").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        out = items.mapInArrow(packing._packed(1024, 1023, True, 20), f"done boolean, bin long, size long, members {packing.MEMBERS}").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(r["size"] for r in out) == 40 * 1024 and len(out) < 65 and len({r.bin for r in out}) == len(out)
+
+
 def test_decontamination(spark, docs, none):
     item = prose(35, 40).split()
     edited = [w if i % 6 else "qqq" for i, w in enumerate(item)]
