@@ -116,6 +116,19 @@ def test_line_dedup(docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_edited_lines(spark):
+    """Lines of 60 to 120 characters with one character or, from 100 on, one word changed go."""
+    rows, r = [], np.random.default_rng(17)
+    for k in range(120):
+        line = prose(40, 2000 + k)[: (60, 80, 100, 120)[k % 4]].strip() + "xy"
+        i = int(r.integers(20, 40))
+        w = line.split()
+        w[len(w) // 2] = "qwrtz"
+        rows += [(10 * k, line), (10 * k + 1, line[:i] + "#" + line[i + 1 :]), (10 * k + 2, " ".join(w) if len(line) > 97 else None)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(x.n_removed == (x.doc_id % 10 > 0 and x.text is not None) for x in got)
+
+
 def test_lines_of():
     texts = ["a\n\n b c \r\nq", "", "\n", "x\n"]
     (s,) = common.slices(pa.array(texts))
