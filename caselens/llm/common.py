@@ -6,16 +6,20 @@ task's memory follows the slice (or the longest single text) and not the partiti
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE = 1 << 20
+SLICE = 1 << 18
+BATCH_BYTES = "4m"
+KEPT = 1 << 19  # powers that a worker keeps between tasks; longer slices have their own for as long as they last
 M64 = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
@@ -24,6 +28,7 @@ _rng = np.random.default_rng(20240607)
 BYTE = _rng.integers(1, M64, 256, dtype=np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+LOW_BYTE = BYTE[LOWER]
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 ODD = _rng.integers(1, M64, 64, dtype=np.uint64) | np.uint64(1)
@@ -32,10 +37,12 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir, or one of our own where it is unset and the master is local (tests)."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(folder)
     elif not sc.getCheckpointDir():
@@ -43,9 +50,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes, where the session doesn't say otherwise: ten thousand long texts are too many for a worker."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def tidy(f: Callable) -> Callable:
+    """f, after whose batches a worker gives freed memory back: it lives on for other tasks, idle ones beside it."""
+
+    def run(batches):
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -53,13 +80,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse mod 2**64 for i < n."""
-    if len(_powers[0]) < n:
-        n = max(n, 2 * len(_powers[0]))
-        for k, b in enumerate((BASE, BASE_INV)):
-            step = np.full(n, b, np.uint64)
-            step[0] = 1
-            _powers[k] = np.multiply.accumulate(step)
-    return _powers[0], _powers[1]
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    made = []
+    for b in (BASE, BASE_INV):
+        step = np.full(max(n, min(2 * n, KEPT)), b, np.uint64)
+        step[0] = 1
+        made.append(np.multiply.accumulate(step))
+    if len(made[0]) <= KEPT:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -78,7 +108,7 @@ class Slice:
         """Prefix sums of the polynomial hash; hash of [a, b) is (s[b] - s[a]) * inverse power of a."""
         n = len(self.data)
         out = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE[LOWER[self.data] if lower else self.data] * powers(n)[0][:n], out=out[1:])
+        np.cumsum((LOW_BYTE if lower else BYTE)[self.data] * powers(n)[0][:n], out=out[1:])
         return out
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,7 +207,7 @@ def only_maybe(df: DataFrame, key: str, ids: DataFrame, bits: int = 23) -> DataF
             if hit.any():
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in x.columns[:-1]], names=x.schema.names[:-1])
 
-    return df.withColumn("_place", F.pmod(F.xxhash64(key), F.lit(1 << bits))).mapInArrow(keep, schema)
+    return df.withColumn("_place", F.pmod(F.xxhash64(key), F.lit(1 << bits))).mapInArrow(tidy(keep), schema)
 
 
 def _stars(e: DataFrame) -> bool:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ODD, as_long, mix, slices, word_hashes
+from .common import ODD, as_long, bounded_batches, mix, slices, word_hashes, tidy
 
 SEED = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -127,6 +127,7 @@ def blocks_of(benchmark: DataFrame, docs: DataFrame, id_col: str, text_col: str)
     an item's seeds stay at least, and a leak's own copies make none common. Counts cover all documents.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, math.ceil(size / BLOCK_BYTES))
@@ -153,7 +154,7 @@ def blocks_of(benchmark: DataFrame, docs: DataFrame, id_col: str, text_col: str)
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(as_long(seeds.unique[some])), pa.array(total[some])], names=["h", "n"])
 
-        df = {r["h"]: r["n"] for r in docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()}
+        df = {r["h"]: r["n"] for r in docs.select("text").mapInArrow(tidy(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()}
         freq = np.array([df.get(int(np.uint64(r[0]).view(np.int64)), 0) for r in seeds.rows])
         item = np.array([r[1] for r in seeds.rows])
         rare = np.zeros(len(freq), bool)
@@ -182,7 +183,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, id_c
                 got = list(zip(*find(held.value, x.column(1), least))) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(got[0], pa.int64())), *(pa.array(c, t) for c, t in zip(got[1:], (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())))], names=["doc_id", "item_id", "score", "first_word", "end_word", "seeds"])
 
-        part = docs.mapInArrow(run, schema)
+        part = docs.mapInArrow(tidy(run), schema)
         out = part if out is None else out.union(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -199,7 +200,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0
                 if clean.any():
                     yield x.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs
 
 

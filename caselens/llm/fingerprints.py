@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, mix, shingles, slices, word_hashes, written
+from .common import connected_components, mix, shingles, slices, word_hashes, written, tidy
 
 BITS = 256
 _sign = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2 - 1)
@@ -173,7 +173,7 @@ def within_radius(prints: DataFrame, radius: int) -> DataFrame:
                     parts.append((x.column(2)[p:q].to_numpy(), x.column(1)[p:q].to_numpy(zero_copy_only=False), np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8)))
         yield from links()
 
-    found = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(search, "a long, b long")
+    found = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(search), "a long, b long")
     comp = written(connected_components(found), "components")
     return items.join(comp, items["item"] == comp["node"], "left").select("item", "fingerprint", F.coalesce("component", "item").alias("class_item"))
 
@@ -182,14 +182,14 @@ def fingerprint_documents(docs: DataFrame, radius: int = radius_for(SIMILARITY),
     """One row for each input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id.
 
     The edited text: the last n_chars // 2 code points replaced by the first as many (or all) of
-    the next document, by descending id, rows of one id by their text's hash, null ids last; the
+    the next document, by descending id, rows of one id by their text's two hashes, null ids last; the
     first follows the last. A single row follows itself. class_id: the least id of the documents that chains of
     fingerprints within the radius reach. Null texts count as empty, with a fingerprint of zeros.
     Rows are range-partitioned by id; what stands at a partition's border is written with the
     results, and the borders are joined afterwards.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.crc32("text")]  # the driver samples these, so no text is among them
     kinds = "kind int, part long, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text string"
     types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string())
     names = [x.split()[0] for x in kinds.split(", ")]
@@ -230,7 +230,7 @@ def fingerprint_documents(docs: DataFrame, radius: int = radius_for(SIMILARITY),
                 yield judged(part, ids[:-1], texts[:-1], texts[1:])
             yield border(2, part, ids[-1], texts[-1])
 
-    found = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(along, kinds), "fingerprints")
+    found = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(along), kinds), "fingerprints")
     # one number for each partition: where its last row's next row is
     parts = sorted(r[0] for r in found.where("kind = 1").select("part").collect())
     spark = docs.sparkSession
@@ -242,7 +242,7 @@ def fingerprint_documents(docs: DataFrame, radius: int = radius_for(SIMILARITY),
             for i in range(x.num_rows):
                 yield judged(0, [x.column(0)[i].as_py()], [x.column(1)[i].as_py()], [x.column(2)[i].as_py()])
 
-    last = tails.join(following, "part").join(heads, "following").select("doc_id", "text", "next_text").mapInArrow(ends, kinds)
+    last = tails.join(following, "part").join(heads, "following").select("doc_id", "text", "next_text").mapInArrow(tidy(ends), kinds)
     every = written(found.where("kind = 0").unionByName(last).drop("kind", "part", "text"), "prints")
     classes = within_radius(every.select("fingerprint"), radius)
     low = every.groupBy("fingerprint").agg(F.min("doc_id").alias("low")).join(classes, "fingerprint")

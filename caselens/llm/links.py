@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, mix, written
+from .common import connected_components, mix, written, tidy
 
 
 def as_words(elems: pa.Array) -> list[np.ndarray]:
@@ -51,22 +51,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int, head: int =
             if good.any():
                 yield pa.RecordBatch.from_arrays([x.column(k).filter(pa.array(good)) for k in (0, 1)], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInArrow(judge, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInArrow(tidy(judge), "a long, b long")
 
 
 BITS = 128
 _seeds = np.random.default_rng(72)
-_FACTOR = _seeds.integers(1, 1 << 63, BITS, dtype=np.uint64) | np.uint64(1)
-_OFFSET = _seeds.integers(1, 1 << 63, BITS, dtype=np.uint64)
+_FACTOR = _seeds.integers(1, 1 << 32, BITS, dtype=np.uint32) | np.uint32(1)
+_OFFSET = _seeds.integers(1, 1 << 32, BITS, dtype=np.uint32)
 SKETCH = "size int, bits0 long, bits1 long"
 
 
 def sketch(u: np.ndarray) -> tuple[int, int, int]:
     """Size and BITS one-bit MinHash values of a set of hashes: what pairs are screened by before they are met."""
-    low = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(u), 1 << 13):
-        low = np.minimum(low, (u[i : i + (1 << 13), None] * _FACTOR + _OFFSET).min(axis=0))
-    bits = np.packbits((mix(low) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+    low, half = np.full(BITS, np.iinfo(np.uint32).max, np.uint32), (u >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(u), 1 << 10):
+        low = np.minimum(low, (half[i : i + (1 << 10), None] * _FACTOR + _OFFSET).min(axis=0))
+    bits = np.packbits((mix(low.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
     return len(u), int(bits[0]), int(bits[1])
 
 
@@ -74,29 +74,49 @@ def sketch_columns(sketches: list[tuple[int, int, int]]) -> list[pa.Array]:
     return [pa.array([x[k] for x in sketches], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64()))]
 
 
-def alike(num: int, den: int) -> str:
-    """Condition under which sketches can be of a linked pair: sizes always tell, bits but for one pair in ten million."""
+def most_apart(num: int, den: int, bits: int) -> int:
+    """Sketch bits in which a linked pair differs at most, but for one pair in ten million."""
     p = (1 - num / den) / 2
-    most = math.ceil(BITS * p + 5.5 * math.sqrt(BITS * p * (1 - p)))
-    return f"{den} * least(size, other_size) >= {num} * greatest(size, other_size) and bit_count(bits0 ^ other_bits0) + bit_count(bits1 ^ other_bits1) <= {most}"
+    return math.ceil(bits * p + 5.5 * math.sqrt(bits * p * (1 - p)))
+
+
+def alike(num: int, den: int, bits: int = BITS, sizes: bool = True) -> str:
+    """Condition under which sketches can be of a linked pair: by sizes, where they are exact, and by bits."""
+    same = f"bit_count(bits0 ^ other_bits0) + bit_count(bits1 ^ other_bits1) <= {most_apart(num, den, bits)}"
+    return f"{den} * least(size, other_size) >= {num} * greatest(size, other_size) and {same}" if sizes else same
 
 
 PAIRED = 32  # members of a key up to which their pairs are made as rows
-BLOCK, BLOCK_BYTES = 1024, 1 << 25  # members of a block and bytes of their sets, about
+BLOCK, BLOCK_BYTES = 1024, 1 << 23  # members of a block and bytes of their sets, about
+
 
+def _between(comp: np.ndarray, bits: np.ndarray, elems: pa.Array, num: int, den: int, head: int, least: int, unpack: Callable, most: int) -> list[tuple[int, int]]:
+    """Links (i, j) that join the components of a cell as all of its linked pairs do; sets as in `confirmed`.
 
-def _between(comp: np.ndarray, elems: list[np.ndarray], num: int, den: int, head: int, least: int) -> list[tuple[int, int]]:
-    """Links (i, j) that join the components of a cell as all of its linked pairs do; sets as in `confirmed`."""
+    bits: two longs of sketch bits a member; only the sets of members with a pair within `most` bits are unpacked.
+    """
     names, comp, sizes = np.unique(comp, return_inverse=True, return_counts=True)
     if len(names) < 2:
         return []
     # two members of the most frequent component need no comparison
     rows = np.flatnonzero(comp != sizes.argmax())
+    asked = np.zeros((len(rows), len(comp)), bool)
+    for i in range(0, len(rows), 256):
+        r = rows[i : i + 256]
+        asked[i : i + 256] = (comp[r, None] != comp) & (np.bitwise_count(bits[r, None] ^ bits).sum(axis=2) <= most)
+    live = np.union1d(rows[asked.any(axis=1)], np.flatnonzero(asked.any(axis=0)))
+    if not len(live):
+        return []
+    picked = unpack(elems.take(pa.array(live)))
+    elems = [picked[0][:0]] * len(comp)
+    for i, e in zip(live, picked):
+        elems[i] = e
     n = np.array([len(e) - head for e in elems])
-    asked = (comp[rows, None] != comp) & (den * np.minimum(n[rows, None], n) >= num * np.maximum(n[rows, None], n))
-    if head:
-        asked &= _shared([e[:head] for e in elems], rows, np.arange(len(n))) >= least
+    asked &= den * np.minimum(n[rows, None], n) >= num * np.maximum(n[rows, None], n)
     rows, asked = rows[asked.any(axis=1)], asked[asked.any(axis=1)]
+    if head and len(rows):
+        asked &= _shared([e[:head] for e in elems], rows, np.arange(len(n))) >= least
+        rows, asked = rows[asked.any(axis=1)], asked[asked.any(axis=1)]
     columns = np.flatnonzero(asked.any(axis=0))
     if not len(rows):
         return []
@@ -140,83 +160,93 @@ def _shared(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, width
     return out
 
 
-def in_cells(p: DataFrame, sets: DataFrame, num: int, den: int, head: int = 0, least: int = 0, unpack: Callable = as_words) -> DataFrame:
-    """Links (a, b) between components of the postings p (key, item, comp, n, bytes), without their pairs as rows.
+def in_cells(p: DataFrame, sets: DataFrame, num: int, den: int, head: int = 0, least: int = 0, unpack: Callable = as_words, width: int = BITS) -> DataFrame:
+    """Links (a, b) between components of the postings p (key, item, comp and SKETCH's columns), without their pairs as rows.
 
-    A key's members are dealt into blocks of about BLOCK members and BLOCK_BYTES of sets; every two blocks
-    meet in a cell (a key with one block is one cell), where one task counts all intersections as matrix products. A
-    member goes to as many cells as its key has blocks, less one. All pairs are judged, by the same rule as in `confirmed`.
+    The members of a key outside its largest component (others) are dealt into blocks of about BLOCK members and
+    BLOCK_BYTES of sets, and so are those inside. Every two blocks of others meet in a cell, and every block of others meets every block
+    of the largest component; there one task counts all intersections as matrix products. Members of the largest
+    component need no comparison with each other, so with few others a key's members go to one cell each.
+    All pairs of different components are judged, first by their sketches (of `width` bits), then by the same rule as in `confirmed`.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    p = p.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("item", F.lit(5)), "blocks").cast("int"))
-    p = p.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or other <> own")
-    cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = p.select(cell.alias("cell"), "item", "comp").join(sets.select("item", "elems"), "item").select("cell", "item", "comp", "elems")
+    per = p.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    top = per.groupBy("key").agg(F.max(F.struct("n", "comp", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    number = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(8 * size / BLOCK_BYTES)).cast("int")
+    top = top.select("key", F.col("top.comp").alias("most"), number(F.col("top.n"), F.col("top.size")).alias("inside"), number(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("others"))
+    p = p.join(top, "key").withColumn("main", F.col("comp") == F.col("most"))
+    p = p.withColumn("own", F.pmod(F.xxhash64("item", F.lit(5)), F.when(F.col("main"), F.col("inside")).otherwise(F.col("others"))).cast("int"))
+    # a cell is two blocks: of others (from 0 on) or of the largest component (from -1 down)
+    met = F.sequence(F.lit(0), F.col("others") - 1)
+    p = p.withColumn("other", F.explode(F.when(F.col("main"), met).otherwise(F.concat(met, F.transform(F.sequence(F.lit(0), F.col("inside") - 1), lambda i: -1 - i)))))
+    own = F.when(F.col("main"), -1 - F.col("own")).otherwise(F.col("own"))
+    cell = F.xxhash64("key", F.least(own, "other"), F.greatest(own, "other"))
+    dealt = p.select(cell.alias("cell"), "item", "comp", "bits0", "bits1").join(sets.select("item", "elems"), "item").select("cell", "item", "comp", "bits0", "bits1", "elems")
+    most = most_apart(num, den, width)
 
     def cells(batches):
-        now, item, comp, elems = None, [], [], []
+        now, parts = None, []
 
         def judged():
-            if item:
-                for i, j in _between(np.array(comp), elems, num, den, head, least):
-                    yield item[i], item[j]
-
-        def batch(pairs):
-            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in pairs], pa.int64()), pa.array([max(x) for x in pairs], pa.int64())], names=["a", "b"])
+            item, comp, b0, b1 = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            elems = pa.concat_arrays([p[4] for p in parts])
+            found = np.array(_between(comp, np.stack([b0, b1], axis=1), elems, num, den, head, least, unpack, most), np.int64).reshape(-1, 2)
+            x, y = item[found[:, 0]], item[found[:, 1]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
         for x in batches:
             at = x.column(0).to_numpy()
             edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1), len(at)]
             for a, b in zip(edges, edges[1:]):
                 if b > a and at[a] != now:
-                    yield batch(list(judged()))
-                    now, item, comp, elems = at[a], [], [], []
-                item += x.column(1)[a:b].to_pylist()
-                comp += x.column(2)[a:b].to_pylist()
-                elems += unpack(x.column(3)[a:b])
-        yield batch(list(judged()))
+                    if parts:
+                        yield judged()
+                    now, parts = at[a], []
+                parts.append((*(x.column(k).to_numpy()[a:b] for k in range(1, 5)), x.column(5)[a:b]))
+        if parts:
+            yield judged()
 
-    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(cells, "a long, b long")
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(cells), "a long, b long")
 
 
-def link_components(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = 1, sketches: DataFrame | None = None, screen: str = "true", cells: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link_components(postings: DataFrame, sketches: DataFrame, screen: str, fetch: Callable[[DataFrame], DataFrame], confirm: Callable, cells: Callable | None = None, rounds: int = 1) -> DataFrame:
     """(node, component) of the items that link with another one.
 
-    postings: (key, item); two items may link only if they share a key. confirm keeps the pairs
-    (a, b) that link. Each round compares the
+    postings: (key, item, n), n the key's members, null where a key has many; two items may link only if they share a key.
+    sketches: item and SKETCH's columns; pairs that `screen` rules out aren't made. fetch gives the sets (item, elems) of
+    the items asked for, confirm(pairs, sets) keeps the pairs (a, b) that link.
+
+    Keys of up to PAIRED members make all their pairs. For the others, each round compares the
     members of a key with one pivot and contracts what links, so that a large group of copies
     needs one comparison a member. Then only members of different components under one key are
-    left, and all of those pairs are compared: no link between components is lost. With sketches
-    (item and SKETCH's columns), the pairs that `screen` rules out aren't made. With `cells` (see in_cells),
-    keys of more than PAIRED members make no pairs at all.
+    left, and all of those pairs are compared, by cells(postings with comp, sets) if given (see in_cells), else as pairs: no link between
+    components is lost.
     """
-    comp = None
-    for r in range(rounds + 1):
-        if comp is None:
-            p = postings.withColumn("comp", F.col("item"))
-        else:
-            p = postings.join(comp, postings["item"] == comp["node"], "left").select("key", "item", F.coalesce("component", "item").alias("comp"))
-        order = F.col("item") if r == 0 else F.xxhash64("item", F.lit(r))
-        live = p.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min(F.struct(order.alias("o"), "item", "comp")).alias("pivot")).where("lo <> hi")
-        large = None
-        if r < rounds:
-            live = live.select("key", F.col("pivot.item").alias("other"), F.col("pivot.comp").alias("other_comp"))
-            met = p.join(live, "key").where("comp <> other_comp")
-        else:
-            p = p.join(live.select("key", "n"), "key")
-            p = written(p if sketches is None else p.join(sketches, "item"), "crossing")
-            if cells:
-                large = p.where(F.col("n") > PAIRED)
-                large = large.join(large.groupBy("key").agg((8 * F.sum("size")).alias("bytes")), "key").select("key", "item", "comp", "n", "bytes")
-                p = p.where(F.col("n") <= PAIRED)
-            p = p.drop("n")
-            met = p.join(p.select("key", *(F.col(c).alias("other" if c == "item" else f"other_{c}") for c in p.columns if c != "key")), "key").where(f"comp < other_comp and {screen}")
-        pairs = met.select(F.least("item", "other").alias("a"), F.greatest("item", "other").alias("b")).distinct()
-        new = confirm(pairs)
-        new = written(new if large is None else new.union(cells(large)), "links")
-        if r and new.isEmpty():
-            continue
-        # components so far are stars, so they stand for all links that made them
-        links = new if comp is None else new.union(comp.where("node <> component").select("node", "component"))
-        comp = written(connected_components(links), "components")
-    return comp
+    p = written(postings.join(sketches, "item").select("key", "item", "n", *(c for c in sketches.columns if c != "item")), "posted")
+    sketch_of = [c for c in p.columns if c not in ("key", "n")]
+    twin = lambda df: df.select("key", *(F.col(c).alias("other" if c == "item" else f"other_{c}") for c in sketch_of))
+    small, large = p.where(F.col("n") <= PAIRED).drop("n"), p.where(F.coalesce(F.col("n") > PAIRED, F.lit(True))).drop("n")
+    pairs = small.join(twin(small), "key").where(f"item < other and {screen}").select(F.col("item").alias("a"), F.col("other").alias("b"))
+    for r in range(rounds):
+        pivots = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("item", F.lit(r)).alias("o"), *sketch_of)).alias("x")).select("key", *(f"x.{c}" for c in sketch_of))
+        met = large.join(twin(pivots), "key").where(f"item <> other and {screen}")
+        pairs = pairs.union(met.select(F.least("item", "other").alias("a"), F.greatest("item", "other").alias("b")))
+    pairs = written(pairs.distinct(), "pairs")
+    some = not large.isEmpty()
+    need = pairs.select(F.col("a").alias("item")).union(pairs.select("b"))
+    sets = fetch((need.union(large.select("item")) if some else need).distinct())
+    comp = written(connected_components(written(confirm(pairs, sets), "links")), "components")
+    if not some:
+        return comp
+    q = large.join(comp, large["item"] == comp["node"], "left").withColumn("comp", F.coalesce("component", "item")).drop("node", "component")
+    mixed = q.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    q = written(q.join(mixed, "key"), "crossing")
+    if cells:
+        new = cells(q, sets)
+    else:
+        met = q.join(twin(q).join(q.select("key", F.col("item").alias("other"), F.col("comp").alias("other_comp")), ["key", "other"]), "key").where(f"comp < other_comp and {screen}")
+        new = confirm(met.select(F.least("item", "other").alias("a"), F.greatest("item", "other").alias("b")).distinct(), sets)
+    new = written(new, "links")
+    if new.isEmpty():
+        return comp
+    # components so far are stars, so they stand for all links that made them
+    return written(connected_components(new.union(comp.where("node <> component").select("node", "component"))), "components")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Slice, as_long, lists, mix, slices, spans_hash, written
+from .common import Slice, as_long, lists, mix, slices, spans_hash, written, tidy
 
 CLASSES, ENDINGS = 128, 48  # classes in all; those of rare words. Class 0 is the end token
 CONTEXT, WIDTH, NOISE, BATCH, RATE = 4, 16, 32, 4096, 0.2
@@ -153,7 +153,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         if held:
             yield rows(flush())
 
-    return texts.mapInArrow(count, "hash long, ending long, c long").groupBy("hash").agg(F.min("ending").alias("ending"), F.sum("c").alias("c"))
+    return texts.mapInArrow(tidy(count), "hash long, ending long, c long").groupBy("hash").agg(F.min("ending").alias("ending"), F.sum("c").alias("c"))
 
 
 def train(texts: DataFrame, classes: Classes, share: np.ndarray) -> list[np.ndarray]:
@@ -174,7 +174,7 @@ def train(texts: DataFrame, classes: Classes, share: np.ndarray) -> list[np.ndar
             flat = np.concatenate([p.ravel() for p in model.p]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * model.seen), pa.array(np.full(len(flat), float(model.seen)))], names=["i", "x", "w"])
 
-    got = texts.mapInArrow(learn, "i long, x double, w double").groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).toPandas().sort_values("i")
+    got = texts.mapInArrow(tidy(learn), "i long, x double, w double").groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).toPandas().sort_values("i")
     p = start(share)
     if not len(got):
         return p
@@ -265,7 +265,7 @@ def score_documents(docs: DataFrame, held_out: str = "pmod(crc32(coalesce(cast(d
                 )
                 done += s.n
 
-    scored = written(rows.select("doc_id", "text", "held_out").mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, far array<long>, times array<long>"), "scored")
+    scored = written(rows.select("doc_id", "text", "held_out").mapInArrow(tidy(score), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, far array<long>, times array<long>"), "scored")
     # a word of an ending class that isn't frequent adds the same log count to both scores
     far = scored.select("row", F.explode(F.arrays_zip("far", "times")).alias("x")).select("row", F.col("x.far").alias("hash"), F.col("x.times").alias("times"))
     add = far.join(words.where(F.col("c") < floor).select("hash", "c"), "hash", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("times"))).alias("found"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_long, lists, mix, only_maybe, shingles, slices, word_hashes, written
+from .common import as_long, lists, mix, only_maybe, shingles, slices, word_hashes, written, tidy
 from .links import SKETCH, alike, confirmed, in_cells, link_components, sketch, sketch_columns
 
 _seeds = np.random.default_rng(71)
@@ -60,7 +60,7 @@ def set_signatures(docs: DataFrame, n: int, k: int) -> DataFrame:
             flat = np.concatenate(coords) if coords else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), lists(as_long(flat), [len(c) for c in coords], pa.int64())], names=["doc_id", "n_shingles", "item", "coords"])
 
-    return docs.mapInArrow(of, "doc_id long, n_shingles long, item long, coords array<long>")
+    return docs.mapInArrow(tidy(of), "doc_id long, n_shingles long, item long, coords array<long>")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,10 +100,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = 32,
                     sketches.append(sketch(u))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(elems, pa.binary()), *sketch_columns(sketches)], names=["item", "elems", "size", "bits0", "bits1"])
 
-    sets = only_maybe(docs, "doc_id", lows).join(lows.distinct(), F.col("doc_id").eqNullSafe(F.col("low")), "left_semi").mapInArrow(full, f"item long, elems binary, {SKETCH}")
+    sets = only_maybe(docs, "doc_id", lows).join(lows.distinct(), F.col("doc_id").eqNullSafe(F.col("low")), "left_semi").mapInArrow(tidy(full), f"item long, elems binary, {SKETCH}")
     sets = written(sets.join(live, "item", "left_semi").dropDuplicates(["item"]), "sets")
 
-    comp = link_components(postings, lambda pairs: confirmed(pairs, sets, percent, 100, k, t), sketches=sets.drop("elems"), screen=alike(percent, 100), cells=lambda p: in_cells(p, sets, percent, 100, k, t))
+    members = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    comp = link_components(
+        postings.join(members, "key"), sets.drop("elems"), alike(percent, 100), lambda need: sets.join(need, "item", "left_semi"),
+        lambda pairs, sets: confirmed(pairs, sets, percent, 100, k, t), lambda p, sets: in_cells(p, sets, percent, 100, k, t),
+    )
     whole = firsts.join(comp, firsts["item"] == comp["node"], "left").select("item", "low", F.coalesce("component", "item").alias("component"))
     least = whole.groupBy("component").agg(F.min("low").alias("component_id"))
     named = whole.join(least, "component").select("item", "component_id")

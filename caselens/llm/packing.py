@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Slice, slices, spans_hash, written
+from .common import Slice, slices, spans_hash, written, tidy
 
 END = 2
 ROUND_ROWS = 8192  # items that a task of the first round packs, about
@@ -32,7 +32,7 @@ class ChunkTokenizer:
     tokenizer's pattern always starts a new pre-token, so a text's ids are its chunks' ids.
     """
 
-    MOST = 1_500_000
+    MOST, RECENT = 300_000, 1 << 15  # chunks kept, and those of them that are sorted in at each slice
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,8 +42,33 @@ class ChunkTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.known, self.recent = none, none
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each chunk's ids start, -1 for a new one, and how many they are."""
+        at, size = np.full(len(h), -1), np.zeros(len(h), np.int64)
+        for hashes, a, n in (self.known, self.recent):
+            if len(hashes):
+                k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                hit = hashes[k] == h
+                at[hit], size[hit] = a[k[hit]], n[k[hit]]
+        return at, size
+
+    def add(self, h: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        def merged(x, y):
+            both = [np.concatenate(c) for c in zip(x, y)]
+            order = np.argsort(both[0], kind="stable")
+            return tuple(c[order] for c in both)
+
+        self.recent = merged(self.recent, (h, self.used + np.cumsum(size) - size, size))
+        if len(self.recent[0]) > self.RECENT:
+            self.known, self.recent = merged(self.known, self.recent), tuple(c[:0] for c in self.recent)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros(len(self.ids), np.uint32))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     @staticmethod
     def starts(s: Slice) -> np.ndarray:
@@ -69,26 +94,21 @@ class ChunkTokenizer:
         a = self.starts(s)
         b = np.append(a[1:], len(s.data))
         h, first, inverse = np.unique(spans_hash(s.sums(), a, b), return_index=True, return_inverse=True)
-        k = np.searchsorted(self.hashes, h)
-        known = np.zeros(len(h), bool)
-        known[k < len(self.hashes)] = self.hashes[k[k < len(self.hashes)]] == h[k < len(self.hashes)]
-        new = np.flatnonzero(~known)
+        at, size = self.find(h)
+        new = np.flatnonzero(at < 0)
         if len(new):
-            if len(self.hashes) + len(new) > self.MOST:
+            if len(self.known[0]) + len(self.recent[0]) + len(new) > self.MOST:
                 self.forget()
                 new = np.arange(len(h))
             raw = s.data.tobytes()
-            texts = [raw[a[i] : b[i]].decode() for i in first[new]]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            ids = np.fromiter((x for g in got for x in g), np.uint32, int(size.sum()))
-            at = len(self.ids) + np.cumsum(size) - size
-            hashes = np.concatenate([self.hashes, h[new]])
-            order = np.argsort(hashes, kind="stable")
-            self.hashes, self.at, self.size = hashes[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
-            self.ids = np.concatenate([self.ids, ids])
-            k = np.searchsorted(self.hashes, h)
-        at, size = self.at[k][inverse], self.size[k][inverse]
+            found, own = [], np.zeros(len(new), np.int64)
+            for k in range(0, len(new), 2000):  # what the tokenizer returns is large
+                got = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a[i] : b[i]].decode() for i in first[new[k : k + 2000]]], add_special_tokens=False)]
+                own[k : k + 2000] = [len(g) for g in got]
+                found.append(np.fromiter((x for g in got for x in g), np.uint32, int(own[k : k + 2000].sum())))
+            self.add(h[new], own, np.concatenate(found))
+            at, size = self.find(h)
+        at, size = at[inverse], size[inverse]
         ends = np.cumsum(size)
         ids = self.ids[np.repeat(at - (ends - size), size) + np.arange(ends[-1])]
         before = np.append(0, ends)
@@ -188,14 +208,14 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 102
             cols = list(zip(*got)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64())))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    found = written(docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    found = written(docs.mapInArrow(tidy(cut), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     member = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
     done = [found.where(F.col("length") == whole).select(F.lit(0).alias("round"), F.monotonically_increasing_id().alias("bin"), F.array(member).alias("members"))]
     items = found.where(F.col("length") < whole).select(F.col("length").alias("size"), F.array(member).alias("members"))
     n, k = max(1, -(-items.count() // ROUND_ROWS)), 0
     while True:
         k += 1
-        out = written(items.repartition(n).mapInArrow(_packed(capacity, full, n == 1, most), f"done boolean, bin long, size long, members {MEMBERS}"), f"bins{k}")
+        out = written(items.repartition(n).mapInArrow(tidy(_packed(capacity, full, n == 1, most)), f"done boolean, bin long, size long, members {MEMBERS}"), f"bins{k}")
         done.append(out.where("done").select(F.lit(k).alias("round"), "bin", "members"))
         items = out.where("not done").select("size", "members")
         if n == 1:

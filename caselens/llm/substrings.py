@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Slice, as_long, mix, only_maybe, slices, spans_hash, written
+from .common import Slice, as_long, mix, only_maybe, slices, spans_hash, written, tidy
 
 COVER = 64  # the difference cover's modulus
 GRAM = 50
-SEGMENT = 4 << 20  # longer texts are read in segments that overlap by a window
-BUCKET = 4096  # contexts sorted together; larger buckets are split and merged by counts
+SEGMENT = 1 << 20  # longer texts are read in segments that overlap by a window
+BUCKET = 4096  # contexts of a bucket; larger ones are split by what stands around the anchor
+LARGE = 8192  # contexts sorted together after that
+RANGES = 8  # into which the places of an anchor in its windows are divided at a time
 
 
 @cache
@@ -134,7 +136,7 @@ def sort_buckets(bucket: np.ndarray, lead: np.ndarray, count: np.ndarray, texts:
     at = base[c] + k
     pick = cover[at % v]
     c, k, at = c[pick], k[pick], at[pick]
-    sample = np.zeros(len(text), np.int64)
+    sample = np.zeros(len(text), np.int32)
     place = lambda c, k: bucket[c] * (1 << 20) + (k - lead[c] + (1 << 19))  # noqa: E731  which suffixes can meet
     sample[at] = refined(text, at, ranked(place(c, k)), length - v)
 
@@ -163,7 +165,7 @@ def _repeated(length: int):
     def work(batches):
         held: list[tuple] = []
         for x in batches:
-            held += zip(*(x.column(i).to_pylist() for i in range(6)))
+            held += zip(*(x.column(i).to_pylist() for i in range(7)))
             if sum(len(h[5]) for h in held) > 2 << 20:
                 cut = max((i for i in range(1, len(held)) if held[i][:2] != held[i - 1][:2]), default=0)
                 if cut:
@@ -182,7 +184,7 @@ def _repeated(length: int):
             i = j
 
     def of(rows):
-        rows = list({r[2]: r for r in rows}.values())  # a context once
+        rows = list({r[:3]: r for r in rows}.values())  # a context once
         ids = {k: i for i, k in enumerate(dict.fromkeys(r[:2] for r in rows))}
         texts = [np.frombuffer(r[5], np.uint8) for r in rows]
         ch = np.array([r[2] for r in rows], np.int64)
@@ -194,13 +196,14 @@ def _repeated(length: int):
         edge = same & ~np.append(False, same[:-1] & (c[1:] == c[:-1]))
         stop = same & ~np.append(same[1:] & (c[1:] == c[:-1]), False)
         a, b = np.flatnonzero(edge), np.flatnonzero(stop)
+        k += np.array([r[6] for r in rows])[c]
         out = [ch[c[a]], k[a], k[b], np.full(len(a), None, object)]
         hot = np.flatnonzero(split[c])
         if len(hot):
             one = hot[np.unique(np.where(rank[hot] >= 0, rank[hot], -1 - hot), return_index=True)[1]]
             bytes_ = np.concatenate(texts)
             s = Slice(bytes_, np.append(0, np.cumsum([len(t) for t in texts])), 0)
-            at = s.offsets[c[one]] + k[one]
+            at = s.offsets[c[one]] + k[one] - np.array([r[6] for r in rows])[c[one]]
             h = as_long(spans_hash(s.sums(), at, at + length))
             out = [np.concatenate(z) for z in zip(out, (ch[c[one]], k[one], k[one], h.astype(object)))]
         return pa.RecordBatch.from_arrays([pa.array(z, t) for z, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["ch", "first", "last", "window"])
@@ -208,6 +211,47 @@ def _repeated(length: int):
     return work
 
 
+def _narrowed(length: int):
+    """Each context as up to RANGES ones: by where in its windows the anchor stands, and by the bytes that all windows of such a range hold.
+
+    Equal windows have their anchor at one place and hold equal bytes, so they stay in one bucket; contexts that only
+    share the bytes near their anchor part.
+    """
+
+    def work(batches):
+        for x in batches:
+            out: list[tuple] = []
+            for bucket, ch, lead, n, bytes_, skip, lo, hi in zip(*(c.to_pylist() for c in x.columns)):
+                edges = [lo + (hi + 1 - lo) * i // RANGES for i in range(RANGES + 1)]
+                for p, q in zip(edges, edges[1:]):
+                    first, last = max(0, lead - q + 1), min(n - 1, lead - p)
+                    if p < q and first <= last:
+                        core = bytes_[lead - p : lead - q + 1 + length]
+                        own = hashlib.blake2b(core, digest_size=8, salt=bucket.to_bytes(8, "little", signed=True), person=p.to_bytes(4, "little"))
+                        out.append((int.from_bytes(own.digest(), "little", signed=True), ch, lead - first, last - first + 1, bytes_[first : last + length], skip + first, p, q - 1))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(_TYPES)], names=_NAMES)
+
+    return work
+
+
+CONTEXT = "bucket long, ch long, lead int, n int, bytes binary, skip int, lo int, hi int"
+_NAMES = [c.split()[0] for c in CONTEXT.split(", ")]
+_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
+
+
+def _cut(length: int):
+    """The contexts' bytes, from (text, list of contexts)."""
+
+    def work(batches):
+        for x in batches:
+            for i in range(x.num_rows):
+                raw, c = x.column(0)[i].as_py().encode(), x.column(1)[i].as_py()
+                cols = [[y["bucket"] for y in c], [y["ch"] for y in c], [y["at"] - y["first"] for y in c], [y["last"] - y["first"] + 1 for y in c], [raw[y["first"] : y["last"] + length] for y in c], [0] * len(c), [0] * len(c), [length - GRAM] * len(c)]
+                yield pa.RecordBatch.from_arrays([pa.array(z, t) for z, t in zip(cols, _TYPES)], names=_NAMES)
+
+    return work
+
+
 def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
     """(tk, a, b): byte ranges [a, b) of the text named tk that repeated windows cover.
 
@@ -220,27 +264,35 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
                 row, at, first, last, g, whole = contexts(s, length)
                 yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(row + s.first)), *(pa.array(z + skip, pa.int32()) for z in (at, first, last)), pa.array(as_long(g)), pa.array(as_long(whole))], names=["tk", "at", "first", "last", "bucket", "ch"])
 
-    found = written(texts.mapInArrow(find, "tk long, at int, first int, last int, bucket long, ch long"), "contexts")
+    found = written(texts.mapInArrow(tidy(find), "tk long, at int, first int, last int, bucket long, ch long"), "contexts")
     distinct = written(found.groupBy("ch").agg(F.count("*").alias("n"), F.first("bucket").alias("bucket"), F.min(F.struct("tk", "at", "first", "last")).alias("x")).select("ch", "n", "bucket", "x.*"), "distinct")
     twice = found.join(distinct.where("n > 1").select("ch"), "ch", "left_semi").select("tk", F.col("first").alias("a"), (F.col("last") + length).alias("b")).distinct()
 
     several = distinct.groupBy("bucket").agg(F.count("*").alias("m"), F.min("n").alias("rarest")).where("m > 1 and rarest = 1")
-    split = F.when(F.col("m") > BUCKET, F.pmod("ch", F.ceil(F.col("m") / BUCKET))).otherwise(F.lit(-1)).cast("long")
-    asked = written(distinct.join(several, "bucket").select("tk", "bucket", split.alias("part"), "ch", "at", "first", "last"), "asked")
-    lists = asked.groupBy("tk").agg(F.collect_list(F.struct("bucket", "part", "ch", "at", "first", "last")).alias("c"))
-    with_text = only_maybe(texts, "tk", asked.select("tk").distinct()).dropDuplicates(["tk"]).join(lists, "tk").select("text", "c")
-
-    def cut(batches):
-        for x in batches:
-            for i in range(x.num_rows):
-                raw = x.column(0)[i].as_py().encode()
-                c = x.column(1)[i].as_py()
-                cols = [[y["bucket"] for y in c], [y["part"] for y in c], [y["ch"] for y in c], [y["at"] - y["first"] for y in c], [y["last"] - y["first"] + 1 for y in c], [raw[y["first"] : y["last"] + length] for y in c]]
-                yield pa.RecordBatch.from_arrays([pa.array(z, t) for z, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "part", "ch", "lead", "n", "bytes"])
-
-    rows = with_text.mapInArrow(cut, "bucket long, part long, ch long, lead int, n int, bytes binary")
-    rows = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    same = written(rows.mapInArrow(_repeated(length), "ch long, first int, last int, window long"), "repeated")
+    asked = written(distinct.join(several, "bucket").select("tk", "bucket", "ch", "at", "first", "last", (F.col("m") > BUCKET).alias("hot")), "asked")
+
+    def rows_of(some):
+        lists = some.groupBy("tk").agg(F.collect_list(F.struct("bucket", "ch", "at", "first", "last")).alias("c"))
+        return only_maybe(texts, "tk", some.select("tk").distinct()).dropDuplicates(["tk"]).join(lists, "tk").select("text", "c").mapInArrow(tidy(_cut(length)), CONTEXT)
+
+    rows = rows_of(asked.where("not hot")).withColumn("part", F.lit(-1).cast("long"))
+    if not asked.where("hot").isEmpty():
+        hot, width = rows_of(asked.where("hot")), length - GRAM + 1
+        while True:
+            hot, width = written(hot.mapInArrow(tidy(_narrowed(length)), CONTEXT), "narrowed"), -(-width // RANGES)
+            large = hot.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > LARGE)
+            if large.isEmpty():
+                rows = rows.unionByName(hot.withColumn("part", F.lit(-1).cast("long")))
+                break
+            rows = rows.unionByName(hot.join(large, "bucket", "left_anti").withColumn("part", F.lit(-1).cast("long")))
+            hot = hot.join(large, "bucket")
+            if width <= RANGES:
+                # contexts that share all but a few bytes: parts are sorted, and what they have in common is met by its hash
+                rows = rows.unionByName(hot.withColumn("part", F.pmod(F.xxhash64("ch"), F.ceil(F.col("m") / LARGE)).cast("long")).drop("m"))
+                break
+            hot = hot.drop("m")
+    rows = rows.select("bucket", "part", "ch", "lead", "n", "bytes", "skip").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    same = written(rows.mapInArrow(tidy(_repeated(length)), "ch long, first int, last int, window long"), "repeated")
     # parts of one split bucket meet here: windows of two parts that have the same hash
     hot = same.where("window is not null")
     across = hot.join(hot.groupBy("window").agg(F.count("*").alias("k")).where("k > 1"), "window", "left_semi")
@@ -252,11 +304,11 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept.
+    """One row for each input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text, kept.
 
     Each byte goes that lies in a string of `length` UTF-8 bytes which starts at another place of
     any text as well; matches don't cross texts and are judged on the input. kept: the bytes left (null
-    if nothing was removed, else binary). Null texts count as empty; shorter ones lose nothing.
+    if nothing was removed, else binary); text: the same as a string, where a character of which a part is gone shows as U+FFFD. Null texts count as empty; shorter ones lose nothing.
     Equal texts are judged together, by a 64-bit hash; repeated and null ids are rows of their own.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -279,12 +331,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                     elif b > end:
                         n, end = n + b - end, b
                 kept = b"".join([*left, raw[end:]])
-                out.append((x.column(0)[i].as_py(), n, spans, hashlib.sha256(kept).hexdigest(), kept))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], names=["tk", "n", "spans", "sha", "kept"])
+                out.append((x.column(0)[i].as_py(), n, spans, hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "replace")))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()))], names=["tk", "n", "spans", "sha", "kept", "left"])
 
-    cut = hit.mapInArrow(strip, "tk long, n long, spans long, sha string, kept binary")
-    every = rows.select("doc_id", F.xxhash64("text").alias("tk"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("own"))
-    return every.join(cut, "tk", "left").select("doc_id", "n_bytes", F.coalesce("n", F.lit(0)).alias("n_removed"), F.coalesce("spans", F.lit(0)).alias("n_spans"), F.coalesce("sha", "own").alias("kept_sha256"), "kept")
+    cut = hit.mapInArrow(tidy(strip), "tk long, n long, spans long, sha string, kept binary, left string")
+    every = rows.select("doc_id", "text", F.xxhash64("text").alias("tk"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("own"))
+    return every.join(cut, "tk", "left").select("doc_id", "n_bytes", F.coalesce("n", F.lit(0)).alias("n_removed"), F.coalesce("spans", F.lit(0)).alias("n_spans"), F.coalesce("sha", "own").alias("kept_sha256"), F.coalesce("left", "text").alias("text"), "kept")
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Slice, lists, slices, spans_hash, written
+from .common import Slice, lists, slices, spans_hash, written, tidy
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6, 7)  # in bytes
@@ -61,6 +61,20 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - z[:, None], -40, 40)))
 
 
+ROWS = 500  # rows that a fitting task holds features and slopes of at once
+
+
+def _some_rows(batches):
+    for x in batches:
+        for i in range(0, x.num_rows, ROWS):
+            yield x.slice(i, ROWS)
+
+
+def _lists(c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of a (sliced) list column."""
+    return c.flatten().to_numpy(), np.diff(c.offsets.to_numpy())
+
+
 def scales(sample: DataFrame, rate: float) -> np.ndarray:
     """How many standard deviations each feature's rows above grade 0 are off what chance gives; 0 for features of fewer than two rows.
 
@@ -69,14 +83,14 @@ def scales(sample: DataFrame, rate: float) -> np.ndarray:
 
     def count(batches):
         seen, bad = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for x in batches:
-            flat, size = x.column(1).flatten().to_numpy(), np.diff(x.column(1).offsets.to_numpy())
-            seen += np.bincount(flat, minlength=BUCKETS)
-            bad += np.bincount(flat[np.repeat(x.column(0).to_numpy() > 0, size)], minlength=BUCKETS)
+        for x in _some_rows(batches):
+            flat, size = _lists(x.column(1))
+            np.add.at(seen, flat, 1)
+            np.add.at(bad, flat[np.repeat(x.column(0).to_numpy() > 0, size)], 1)
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some]), pa.array(bad[some])], names=["f", "seen", "bad"])
 
-    n = sample.mapInArrow(count, "f long, seen long, bad long").groupBy("f").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).where("seen > 1")
+    n = sample.mapInArrow(tidy(count), "f long, seen long, bad long").groupBy("f").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).where("seen > 1")
     got = n.select("f", (F.abs(F.col("bad") - F.col("seen") * rate) / F.sqrt(F.col("seen") * (rate * (1 - rate)) + 1)).cast("float").alias("scale")).toArrow()
     out = np.zeros(BUCKETS, np.float32)
     out[got.column("f").to_numpy()] = got.column("scale").to_numpy()
@@ -136,7 +150,7 @@ def fit(sample: DataFrame, scale: np.ndarray, n: int, cuts: np.ndarray, tasks: i
         scale, w = scale_held.value, held.value[0]
 
         def of(x):
-            flat, size = x.column(1).flatten().to_numpy(), np.diff(x.column(1).offsets.to_numpy())
+            flat, size = _lists(x.column(1))
             row, v = np.repeat(np.arange(len(size)), size), scale[flat].astype(np.float64)
             v /= np.sqrt(np.maximum(np.bincount(row, v * v, len(size)), 1e-12))[row]
             return np.maximum(x.column(0).to_numpy(), 0), row, flat, v, np.bincount(row, w[flat] * v, len(size))
@@ -153,15 +167,15 @@ def fit(sample: DataFrame, scale: np.ndarray, n: int, cuts: np.ndarray, tasks: i
 
         def slopes(batches):
             of, value, g, gc = rows(held), 0.0, np.zeros(BUCKETS), np.zeros(k)
-            for x in batches:
+            for x in _some_rows(batches):
                 grades, row, flat, v, z = of(x)
                 one, dz, dc = likelihood(z, held.value[1], grades)
                 value, gc = value + one, gc + dc
-                g += np.bincount(flat, dz[row] * v, BUCKETS)
+                np.add.at(g, flat, dz[row] * v)
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[value], gc]).tobytes()]), pa.array([g[scale_held.value != 0].astype(np.float32).tobytes()])], names=["cuts", "weights"])
 
         value, g = 0.5e-4 * float(((p[-k:] - cuts) ** 2).sum()) + penalty / 2 * float(p[:-k] @ p[:-k]), np.concatenate([penalty * p[:-k], 1e-4 * (p[-k:] - cuts)])
-        for r in sample.mapInArrow(slopes, "cuts binary, weights binary").toArrow().to_pylist():
+        for r in sample.mapInArrow(tidy(slopes), "cuts binary, weights binary").toArrow().to_pylist():
             c = np.frombuffer(r["cuts"])
             value += c[0] / n
             g[-k:] += c[1:] / n
@@ -174,12 +188,12 @@ def fit(sample: DataFrame, scale: np.ndarray, n: int, cuts: np.ndarray, tasks: i
 
     def scored(batches):
         of = rows(held)
-        for x in batches:
+        for x in _some_rows(batches):
             grades, _, _, _, z = of(x)
             yield pa.RecordBatch.from_arrays([pa.array(grades > 0), pa.array(z)], names=["bad", "z"])
 
     model = OrdinalModel(held.value[0] * scale, scale, np.maximum.accumulate(p[-k:]))
-    got = sample.mapInArrow(scored, "bad boolean, z double").toArrow()
+    got = sample.mapInArrow(tidy(scored), "bad boolean, z double").toArrow()
     model.reject = best_cut(model.above(got.column("z").to_numpy())[:, 0], np.array(got.column("bad").to_pylist(), bool))
     return model
 
@@ -198,7 +212,7 @@ def train(docs: DataFrame, graded: DataFrame, rows: int = TRAIN_ROWS, grades: in
     graded: (doc_id, grade); rows without id or grade don't count. Of several rows for one id the highest grade holds.
     """
     sample = graded.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    held = written(docs.join(F.broadcast(sample), "doc_id").select(F.least("grade", F.lit(grades - 1)).cast("int").alias("grade"), "text").mapInArrow(_sets, "grade int, words array<int>"), "graded")
+    held = written(docs.join(F.broadcast(sample), "doc_id").select(F.least("grade", F.lit(grades - 1)).cast("int").alias("grade"), "text").mapInArrow(tidy(_sets), "grade int, words array<int>"), "graded")
     n, bad = held.agg(F.count("*"), F.count_if(F.col("grade") > 0)).first()
     # cuts from smoothed shares, so that a grade without rows keeps a finite one
     above = held.agg(*(F.count_if(F.col("grade") > j) for j in range(grades - 1))).first()
@@ -241,7 +255,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([*x.columns, pa.array(p.sum(axis=1)), pa.array(mass.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0] > m.reject)], names=[*x.schema.names, "expected_severity", "grade", "toxic"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{schema}, expected_severity double, grade int, toxic boolean")
+    return docs.mapInArrow(tidy(run), f"{schema}, expected_severity double, grade int, toxic boolean")
 
 
 def model_for(spark: SparkSession, docs: DataFrame, sf_dir: str) -> OrdinalModel:

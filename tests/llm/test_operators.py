@@ -9,6 +9,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions
 
 from caselens.llm import common, decontaminate, fingerprints, licenses, line_dedup, links, lm_scores, near_dups, packing, substrings, toxicity, url_filters
 
@@ -99,8 +100,10 @@ def test_cells(spark, monkeypatch, head):
         return 10 * same >= 8 * (len(sets[a]) + len(sets[b]) - same) and (elems[a][:head] == elems[b][:head]).all()
 
     want = components(list(range(60)), link)
-    for cells in (lambda p: links.in_cells(p, found, 8, 10, head, head), None):
-        got = {x.node: x.component for x in links.link_components(postings, lambda q: links.confirmed(q, found, 8, 10, head, head), rounds=0, sketches=found.drop("elems"), cells=cells).collect()}
+    monkeypatch.setattr(links, "PAIRED", 4)
+    posted = postings.withColumn("n", functions.lit(60))
+    for rounds, cells in ((0, lambda p, found: links.in_cells(p, found, 8, 10, head, head)), (1, lambda p, found: links.in_cells(p, found, 8, 10, head, head)), (0, None), (1, None)):
+        got = {x.node: x.component for x in links.link_components(posted, found.drop("elems"), "true", lambda need: found, lambda q, sets: links.confirmed(q, sets, 8, 10, head, head), cells, rounds).collect()}
         assert [got.get(i, i) for i in range(60)] == want
 
 
@@ -140,6 +143,7 @@ def test_lines_of():
 @pytest.mark.parametrize("bucket", [4096, 2])
 def test_substrings(docs, none, monkeypatch, bucket):
     monkeypatch.setattr(substrings, "BUCKET", bucket)
+    monkeypatch.setattr(substrings, "LARGE", bucket)
     raw = [(t or "").encode() for _, t in TEXTS]
     n = Counter(t[i : i + 400] for t in raw for i in range(len(t) - 399))
     want = []
@@ -155,6 +159,22 @@ def test_substrings(docs, none, monkeypatch, bucket):
     assert substrings.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("large", [8192, 3])
+def test_substrings_of_long_texts(spark, monkeypatch, large):
+    """A text of several segments, a passage that many texts share, and its edges, where contexts share most of their bytes."""
+    monkeypatch.setattr(substrings, "BUCKET", 3)
+    monkeypatch.setattr(substrings, "LARGE", large)
+    r = np.random.default_rng(12)
+    letters = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    long, passage = letters(5 << 20), letters(700)
+    cut = (1 << 20) - 300
+    texts = [long[:3000000] + long[cut : cut + 900] + long[3000000:]] + ["A" + letters(299) + chr(97 + i) + "Q" + passage + "Q" + chr(97 + i) + letters(299) + "B" for i in range(12)] + ["a" * 600_000, "b" * 401, "short", None, ""]
+    want = [(0, 1800, 2)] + [(i, 702, 1) for i in range(1, 13)] + [(13, 600_000, 1), (14, 401, 1), (15, 0, 0), (16, 0, 0), (17, 0, 0)]
+    got = substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    assert sorted((x.doc_id, x.n_removed, x.n_spans) for x in got) == want
+    assert {x.doc_id: x.text for x in got}[15] == "short" and all(len(x.text) == 602 for x in got if 0 < x.doc_id < 13)
+
+
 def test_difference_cover():
     for v in (8, 64):
         d = substrings.difference_cover(v)
