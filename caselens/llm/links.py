@@ -86,7 +86,8 @@ def alike(num: int, den: int, bits: int = BITS, sizes: bool = True) -> str:
     return f"{den} * least(size, other_size) >= {num} * greatest(size, other_size) and {same}" if sizes else same
 
 
-PAIRED = 32  # members of a key up to which their pairs are made as rows
+PAIRED = 32  # members of a key up to which all their pairs are met at once
+CROSSED = 4096  # and up to which, after a pivot round, pairs of different components are met by a join; beyond it, in cells
 BLOCK, BLOCK_BYTES = 1024, 1 << 23  # members of a block and bytes of their sets, about
 
 
@@ -218,13 +219,14 @@ def link_components(postings: DataFrame, sketches: DataFrame, screen: str, fetch
     Keys of up to PAIRED members make all their pairs. For the others, each round compares the
     members of a key with one pivot and contracts what links, so that a large group of copies
     needs one comparison a member. Then only members of different components under one key are
-    left, and all of those pairs are compared, by cells(postings with comp, sets) if given (see in_cells), else as pairs: no link between
-    components is lost.
+    left, and all of those pairs are compared, for keys of more than CROSSED members by cells(postings with comp, sets) if given (see
+    in_cells), else by a join: no link between components is lost.
     """
     p = written(postings.join(sketches, "item").select("key", "item", "n", *(c for c in sketches.columns if c != "item")), "posted")
     sketch_of = [c for c in p.columns if c not in ("key", "n")]
     twin = lambda df: df.select("key", *(F.col(c).alias("other" if c == "item" else f"other_{c}") for c in sketch_of))
-    small, large = p.where(F.col("n") <= PAIRED).drop("n"), p.where(F.coalesce(F.col("n") > PAIRED, F.lit(True))).drop("n")
+    wide = F.coalesce(F.col("n") > CROSSED, F.lit(True))
+    small, large = p.where(F.col("n") <= PAIRED).drop("n"), p.where(F.coalesce(F.col("n") > PAIRED, F.lit(True))).withColumn("wide", wide if cells else F.lit(False)).drop("n")
     pairs = small.join(twin(small), "key").where(f"item < other and {screen}").select(F.col("item").alias("a"), F.col("other").alias("b"))
     for r in range(rounds):
         pivots = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("item", F.lit(r)).alias("o"), *sketch_of)).alias("x")).select("key", *(f"x.{c}" for c in sketch_of))
@@ -233,18 +235,23 @@ def link_components(postings: DataFrame, sketches: DataFrame, screen: str, fetch
     pairs = written(pairs.distinct(), "pairs")
     some = not large.isEmpty()
     need = pairs.select(F.col("a").alias("item")).union(pairs.select("b"))
-    sets = fetch((need.union(large.select("item")) if some else need).distinct())
+    sets = fetch((need.union(large.where("wide").select("item")) if some else need).distinct())
     comp = written(connected_components(written(confirm(pairs, sets), "links")), "components")
     if not some:
         return comp
     q = large.join(comp, large["item"] == comp["node"], "left").withColumn("comp", F.coalesce("component", "item")).drop("node", "component")
     mixed = q.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     q = written(q.join(mixed, "key"), "crossing")
-    if cells:
-        new = cells(q, sets)
-    else:
-        met = q.join(twin(q).join(q.select("key", F.col("item").alias("other"), F.col("comp").alias("other_comp")), ["key", "other"]), "key").where(f"comp < other_comp and {screen}")
-        new = confirm(met.select(F.least("item", "other").alias("a"), F.greatest("item", "other").alias("b")).distinct(), sets)
+    joined = q.where("not wide")
+    right = joined.select("key", F.col("comp").alias("other_comp"), *(F.col(c).alias("other" if c == "item" else f"other_{c}") for c in sketch_of))
+    met = joined.join(right, "key").where(f"comp < other_comp and {screen}")
+    met = written(met.select(F.least("item", "other").alias("a"), F.greatest("item", "other").alias("b")).distinct(), "met")
+    new = None if met.isEmpty() else confirm(met, fetch(met.select(F.col("a").alias("item")).union(met.select("b")).distinct()))
+    if cells and not q.where("wide").isEmpty():
+        apart = cells(q.where("wide").drop("wide"), sets)
+        new = apart if new is None else new.union(apart)
+    if new is None:
+        return comp
     new = written(new, "links")
     if new.isEmpty():
         return comp

@@ -101,6 +101,7 @@ def test_cells(spark, monkeypatch, head):
 
     want = components(list(range(60)), link)
     monkeypatch.setattr(links, "PAIRED", 4)
+    monkeypatch.setattr(links, "CROSSED", 50)
     posted = postings.withColumn("n", functions.lit(60))
     for rounds, cells in ((0, lambda p, found: links.in_cells(p, found, 8, 10, head, head)), (1, lambda p, found: links.in_cells(p, found, 8, 10, head, head)), (0, None), (1, None)):
         got = {x.node: x.component for x in links.link_components(posted, found.drop("elems"), "true", lambda need: found, lambda q, sets: links.confirmed(q, sets, 8, 10, head, head), cells, rounds).collect()}
