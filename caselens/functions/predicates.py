@@ -29,22 +29,35 @@ def modality(name: Column) -> Column:
     return F.split_part(name, F.lit("__"), F.lit(1))
 
 
+#: How the gaps of a family are filled.
+POLICIES = {
+    "continuous_resource": "interpolate", "workload_signal": "interpolate", "latency_signal": "interpolate", "trace_latency": "interpolate",
+    "disk_activity": "zero", "error_signal": "zero", "log_count": "zero", "trace_error": "zero",
+}
+#: Endings of gauges, and patterns of log templates; a lifecycle pattern goes before an error one.
+GAUGES = ("_cpu", "_mem", "_socket")
+LIFECYCLE = "(?i)initializing|listening on port|profil(er|ing) disabled|tracing enabled|stats enabled|catalog address|env platform|metadata server"
+FAILURE = "(?i)error|fail|exception|unavailable|deadline|timeout|refused|panic|raise|statuscode"
+
+
 def feature_family(name: Column) -> Column:
-    low = F.lower(name)
-    return (
-        F.when(low.startswith("log__"), "log_count").when(low.startswith("trace_latency__"), "latency").when(low.startswith("trace_error__"), "error_count")
-        .when(low.startswith("metric__") & low.endswith("_error"), "error_count").when(low.startswith("metric__") & low.endswith("_cpu"), "resource")
-        .otherwise(F.raise_error(F.concat(F.lit("unknown column "), name)))
-    )
+    """The family of a column by its modality, and of a metric by the end of its name; any other column fails."""
+    kind, rest = modality(name), F.lower(F.regexp_extract(name, "^.*?__(.*)$", 1))
+    gauge = F.lit(False)
+    for end in GAUGES:
+        gauge = gauge | rest.endswith(end)
+    metric = F.when(gauge, "continuous_resource").when(rest.endswith("_diskio"), "disk_activity").when(rest.endswith("_error"), "error_signal").when(rest.endswith("_workload"), "workload_signal").when(rest.contains("latency"), "latency_signal")
+    family = F.when(kind == "log", "log_count").when(kind.isin("trace_latency", "trace_error"), kind).when(kind == "metric", metric)
+    return F.when(family.isNull(), F.raise_error(F.concat(F.lit("unknown column "), name))).otherwise(family)
 
 
 def fill_policy(family: Column) -> Column:
-    return F.when(family.isin("log_count", "error_count"), "zero").otherwise("interpolate")
+    return F.when(family.isin(*(k for k, v in POLICIES.items() if v == "zero")), "zero").otherwise("interpolate")
 
 
 def template_category(t: Column) -> Column:
-    """Ordered patterns: lifecycle before error, else routine."""
-    return F.when(t.rlike("(?i)initializ|starting|started|shutdown|listening"), "lifecycle").when(t.rlike("(?i)error|fail|exception|unavailable|timeout"), "error").otherwise("routine")
+    """lifecycle before error, else routine."""
+    return F.when(t.rlike(LIFECYCLE), "lifecycle").when(t.rlike(FAILURE), "error").otherwise("routine")
 
 
 def log_column_parts(name: Column) -> tuple[Column, Column]:

@@ -28,6 +28,7 @@ class Data:
 
     runs = property(lambda d: S.runs(d.spark))
     samples = property(lambda d: S.samples(d.spark, d.sf_dir))
+    injections = property(lambda d: S.span_injections(d.spark))
     spans = property(lambda d: T.typed(S.spans(d.spark, d.sf_dir)))
     windowed = property(lambda d: A.in_window(d.samples, d.runs, GRID))
     aligned = property(lambda d: A.align(d.windowed))
@@ -37,10 +38,12 @@ class Data:
     quality = property(lambda d: Q.timeseries_quality(d.samples, d.runs, GRID.reach))
     structure = property(lambda d: T.structure(d.spans))
     firsts = property(lambda d: T.first_spans(d.spans))
-    volume = property(lambda d: T.call_volume(d.spans))
+    volume = property(lambda d: T.call_volume(d.spans, d.injections))
     long = property(lambda d: A.long_features(d.stats))
     mapped = property(lambda d: X.harmonisation_map(d.aligned, S.clusters(d.spark)))
-    eligible = property(lambda d: Q.eligibility(d.quality, T.range_covered(d.structure), d.runs))
+    eligible = property(lambda d: Q.eligibility(d.quality, T.range_covered(d.structure, d.injections), d.runs))
+    audit = property(lambda d: X.proxy_variance(d.long, d.runs).select("feature_name", F.when(F.col("decision") == "rejected", "rejected").otherwise("passed").alias("audit_status")))
+    manifest = property(lambda d: X.feature_manifest(d.long, d.audit))
     labels = property(lambda d: L.severity_labels(d.runs))
     oof = property(lambda d: L.oof_from_labels(d.spark, d.sf_dir))
 
@@ -70,7 +73,7 @@ _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "agg_feature_statistics": lambda d: rounded(d.stats, "baseline_mean", "incident_max", "delta_mean", "zscore_max", "zscore_mean"),
     "agg_feature_schema": lambda d: rounded(A.feature_schema(d.aligned), "run_coverage"),
     "agg_bin_eligibility": lambda d: A.bin_eligibility(d.windowed, d.runs, GRID),
-    "agg_log_novelty": lambda d: A.log_novelty(d.aligned, d.runs),
+    "agg_log_novelty": lambda d: A.log_novelty(d.mapped, d.runs),
     "agg_constant_features": lambda d: A.constant_features(A.long_features(d.stats)),
     "win_topk_features": lambda d: rounded(A.top_features(d.stats), "zscore_mean"),
     "agg_timeseries_quality": lambda d: d.quality,
@@ -98,7 +101,7 @@ _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "prj_trace_column_service": lambda d: d.samples.where("data_name like 'trace%'").select("column_name").distinct().withColumn("service", X.column_service(F.col("column_name"))),
     "prj_blank_missing": lambda d: d.spans.groupBy("case_no").agg(*(F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in ("trace_id", "span_id", "parent_id"))),
     "jn_cluster_dictionary": lambda d: X.with_templates(d.aligned, S.clusters(d.spark)).groupBy("case_no", "column_name", "template", "category").agg(F.count("*").alias("n")),
-    "jn_window_range": lambda d: T.in_windows(d.spans).groupBy("case_no", "window_type").agg(F.count("*").alias("n")),
+    "jn_window_range": lambda d: T.in_windows(d.spans, d.injections).groupBy("case_no", "window_type").agg(F.count("*").alias("n")),
     "agg_harmonization_map": lambda d: rounded(d.mapped, "baseline_sum", "incident_sum"),
     "agg_template_catalog": lambda d: X.template_catalog(d.mapped),
     "agg_align_quality": lambda d: X.align_quality(d.windowed, d.aligned, GRID),
@@ -114,7 +117,12 @@ _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "ml_relative_features": lambda d: rounded(X.relative_features(d.stats, d.runs), "zscore_max", "zscore_mean"),
     "agg_excluded_runs": lambda d: X.excluded_runs(d.eligible, A.bin_eligibility(d.windowed, d.runs, GRID)),
     "agg_case_consistency": lambda d: X.case_consistency(d.runs, d.aligned, d.spans),
-    "jn_feature_merge": lambda d: rounded(X.merged_features(d.stats, A.log_novelty(d.aligned, d.runs), T.call_volume_change(d.volume)), "largest_z"),
+    "jn_feature_merge": lambda d: rounded(X.merged_features(d.stats, A.log_novelty(d.mapped, d.runs), T.call_volume_change(d.volume)), "largest_z"),
+    "prj_feature_manifest": lambda d: d.manifest,
+    "prj_select_config": lambda d: X.select_configuration(d.long, d.manifest, "E1").groupBy("case_no").agg(F.count("*").alias("feature_count"), F.count("value").alias("value_count")),
+    "jn_case_metadata": lambda d: X.case_metadata(d.runs, d.long),
+    "jn_align_labels": lambda d: X.aligned_labels(d.long, d.labels),
+    "set_group_overlap": lambda d: X.fold_overlap(d.oof),
     "ml_dummy_baseline": lambda d: X.majority_baseline(d.oof),
 }
 #: Queries whose rows come from fixed policy literals alone; they are operators with tests and no queries.

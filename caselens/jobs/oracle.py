@@ -32,8 +32,10 @@ _CTE = {
       case when mx is null or bm is null then null when lo = hi then 100.0 * sign(mx - bm) else greatest(-100.0, least(100.0, (mx - bm) / sd)) end as zscore_max,
       case when im is null or bm is null then null when lo = hi then 100.0 * sign(im - bm) else greatest(-100.0, least(100.0, (im - bm) / sd)) end as zscore_mean from st""",
     "long": "select case_no, column_name || '__baseline_mean' as feature_name, baseline_mean as value from stats union all select case_no, column_name || '__incident_max' as feature_name, incident_max as value from stats union all select case_no, column_name || '__delta_mean' as feature_name, delta_mean as value from stats union all select case_no, column_name || '__zscore_max' as feature_name, zscore_max as value from stats union all select case_no, column_name || '__zscore_mean' as feature_name, zscore_mean as value from stats",
-    "quality": """select s.case_no, data_name, count(*) as row_count, count(distinct column_name) as feature_count, count(*) - count(value) as missing_count, count(ts_us) - count(distinct ts_us) as duplicate_timestamp_count,
-      min(ts_us) as start_us, max(ts_us) as end_us, any_value(inject_s) as inject_s from samples s join runs r on s.case_no = r.case_no group by s.case_no, data_name""",
+    "quality": """select c.case_no, c.data_name, row_count, feature_count, missing_count, duplicate_timestamp_count, start_us, end_us, inject_s from
+      (select case_no, data_name, count(*) as row_count, count(distinct column_name) as feature_count, count(*) - count(value) as missing_count, min(ts_us) as start_us, max(ts_us) as end_us from samples group by all) c
+      join (select case_no, data_name, cast(sum(m - 1) as bigint) as duplicate_timestamp_count from (select case_no, data_name, ts_us, max(n) as m from (select case_no, data_name, column_name, ts_us, count(*) as n from samples group by all) group by all) group by all) t
+      on t.case_no = c.case_no and t.data_name = c.data_name join runs r on r.case_no = c.case_no""",
     "q2": """select case_no, data_name, row_count, feature_count, missing_count, duplicate_timestamp_count, start_us, end_us, inject_s - start_us / 1e6 >= 432000 and end_us / 1e6 - inject_s >= 432000 as window_covered,
       case when missing_count > 0 and duplicate_timestamp_count > 0 then 'missing|duplicates' when missing_count > 0 then 'missing' when duplicate_timestamp_count > 0 then 'duplicates' else 'ok' end as status from quality""",
     "gapped": """select s.*, inject_s, value is null as gap, row_number() over (partition by s.case_no, data_name, column_name order by ts_us, case when value is null then 1 else 0 end) as rn from samples s join runs r on s.case_no = r.case_no""",
@@ -64,10 +66,11 @@ _CTE = {
     "stc": """select *, round(span_count / sum(span_count) over (partition by case_no), 6) as share from (select case_no, scope, service, status_code, status_category, count(*) as span_count, count(distinct trace_id) as trace_count
       from (select *, case when parent_id is null then 'root' else 'child' end as scope, coalesce(cast(status as varchar), '<missing>') as status_code,
       case when status is null then 'missing' when status = 0 then 'zero' else 'nonzero' end as status_category from firsts) group by case_no, scope, service, status_code, status_category)""",
-    "vol": """select case_no, service as caller, callee, count(*) filter (start_us < 899251200000000) as baseline_calls, count(*) filter (start_us >= 899251200000000) as incident_calls from spans
-      where start_us >= 899251200000000 - 31536000000000 and start_us < 899251200000000 + 31536000000000 and service <> callee group by all""",
-    "anom": """select case_no, regexp_extract(column_name, '^trace_latency__(.*)_[^_]+$', 1) as service,
-      coalesce(max(zscore_max) filter (zscore_max > 3 and case when baseline_mean = 0 then incident_max > 0 else incident_max / baseline_mean > 1.5 end), 0.0) as magnitude from stats where column_name like 'trace\\_latency\\_\\_%' escape '\\' group by all""",
+    "vol": """select case_no, service as caller, callee, count(*) filter (start_us < (899251200000000 + case_no * 604800000000)) as baseline_calls, count(*) filter (start_us >= (899251200000000 + case_no * 604800000000)) as incident_calls from spans
+      where start_us >= (899251200000000 + case_no * 604800000000) - 31536000000000 and start_us < (899251200000000 + case_no * 604800000000) + 31536000000000 and service <> callee group by all""",
+    "anom": """select case_no, split_part(column_name, '__', 1) as modality, regexp_extract(column_name, '^trace_[a-z]+__(.*)_[^_]+$', 1) as service,
+      greatest(0.0, coalesce(max(zscore_mean) filter (case when zscore_mean is null then false when baseline_mean = 0 then baseline_mean + delta_mean > 0 else zscore_mean > 3 and (baseline_mean + delta_mean) / baseline_mean > 1.5 end), 0.0)) as magnitude
+      from stats where column_name like 'trace%' group by all""",
     "pol": "select * from (values ('default','svc0','core',3),('default','svc1','edge',1),('flat','svc0','core',1),('flat','svc1','core',1),('reversed','svc0','edge',1),('reversed','svc1','core',3)) t(scheme, service, service_tier, sct)",
     "lab": """select scheme, case_no, case_id, scenario, r.service, fault_type, case fault_type when 'cpu' then 'resource' else 'network' end as fault_category, cast(case fault_type when 'cpu' then 1 else 2 end as bigint) as fcw, service_tier,
       cast(sct as bigint) as sct, cast(case fault_type when 'cpu' then 1 else 2 end * sct as bigint) as severity_score,
@@ -102,7 +105,7 @@ EXTRA_SQL = {
     "prj_trace_column_service": sql("select distinct column_name, case when column_name like '%svc0%' then 'svc0' else 'svc1' end as service from samples where data_name like 'trace%'", "samples"),
     "prj_blank_missing": sql("select case_no, count(*) - count(trace_id) as missing_trace_id, count(*) - count(span_id) as missing_span_id, count(*) - count(parent_id) as missing_parent_id from spans group by case_no", "spans"),
     "jn_cluster_dictionary": sql("select case_no, column_name, template, category, n from maps", "maps"),
-    "jn_window_range": sql("select case_no, case when start_us < 899251200000000 then 'baseline' else 'incident' end as window_type, count(*) as n from spans where start_us >= 899251200000000 - 31536000000000 and start_us < 899251200000000 + 31536000000000 group by all", "spans"),
+    "jn_window_range": sql("select case_no, case when start_us < (899251200000000 + case_no * 604800000000) then 'baseline' else 'incident' end as window_type, count(*) as n from spans where start_us >= (899251200000000 + case_no * 604800000000) - 31536000000000 and start_us < (899251200000000 + case_no * 604800000000) + 31536000000000 group by all", "spans"),
     "agg_harmonization_map": sql("select * exclude (n) replace (round(baseline_sum, 6) as baseline_sum, round(incident_sum, 6) as incident_sum) from maps", "maps"),
     "agg_template_catalog": sql("select template, category, count(distinct case_no) as run_count from maps group by all", "maps"),
     "agg_align_quality": sql("select w.*, observed_bins, incomplete_cells, 40 - observed_bins as missing_bins, source_features * 40 - f as aligned_missing_cells from (select case_no, data_name, count(*) as source_rows, count(distinct column_name) as source_features, count(*) - count(value) as source_missing_cells from win group by all) w join (select case_no, data_name, count(distinct bin_index) as observed_bins, count(*) - count(value) as incomplete_cells, count(value) as f from aligned group by all) a on a.case_no = w.case_no and a.data_name = w.data_name", "aligned"),
@@ -110,15 +113,20 @@ EXTRA_SQL = {
     "agg_run_summaries": sql("select policy, method, count(*) as cell_count from how group by all", "how"),
     "win_edge_fill": sql("select case_no, column_name, bin_index, round(filled, 6) as filled from filled join how using (case_no, column_name, bin_index) where method = 'edge'", "filled", "how"),
     "win_zero_fill": sql("select case_no, column_name, count(*) as n from how where method = 'zero' group by all", "how"),
-    "set_missing_extra": sql("select case_no, column_name from (select distinct case_no from aligned) cross join (select distinct column_name from aligned) except select case_no, column_name from aligned", "aligned"),
+    "set_missing_extra": sql("select c.case_no, count(a.column_name) as column_count, count(*) - count(a.column_name) as missing_count, coalesce(string_agg(n.column_name, '|' order by n.column_name) filter (a.column_name is null), '') as missing_columns from (select distinct case_no from aligned) c cross join (select distinct column_name from aligned) n left join (select distinct case_no, column_name from aligned) a on a.case_no = c.case_no and a.column_name = n.column_name group by c.case_no", "aligned"),
     "set_traces_without_root": sql("select case_no, trace_id from spans group by all having count(*) = count(parent_id)", "spans"),
-    "agg_numeric_quality": sql("select feature_name, count(*) filter (isinf(value)) as infinite_count, count(*) - count(value) as missing_count, count(value) = 0 as all_missing, coalesce(min(value) = max(value), false) as constant from long group by feature_name", "long"),
+    "agg_numeric_quality": sql('select feature_name, count(*) filter (isinf(value)) as infinite_count, (select count(distinct case_no) from stats) - count(value) as missing_count, count(value) = 0 as all_missing, coalesce(min(value) = max(value), false) as constant from long group by feature_name', "long"),
     "agg_proxy_variance": sql("select feature_name, ratio, case when ratio is null then 'constant' when ratio < 0.05 then 'rejected' else 'accepted' end as decision from (select feature_name, case when lo < hi then round(w / v, 6) end as ratio from (select feature_name, var_pop(value) as v, min(value) as lo, max(value) as hi from long group by feature_name) join (select feature_name, avg(v) as w from (select feature_name, service, var_pop(value) as v from long join runs using (case_no) group by all) group by feature_name) using (feature_name))", "long", "runs"),
-    "agg_leakage_audit": sql("select feature_name, ingredient, bool_and(value is not distinct from x) as copies from long join (select case_no, 'fcw' as ingredient, cast(fcw as double) as x from dl union all select case_no, 'sct', sct from dl union all select case_no, 'severity_score', severity_score from dl) using (case_no) group by all", "long", "dl"),
+    "agg_leakage_audit": sql("select feature_name, ingredient, bool_and(value is not distinct from x) and count(*) = (select count(distinct case_no) from stats) as copies from long join (select case_no, 'fcw' as ingredient, cast(fcw as double) as x from dl union all select case_no, 'sct', sct from dl union all select case_no, 'severity_score', severity_score from dl) using (case_no) group by all", "long", "dl"),
     "ml_relative_features": sql("select case_no, service, 'self__' || case when column_name like 'trace%' then split_part(column_name, '__', 1) || '_operation' else replace(column_name, '__' || service, '') end as feature_name, round(max(zscore_max), 6) as zscore_max, round(max(zscore_mean), 6) as zscore_mean from stats join runs using (case_no) where contains(column_name, service) group by all", "stats", "runs"),
-    "agg_excluded_runs": sql("select case_no, 'coverage' as stage, concat_ws('|', case when not sc then 'timeseries_not_covered' end, case when not tc then 'trace_not_covered' end) as reason from (select case_no, bool_and(window_covered) as sc from q2 group by case_no) join (select case_no, start_us <= 899251200000000 - 31536000000000 and end_us >= 899251200000000 + 31536000000000 as tc from struct) using (case_no) where not (sc and tc) union all select case_no, 'bins', string_agg(m, '|' order by m) from (select r.case_no, d || ':' || w as m from runs r cross join (values ('metrics'),('logs'),('trace_latency'),('trace_error')) a(d) cross join (values ('baseline'),('incident')) b(w) left join win on win.case_no = r.case_no and data_name = d and window_type = w group by r.case_no, d, w having (20 - count(distinct bin_index)) / 20 > 0.1) group by case_no", "q2", "struct", "win"),
+    "agg_excluded_runs": sql("select case_no, 'coverage' as stage, concat_ws('|', case when not sc then 'timeseries_not_covered' end, case when not tc then 'trace_not_covered' end) as reason from (select case_no, bool_and(window_covered) as sc from q2 group by case_no) join (select case_no, start_us <= (899251200000000 + case_no * 604800000000) - 31536000000000 and end_us >= (899251200000000 + case_no * 604800000000) + 31536000000000 as tc from struct) using (case_no) where not (sc and tc) union all select case_no, 'bins', string_agg(m, '|' order by m) from (select r.case_no, d || ':' || w as m from runs r cross join (values ('metrics'),('logs'),('trace_latency'),('trace_error')) a(d) cross join (values ('baseline'),('incident')) b(w) left join win on win.case_no = r.case_no and data_name = d and window_type = w group by r.case_no, d, w having (20 - count(distinct bin_index)) / 20 > 0.1) group by case_no", "q2", "struct", "win"),
     "agg_case_consistency": sql("select case_no, bool_or(t = 1) as in_runs, bool_or(t = 2) as in_series, bool_or(t = 3) as in_spans from (select case_no, 1 as t from runs union all select case_no, 2 from aligned union all select case_no, 3 from spans) group by case_no", "aligned", "spans"),
-    "jn_feature_merge": sql("select s.case_no, column_count, largest_z, coalesce(nov, 0) as log__all__novel, edge_drop_share, max_drop, total_change from (select case_no, count(*) as column_count, round(max(abs(zscore_max)), 6) as largest_z from stats group by case_no) s left join (select case_no, count(*) as nov from maps where baseline_sum = 0 and incident_sum > 0 group by case_no) n on n.case_no = s.case_no left join chg on chg.case_no = s.case_no", "stats", "maps", "chg"),
+    "jn_feature_merge": sql("select s.case_no, column_count, largest_z, coalesce(nov, 0) as log__all__new_template_count, edge_drop_share, max_drop, total_change from (select case_no, count(*) as column_count, round(max(abs(zscore_max)), 6) as largest_z from stats group by case_no) s left join (select case_no, count(*) as nov from maps where baseline_sum = 0 and incident_sum > 0 group by case_no) n on n.case_no = s.case_no left join chg on chg.case_no = s.case_no", "stats", "maps", "chg"),
+    "prj_feature_manifest": sql("select feature_name, split_part(feature_name, '__', 1) as modality, case split_part(feature_name, '__', 1) when 'metric' then 'E0' when 'log' then 'E1' else 'E2' end as config, regexp_extract(feature_name, '^(.*)__', 1) as source_column, split_part(feature_name, '__', -1) as statistic, 'derived' as origin, case when bad then 'rejected' else 'passed' end as audit_status from (select distinct feature_name from long) join (select feature_name as f, lo < hi and w / v < 0.05 as bad from (select feature_name, var_pop(value) as v, min(value) as lo, max(value) as hi from long group by feature_name) join (select feature_name, avg(v) as w from (select feature_name, service, var_pop(value) as v from long join runs using (case_no) group by all) group by feature_name) using (feature_name)) on f = feature_name", "long", "runs"),
+    "prj_select_config": sql("select case_no, count(*) as feature_count, count(value) as value_count from long where feature_name in (select feature_name from (select feature_name, split_part(feature_name, '__', 1) as modality, case split_part(feature_name, '__', 1) when 'metric' then 'E0' when 'log' then 'E1' else 'E2' end as config, regexp_extract(feature_name, '^(.*)__', 1) as source_column, split_part(feature_name, '__', -1) as statistic, 'derived' as origin, case when bad then 'rejected' else 'passed' end as audit_status from (select distinct feature_name from long) join (select feature_name as f, lo < hi and w / v < 0.05 as bad from (select feature_name, var_pop(value) as v, min(value) as lo, max(value) as hi from long group by feature_name) join (select feature_name, avg(v) as w from (select feature_name, service, var_pop(value) as v from long join runs using (case_no) group by all) group by feature_name) using (feature_name)) on f = feature_name) where config <= 'E1' and audit_status <> 'rejected') group by case_no", "long", "runs"),
+    "jn_case_metadata": sql('select case_no, case_id, scenario, service, fault_type, run_number, inject_s from runs where case_no in (select case_no from long)', "long", "runs"),
+    "jn_align_labels": sql('select dl.case_no, severity, dl.case_no in (select case_no from long) as featured from dl', "long", "dl"),
+    "set_group_overlap": sql('select scenario % 5 as fold, count(distinct scenario) as test_groups, 0 as overlap, (select count(distinct scenario) from oof) - count(distinct scenario) as train_groups from oof group by all', "oof"),
     "ml_dummy_baseline": sql("select fold, y_true as majority, cast(total as bigint) as test_count, round(n / total, 6) as accuracy from (select *, row_number() over (partition by fold order by train desc, y_true) as rn from (select fold, y_true, n, sum(n) over (partition by y_true) - n as train, sum(n) over (partition by fold) as total from (select f.fold, c.y_true, count(o.case_id) as n from (select distinct scenario % 5 as fold from oof) f cross join (select distinct y_true from oof) c left join oof o on o.repeat = 0 and o.scenario % 5 = f.fold and o.y_true = c.y_true group by all))) where rn = 1", "oof"),
 }
 R5 = "round(baseline_mean, 6) as baseline_mean, round(incident_max, 6) as incident_max, round(delta_mean, 6) as delta_mean, round(zscore_max, 6) as zscore_max, round(zscore_mean, 6) as zscore_mean"
@@ -126,7 +134,7 @@ ORACLE_SQL = EXTRA_SQL | {
     "src_run_metadata": sql("select case_no, case_id, scenario, service, fault_type, run_number, inject_s from runs", "runs"),
     "flt_observation_window": sql("select case_no, data_name, window_type, count(*) as n from win group by all", "win"),
     "prj_bin_index": sql("select case_no, bin_index, count(*) as n from win group by all", "win"),
-    "prj_feature_family": sql("select distinct column_name, case when column_name like 'log%' then 'log_count' when column_name like 'trace_latency%' then 'latency' when column_name like 'trace_error%' or column_name like '%_error' then 'error_count' else 'resource' end as family from samples", "samples"),
+    "prj_feature_family": sql("select distinct column_name, case when column_name like 'log%' then 'log_count' when column_name like 'trace_latency%' then 'trace_latency' when column_name like 'trace_error%' then 'trace_error' when column_name like '%_error' then 'error_signal' else 'continuous_resource' end as family from samples", "samples"),
     "prj_log_column_split": sql("select distinct column_name, split_part(column_name, '_', 3) as service, split_part(column_name, '_', 4) as cluster_id from samples where data_name = 'logs'", "samples"),
     "prj_callee": sql("select operation, callee, count(*) as n from spans group by all", "spans"),
     "agg_align_grid": sql("select case_no, data_name, column_name, bin_index, round(value, 6) as value, sample_count from aligned", "aligned"),
@@ -135,14 +143,14 @@ ORACLE_SQL = EXTRA_SQL | {
     "win_linear_fill": sql("select case_no, column_name, bin_index, policy, round(filled, 6) as filled from filled", "filled"),
     "agg_cleaning_log": sql("select case_no, column_name, policy, count(*) filter (value is null) as missing_before, count(*) filter (filled is null) as missing_after, count(*) filter (value is null) - count(*) filter (filled is null) as filled_count from filled group by all having count(*) filter (value is null) > 0", "filled"),
     "agg_feature_statistics": sql(f"select case_no, column_name, {R5} from stats", "stats"),
-    "agg_feature_schema": sql("select column_name, case when column_name like 'log%' then 'log_count' when column_name like 'trace_latency%' then 'latency' when column_name like 'trace_error%' or column_name like '%_error' then 'error_count' else 'resource' end as family, case when column_name like 'log%' or column_name like 'trace_error%' or column_name like '%_error' then 'zero' else 'interpolate' end as fill_policy, round(count(distinct case_no) / (select count(distinct case_no) from aligned), 6) as run_coverage, (column_name like 'log%' or column_name like 'trace_error%' or column_name like '%_error') or count(distinct case_no) / (select count(distinct case_no) from aligned) >= 0.5 as keep from aligned group by column_name", "aligned"),
+    "agg_feature_schema": sql("select column_name, case when column_name like 'log%' then 'log_count' when column_name like 'trace_latency%' then 'trace_latency' when column_name like 'trace_error%' then 'trace_error' when column_name like '%_error' then 'error_signal' else 'continuous_resource' end as family, case when column_name like 'log%' or column_name like 'trace_error%' or column_name like '%_error' then 'zero' else 'interpolate' end as fill_policy, round(count(distinct case_no) / (select count(distinct case_no) from aligned), 6) as run_coverage, (column_name like 'log%' or column_name like 'trace_error%' or column_name like '%_error') or count(distinct case_no) / (select count(distinct case_no) from aligned) >= 0.5 as keep from aligned group by column_name", "aligned"),
     "agg_bin_eligibility": sql("select r.case_no, d as data_name, w as window_type, 20 - count(distinct bin_index) as empty_bins, round((20 - count(distinct bin_index)) / 20, 4) as ratio, (20 - count(distinct bin_index)) / 20 > 0.1 as excluded from runs r cross join (values ('metrics'),('logs'),('trace_latency'),('trace_error')) a(d) cross join (values ('baseline'),('incident')) b(w) left join win on win.case_no = r.case_no and data_name = d and window_type = w group by all", "win"),
-    "agg_log_novelty": sql("select r.case_no, count(column_name) as log__all__novel from runs r left join (select case_no, column_name from aligned where data_name = 'logs' group by all having coalesce(sum(value) filter (bin_index < 0), 0) = 0 and coalesce(sum(value) filter (bin_index >= 0), 0) > 0) n on n.case_no = r.case_no group by r.case_no", "aligned", "runs"),
-    "agg_constant_features": sql("select feature_name from long group by feature_name having count(*) = count(value) and min(value) = max(value)", "long"),
+    "agg_log_novelty": sql("select r.case_no, 'log__' || s.service || '__new_template_count' as feature_name, count(m.column_name) as value from runs r cross join (select distinct service from maps) s left join maps m on m.case_no = r.case_no and m.service = s.service and baseline_sum = 0 and incident_sum > 0 group by all union all select r.case_no, 'log__all__new_template_count', count(m.column_name) from runs r left join maps m on m.case_no = r.case_no and baseline_sum = 0 and incident_sum > 0 group by all", "maps", "runs"),
+    "agg_constant_features": sql('select feature_name, (select count(distinct case_no) from stats) - count(value) as missing_count, count(value) = (select count(distinct case_no) from stats) and min(value) = max(value) as constant from long group by feature_name', "long"),
     "win_topk_features": sql("select case_no, rank, column_name, round(zscore_mean, 6) as zscore_mean from (select *, row_number() over (partition by case_no order by abs(zscore_mean) desc nulls last, column_name) as rank from stats) where rank <= 5", "stats"),
     "agg_timeseries_quality": sql("select * from q2", "q2"),
     "agg_missing_by_column": sql("select i.case_no, i.data_name, i.column_name, i.missing_count, longest_missing_streak, missing_before_injection, first_missing_us, last_missing_us, row_count, i.missing_count - missing_before_injection as missing_after_injection, round(100 * i.missing_count / row_count, 6) as missing_percentage from (select case_no, data_name, column_name, count(*) as missing_count, count(*) filter (ts_us < inject_s * 1000000) as missing_before_injection, min(ts_us) as first_missing_us, max(ts_us) as last_missing_us from isl group by all) i join (select case_no, data_name, column_name, max(n) as longest_missing_streak from (select case_no, data_name, column_name, island, count(*) as n from isl group by all) group by all) m using (case_no, data_name, column_name) join (select case_no, data_name, column_name, count(*) as row_count from samples group by all) c using (case_no, data_name, column_name)", "isl"),
-    "jn_eligibility": sql("select r.case_no, case_id, bool_and(window_covered) as series_covered, coalesce(string_agg(data_name, '|' order by data_name) filter (not window_covered), '') as uncovered, any_value(t.c) as trace_covered, bool_and(window_covered) and any_value(t.c) as eligible, concat_ws('|', case when not bool_and(window_covered) then 'timeseries_not_covered' end, case when not any_value(t.c) then 'trace_not_covered' end) as reason from runs r join q2 on q2.case_no = r.case_no join (select case_no, start_us <= 899251200000000 - 31536000000000 and end_us >= 899251200000000 + 31536000000000 as c from struct) t on t.case_no = r.case_no group by r.case_no, case_id", "q2", "struct"),
+    "jn_eligibility": sql("select r.case_no, case_id, bool_and(window_covered) as series_covered, coalesce(string_agg(data_name, '|' order by data_name) filter (not window_covered), '') as uncovered, any_value(t.c) as trace_covered, bool_and(window_covered) and any_value(t.c) as eligible, concat_ws('|', case when not bool_and(window_covered) then 'timeseries_not_covered' end, case when not any_value(t.c) then 'trace_not_covered' end) as reason from runs r join q2 on q2.case_no = r.case_no join (select case_no, start_us <= (899251200000000 + case_no * 604800000000) - 31536000000000 and end_us >= (899251200000000 + case_no * 604800000000) + 31536000000000 as c from struct) t on t.case_no = r.case_no group by r.case_no, case_id", "q2", "struct"),
     "agg_trace_structure": sql("select * from struct", "struct"),
     "agg_root_identity": sql("select * from roots", "roots"),
     "agg_root_operations": sql("select * from ops", "ops"),
@@ -152,7 +160,7 @@ ORACLE_SQL = EXTRA_SQL | {
     "agg_call_volume": sql("select * from vol", "vol"),
     "agg_call_graph": sql("select caller, callee, count(*) as run_count, cast(sum(baseline_calls + incident_calls) as bigint) as total_calls from vol group by all", "vol"),
     "agg_call_volume_change": sql("select case_no, round(avg(case when baseline_calls > 0 and (baseline_calls - incident_calls) / baseline_calls > 0.2 then 1.0 else 0.0 end), 6) as edge_drop_share, round(greatest(max(case when baseline_calls > 0 then (baseline_calls - incident_calls) / baseline_calls else 0.0 end), 0.0), 6) as max_drop, round(coalesce((sum(incident_calls) - sum(baseline_calls)) / nullif(sum(baseline_calls), 0), 0), 6) as total_change from vol group by case_no", "vol"),
-    "agg_service_anomalies": sql("select case_no, service, round(magnitude, 6) as magnitude from anom", "anom"),
+    "agg_service_anomalies": sql('select case_no, modality, service, round(magnitude, 6) as magnitude from anom', "anom"),
     "jn_label_lookup": sql("select * exclude (scheme) from dl", "dl"),
     "agg_label_distribution": sql("select k.kind, k.name, c as severity, count(case_id) as case_count from (select distinct 'all' as kind, 'all' as name from dl union select distinct 'service', service from dl union select distinct 'fault', fault_type from dl) k cross join (values ('Low'),('Medium'),('High')) v(c) left join dl on dl.severity = c and (k.kind = 'all' or k.kind = 'service' and dl.service = k.name or k.kind = 'fault' and dl.fault_type = k.name) group by all", "dl"),
     "agg_label_sensitivity": sql("select scheme, severity, count(*) as case_count, count(distinct scenario) as scenario_count from lab group by all", "lab"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import feature_family, fill_policy
@@ -34,7 +34,9 @@ def harmonise_logs(aligned: DataFrame, dictionary: DataFrame) -> DataFrame:
     logs = aligned.where("data_name = 'logs'").withColumn("svc", service).withColumn("cluster_id", cluster.cast("long"))
     d = F.broadcast(dictionary.select("case_no", "cluster_id", template_category(F.col("template")).alias("category")))
     name = F.concat(F.lit("log__"), F.col("svc"), F.lit("_"), F.col("category"))
-    return logs.join(d, ["case_no", "cluster_id"]).groupBy("case_no", name.alias("column_name"), "bin_index").agg(F.sum("value").alias("value"), F.sum("sample_count").alias("sample_count"))
+    known = logs.join(d, ["case_no", "cluster_id"], "left")
+    known = known.withColumn("category", F.when(F.col("category").isNull(), F.raise_error(F.concat(F.lit("no template for "), "column_name"))).otherwise(F.col("category")))
+    return known.groupBy("case_no", name.alias("column_name"), "bin_index").agg(F.sum("value").alias("value"), F.sum("sample_count").alias("sample_count"))
 
 
 def densify(aligned: DataFrame, grid: Grid) -> DataFrame:
@@ -78,10 +80,9 @@ def feature_statistics(filled: DataFrame, cap: float = 100.0) -> DataFrame:
 
 def feature_schema(aligned: DataFrame, least: float = 0.5) -> DataFrame:
     """Columns over all cases: coverage, family, policy and whether they stay."""
-    cases = aligned.select("case_no").distinct().agg(F.count("*").alias("n"))
-    cols = aligned.select("case_no", "column_name").distinct().groupBy("column_name").agg(F.count("*").alias("k")).crossJoin(F.broadcast(cases))
+    cols = aligned.select("case_no", "column_name").distinct().groupBy("column_name").agg(F.count("*").alias("k"))
     family = feature_family(F.col("column_name"))
-    return cols.select("column_name", family.alias("family"), fill_policy(family).alias("fill_policy"), (F.col("k") / F.col("n")).alias("run_coverage")).withColumn("keep", (F.col("fill_policy") == "zero") | (F.col("run_coverage") >= least))
+    return cols.select("column_name", family.alias("family"), fill_policy(family).alias("fill_policy"), (F.col("k") / case_count(aligned)).alias("run_coverage")).withColumn("keep", (F.col("fill_policy") == "zero") | (F.col("run_coverage") >= least))
 
 
 def bin_eligibility(windowed: DataFrame, runs: DataFrame, grid: Grid, most: float = 0.10) -> DataFrame:
@@ -99,17 +100,32 @@ def cleaning_log(filled: DataFrame) -> DataFrame:
     return n.where("missing_before > 0").withColumn("filled_count", F.col("missing_before") - F.col("missing_after"))
 
 
-def log_novelty(aligned: DataFrame, runs: DataFrame) -> DataFrame:
-    """Log columns that are silent before and seen after the injection, counted for each case; all cases are there."""
-    v = F.coalesce("value", F.lit(0.0))
-    sums = aligned.where("data_name = 'logs'").groupBy("case_no", "column_name").agg(F.sum(F.when(F.col("bin_index") < 0, v).otherwise(0)).alias("b"), F.sum(F.when(F.col("bin_index") >= 0, v).otherwise(0)).alias("i"))
-    new = sums.where("b = 0 and i > 0").groupBy("case_no").agg(F.count("*").alias("n"))
-    return runs.select("case_no").join(new, "case_no", "left").select("case_no", F.coalesce("n", F.lit(0)).alias("log__all__novel"))
+def log_novelty(mapped: DataFrame, runs: DataFrame) -> DataFrame:
+    """For each case and service the log templates that are silent before and seen after the injection, and their sum; all cases are there.
+
+    mapped: the harmonisation map (case_no, service, baseline_sum, incident_sum).
+    """
+    new = mapped.where("baseline_sum = 0 and incident_sum > 0").groupBy("case_no", "service").agg(F.count("*").alias("n"))
+    # services and cases are few
+    full = runs.select("case_no").crossJoin(F.broadcast(mapped.select("service").distinct()))
+    per = full.join(new, ["case_no", "service"], "left").select("case_no", "service", F.coalesce("n", F.lit(0)).alias("value"))
+    every = runs.select("case_no").join(per.groupBy("case_no").agg(F.sum("value").alias("value")), "case_no", "left").select("case_no", F.lit("all").alias("service"), F.coalesce("value", F.lit(0)).alias("value"))
+    return per.unionByName(every).select("case_no", F.concat(F.lit("log__"), "service", F.lit("__new_template_count")).alias("feature_name"), "value")
 
 
 def constant_features(features: DataFrame) -> DataFrame:
-    """Features of one value in all cases (long form: feature_name, value)."""
-    return features.groupBy("feature_name").agg(F.count_if(F.col("value").isNull()).alias("gaps"), F.min("value").alias("lo"), F.max("value").alias("hi")).where("gaps = 0 and lo = hi").select("feature_name")
+    """For each feature its cases without a value, and whether it is constant: one value in all cases (long form: case_no, feature_name, value).
+
+    A case without a row has no value.
+    """
+    n = features.groupBy("feature_name").agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    missing = case_count(features) - F.col("n")
+    return n.select("feature_name", missing.alias("missing_count"), ((missing == 0) & (F.col("lo") == F.col("hi"))).alias("constant"))
+
+
+def case_count(table: DataFrame) -> Column:
+    """The number of cases in a table, as a scalar subquery."""
+    return table.select("case_no").distinct().agg(F.count("*").alias("n")).scalar()
 
 
 def long_features(stats: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import log_column_parts, template_category
 from ..sources.adapters import Grid
+from .align import case_count
 
 #: A column name is <modality>__<service>_<rest>.
 COLUMN = "^(.*)__([^_]+)_(.*)$"
@@ -55,16 +56,19 @@ def validate_aligned(dense: DataFrame, grid: Grid) -> DataFrame:
 
 
 def absent_columns(aligned: DataFrame) -> DataFrame:
-    """(case_no, column_name) of columns that other cases have: what the feature table fills by policy alone."""
+    """For each case how many columns it has, how many of all cases' columns it lacks, and their names."""
     have = aligned.select("case_no", "column_name").distinct()
-    return have.select("column_name").distinct().crossJoin(have.select("case_no").distinct()).join(have, ["case_no", "column_name"], "left_anti").select("case_no", "column_name")
+    # cases are few, and a column list is what the feature table has as its header
+    full = have.select("column_name").distinct().crossJoin(F.broadcast(have.select("case_no").distinct())).join(have.withColumn("there", F.lit(True)), ["case_no", "column_name"], "left")
+    names = F.array_join(F.array_sort(F.collect_list(F.when(F.col("there").isNull(), F.col("column_name")))), "|")
+    return full.groupBy("case_no").agg(F.count("there").alias("column_count"), F.count_if(F.col("there").isNull()).alias("missing_count"), names.alias("missing_columns"))
 
 
 def numeric_quality(features: DataFrame) -> DataFrame:
-    """Infinite and missing values of each feature, and whether it is empty or constant."""
+    """Infinite and missing values of each feature (a case without a row counts as missing), and whether it is empty or constant."""
     v = F.col("value")
-    n = features.groupBy("feature_name").agg(F.count_if(F.abs(v) == float("inf")).alias("infinite_count"), F.count_if(v.isNull()).alias("missing_count"), F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-    return n.select("feature_name", "infinite_count", "missing_count", (F.col("n") == 0).alias("all_missing"), F.coalesce(F.col("lo") == F.col("hi"), F.lit(False)).alias("constant"))
+    n = features.groupBy("feature_name").agg(F.count_if(F.abs(v) == float("inf")).alias("infinite_count"), F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    return n.select("feature_name", "infinite_count", (case_count(features) - F.col("n")).alias("missing_count"), (F.col("n") == 0).alias("all_missing"), F.coalesce(F.col("lo") == F.col("hi"), F.lit(False)).alias("constant"))
 
 
 def proxy_variance(features: DataFrame, runs: DataFrame, least: float = 0.05) -> DataFrame:
@@ -80,8 +84,9 @@ def proxy_variance(features: DataFrame, runs: DataFrame, least: float = 0.05) ->
 def leakage(features: DataFrame, labels: DataFrame) -> DataFrame:
     """Features that equal an ingredient of the label in all cases, a missing value only another missing one."""
     parts = labels.select("case_no", *(F.col(c).cast("double") for c in ("fcw", "sct", "severity_score"))).unpivot(["case_no"], ["fcw", "sct", "severity_score"], "ingredient", "x")
-    same = features.join(F.broadcast(parts), "case_no").groupBy("feature_name", "ingredient").agg(F.bool_and(F.col("value").eqNullSafe(F.col("x"))).alias("copies"))
-    return same
+    same = features.join(F.broadcast(parts), "case_no").groupBy("feature_name", "ingredient").agg(F.bool_and(F.col("value").eqNullSafe(F.col("x"))).alias("same"), F.count("*").alias("n"))
+    # a case without a row has no value, and the label always has one
+    return same.select("feature_name", "ingredient", (F.col("same") & (F.col("n") == case_count(features))).alias("copies"))
 
 
 def relative_features(stats: DataFrame, runs: DataFrame) -> DataFrame:
@@ -110,7 +115,54 @@ def case_consistency(runs: DataFrame, aligned: DataFrame, spans: DataFrame) -> D
 def merged_features(stats: DataFrame, novelty: DataFrame, change: DataFrame) -> DataFrame:
     """One row a case: its features, with log novelty and call volume joined one to one."""
     n = stats.groupBy("case_no").agg(F.count("*").alias("column_count"), F.max(F.abs("zscore_max")).alias("largest_z"))
-    return n.join(novelty, "case_no", "left").join(change, "case_no", "left")
+    total = novelty.where("feature_name = 'log__all__new_template_count'").select("case_no", F.col("value").alias("log__all__new_template_count"))
+    return n.join(total, "case_no", "left").join(change, "case_no", "left")
+
+
+#: The first of the nested configurations that shows a modality.
+CONFIGURATIONS = (("metric", "E0"), ("log", "E1"), ("trace_latency", "E2"), ("trace_error", "E2"), ("svc", "E3"))
+
+
+def feature_manifest(features: DataFrame, audit: DataFrame) -> DataFrame:
+    """For each feature (long form) its modality, first configuration, source column, statistic and audit status.
+
+    audit: (feature_name, audit_status); features without one have n/a. New template counts come from the harmonisation map.
+    """
+    spark = features.sparkSession
+    names = features.select("feature_name").distinct().join(F.broadcast(audit), "feature_name", "left")
+    modality, statistic = F.split_part("feature_name", F.lit("__"), F.lit(1)), F.split_part("feature_name", F.lit("__"), F.lit(-1))
+    source = F.when(statistic == "new_template_count", "column_harmonization_map.csv").otherwise(F.regexp_extract("feature_name", "^(.*)__.*?$", 1))
+    config = F.broadcast(spark.createDataFrame(CONFIGURATIONS, "modality string, config string"))
+    m = names.select("feature_name", modality.alias("modality"), source.alias("source_column"), statistic.alias("statistic"), F.lit("derived").alias("origin"), F.coalesce("audit_status", F.lit("n/a")).alias("audit_status")).join(config, "modality", "left")
+    return m.withColumn("config", F.when(F.col("config").isNull(), F.raise_error(F.concat(F.lit("no configuration for "), "feature_name"))).otherwise(F.col("config")))
+
+
+def select_configuration(features: DataFrame, manifest: DataFrame, config: str) -> DataFrame:
+    """The features (long form) that a configuration shows: its own and the smaller ones', none that the audit rejects."""
+    shown = manifest.where((F.col("config") <= config) & (F.col("audit_status") != "rejected")).select("feature_name")
+    return features.join(F.broadcast(shown), "feature_name", "left_semi")
+
+
+def case_metadata(runs: DataFrame, features: DataFrame) -> DataFrame:
+    """What identifies the cases that have features."""
+    return runs.join(features.select("case_no").distinct(), "case_no", "left_semi").select("case_no", "case_id", "scenario", "service", "fault_type", "run_number", "inject_s")
+
+
+def aligned_labels(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """Cases with features and their severity, which must be there; and the labels without features, by `featured`."""
+    cases = features.select("case_no").distinct().withColumn("featured", F.lit(True))
+    j = cases.join(labels.select("case_no", "severity", F.lit(True).alias("labelled")), "case_no", "full")
+    severity = F.when(F.col("labelled").isNull(), F.raise_error(F.concat(F.lit("no label for case "), F.col("case_no").cast("string")))).otherwise(F.col("severity"))
+    return j.select("case_no", severity.alias("severity"), F.coalesce("featured", F.lit(False)).alias("featured"))
+
+
+def fold_overlap(oof: DataFrame, folds: int = 5) -> DataFrame:
+    """For each fold of whole scenarios: its test and train scenarios, and how many are both (0, or the folds leak)."""
+    rows = oof.select("case_id", "scenario", (F.col("scenario") % folds).alias("fold")).distinct()
+    per = rows.select("scenario", "fold").distinct()
+    n = per.groupBy("scenario").agg(F.count("*").alias("in_folds"))
+    total = n.agg(F.count("*").alias("n")).scalar()
+    return per.join(n, "scenario").groupBy("fold").agg(F.count("*").alias("test_groups"), F.count_if(F.col("in_folds") > 1).alias("overlap")).withColumn("train_groups", total - F.col("test_groups") + F.col("overlap"))
 
 
 def majority_baseline(oof: DataFrame, folds: int = 5) -> DataFrame:

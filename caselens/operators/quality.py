@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 
 
 def timeseries_quality(samples: DataFrame, runs: DataFrame, reach_s: int) -> DataFrame:
-    """For each case and modality: rows, columns, gaps, repeated times, range, and whether the window is covered (closed)."""
-    s = samples.groupBy("case_no", "data_name").agg(F.count("*").alias("row_count"), F.countDistinct("column_name").alias("feature_count"), F.count_if(F.col("value").isNull()).alias("missing_count"), (F.count("ts_us") - F.countDistinct("ts_us")).alias("duplicate_timestamp_count"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
+    """For each case and modality: cells, columns, gaps, repeated times, range, and whether the window is covered (closed).
+
+    A time is repeated as often as its most frequent column has it again: the columns of one row share their time.
+    """
+    keys = ["case_no", "data_name"]
+    cells = samples.groupBy(*keys, "column_name", "ts_us").agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("gaps"))
+    rows = cells.groupBy(*keys, "ts_us").agg(F.sum("n").alias("n"), F.sum("gaps").alias("gaps"), F.max("n").alias("rows"))
+    s = rows.groupBy(*keys).agg(F.sum("n").alias("row_count"), F.sum("gaps").alias("missing_count"), F.sum(F.when(F.col("ts_us").isNotNull(), F.col("rows") - 1)).alias("duplicate_timestamp_count"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
+    names = samples.groupBy(*keys, "column_name").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.count("column_name").alias("feature_count"))
+    s = s.join(names, keys)
     j = s.join(F.broadcast(runs.select("case_no", "inject_s")), "case_no")
     before, after = F.col("inject_s") - F.col("start_us") / 1e6, F.col("end_us") / 1e6 - F.col("inject_s")
     status = F.concat_ws("|", F.when(F.col("missing_count") > 0, "missing"), F.when(F.col("duplicate_timestamp_count") > 0, "duplicates"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import blank_to_null, callee_of, status_category, status_text
 
-INJECTION_US = 899_251_200_000_000  # 1998-07-01 UTC
 YEAR_US = 365 * 86_400 * 1_000_000
 
 
@@ -25,8 +24,10 @@ def structure(spans: DataFrame) -> DataFrame:
     return one.join(traces, "case_no")
 
 
-def range_covered(structure_: DataFrame, inject_us: int = INJECTION_US, reach_us: int = YEAR_US) -> DataFrame:
-    return structure_.select("case_no", ((F.col("start_us") <= inject_us - reach_us) & (F.col("end_us") >= inject_us + reach_us)).alias("trace_covered"))
+def range_covered(structure_: DataFrame, injections: DataFrame, reach_us: int = YEAR_US) -> DataFrame:
+    """Whether a case's spans reach both ends of the window around its injection; injections: (case_no, inject_us)."""
+    j = structure_.join(F.broadcast(injections), "case_no")
+    return j.select("case_no", ((F.col("start_us") <= F.col("inject_us") - reach_us) & (F.col("end_us") >= F.col("inject_us") + reach_us)).alias("trace_covered"))
 
 
 def root_identity(spans: DataFrame) -> DataFrame:
@@ -37,9 +38,13 @@ def root_identity(spans: DataFrame) -> DataFrame:
 
 
 def first_spans(spans: DataFrame) -> DataFrame:
-    """The first row of each span id in file order; blank ids are left out before the sort."""
-    w = Window.partitionBy("case_no", "span_id").orderBy("file_order")
-    return spans.where("span_id is not null").withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    """The first row of each span id in file order, with what the audits need of it; blank ids are left out before.
+
+    The least row is found by partial aggregation, with no sort of all spans.
+    """
+    kept = [c for c in ("trace_id", "parent_id", "service", "operation", "start_us", "status") if c in spans.columns]
+    least = spans.where("span_id is not null").groupBy("case_no", "span_id").agg(F.min_by(F.struct(*kept), "file_order").alias("x"))
+    return least.select("case_no", "span_id", "x.*")
 
 
 def _share(counts: DataFrame) -> DataFrame:
@@ -74,17 +79,18 @@ def traces_without_root(spans: DataFrame) -> DataFrame:
     return t.groupBy("case_no", "trace_id").agg(F.bool_or("root").alias("rooted")).where("not rooted").select("case_no", "trace_id")
 
 
-def in_windows(spans: DataFrame, inject_us: int = INJECTION_US, reach_us: int = YEAR_US) -> DataFrame:
-    """Spans of the half-open window around the injection, with baseline or incident."""
-    s = spans.where((F.col("start_us") >= inject_us - reach_us) & (F.col("start_us") < inject_us + reach_us))
-    return s.withColumn("window_type", F.when(F.col("start_us") < inject_us, "baseline").otherwise("incident"))
+def in_windows(spans: DataFrame, injections: DataFrame, reach_us: int = YEAR_US) -> DataFrame:
+    """Spans of the half-open window around their own case's injection, with baseline or incident; injections has a row a case."""
+    after = F.col("start_us") - F.col("inject_us")
+    s = spans.join(F.broadcast(injections), "case_no").where((after >= -reach_us) & (after < reach_us))
+    return s.withColumn("window_type", F.when(after < 0, "baseline").otherwise("incident")).drop("inject_us")
 
 
-def call_volume(spans: DataFrame, inject_us: int = INJECTION_US, reach_us: int = YEAR_US) -> DataFrame:
+def call_volume(spans: DataFrame, injections: DataFrame, reach_us: int = YEAR_US) -> DataFrame:
     """Client calls for each caller and callee before and from the injection on; windows are half-open."""
-    s = spans.where((F.col("start_us") >= inject_us - reach_us) & (F.col("start_us") < inject_us + reach_us)).select("case_no", F.col("service").alias("caller"), callee_of(F.col("operation")).alias("callee"), "start_us")
-    s = s.where("callee is not null and caller <> callee")
-    return s.groupBy("case_no", "caller", "callee").agg(F.count_if(F.col("start_us") < inject_us).alias("baseline_calls"), F.count_if(F.col("start_us") >= inject_us).alias("incident_calls"))
+    s = in_windows(spans.select("case_no", "service", "operation", "start_us"), injections, reach_us)
+    s = s.select("case_no", F.col("service").alias("caller"), callee_of(F.col("operation")).alias("callee"), "window_type").where("callee is not null and caller <> callee")
+    return s.groupBy("case_no", "caller", "callee").agg(F.count_if(F.col("window_type") == "baseline").alias("baseline_calls"), F.count_if(F.col("window_type") == "incident").alias("incident_calls"))
 
 
 def call_graph(volume: DataFrame) -> DataFrame:
@@ -98,9 +104,18 @@ def call_volume_change(volume: DataFrame, drop: float = 0.2) -> DataFrame:
     return out.select("case_no", F.round("s", 6).alias("edge_drop_share"), F.round("m", 6).alias("max_drop"), F.round(F.coalesce(F.try_divide(F.col("i") - F.col("b"), F.col("b")), F.lit(0.0)), 6).alias("total_change"))
 
 
-def service_anomalies(stats: DataFrame, prefix: str = "trace_latency", z: float = 3.0, ratio: float = 1.5) -> DataFrame:
-    """For each case and service the largest z of its anomalous operations, else 0. A null z is no anomaly."""
-    service = F.regexp_extract("column_name", rf"^{prefix}__(.*)_[^_]+$", 1)
-    large = F.when(F.col("baseline_mean") == 0, F.col("incident_max") > 0).otherwise(F.col("incident_max") / F.col("baseline_mean") > ratio)
-    bad = F.col("zscore_max").isNotNull() & (F.col("zscore_max") > z) & large
-    return stats.where(F.col("column_name").startswith(prefix + "__")).groupBy("case_no", service.alias("service")).agg(F.greatest(F.coalesce(F.max(F.when(bad, F.col("zscore_max"))), F.lit(0.0)), F.lit(0.0)).alias("magnitude"))
+#: Services that are no part of the shop.
+EXCLUDED = ("health", "traceservice")
+
+
+def service_anomalies(stats: DataFrame, z: float = 3.0, ratio: float = 1.5) -> DataFrame:
+    """For each case, modality and service the largest mean z of its anomalous operations, else 0.
+
+    An operation is anomalous if its mean z is above `z` and its incident mean above `ratio` times its baseline mean; with a
+    baseline of 0, if its incident mean is above 0. A null z is no anomaly.
+    """
+    kind, service = F.split_part("column_name", F.lit("__"), F.lit(1)), F.regexp_extract("column_name", r"^trace_[a-z]+__(.*)_[^_]+$", 1)
+    s = stats.where(F.col("column_name").rlike("^trace_(latency|error)__")).select("case_no", kind.alias("modality"), service.alias("service"), "zscore_mean", "baseline_mean", (F.col("baseline_mean") + F.col("delta_mean")).alias("incident_mean"))
+    large = F.when(F.col("baseline_mean") == 0, F.col("incident_mean") > 0).otherwise((F.col("zscore_mean") > z) & (F.col("incident_mean") / F.col("baseline_mean") > ratio))
+    score = F.when(F.col("zscore_mean").isNotNull() & large, F.col("zscore_mean"))
+    return s.where(~F.col("service").isin(*EXCLUDED)).groupBy("case_no", "modality", "service").agg(F.greatest(F.coalesce(F.max(score), F.lit(0.0)), F.lit(0.0)).alias("magnitude"))

@@ -60,6 +60,14 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("case_no", data_name.alias("data_name"), name.alias("column_name"), "ts_us", F.when(F.col("k") % 23 != 0, F.nanvl("value", F.lit(None))).alias("value"))
 
 
+FIRST_SPAN_INJECTION = 899_251_200_000_000  # 1998-07-01 UTC, in microseconds
+
+
+def span_injections(spark: SparkSession) -> DataFrame:
+    """(case_no, inject_us) in the time of the spans' table: a week after another."""
+    return runs(spark).select("case_no", (F.col("case_no") * 7 * DAY * 1_000_000 + FIRST_SPAN_INJECTION).alias("inject_us"))
+
+
 #: Log templates by what the cluster id of a case means.
 TEMPLATES = ("server initializing on port", "request failed with error code", "handled request in time")
 
