@@ -71,8 +71,8 @@ def _featurizer() -> PipelineModel:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(key, paragraph): the lines of the texts that aren't blank."""
-    return docs.select("key", F.explode(F.split("text", "\n")).alias("paragraph")).where("paragraph rlike '[^ \\t\\r]'")
+    """(key, at, paragraph): the lines of the texts that aren't blank, and their numbers."""
+    return docs.select("key", F.posexplode(F.split("text", "\n")).alias("at", "paragraph")).where("paragraph rlike '[^ \\t\\r]'")
 
 
 def _margin(raw: Column, families: list[str]) -> Column:
@@ -133,12 +133,12 @@ def scan(docs: DataFrame, model: LicenseModel, least: float = 0.5, id_col: str =
     scored = model.classifier.transform(model.features.transform(paragraphs(rows.where("text is not null"))))
     slope, shift = float(model.calibration.coefficients[0]), float(model.calibration.intercept)
     best = F.element_at(F.array(*map(F.lit, model.families)), (F.array_position(F.slice("raw", 2, len(model.families) - 1), F.array_max(F.slice("raw", 2, len(model.families) - 1))) + 1).cast("int"))
-    likely = scored.select("key", "paragraph", raw.alias("raw")).withColumn("p", 1 / (1 + F.exp(-(F.lit(slope) * _margin(F.col("raw"), model.families) + shift)))).where(F.col("p") >= least)
-    likely = likely.select("key", "p", best.alias("family"), _pairs(_words(F.col("paragraph"))).alias("pairs"))
+    likely = scored.select("key", "at", "paragraph", raw.alias("raw")).withColumn("p", 1 / (1 + F.exp(-(F.lit(slope) * _margin(F.col("raw"), model.families) + shift)))).where(F.col("p") >= least)
+    likely = likely.select("key", "at", "p", best.alias("family"), _pairs(_words(F.col("paragraph"))).alias("pairs"))
     known = F.broadcast(templates(docs.sparkSession).select("family", F.col("pairs").alias("template")))
     held = likely.join(known, "family").withColumn("contained", F.size(F.array_intersect("pairs", "template")) / F.size("template")).where(F.col("contained") >= CONTAINED)
     # rows of one paragraph: at most the family's templates
-    found = held.groupBy("key").agg(F.max(F.struct("p", "contained", "family")).alias("x"), F.countDistinct("pairs").alias("n_licenses"))
+    found = held.groupBy("key").agg(F.max(F.struct("p", "contained", "family")).alias("x"), F.countDistinct("at").alias("n_licenses"))
     return rows.select("doc_id", "key").join(found, "key", "left").select("doc_id", F.coalesce("x.family", F.lit(UNKNOWN)).alias("license"), F.col("x.p").alias("probability"), F.col("x.contained").alias("contained"), F.coalesce("n_licenses", F.lit(0)).alias("n_licenses"))
 
 

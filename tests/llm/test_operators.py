@@ -361,6 +361,8 @@ def test_licenses(spark, docs, none):
     model = licenses.train(every.select(every.doc_id.alias("key"), "text"))
     got = {r.doc_id: r.license for r in licenses.scan(every, model).collect()}
     assert [got[i] for i in (200, 201, 202, 203)] == ["MIT", "Apache-2.0", "CC-BY-NC-4.0", "unknown"]
+    twice = spark.createDataFrame([(1, "Released under the MIT License.\nplain words here\nReleased under the MIT License.")], "doc_id long, text string")
+    assert licenses.scan(twice, model).first().n_licenses == 2
     assert all(got[i] == "unknown" for i, _ in TEXTS) and licenses.scan(none, model).count() == 0
 
 
