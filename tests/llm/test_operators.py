@@ -375,3 +375,39 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, prose(30, 6)[:150])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     left = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
     assert {0, 3, 4, 11, 12} <= left and 1 not in left and 9 not in left
+
+
+def test_lines_against_all_pairs(spark):
+    """Every line of sf0.001: what goes is what all pairs of lines by exact Jaccard and their components say."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    first, where = {}, []
+    for r in sorted(docs.collect()):
+        for no, raw in enumerate((r.text or "").split("\n")):
+            line = raw.strip(" \t\n\r\x0b\x0c").translate(LOW)
+            if line:
+                where.append((line, r.doc_id, no))
+                first.setdefault(line, (r.doc_id, no))
+    lines = sorted(first, key=lambda x: len(x))
+    sets = [frozenset(x[i : i + 5] for i in range(max(1, len(x) - 4))) for x in lines]
+    by, links = {}, []
+    for i, own in enumerate(sets):
+        n = Counter(j for g in own for j in by.get(g, ()))
+        links += [(i, j) for j, both in n.items() if 10 * both >= 8 * (len(own) + len(sets[j]) - both)]
+        for g in own:
+            by.setdefault(g, []).append(i)
+    parent = list(range(len(lines)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in links:
+        parent[root(i)] = root(j)
+    stays = {}
+    for i, line in enumerate(lines):
+        stays[root(i)] = min(stays.get(root(i), first[line]), first[line])
+    number = {line: i for i, line in enumerate(lines)}
+    gone = Counter(d for line, d, no in where if (d, no) != stays[root(number[line])])
+    assert len(links) > 10
+    assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(docs).collect() if r.n_removed} == dict(gone)
