@@ -15,6 +15,8 @@ from .common import written
 
 BUCKETS = 1 << 13
 BACKGROUND = 3000  # paragraphs of the corpus that the classifier sees as unknown
+WRAPPED = 100  # a line of at most so many characters that doesn't end a sentence goes on in the next one
+KEPT_OUT = 5  # one in so many training rows calibrates, and isn't fitted
 CONTAINED = 0.7  # share of a template's word pairs that confirms a prediction
 UNKNOWN = "unknown"
 
@@ -34,8 +36,11 @@ TEMPLATES = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights. Dedicated to the public domain under CC0 1.0."),
 )
 
@@ -71,8 +76,12 @@ def _featurizer() -> PipelineModel:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(key, at, paragraph): the lines of the texts that aren't blank, and their numbers."""
-    return docs.select("key", F.posexplode(F.split("text", "\n")).alias("at", "paragraph")).where("paragraph rlike '[^ \\t\\r]'")
+    """(key, at, paragraph): the lines of the texts that aren't blank, wrapped lines joined, and their numbers.
+
+    A line is wrapped if it has at most WRAPPED characters, no mark of a sentence's end, and a line that isn't blank below it.
+    """
+    joined = F.regexp_replace("text", rf"(?md)^([^\n]{{1,{WRAPPED}}})(?<![\s.!?:;])[ \t\r]*\n(?=[ \t]*[^\s])", "$1 ")
+    return docs.select("key", F.posexplode(F.split(joined, "\n")).alias("at", "paragraph")).where("paragraph rlike '[^ \\t\\r]'")
 
 
 def _margin(raw: Column, families: list[str]) -> Column:
@@ -81,7 +90,7 @@ def _margin(raw: Column, families: list[str]) -> Column:
 
 
 def train(docs: DataFrame) -> LicenseModel:
-    """Fits the classifier, and then the probability that a margin means a licence, on rows made from templates and background.
+    """Fits the classifier on rows made from templates and background, and on rows kept out the probability that a margin means a licence.
 
     A template stands alone, with a word missing, and before, behind and between background text, and is its family's row;
     the bounded background sample (BACKGROUND paragraphs, those with the least hash, of texts that hold no template) is unknown.
@@ -106,9 +115,9 @@ def train(docs: DataFrame) -> LicenseModel:
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
     rows = made.select(text.alias("paragraph"), label.alias("label")).unionByName(sample.select("paragraph", F.lit(0.0).alias("label")))
     features = _featurizer()
-    fitted = written(features.transform(rows).select("features", "label").coalesce(4), "training")
-    classifier = LogisticRegression(maxIter=20, regParam=1e-3, elasticNetParam=0.3, family="multinomial").fit(fitted)
-    scored = classifier.transform(fitted).select(_margin(vector_to_array("rawPrediction"), families).alias("margin"), F.when(F.col("label") > 0, 1.0).otherwise(0.0).alias("label"))
+    fitted = written(features.transform(rows).select("features", "label", (F.pmod(F.xxhash64("paragraph", "label"), F.lit(KEPT_OUT)) == 0).alias("kept_out")).coalesce(4), "training")
+    classifier = LogisticRegression(maxIter=20, regParam=1e-3, elasticNetParam=0.3, family="multinomial").fit(fitted.where("not kept_out"))
+    scored = classifier.transform(fitted.where("kept_out")).select(_margin(vector_to_array("rawPrediction"), families).alias("margin"), F.when(F.col("label") > 0, 1.0).otherwise(0.0).alias("label"))
     assembled = VectorAssembler(inputCols=["margin"], outputCol="features").transform(scored)
     calibration = LogisticRegression(maxIter=20, regParam=1e-3).fit(assembled)
     return LicenseModel(features, classifier, calibration, families)
@@ -123,7 +132,7 @@ def _by(column: str):
 def scan(docs: DataFrame, model: LicenseModel, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, license, probability, contained, n_licenses.
 
-    Every paragraph (line) is classified; one with a calibrated licence probability of `least` or more is a
+    Every paragraph (a line, or wrapped lines) is classified; one with a calibrated licence probability of `least` or more is a
     licence if CONTAINED of the word pairs of a template of the predicted family stand in it. license is the family
     of the document's paragraph with the highest probability (ties: containment, then name), else unknown with nulls; n_licenses
     counts its licence paragraphs. Null and blank texts are unknown. Equal rows share their result.

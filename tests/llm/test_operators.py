@@ -364,6 +364,15 @@ def test_licenses(spark, docs, none):
     twice = spark.createDataFrame([(1, "Released under the MIT License.\nplain words here\nReleased under the MIT License.")], "doc_id long, text string")
     assert licenses.scan(twice, model).first().n_licenses == 2
     assert all(got[i] == "unknown" for i, _ in TEXTS) and licenses.scan(none, model).count() == 0
+    wrapped = [
+        (1, "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights", "MIT"),
+        (2, prose(30, 83) + "\n\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\r\n * are met:\n\n" + prose(30, 84), "BSD-3-Clause"),
+        (3, "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License.", "GPL-3.0"),
+        (4, "Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"), (5, "Licensed under CC BY 4.0.", "CC-BY-4.0"), (6, None, "unknown"), (5, "Licensed under CC BY 4.0.", "CC-BY-4.0"),
+        (7, "the license of\nthis kind\n\n" + prose(200_000, 85), "unknown"),
+    ]
+    clashing = spark.createDataFrame([(i, t, "a", 3) for i, t, _ in wrapped], "doc_id long, text string, license string, key int")
+    assert sorted((r.doc_id, r.license) for r in licenses.scan(clashing, model).collect()) == sorted((i, f) for i, _, f in wrapped)
 
 
 def test_pipeline(spark, tmp_path):
