@@ -420,3 +420,25 @@ def test_lines_against_all_pairs(spark):
     gone = Counter(d for line, d, no in where if (d, no) != stays[root(number[line])])
     assert len(links) > 10
     assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(docs).collect() if r.n_removed} == dict(gone)
+
+
+def test_pipeline_near_dedup_rows(spark):
+    """Repeated and null ids, rows that repeat whole, blank texts and a column of the key's name."""
+    import corpus_pipeline
+
+    near = A.replace(A.split()[60], "Zzz", 1)
+    rows = [(1, A), (2, near), (2, B), (2, B), (None, near), (None, prose(60, 91)), (None, prose(60, 91)), (5, prose(60, 91)), (6, ""), (6, ""), (7, None), (0, prose(50, 92))]
+    docs = spark.createDataFrame([(i, t, 9) for i, t in rows], "doc_id long, text string, row_key int").repartition(3)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    want = [(1, A), (2, B), (5, prose(60, 91)), (6, ""), (6, ""), (7, None), (0, prose(50, 92))]
+    assert out.columns == docs.columns and Counter((r.doc_id, r.text, r.row_key) for r in out.collect()) == Counter((i, t, 9) for i, t in want)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline_empty(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, extra int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
