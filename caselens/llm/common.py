@@ -33,6 +33,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 ODD = _rng.integers(1, M64, 64, dtype=np.uint64) | np.uint64(1)
 
+#: What to call, by module, so that a worker forgets what the module's tasks keep for one another.
+held_by: dict[str, Callable] = {}
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -56,15 +58,29 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def trim() -> None:
+    """Gives freed memory back: a worker lives on for other tasks, idle ones beside it."""
+    pa.default_memory_pool().release_unused()
+    call = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if call:
+        call(0)
+
+
+def leave_to(module: str) -> None:
+    """Frees what other modules' tasks have kept in this worker."""
+    for name, forget in held_by.items():
+        if name != module:
+            forget()
+
+
 def tidy(f: Callable) -> Callable:
-    """f, after whose batches a worker gives freed memory back: it lives on for other tasks, idle ones beside it."""
+    """f, before whose batches a worker forgets other operators' caches, and after which it gives freed memory back."""
+    module = f.__module__
 
     def run(batches):
+        leave_to(module)
         yield from f(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        trim()
 
     return run
 

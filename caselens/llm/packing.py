@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Slice, slices, spans_hash, written, tidy
+from .common import Slice, held_by, slices, spans_hash, tidy, trim, written
 
 END = 2
 ROUND_ROWS = 8192  # items that a task of the first round packs, about
@@ -115,6 +115,15 @@ class ChunkTokenizer:
         return ids, before[np.searchsorted(a, s.offsets)]
 
 
+def forget_tokenizers() -> None:
+    if _tokenizers:
+        _tokenizers.clear()
+        trim()
+
+
+held_by[__name__] = forget_tokenizers
+
+
 def tokenizer(path: str) -> ChunkTokenizer:
     if path not in _tokenizers:
         _tokenizers[path] = ChunkTokenizer(path)

@@ -442,3 +442,11 @@ def test_pipeline_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_workers_forget():
+    """A packing task keeps the tokenizer for the next one; another operator's task frees it."""
+    packing.tokenizer(packing.default_path())
+    common.leave_to(packing.__name__)
+    assert packing._tokenizers
+    assert list(common.tidy(toxicity._some_rows)([])) == [] and not packing._tokenizers
