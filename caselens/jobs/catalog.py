@@ -39,6 +39,7 @@ class Data:
     structure = property(lambda d: T.structure(d.spans))
     firsts = property(lambda d: T.first_spans(d.spans))
     volume = property(lambda d: T.call_volume(d.spans, d.injections))
+    span_anomalies = property(lambda d: T.service_anomalies(T.span_signals(d.spans, d.injections), z=0.0, ratio=1.0))
     long = property(lambda d: A.long_features(d.stats))
     mapped = property(lambda d: X.harmonisation_map(d.aligned, S.clusters(d.spark)))
     eligible = property(lambda d: Q.eligibility(d.quality, T.range_covered(d.structure, d.injections), d.runs))
@@ -89,6 +90,9 @@ _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "agg_call_graph": lambda d: T.call_graph(d.volume),
     "agg_call_volume_change": lambda d: T.call_volume_change(d.volume),
     "agg_service_anomalies": lambda d: rounded(T.service_anomalies(d.stats), "magnitude"),
+    "jn_anomalous_edges": lambda d: T.anomalous_edges(d.span_anomalies, T.call_graph(d.volume)),
+    "agg_propagation_depth": lambda d: T.propagation_depth(d.span_anomalies, T.call_graph(d.volume)),
+    "agg_service_context": lambda d: rounded(T.service_context(d.span_anomalies, T.call_graph(d.volume), d.volume, "promoservice"), "svc__anomalous_service_share", "svc__latency_anomaly_magnitude", "svc__anomalous_edge_share", "svc__contagion_ratio"),
     "jn_label_lookup": lambda d: d.labels,
     "agg_label_distribution": lambda d: L.label_distribution(d.labels),
     "agg_label_sensitivity": lambda d: L.label_sensitivity(d.runs),

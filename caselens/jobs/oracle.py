@@ -50,7 +50,7 @@ _CTE = {
     "chg": """select case_no, round(avg(case when baseline_calls > 0 and (baseline_calls - incident_calls) / baseline_calls > 0.2 then 1.0 else 0.0 end), 6) as edge_drop_share, round(greatest(max(case when baseline_calls > 0 then (baseline_calls - incident_calls) / baseline_calls else 0.0 end), 0.0), 6) as max_drop,
       round(coalesce((sum(incident_calls) - sum(baseline_calls)) / nullif(sum(baseline_calls), 0), 0), 6) as total_change from vol group by case_no""",
     "cnt": "select count(*) as np from part",
-    "spans": """select o_custkey % 8 as case_no, cast(l_orderkey as varchar) as trace_id, l_orderkey || '-' || l_linenumber as span_id,
+    "spans": """select o_custkey % 8 as case_no, l_quantity as duration, cast(l_orderkey as varchar) as trace_id, l_orderkey || '-' || l_linenumber as span_id,
       case when l_linenumber = 1 or l_partkey % 40 = 0 or l_linenumber = 5 then null else l_orderkey || '-' || (l_linenumber - 1) end as parent_id, lower(a.p_type) || 'service' as service,
       'shop.' || upper(b.p_type) || 'Service/Get' as operation, lower(b.p_type) || 'service' as callee, epoch_us(o_orderdate) as start_us,
       case when l_suppkey % 11 = 0 then null when l_returnflag = 'R' then 14 else 0 end as status,
@@ -68,6 +68,18 @@ _CTE = {
       case when status is null then 'missing' when status = 0 then 'zero' else 'nonzero' end as status_category from firsts) group by case_no, scope, service, status_code, status_category)""",
     "vol": """select case_no, service as caller, callee, count(*) filter (start_us < (899251200000000 + case_no * 604800000000)) as baseline_calls, count(*) filter (start_us >= (899251200000000 + case_no * 604800000000)) as incident_calls from spans
       where start_us >= (899251200000000 + case_no * 604800000000) - 31536000000000 and start_us < (899251200000000 + case_no * 604800000000) + 31536000000000 and service <> callee group by all""",
+    "sw": """select case_no, service, avg(duration) filter (b) as lb, stddev_pop(duration) filter (b) as ls, avg(duration) filter (not b) as li, avg(e) filter (b) as eb, stddev_pop(e) filter (b) as es, avg(e) filter (not b) as ei
+      from (select case_no, service, duration, case when status = 14 then 1.0::double else 0.0 end as e, start_us < t as b from (select *, 899251200000000 + case_no * 604800000000 as t from spans) where start_us >= t - 31536000000000 and start_us < t + 31536000000000) group by all""",
+    "sanom": """select case_no, m as modality, service, case when s > 0 and case when bm = 0 then im > 0 else im > bm end then greatest((im - bm) / s, 0) else 0 end as magnitude
+      from (select case_no, service, 'trace_latency' as m, lb as bm, ls as s, li as im from sw union all select case_no, service, 'trace_error', eb, es, ei from sw)""",
+    "hot": "select case_no, service from sanom where modality = 'trace_latency' and magnitude > 0",
+    "ed": "select distinct caller, callee from vol",
+    "hed": "select a.case_no, caller, callee from ed join hot a on a.service = caller join hot b on b.service = callee and b.case_no = a.case_no",
+    "hn": "select case_no, count(*) as n from hot group by all",
+    "walk": "select case_no, service, 1 as depth from hot union select w.case_no, e.callee, w.depth + 1 from walk w join hed e on e.case_no = w.case_no and e.caller = w.service join hn on hn.case_no = w.case_no where w.depth < hn.n",
+    "nb": "select caller as s, callee as t from ed union select callee, caller from ed",
+    "con": "select case_no, avg(r) as r from (select h.case_no, h.service, count(g.service) / count(*) as r from hot h join nb on nb.s = h.service left join hot g on g.case_no = h.case_no and g.service = nb.t group by all) group by all",
+    "deg": "select s, (select count(*) from ed where callee = s) as i, (select count(*) from ed where caller = s) as o from (select distinct s from nb)",
     "anom": """select case_no, split_part(column_name, '__', 1) as modality, regexp_extract(column_name, '^trace_[a-z]+__(.*)_[^_]+$', 1) as service,
       greatest(0.0, coalesce(max(zscore_mean) filter (case when zscore_mean is null then false when baseline_mean = 0 then baseline_mean + delta_mean > 0 else zscore_mean > 3 and (baseline_mean + delta_mean) / baseline_mean > 1.5 end), 0.0)) as magnitude
       from stats where column_name like 'trace%' group by all""",
@@ -83,7 +95,7 @@ _CTE = {
       round(coalesce(max(tp / nullif(t, 0)) filter (c = 'Low'), 0), 6) as recall_low, round(coalesce(max(tp / nullif(t, 0)) filter (c = 'Medium'), 0), 6) as recall_medium, round(coalesce(max(tp / nullif(t, 0)) filter (c = 'High'), 0), 6) as recall_high from cm group by repeat""",
     "df": """select scenario, round(avg(case when y_true = y_pred then 1.0 else 0.0 end) filter (repeat = 0) - avg(case when y_true = y_pred then 1.0 else 0.0 end) filter (repeat = 1), 6) as diff from oof where repeat < 2 group by scenario""",
 }
-_NEEDS = {"samples": "ev", "win": "samples runs", "aligned": "win", "dense": "aligned", "near": "dense", "filled": "near", "st": "filled", "stats": "st", "long": "stats", "quality": "samples runs", "q2": "quality", "gapped": "samples runs", "isl": "gapped", "spans": "cnt", "firsts": "spans", "struct": "spans", "rt": "spans", "roots": "rt", "ops": "firsts", "stc": "firsts", "vol": "spans", "anom": "stats", "lab": "runs pol", "dl": "lab", "cm": "oof", "sc": "cm", "df": "oof", "clt": "cl", "maps": "aligned clt", "how": "near", "chg": "vol"}
+_NEEDS = {"samples": "ev", "win": "samples runs", "aligned": "win", "dense": "aligned", "near": "dense", "filled": "near", "st": "filled", "stats": "st", "long": "stats", "quality": "samples runs", "q2": "quality", "gapped": "samples runs", "isl": "gapped", "spans": "cnt", "firsts": "spans", "struct": "spans", "rt": "spans", "roots": "rt", "ops": "firsts", "stc": "firsts", "vol": "spans", "anom": "stats", "sw": "spans", "sanom": "sw", "hot": "sanom", "ed": "vol", "hed": "ed hot", "hn": "hot", "walk": "hed hn", "nb": "ed", "con": "hot nb", "deg": "nb", "lab": "runs pol", "dl": "lab", "cm": "oof", "sc": "cm", "df": "oof", "clt": "cl", "maps": "aligned clt", "how": "near", "chg": "vol"}
 
 
 def sql(body: str, *heads: str) -> str:
@@ -102,6 +114,16 @@ def sql(body: str, *heads: str) -> str:
 
 
 EXTRA_SQL = {
+    "jn_anomalous_edges": sql("select * from hed", "hed"),
+    "agg_propagation_depth": sql("select c.case_no, coalesce(max(w.depth), 0) as depth from (select distinct case_no from sanom) c left join walk w on w.case_no = c.case_no group by all", "walk").replace("with ", "with recursive ", 1),
+    "agg_service_context": sql("""select c.case_no, coalesce(h.n, 0) as svc__anomalous_service_count, round(coalesce(h.n, 0) / (select count(distinct s) from nb), 6) as svc__anomalous_service_share, round(c.m, 6) as svc__latency_anomaly_magnitude, c.e as svc__error_service_count,
+      (select count(*) from hed where hed.case_no = c.case_no) as svc__anomalous_edge_count, round((select count(*) from hed where hed.case_no = c.case_no) / (select count(*) from ed), 6) as svc__anomalous_edge_share,
+      coalesce((select max(depth) from walk where walk.case_no = c.case_no), 0) as svc__propagation_depth, (select count(*) from hot where hot.case_no = c.case_no and not exists (select 1 from hed where hed.case_no = hot.case_no and hed.callee = hot.service)) as svc__anomalous_root_count,
+      round(coalesce(con.r, 0), 6) as svc__contagion_ratio, (select count(*) from hot where hot.case_no = c.case_no and service = 'promoservice') as svc__frontend_anomalous,
+      coalesce((select max(i) from hot join deg on s = service where hot.case_no = c.case_no), 0) as svc__max_in_degree_anomalous, coalesce((select max(o) from hot join deg on s = service where hot.case_no = c.case_no), 0) as svc__max_out_degree_anomalous,
+      round(coalesce(v.x, 0), 6) as svc__call_volume_drop_share, round(coalesce(v.y, 0), 6) as svc__call_volume_max_drop, round(coalesce(v.z, 0), 6) as svc__call_volume_total_change
+      from (select case_no, sum(magnitude) filter (modality = 'trace_latency') as m, count(*) filter (modality = 'trace_error' and magnitude > 0) as e from sanom group by all) c left join hn h on h.case_no = c.case_no left join con on con.case_no = c.case_no
+      left join (select case_no, avg(case when baseline_calls > 0 and (baseline_calls - incident_calls) / baseline_calls > 0.2 then 1.0 else 0.0 end) as x, greatest(max(case when baseline_calls > 0 then (baseline_calls - incident_calls) / baseline_calls else 0.0 end), 0.0) as y, (sum(incident_calls) - sum(baseline_calls)) / nullif(sum(baseline_calls), 0) as z from vol group by case_no) v on v.case_no = c.case_no""", "walk", "con", "deg").replace("with ", "with recursive ", 1),
     "prj_trace_column_service": sql("select distinct column_name, case when column_name like '%svc0%' then 'svc0' else 'svc1' end as service from samples where data_name like 'trace%'", "samples"),
     "prj_blank_missing": sql("select case_no, count(*) - count(trace_id) as missing_trace_id, count(*) - count(span_id) as missing_span_id, count(*) - count(parent_id) as missing_parent_id from spans group by case_no", "spans"),
     "jn_cluster_dictionary": sql("select case_no, column_name, template, category, n from maps", "maps"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import blank_to_null, callee_of, status_category, status_text
@@ -119,3 +119,62 @@ def service_anomalies(stats: DataFrame, z: float = 3.0, ratio: float = 1.5) -> D
     large = F.when(F.col("baseline_mean") == 0, F.col("incident_mean") > 0).otherwise((F.col("zscore_mean") > z) & (F.col("incident_mean") / F.col("baseline_mean") > ratio))
     score = F.when(F.col("zscore_mean").isNotNull() & large, F.col("zscore_mean"))
     return s.where(~F.col("service").isin(*EXCLUDED)).groupBy("case_no", "modality", "service").agg(F.greatest(F.coalesce(F.max(score), F.lit(0.0)), F.lit(0.0)).alias("magnitude"))
+
+
+def span_signals(spans: DataFrame, injections: DataFrame, reach_us: int = YEAR_US) -> DataFrame:
+    """Latency and error statistics of each case's services from its spans: column_name, baseline_mean, delta_mean, zscore_mean."""
+    s = in_windows(spans.select("case_no", "service", "start_us", "duration", F.coalesce((F.col("status") == 14).cast("double"), F.lit(0.0)).alias("failed")), injections, reach_us)
+    before, after = (lambda c: F.when(F.col("window_type") == "baseline", F.col(c))), (lambda c: F.when(F.col("window_type") == "incident", F.col(c)))
+    kinds = {"trace_latency": "duration", "trace_error": "failed"}
+    one = s.groupBy("case_no", "service").agg(*(f.alias(f"{c}_{n}") for c in kinds.values() for n, f in (("b", F.avg(before(c))), ("s", F.stddev_pop(before(c))), ("i", F.avg(after(c))))))
+    rows = [F.struct(F.concat(F.lit(f"{k}__"), "service", F.lit("_Get")).alias("column_name"), F.col(f"{c}_b").alias("baseline_mean"), (F.col(f"{c}_i") - F.col(f"{c}_b")).alias("delta_mean"), F.try_divide(F.col(f"{c}_i") - F.col(f"{c}_b"), F.col(f"{c}_s")).alias("zscore_mean")) for k, c in kinds.items()]
+    return one.select("case_no", F.inline(F.array(*rows)))
+
+
+def _anomalous(anomalies: DataFrame, graph: DataFrame) -> DataFrame:
+    """For each case its services of anomalous latency (hot), the graph's edges, and those between hot services.
+
+    Arrays are bounded by the services of a system and the edges between them, whatever the number of cases and spans.
+    """
+    edges = graph.select(F.sort_array(F.collect_set(F.struct("caller", "callee")))).scalar()
+    latency = F.col("modality") == "trace_latency"
+    found = anomalies.groupBy("case_no").agg(
+        F.collect_set(F.when(latency & (F.col("magnitude") > 0), F.col("service"))).alias("hot"), F.coalesce(F.sum(F.when(latency, F.col("magnitude"))), F.lit(0.0)).alias("latency"),
+        F.count_if((F.col("modality") == "trace_error") & (F.col("magnitude") > 0)).alias("errors"),
+    ).withColumn("edges", edges)
+    return found.withColumn("between", F.filter("edges", lambda e: F.array_contains("hot", e["caller"]) & F.array_contains("hot", e["callee"])))
+
+
+def _depth() -> Column:
+    """Services in the longest chain of calls between hot ones. Chains that come back to a service end at the number of hot services."""
+    start = F.struct(F.col("hot").alias("at"), F.lit(0).alias("depth"))
+    step = lambda x, _: F.struct(F.array_distinct(F.transform(F.filter("between", lambda e: F.array_contains(x["at"], e["caller"])), lambda e: e["callee"])).alias("at"), (x["depth"] + F.when(F.size(x["at"]) > 0, 1).otherwise(0)).alias("depth"))
+    return F.when(F.size("hot") == 0, 0).otherwise(F.aggregate("hot", start, step, lambda x: x["depth"]))
+
+
+def anomalous_edges(anomalies: DataFrame, graph: DataFrame) -> DataFrame:
+    return _anomalous(anomalies, graph).select("case_no", F.inline("between"))
+
+
+def propagation_depth(anomalies: DataFrame, graph: DataFrame) -> DataFrame:
+    return _anomalous(anomalies, graph).select("case_no", _depth().alias("depth"))
+
+
+def service_context(anomalies: DataFrame, graph: DataFrame, volume: DataFrame, frontend: str = "frontendservice") -> DataFrame:
+    """Fifteen features a case: how many services are anomalous, how they lie in the call graph, and how calls change."""
+    share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+    calls = lambda side, s: F.filter("edges", lambda e: e[side] == s)
+    nodes = F.array_distinct(F.concat(F.transform("edges", lambda e: e["caller"]), F.transform("edges", lambda e: e["callee"])))
+    near = lambda s: F.array_distinct(F.concat(F.transform(calls("caller", s), lambda e: e["callee"]), F.transform(calls("callee", s), lambda e: e["caller"])))
+    spread = F.filter(F.transform("hot", lambda s: F.try_divide(F.size(F.array_intersect(near(s), F.col("hot"))).cast("double"), F.size(near(s)))), lambda x: x.isNotNull())
+    most = lambda side: F.coalesce(F.array_max(F.transform("hot", lambda s: F.size(calls(side, s)))), F.lit(0)).cast("long")
+    out = _anomalous(anomalies, graph).select(
+        "case_no", F.size("hot").cast("long").alias("svc__anomalous_service_count"), share(F.size("hot"), F.size(nodes)).alias("svc__anomalous_service_share"),
+        F.col("latency").alias("svc__latency_anomaly_magnitude"), F.col("errors").alias("svc__error_service_count"), F.size("between").cast("long").alias("svc__anomalous_edge_count"),
+        share(F.size("between"), F.size("edges")).alias("svc__anomalous_edge_share"), _depth().alias("svc__propagation_depth"),
+        F.size(F.filter("hot", lambda s: ~F.exists("between", lambda e: e["callee"] == s))).cast("long").alias("svc__anomalous_root_count"),
+        share(F.aggregate(spread, F.lit(0.0), lambda a, x: a + x), F.size(spread)).alias("svc__contagion_ratio"), F.array_contains("hot", frontend).cast("long").alias("svc__frontend_anomalous"),
+        most("callee").alias("svc__max_in_degree_anomalous"), most("caller").alias("svc__max_out_degree_anomalous"),
+    )
+    change = call_volume_change(volume).withColumnsRenamed({"edge_drop_share": "svc__call_volume_drop_share", "max_drop": "svc__call_volume_max_drop", "total_change": "svc__call_volume_total_change"})
+    return out.join(change, "case_no", "left").fillna(0.0, [c for c in change.columns if c != "case_no"])

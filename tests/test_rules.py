@@ -54,3 +54,20 @@ def test_a_feature_without_configuration_or_label_fails(spark):
         features.feature_manifest(long, spark.createDataFrame([], "feature_name string, audit_status string")).collect()
     with pytest.raises(Exception, match="no label"):
         features.aligned_labels(long, spark.createDataFrame([(1, "Low")], "case_no long, severity string")).collect()
+
+
+def test_service_context_chain(spark):
+    """a -> b -> c are anomalous in case 0, d isn't; in case 1 only d; in case 2 nothing is; in case 3 b and e call each other."""
+    from caselens.operators import traces
+
+    hot = {0: "abc", 1: "d", 2: "", 3: "be"}
+    rows = [(case, "trace_latency", s, 4.0 if s in names else 0.0) for case, names in hot.items() for s in "abcde"] + [(0, "trace_error", "d", 2.0)]
+    anomalies = spark.createDataFrame(rows, "case_no long, modality string, service string, magnitude double")
+    graph = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("b", "e"), ("e", "b")], "caller string, callee string")
+    volume = spark.createDataFrame([(0, "a", "b", 10, 5), (0, "b", "c", 0, 4)], "case_no long, caller string, callee string, baseline_calls long, incident_calls long")
+    assert {r.case_no: r.depth for r in traces.propagation_depth(anomalies, graph).collect()} == {0: 3, 1: 1, 2: 0, 3: 2}
+    assert {tuple(r) for r in traces.anomalous_edges(anomalies, graph).collect()} == {(0, "a", "b"), (0, "b", "c"), (3, "b", "e"), (3, "e", "b")}
+    got = {r.case_no: {k.removeprefix("svc__"): v for k, v in r.asDict().items()} for r in traces.service_context(anomalies, graph, volume, "a").collect()}
+    want = {"case_no": 0, "anomalous_service_count": 3, "anomalous_service_share": 0.6, "latency_anomaly_magnitude": 12.0, "error_service_count": 1, "anomalous_edge_count": 2, "anomalous_edge_share": 0.4, "propagation_depth": 3, "anomalous_root_count": 1,
+            "contagion_ratio": (1 + 2 / 3 + 1 / 2) / 3, "frontend_anomalous": 1, "max_in_degree_anomalous": 2, "max_out_degree_anomalous": 2, "call_volume_drop_share": 0.5, "call_volume_max_drop": 0.5, "call_volume_total_change": -0.1}
+    assert got[0] == want and got[2]["contagion_ratio"] == 0 and got[2]["max_in_degree_anomalous"] == 0 and got[3]["anomalous_root_count"] == 0
