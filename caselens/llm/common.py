@@ -194,36 +194,17 @@ def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def bounded_ids(ids: DataFrame, bits: int = 23) -> tuple[int, dict[int, np.ndarray]]:
-    """A bitmap of 2**bits hash places that holds all ids of the one column.
+def only_maybe(df: DataFrame, key: str, ids: DataFrame, bits: int = 23) -> DataFrame:
+    """Rows whose key may be in ids (one column of the key's type): all that are, and a few others.
 
-    Its size is fixed whatever the input; with many ids it only lets more others through, and
-    whoever uses it must join with the ids afterwards.
+    ids become a bitmap of 2**bits hash places, broadcast as words of 64 places: 2**(bits - 6) rows at most, whatever the
+    input. With many ids it only lets more others through, and whoever uses it must join with the ids afterwards.
     """
-    place = F.pmod(F.xxhash64(ids.columns[0]), F.lit(1 << bits)) + 1
-    rows = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
-    return bits, {r["b"]: np.frombuffer(bytes(r["m"]), np.uint8) for r in rows}
-
-
-def only_maybe(df: DataFrame, key: str, ids: DataFrame, bits: int = 23) -> DataFrame:
-    """Rows whose key may be in ids: all that are, and a few others."""
-    spark = df.sparkSession
-    bits, maps = bounded_ids(ids, bits)
-    whole = np.zeros((1 << bits) >> 3, np.uint8)
-    for b, m in maps.items():
-        whole[(b - 1) * 4096 : b * 4096] = m[: len(whole[(b - 1) * 4096 : b * 4096])]
-    held = spark.sparkContext.broadcast(whole)
-    schema = df.schema
-
-    def keep(batches):
-        whole = held.value
-        for x in batches:
-            p = x.column(x.num_columns - 1).to_numpy(zero_copy_only=False)
-            hit = (whole[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-            if hit.any():
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in x.columns[:-1]], names=x.schema.names[:-1])
-
-    return df.withColumn("_place", F.pmod(F.xxhash64(key), F.lit(1 << bits))).mapInArrow(tidy(keep), schema)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    words = ids.select(place(ids.columns[0]).alias("p")).groupBy(F.shiftright("p", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("_bits"))
+    placed = df.withColumn("_place", place(key))
+    met = placed.join(F.broadcast(words), F.shiftright("_place", 6) == F.col("_word"))
+    return met.where("bit_get(_bits, cast(_place & 63 as int)) = 1").select(df.columns)
 
 
 def _stars(e: DataFrame) -> bool:
