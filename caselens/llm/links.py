@@ -74,15 +74,15 @@ def sketch_columns(sketches: list[tuple[int, int, int]]) -> list[pa.Array]:
     return [pa.array([x[k] for x in sketches], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64()))]
 
 
-def most_apart(num: int, den: int, bits: int) -> int:
-    """Sketch bits in which a linked pair differs at most, but for one pair in ten million."""
+def most_apart(num: int, den: int, bits: int, sigmas: float = 5.5) -> int:
+    """Sketch bits in which a linked pair differs at most, but for one pair in ten million (at 5.5 standard deviations)."""
     p = (1 - num / den) / 2
-    return math.ceil(bits * p + 5.5 * math.sqrt(bits * p * (1 - p)))
+    return math.ceil(bits * p + sigmas * math.sqrt(bits * p * (1 - p)))
 
 
-def alike(num: int, den: int, bits: int = BITS, sizes: bool = True) -> str:
+def alike(num: int, den: int, bits: int = BITS, sizes: bool = True, sigmas: float = 5.5) -> str:
     """Condition under which sketches can be of a linked pair: by sizes, where they are exact, and by bits."""
-    same = f"bit_count(bits0 ^ other_bits0) + bit_count(bits1 ^ other_bits1) <= {most_apart(num, den, bits)}"
+    same = f"bit_count(bits0 ^ other_bits0) + bit_count(bits1 ^ other_bits1) <= {most_apart(num, den, bits, sigmas)}"
     return f"{den} * least(size, other_size) >= {num} * greatest(size, other_size) and {same}" if sizes else same
 
 
@@ -161,7 +161,7 @@ def _shared(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, width
     return out
 
 
-def in_cells(p: DataFrame, sets: DataFrame, num: int, den: int, head: int = 0, least: int = 0, unpack: Callable = as_words, width: int = BITS) -> DataFrame:
+def in_cells(p: DataFrame, sets: DataFrame, num: int, den: int, head: int = 0, least: int = 0, unpack: Callable = as_words, width: int = BITS, sigmas: float = 5.5) -> DataFrame:
     """Links (a, b) between components of the postings p (key, item, comp and SKETCH's columns), without their pairs as rows.
 
     The members of a key outside its largest component (others) are dealt into blocks of about BLOCK members and
@@ -182,7 +182,7 @@ def in_cells(p: DataFrame, sets: DataFrame, num: int, den: int, head: int = 0, l
     own = F.when(F.col("main"), -1 - F.col("own")).otherwise(F.col("own"))
     cell = F.xxhash64("key", F.least(own, "other"), F.greatest(own, "other"))
     dealt = p.select(cell.alias("cell"), "item", "comp", "bits0", "bits1").join(sets.select("item", "elems"), "item").select("cell", "item", "comp", "bits0", "bits1", "elems")
-    most = most_apart(num, den, width)
+    most = most_apart(num, den, width, sigmas)
 
     def cells(batches):
         now, parts = None, []
@@ -209,14 +209,14 @@ def in_cells(p: DataFrame, sets: DataFrame, num: int, den: int, head: int = 0, l
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(cells), "a long, b long")
 
 
-def link_components(postings: DataFrame, sketches: DataFrame, screen: str, fetch: Callable[[DataFrame], DataFrame], confirm: Callable, cells: Callable | None = None, rounds: int = 1) -> DataFrame:
+def link_components(postings: DataFrame, sketches: DataFrame, screen: str, fetch: Callable[[DataFrame], DataFrame], confirm: Callable, cells: Callable | None = None, rounds: int = 1, paired: int = PAIRED) -> DataFrame:
     """(node, component) of the items that link with another one.
 
     postings: (key, item, n), n the key's members, null where a key has many; two items may link only if they share a key.
     sketches: item and SKETCH's columns; pairs that `screen` rules out aren't made. fetch gives the sets (item, elems) of
     the items asked for, confirm(pairs, sets) keeps the pairs (a, b) that link.
 
-    Keys of up to PAIRED members make all their pairs. For the others, each round compares the
+    Keys of up to `paired` members make all their pairs. For the others, each round compares the
     members of a key with one pivot and contracts what links, so that a large group of copies
     needs one comparison a member. Then only members of different components under one key are
     left, and all of those pairs are compared, for keys of more than CROSSED members by cells(postings with comp, sets) if given (see
@@ -226,7 +226,7 @@ def link_components(postings: DataFrame, sketches: DataFrame, screen: str, fetch
     sketch_of = [c for c in p.columns if c not in ("key", "n")]
     twin = lambda df: df.select("key", *(F.col(c).alias("other" if c == "item" else f"other_{c}") for c in sketch_of))
     wide = F.coalesce(F.col("n") > CROSSED, F.lit(True))
-    small, large = p.where(F.col("n") <= PAIRED).drop("n"), p.where(F.coalesce(F.col("n") > PAIRED, F.lit(True))).withColumn("wide", wide if cells else F.lit(False)).drop("n")
+    small, large = p.where(F.col("n") <= paired).drop("n"), p.where(F.coalesce(F.col("n") > paired, F.lit(True))).withColumn("wide", wide if cells else F.lit(False)).drop("n")
     pairs = small.join(twin(small), "key").where(f"item < other and {screen}").select(F.col("item").alias("a"), F.col("other").alias("b"))
     for r in range(rounds):
         pivots = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("item", F.lit(r)).alias("o"), *sketch_of)).alias("x")).select("key", *(f"x.{c}" for c in sketch_of))
