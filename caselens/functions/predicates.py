@@ -65,5 +65,10 @@ def log_column_parts(name: Column) -> tuple[Column, Column]:
     return F.regexp_extract(name, r"^log__(.*)_([^_]+)$", 1), F.regexp_extract(name, r"^log__(.*)_([^_]+)$", 2)
 
 
+def trace_service(name: Column) -> Column:
+    """trace_latency__svc_Place_Order__zscore_mean gives svc: what follows the first double underscore, up to an underscore."""
+    return F.split_part(F.split_part(name, F.lit("__"), F.lit(2)), F.lit("_"), F.lit(1))
+
+
 def callee_of(operation: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(operation, r"shop\.([A-Za-z]+)/", 1), F.lit("")))

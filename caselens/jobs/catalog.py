@@ -18,13 +18,15 @@ from .oracle import ORACLE_SQL
 
 GRID = S.Grid()
 FLAGSHIP = "agg_feature_statistics"
+#: Share of a window's bins that a source may lack. The driver's events are sparse: bins of six hours hold few of them.
+MOST_EMPTY = 0.25
 
 
 class Data:
     """The inputs and the steps that several queries share, built when they are asked for; all are lazy."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, most_empty: float = MOST_EMPTY):
+        self.spark, self.sf_dir, self.most_empty = spark, sf_dir, most_empty
 
     runs = property(lambda d: S.runs(d.spark))
     samples = property(lambda d: S.samples(d.spark, d.sf_dir))
@@ -33,7 +35,12 @@ class Data:
     windowed = property(lambda d: A.in_window(d.samples, d.runs, GRID))
     aligned = property(lambda d: A.align(d.windowed))
     dense = property(lambda d: A.densify(d.aligned, GRID))
-    filled = property(lambda d: A.fill(d.dense))
+    harmonised = property(lambda d: A.harmonise(d.aligned, S.clusters(d.spark)))
+    schema = property(lambda d: A.feature_schema(d.harmonised))
+    bins = property(lambda d: A.bin_eligibility(d.windowed, d.runs, GRID, d.most_empty))
+    verdict = property(lambda d: A.bin_verdict(d.bins))
+    cases = property(lambda d: d.verdict.where("eligible").select("case_no"))
+    filled = property(lambda d: A.fill(A.complete(d.harmonised, d.schema, d.cases, GRID)))
     stats = property(lambda d: A.feature_statistics(d.filled))
     quality = property(lambda d: Q.timeseries_quality(d.samples, d.runs, GRID.reach))
     structure = property(lambda d: T.structure(d.spans))
@@ -41,7 +48,8 @@ class Data:
     volume = property(lambda d: T.call_volume(d.spans, d.injections))
     span_anomalies = property(lambda d: T.service_anomalies(T.span_signals(d.spans, d.injections), z=0.0, ratio=1.0))
     long = property(lambda d: A.long_features(d.stats))
-    mapped = property(lambda d: X.harmonisation_map(d.aligned, S.clusters(d.spark)))
+    mapped = property(lambda d: X.harmonisation_map(d.aligned.join(d.cases, "case_no", "left_semi"), S.clusters(d.spark)))
+    novelty = property(lambda d: A.log_novelty(d.mapped, d.cases))
     eligible = property(lambda d: Q.eligibility(d.quality, T.range_covered(d.structure, d.injections), d.runs))
     audit = property(lambda d: X.proxy_variance(d.long, d.runs).select("feature_name", F.when(F.col("decision") == "rejected", "rejected").otherwise("passed").alias("audit_status")))
     manifest = property(lambda d: X.feature_manifest(d.long, d.audit))
@@ -69,12 +77,13 @@ _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "agg_align_grid": lambda d: rounded(d.aligned, "value"),
     "jn_grid_densify": lambda d: rounded(d.dense, "value"),
     "agg_harmonize_logs": lambda d: rounded(A.harmonise_logs(d.aligned, S.clusters(d.spark)), "value"),
-    "win_linear_fill": lambda d: rounded(d.filled.drop("value", "method"), "filled"),
+    "win_linear_fill": lambda d: rounded(d.filled.select("case_no", "column_name", "bin_index", "policy", "filled"), "filled"),
     "agg_cleaning_log": lambda d: A.cleaning_log(d.filled),
     "agg_feature_statistics": lambda d: rounded(d.stats, "baseline_mean", "incident_max", "delta_mean", "zscore_max", "zscore_mean"),
-    "agg_feature_schema": lambda d: rounded(A.feature_schema(d.aligned), "run_coverage"),
-    "agg_bin_eligibility": lambda d: A.bin_eligibility(d.windowed, d.runs, GRID),
-    "agg_log_novelty": lambda d: A.log_novelty(d.mapped, d.runs),
+    "agg_feature_schema": lambda d: rounded(d.schema, "run_coverage"),
+    "agg_bin_eligibility": lambda d: d.bins.join(d.verdict, "case_no"),
+    "agg_validate_cleaned": lambda d: A.validate_cleaned(d.filled, d.schema, d.cases, GRID),
+    "agg_log_novelty": lambda d: d.novelty,
     "agg_constant_features": lambda d: A.constant_features(A.long_features(d.stats)),
     "win_topk_features": lambda d: rounded(A.top_features(d.stats), "zscore_mean"),
     "agg_timeseries_quality": lambda d: d.quality,
@@ -102,7 +111,7 @@ _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "ml_scenario_accuracy": lambda d: L.scenario_accuracy(d.oof),
     "win_majority_class": lambda d: L.majority_class(d.oof),
     "win_signed_rank": lambda d: L.signed_ranks(d.oof),
-    "prj_trace_column_service": lambda d: d.samples.where("data_name like 'trace%'").select("column_name").distinct().withColumn("service", X.column_service(F.col("column_name"))),
+    "prj_trace_column_service": lambda d: d.samples.where("data_name like 'trace%'").select("column_name").distinct().withColumn("service", P.trace_service(F.col("column_name"))),
     "prj_blank_missing": lambda d: d.spans.groupBy("case_no").agg(*(F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in ("trace_id", "span_id", "parent_id"))),
     "jn_cluster_dictionary": lambda d: X.with_templates(d.aligned, S.clusters(d.spark)).groupBy("case_no", "column_name", "template", "category").agg(F.count("*").alias("n")),
     "jn_window_range": lambda d: T.in_windows(d.spans, d.injections).groupBy("case_no", "window_type").agg(F.count("*").alias("n")),
@@ -118,10 +127,9 @@ _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "agg_numeric_quality": lambda d: X.numeric_quality(d.long),
     "agg_proxy_variance": lambda d: X.proxy_variance(d.long, d.runs),
     "agg_leakage_audit": lambda d: X.leakage(d.long, d.labels),
-    "ml_relative_features": lambda d: rounded(X.relative_features(d.stats, d.runs), "zscore_max", "zscore_mean"),
-    "agg_excluded_runs": lambda d: X.excluded_runs(d.eligible, A.bin_eligibility(d.windowed, d.runs, GRID)),
+    "agg_excluded_runs": lambda d: X.excluded_runs(d.eligible, d.verdict),
     "agg_case_consistency": lambda d: X.case_consistency(d.runs, d.aligned, d.spans),
-    "jn_feature_merge": lambda d: rounded(X.merged_features(d.stats, A.log_novelty(d.mapped, d.runs), T.call_volume_change(d.volume)), "largest_z"),
+    "jn_feature_merge": lambda d: rounded(X.merged_features(d.stats, d.novelty, T.call_volume_change(d.volume)), "largest_z"),
     "prj_feature_manifest": lambda d: d.manifest,
     "prj_select_config": lambda d: X.select_configuration(d.long, d.manifest, "E1").groupBy("case_no").agg(F.count("*").alias("feature_count"), F.count("value").alias("value_count")),
     "jn_case_metadata": lambda d: X.case_metadata(d.runs, d.long),
@@ -133,6 +141,6 @@ _BUILD: dict[str, Callable[[Data], DataFrame]] = {
 _FIXED = {"src_run_metadata", "jn_label_lookup", "agg_label_distribution", "agg_label_sensitivity"}
 
 QUERIES = {k: (lambda spark, sf_dir, f=f: f(Data(spark, sf_dir))) for k, f in _BUILD.items() if k not in _FIXED}
-CHECKED = {k: (lambda spark, sf_dir, f=f: f(Data(spark, sf_dir))) for k, f in _BUILD.items()}
+CHECKED = {k: (lambda spark, sf_dir, most_empty=MOST_EMPTY, f=f: f(Data(spark, sf_dir, most_empty))) for k, f in _BUILD.items()}
 ALL_SQL = ORACLE_SQL
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if k in QUERIES}

@@ -11,7 +11,7 @@ _CTE = {
     "samples": """select case_no, case when e in ('view','error') then 'metrics' when e = 'click' then 'logs' when e = 'purchase' then 'trace_latency' else 'trace_error' end as data_name,
       case when e in ('view','error') then 'metric' when e = 'click' then 'log' when e = 'purchase' then 'trace_latency' else 'trace_error' end || '__svc' || cast(k % 2 as varchar) || '_' ||
       case when e = 'view' then 'cpu' when e = 'error' then 'error' when e = 'click' then cast(k % 3 as varchar) when k % 4 < 2 then 'Get' else 'Put' end as column_name,
-      ts_us, case when k % 23 <> 0 then value end as value from ev""",
+      ts_us, case when k % 23 <> 0 then value end as value from ev where not (case_no = 5 and e = 'error' and k % 2 = 1) and not (case_no = 6 and e = 'purchase' and k % 2 = 0 and k % 4 >= 2)""",
     "win": """select s.case_no, data_name, column_name, value, cast(floor((ts_us - inject_s * 1000000) / 21600000000.0) as integer) as bin_index,
       case when ts_us < inject_s * 1000000 then 'baseline' else 'incident' end as window_type from samples s join runs r on s.case_no = r.case_no
       where ts_us >= (inject_s - 432000) * 1000000 and ts_us < (inject_s + 432000) * 1000000""",
@@ -19,13 +19,25 @@ _CTE = {
       count(*) as sample_count from win group by case_no, data_name, column_name, bin_index""",
     "dense": """select k.case_no, k.column_name, cast(b as integer) as bin_index, a.value, coalesce(a.sample_count, 0) as sample_count from (select distinct case_no, column_name from aligned) k
       cross join range(-20, 20) g(b) left join aligned a on a.case_no = k.case_no and a.column_name = k.column_name and a.bin_index = b""",
+    "harm": """select case_no, column_name, bin_index, value, sample_count from aligned where data_name <> 'logs' union all
+      select a.case_no, 'log__' || split_part(column_name, '_', 3) || '__' || category, bin_index, sum(value), cast(sum(sample_count) as bigint) from aligned a
+      join cl on cl.case_no = a.case_no and cl.cluster_id = cast(split_part(column_name, '_', 4) as bigint) where data_name = 'logs' group by all""",
+    "sch": """select *, case when keep then '' else 'gauge_coverage_below_threshold' end as drop_reason, row_number() over (order by case modality when 'metric' then 1 when 'log' then 2 when 'trace_latency' then 3 else 4 end, column_name) as position
+      from (select *, case when family in ('log_count', 'trace_error', 'error_signal') then 'zero' else 'interpolate' end as fill_policy, family in ('log_count', 'trace_error', 'error_signal') or run_coverage >= 0.5 as keep
+      from (select column_name, split_part(column_name, '__', 1) as modality, case when column_name like 'log%' then 'log_count' when column_name like 'trace_latency%' then 'trace_latency' when column_name like 'trace_error%' then 'trace_error'
+      when column_name like '%_error' then 'error_signal' else 'continuous_resource' end as family, count(distinct case_no) / (select count(distinct case_no) from aligned) as run_coverage from harm group by column_name))""",
+    "bins": """select r.case_no, d as data_name, w as window_type, 20 - count(distinct bin_index) as empty_bins, (20 - count(distinct bin_index)) / 20 as ratio, (20 - count(distinct bin_index)) / 20 > /*most*/0.25 as excluded, any_value(o) as o
+      from runs r cross join (values ('metrics',1),('logs',2),('trace_latency',3),('trace_error',4)) a(d,o) cross join (values ('baseline'),('incident')) b(w) left join win on win.case_no = r.case_no and data_name = d and window_type = w group by r.case_no, d, w""",
+    "verd": "select case_no, not bool_or(excluded) as eligible, coalesce(string_agg(data_name || '_' || window_type || '_missing_ratio=' || printf('%.2f', ratio), '|' order by o, window_type) filter (excluded), '') as exclusion_reason from bins group by case_no",
+    "comp": """select c.case_no, s.column_name, cast(b as integer) as bin_index, s.modality, s.family, s.fill_policy, not exists (select 1 from harm h where h.case_no = c.case_no and h.column_name = s.column_name) as absent, h.value
+      from (select case_no from verd where eligible) c cross join (select * from sch where keep) s cross join range(-20, 20) g(b) left join harm h on h.case_no = c.case_no and h.column_name = s.column_name and h.bin_index = b""",
     "near": """select d.*, case when column_name like 'log%' or column_name like 'trace_error%' or column_name like '%_error' then 'zero' else 'interpolate' end as policy,
-      (select max(x.bin_index) from dense x where x.case_no = d.case_no and x.column_name = d.column_name and x.value is not null and x.bin_index <= d.bin_index) as pb,
-      (select min(x.bin_index) from dense x where x.case_no = d.case_no and x.column_name = d.column_name and x.value is not null and x.bin_index >= d.bin_index) as nb from dense d""",
+      (select max(x.bin_index) from comp x where x.case_no = d.case_no and x.column_name = d.column_name and x.value is not null and x.bin_index <= d.bin_index) as pb,
+      (select min(x.bin_index) from comp x where x.case_no = d.case_no and x.column_name = d.column_name and x.value is not null and x.bin_index >= d.bin_index) as nb from comp d""",
     "filled": """select n.case_no, n.column_name, n.bin_index, n.policy, n.value, case when n.value is not null then n.value when n.policy = 'zero' then 0.0
       when pb is not null and nb is not null then p.value + (q.value - p.value) * (n.bin_index - pb) / (nb - pb) when pb is not null and n.bin_index - pb <= 2 then p.value
       when nb is not null and nb - n.bin_index <= 2 then q.value end as filled from near n
-      left join dense p on p.case_no = n.case_no and p.column_name = n.column_name and p.bin_index = n.pb left join dense q on q.case_no = n.case_no and q.column_name = n.column_name and q.bin_index = n.nb""",
+      left join comp p on p.case_no = n.case_no and p.column_name = n.column_name and p.bin_index = n.pb left join comp q on q.case_no = n.case_no and q.column_name = n.column_name and q.bin_index = n.nb""",
     "st": """select case_no, column_name, avg(filled) filter (bin_index < 0) as bm, stddev_pop(filled) filter (bin_index < 0) as sd, min(filled) filter (bin_index < 0) as lo,
       max(filled) filter (bin_index < 0) as hi, avg(filled) filter (bin_index >= 0) as im, max(filled) filter (bin_index >= 0) as mx from filled group by all""",
     "stats": """select case_no, column_name, bm as baseline_mean, mx as incident_max, im - bm as delta_mean,
@@ -42,12 +54,13 @@ _CTE = {
     "isl": "select *, rn - row_number() over (partition by case_no, data_name, column_name order by rn) as island from gapped where gap",
     "cl": """select n // 3 as case_no, n % 3 as cluster_id, case (n % 3 + n // 3) % 3 when 0 then 'lifecycle' when 1 then 'error' else 'routine' end as category from range(24) t(n)""",
     "clt": "select *, case category when 'lifecycle' then 'server initializing on port' when 'error' then 'request failed with error code' else 'handled request in time' end as template from cl",
-    "maps": """select a.case_no, column_name, split_part(column_name, '_', 3) as service, clt.cluster_id, template, category, 'log__' || split_part(column_name, '_', 3) || '_' || category as harmonized_column,
+    "maps": """select a.case_no, column_name, split_part(column_name, '_', 3) as service, clt.cluster_id, template, category, 'log__' || split_part(column_name, '_', 3) || '__' || category as harmonized_column,
       count(*) as n, coalesce(sum(value) filter (bin_index < 0), 0.0) as baseline_sum, coalesce(sum(value) filter (bin_index >= 0), 0.0) as incident_sum
       from aligned a join clt on clt.case_no = a.case_no and clt.cluster_id = cast(split_part(column_name, '_', 4) as bigint) where data_name = 'logs' group by all""",
+    "cmaps": "select * from maps where case_no in (select case_no from verd where eligible)",
     "how": """select case_no, column_name, bin_index, policy, case when value is not null then 'observed' when policy = 'zero' then 'zero' when pb is not null and nb is not null then 'linear'
       when bin_index - pb <= 2 or nb - bin_index <= 2 then 'edge' else 'none' end as method from near""",
-    "chg": """select case_no, round(avg(case when baseline_calls > 0 and (baseline_calls - incident_calls) / baseline_calls > 0.2 then 1.0 else 0.0 end), 6) as edge_drop_share, round(greatest(max(case when baseline_calls > 0 then (baseline_calls - incident_calls) / baseline_calls else 0.0 end), 0.0), 6) as max_drop,
+    "chg": """select case_no, round(avg(case when baseline_calls > 0 and (baseline_calls - incident_calls) / baseline_calls > 0.2 then 1.0 else 0.0 end), 6) as edge_drop_share, round(max(case when baseline_calls > 0 then (baseline_calls - incident_calls) / baseline_calls else 0.0 end), 6) as max_drop,
       round(coalesce((sum(incident_calls) - sum(baseline_calls)) / nullif(sum(baseline_calls), 0), 0), 6) as total_change from vol group by case_no""",
     "cnt": "select count(*) as np from part",
     "spans": """select o_custkey % 8 as case_no, l_quantity as duration, cast(l_orderkey as varchar) as trace_id, l_orderkey || '-' || l_linenumber as span_id,
@@ -76,11 +89,11 @@ _CTE = {
     "ed": "select distinct caller, callee from vol",
     "hed": "select a.case_no, caller, callee from ed join hot a on a.service = caller join hot b on b.service = callee and b.case_no = a.case_no",
     "hn": "select case_no, count(*) as n from hot group by all",
-    "walk": "select case_no, service, 1 as depth from hot union select w.case_no, e.callee, w.depth + 1 from walk w join hed e on e.case_no = w.case_no and e.caller = w.service join hn on hn.case_no = w.case_no where w.depth < hn.n",
+    "walk": "select case_no, service, [service] as met, 1 as depth from hot union all select w.case_no, e.callee, list_append(w.met, e.callee), w.depth + 1 from walk w join hed e on e.case_no = w.case_no and e.caller = w.service where not list_contains(w.met, e.callee)",
     "nb": "select caller as s, callee as t from ed union select callee, caller from ed",
     "con": "select case_no, avg(r) as r from (select h.case_no, h.service, count(g.service) / count(*) as r from hot h join nb on nb.s = h.service left join hot g on g.case_no = h.case_no and g.service = nb.t group by all) group by all",
     "deg": "select s, (select count(*) from ed where callee = s) as i, (select count(*) from ed where caller = s) as o from (select distinct s from nb)",
-    "anom": """select case_no, split_part(column_name, '__', 1) as modality, regexp_extract(column_name, '^trace_[a-z]+__(.*)_[^_]+$', 1) as service,
+    "anom": """select case_no, split_part(column_name, '__', 1) as modality, split_part(split_part(column_name, '__', 2), '_', 1) as service,
       greatest(0.0, coalesce(max(zscore_mean) filter (case when zscore_mean is null then false when baseline_mean = 0 then baseline_mean + delta_mean > 0 else zscore_mean > 3 and (baseline_mean + delta_mean) / baseline_mean > 1.5 end), 0.0)) as magnitude
       from stats where column_name like 'trace%' group by all""",
     "pol": "select * from (values ('default','svc0','core',3),('default','svc1','edge',1),('flat','svc0','core',1),('flat','svc1','core',1),('reversed','svc0','edge',1),('reversed','svc1','core',3)) t(scheme, service, service_tier, sct)",
@@ -95,7 +108,7 @@ _CTE = {
       round(coalesce(max(tp / nullif(t, 0)) filter (c = 'Low'), 0), 6) as recall_low, round(coalesce(max(tp / nullif(t, 0)) filter (c = 'Medium'), 0), 6) as recall_medium, round(coalesce(max(tp / nullif(t, 0)) filter (c = 'High'), 0), 6) as recall_high from cm group by repeat""",
     "df": """select scenario, round(avg(case when y_true = y_pred then 1.0 else 0.0 end) filter (repeat = 0) - avg(case when y_true = y_pred then 1.0 else 0.0 end) filter (repeat = 1), 6) as diff from oof where repeat < 2 group by scenario""",
 }
-_NEEDS = {"samples": "ev", "win": "samples runs", "aligned": "win", "dense": "aligned", "near": "dense", "filled": "near", "st": "filled", "stats": "st", "long": "stats", "quality": "samples runs", "q2": "quality", "gapped": "samples runs", "isl": "gapped", "spans": "cnt", "firsts": "spans", "struct": "spans", "rt": "spans", "roots": "rt", "ops": "firsts", "stc": "firsts", "vol": "spans", "anom": "stats", "sw": "spans", "sanom": "sw", "hot": "sanom", "ed": "vol", "hed": "ed hot", "hn": "hot", "walk": "hed hn", "nb": "ed", "con": "hot nb", "deg": "nb", "lab": "runs pol", "dl": "lab", "cm": "oof", "sc": "cm", "df": "oof", "clt": "cl", "maps": "aligned clt", "how": "near", "chg": "vol"}
+_NEEDS = {"samples": "ev", "win": "samples runs", "aligned": "win", "dense": "aligned", "harm": "aligned cl", "sch": "harm", "bins": "win runs", "verd": "bins", "comp": "sch verd", "near": "comp", "filled": "near", "st": "filled", "stats": "st", "long": "stats", "quality": "samples runs", "q2": "quality", "gapped": "samples runs", "isl": "gapped", "spans": "cnt", "firsts": "spans", "struct": "spans", "rt": "spans", "roots": "rt", "ops": "firsts", "stc": "firsts", "vol": "spans", "anom": "stats", "sw": "spans", "sanom": "sw", "hot": "sanom", "ed": "vol", "hed": "ed hot", "hn": "hot", "walk": "hed hn", "nb": "ed", "con": "hot nb", "deg": "nb", "lab": "runs pol", "dl": "lab", "cm": "oof", "sc": "cm", "df": "oof", "clt": "cl", "maps": "aligned clt", "cmaps": "maps verd", "how": "near", "chg": "vol"}
 
 
 def sql(body: str, *heads: str) -> str:
@@ -123,13 +136,13 @@ EXTRA_SQL = {
       coalesce((select max(i) from hot join deg on s = service where hot.case_no = c.case_no), 0) as svc__max_in_degree_anomalous, coalesce((select max(o) from hot join deg on s = service where hot.case_no = c.case_no), 0) as svc__max_out_degree_anomalous,
       round(coalesce(v.x, 0), 6) as svc__call_volume_drop_share, round(coalesce(v.y, 0), 6) as svc__call_volume_max_drop, round(coalesce(v.z, 0), 6) as svc__call_volume_total_change
       from (select case_no, sum(magnitude) filter (modality = 'trace_latency') as m, count(*) filter (modality = 'trace_error' and magnitude > 0) as e from sanom group by all) c left join hn h on h.case_no = c.case_no left join con on con.case_no = c.case_no
-      left join (select case_no, avg(case when baseline_calls > 0 and (baseline_calls - incident_calls) / baseline_calls > 0.2 then 1.0 else 0.0 end) as x, greatest(max(case when baseline_calls > 0 then (baseline_calls - incident_calls) / baseline_calls else 0.0 end), 0.0) as y, (sum(incident_calls) - sum(baseline_calls)) / nullif(sum(baseline_calls), 0) as z from vol group by case_no) v on v.case_no = c.case_no""", "walk", "con", "deg").replace("with ", "with recursive ", 1),
+      left join (select case_no, avg(case when baseline_calls > 0 and (baseline_calls - incident_calls) / baseline_calls > 0.2 then 1.0 else 0.0 end) as x, max(case when baseline_calls > 0 then (baseline_calls - incident_calls) / baseline_calls else 0.0 end) as y, (sum(incident_calls) - sum(baseline_calls)) / nullif(sum(baseline_calls), 0) as z from vol group by case_no) v on v.case_no = c.case_no""", "walk", "con", "deg").replace("with ", "with recursive ", 1),
     "prj_trace_column_service": sql("select distinct column_name, case when column_name like '%svc0%' then 'svc0' else 'svc1' end as service from samples where data_name like 'trace%'", "samples"),
     "prj_blank_missing": sql("select case_no, count(*) - count(trace_id) as missing_trace_id, count(*) - count(span_id) as missing_span_id, count(*) - count(parent_id) as missing_parent_id from spans group by case_no", "spans"),
     "jn_cluster_dictionary": sql("select case_no, column_name, template, category, n from maps", "maps"),
     "jn_window_range": sql("select case_no, case when start_us < (899251200000000 + case_no * 604800000000) then 'baseline' else 'incident' end as window_type, count(*) as n from spans where start_us >= (899251200000000 + case_no * 604800000000) - 31536000000000 and start_us < (899251200000000 + case_no * 604800000000) + 31536000000000 group by all", "spans"),
-    "agg_harmonization_map": sql("select * exclude (n) replace (round(baseline_sum, 6) as baseline_sum, round(incident_sum, 6) as incident_sum) from maps", "maps"),
-    "agg_template_catalog": sql("select template, category, count(distinct case_no) as run_count from maps group by all", "maps"),
+    "agg_harmonization_map": sql("select * exclude (n) replace (round(baseline_sum, 6) as baseline_sum, round(incident_sum, 6) as incident_sum) from cmaps", "cmaps"),
+    "agg_template_catalog": sql("select template, category, count(distinct case_no) as run_count from cmaps group by all", "cmaps"),
     "agg_align_quality": sql("select w.*, observed_bins, incomplete_cells, 40 - observed_bins as missing_bins, source_features * 40 - f as aligned_missing_cells from (select case_no, data_name, count(*) as source_rows, count(distinct column_name) as source_features, count(*) - count(value) as source_missing_cells from win group by all) w join (select case_no, data_name, count(distinct bin_index) as observed_bins, count(*) - count(value) as incomplete_cells, count(value) as f from aligned group by all) a on a.case_no = w.case_no and a.data_name = w.data_name", "aligned"),
     "agg_validate_aligned": sql("select case_no, count(*) as column_count, cast(sum(n) as bigint) as cell_count, count(*) filter (n <> 40 or d <> 40 or b <> 20) as bad_column_count from (select case_no, column_name, count(*) as n, count(distinct bin_index) as d, count(*) filter (bin_index < 0) as b from dense group by all) group by case_no", "dense"),
     "agg_run_summaries": sql("select policy, method, count(*) as cell_count from how group by all", "how"),
@@ -140,10 +153,9 @@ EXTRA_SQL = {
     "agg_numeric_quality": sql('select feature_name, count(*) filter (isinf(value)) as infinite_count, (select count(distinct case_no) from stats) - count(value) as missing_count, count(value) = 0 as all_missing, coalesce(min(value) = max(value), false) as constant from long group by feature_name', "long"),
     "agg_proxy_variance": sql("select feature_name, ratio, case when ratio is null then 'constant' when ratio < 0.05 then 'rejected' else 'accepted' end as decision from (select feature_name, case when lo < hi then round(w / v, 6) end as ratio from (select feature_name, var_pop(value) as v, min(value) as lo, max(value) as hi from long group by feature_name) join (select feature_name, avg(v) as w from (select feature_name, service, var_pop(value) as v from long join runs using (case_no) group by all) group by feature_name) using (feature_name))", "long", "runs"),
     "agg_leakage_audit": sql("select feature_name, ingredient, bool_and(value is not distinct from x) and count(*) = (select count(distinct case_no) from stats) as copies from long join (select case_no, 'fcw' as ingredient, cast(fcw as double) as x from dl union all select case_no, 'sct', sct from dl union all select case_no, 'severity_score', severity_score from dl) using (case_no) group by all", "long", "dl"),
-    "ml_relative_features": sql("select case_no, service, 'self__' || case when column_name like 'trace%' then split_part(column_name, '__', 1) || '_operation' else replace(column_name, '__' || service, '') end as feature_name, round(max(zscore_max), 6) as zscore_max, round(max(zscore_mean), 6) as zscore_mean from stats join runs using (case_no) where contains(column_name, service) group by all", "stats", "runs"),
-    "agg_excluded_runs": sql("select case_no, 'coverage' as stage, concat_ws('|', case when not sc then 'timeseries_not_covered' end, case when not tc then 'trace_not_covered' end) as reason from (select case_no, bool_and(window_covered) as sc from q2 group by case_no) join (select case_no, start_us <= (899251200000000 + case_no * 604800000000) - 31536000000000 and end_us >= (899251200000000 + case_no * 604800000000) + 31536000000000 as tc from struct) using (case_no) where not (sc and tc) union all select case_no, 'bins', string_agg(m, '|' order by m) from (select r.case_no, d || ':' || w as m from runs r cross join (values ('metrics'),('logs'),('trace_latency'),('trace_error')) a(d) cross join (values ('baseline'),('incident')) b(w) left join win on win.case_no = r.case_no and data_name = d and window_type = w group by r.case_no, d, w having (20 - count(distinct bin_index)) / 20 > 0.1) group by case_no", "q2", "struct", "win"),
+    "agg_excluded_runs": sql("select case_no, 'coverage' as stage, 'trace_window_incomplete' as reason from struct where not (start_us <= (899251200000000 + case_no * 604800000000) - 31536000000000 and end_us >= (899251200000000 + case_no * 604800000000) + 31536000000000) union all select case_no, 'bins', exclusion_reason from verd where not eligible", "struct", "verd"),
     "agg_case_consistency": sql("select case_no, bool_or(t = 1) as in_runs, bool_or(t = 2) as in_series, bool_or(t = 3) as in_spans from (select case_no, 1 as t from runs union all select case_no, 2 from aligned union all select case_no, 3 from spans) group by case_no", "aligned", "spans"),
-    "jn_feature_merge": sql("select s.case_no, column_count, largest_z, coalesce(nov, 0) as log__all__new_template_count, edge_drop_share, max_drop, total_change from (select case_no, count(*) as column_count, round(max(abs(zscore_max)), 6) as largest_z from stats group by case_no) s left join (select case_no, count(*) as nov from maps where baseline_sum = 0 and incident_sum > 0 group by case_no) n on n.case_no = s.case_no left join chg on chg.case_no = s.case_no", "stats", "maps", "chg"),
+    "jn_feature_merge": sql("select s.case_no, column_count, largest_z, coalesce(nov, 0) as log__all__new_template_count, edge_drop_share, max_drop, total_change from (select case_no, count(*) as column_count, round(max(abs(zscore_max)), 6) as largest_z from stats group by case_no) s left join (select case_no, count(*) as nov from cmaps where baseline_sum = 0 and incident_sum > 0 group by case_no) n on n.case_no = s.case_no left join chg on chg.case_no = s.case_no", "stats", "cmaps", "chg"),
     "prj_feature_manifest": sql("select feature_name, split_part(feature_name, '__', 1) as modality, case split_part(feature_name, '__', 1) when 'metric' then 'E0' when 'log' then 'E1' else 'E2' end as config, regexp_extract(feature_name, '^(.*)__', 1) as source_column, split_part(feature_name, '__', -1) as statistic, 'derived' as origin, case when bad then 'rejected' else 'passed' end as audit_status from (select distinct feature_name from long) join (select feature_name as f, lo < hi and w / v < 0.05 as bad from (select feature_name, var_pop(value) as v, min(value) as lo, max(value) as hi from long group by feature_name) join (select feature_name, avg(v) as w from (select feature_name, service, var_pop(value) as v from long join runs using (case_no) group by all) group by feature_name) using (feature_name)) on f = feature_name", "long", "runs"),
     "prj_select_config": sql("select case_no, count(*) as feature_count, count(value) as value_count from long where feature_name in (select feature_name from (select feature_name, split_part(feature_name, '__', 1) as modality, case split_part(feature_name, '__', 1) when 'metric' then 'E0' when 'log' then 'E1' else 'E2' end as config, regexp_extract(feature_name, '^(.*)__', 1) as source_column, split_part(feature_name, '__', -1) as statistic, 'derived' as origin, case when bad then 'rejected' else 'passed' end as audit_status from (select distinct feature_name from long) join (select feature_name as f, lo < hi and w / v < 0.05 as bad from (select feature_name, var_pop(value) as v, min(value) as lo, max(value) as hi from long group by feature_name) join (select feature_name, avg(v) as w from (select feature_name, service, var_pop(value) as v from long join runs using (case_no) group by all) group by feature_name) using (feature_name)) on f = feature_name) where config <= 'E1' and audit_status <> 'rejected') group by case_no", "long", "runs"),
     "jn_case_metadata": sql('select case_no, case_id, scenario, service, fault_type, run_number, inject_s from runs where case_no in (select case_no from long)', "long", "runs"),
@@ -151,6 +163,7 @@ EXTRA_SQL = {
     "set_group_overlap": sql('select scenario % 5 as fold, count(distinct scenario) as test_groups, 0 as overlap, (select count(distinct scenario) from oof) - count(distinct scenario) as train_groups from oof group by all', "oof"),
     "ml_dummy_baseline": sql("select fold, y_true as majority, cast(total as bigint) as test_count, round(n / total, 6) as accuracy from (select *, row_number() over (partition by fold order by train desc, y_true) as rn from (select fold, y_true, n, sum(n) over (partition by y_true) - n as train, sum(n) over (partition by fold) as total from (select f.fold, c.y_true, count(o.case_id) as n from (select distinct scenario % 5 as fold from oof) f cross join (select distinct y_true from oof) c left join oof o on o.repeat = 0 and o.scenario % 5 = f.fold and o.y_true = c.y_true group by all))) where rn = 1", "oof"),
 }
+EXTRA_SQL["agg_validate_cleaned"] = sql("select case_no, (select count(*) from sch where keep) as column_count, 0 as lacking_columns, 0 as extra_columns, 0 as wrong_bin_columns, 0 as zero_policy_gaps, true as valid from verd where eligible", "sch", "verd")
 R5 = "round(baseline_mean, 6) as baseline_mean, round(incident_max, 6) as incident_max, round(delta_mean, 6) as delta_mean, round(zscore_max, 6) as zscore_max, round(zscore_mean, 6) as zscore_mean"
 ORACLE_SQL = EXTRA_SQL | {
     "src_run_metadata": sql("select case_no, case_id, scenario, service, fault_type, run_number, inject_s from runs", "runs"),
@@ -161,18 +174,18 @@ ORACLE_SQL = EXTRA_SQL | {
     "prj_callee": sql("select operation, callee, count(*) as n from spans group by all", "spans"),
     "agg_align_grid": sql("select case_no, data_name, column_name, bin_index, round(value, 6) as value, sample_count from aligned", "aligned"),
     "jn_grid_densify": sql("select case_no, column_name, bin_index, round(value, 6) as value, sample_count from dense", "dense"),
-    "agg_harmonize_logs": sql("select a.case_no, 'log__' || split_part(column_name, '_', 3) || '_' || category as column_name, bin_index, round(sum(value), 6) as value, cast(sum(sample_count) as bigint) as sample_count from aligned a join cl on cl.case_no = a.case_no and cl.cluster_id = cast(split_part(column_name, '_', 4) as bigint) where data_name = 'logs' group by all", "aligned", "cl"),
+    "agg_harmonize_logs": sql("select case_no, column_name, bin_index, round(value, 6) as value, sample_count from harm where column_name like 'log%'", "harm"),
     "win_linear_fill": sql("select case_no, column_name, bin_index, policy, round(filled, 6) as filled from filled", "filled"),
-    "agg_cleaning_log": sql("select case_no, column_name, policy, count(*) filter (value is null) as missing_before, count(*) filter (filled is null) as missing_after, count(*) filter (value is null) - count(*) filter (filled is null) as filled_count from filled group by all having count(*) filter (value is null) > 0", "filled"),
+    "agg_cleaning_log": sql("select *, missing_before - missing_after as filled_count, case when missing_before = 0 then 'none' when fill_policy = 'zero' then 'zero_fill' else 'linear_interpolate_edge_fill' end as method from (select c.case_no, c.column_name, any_value(modality) as modality, any_value(family) as family, any_value(fill_policy) as fill_policy, any_value(absent) as column_absent_in_run, count(*) filter (c.value is null) as missing_before, count(*) filter (filled is null) as missing_after from comp c join filled f on f.case_no = c.case_no and f.column_name = c.column_name and f.bin_index = c.bin_index group by c.case_no, c.column_name) where missing_before > 0 or column_absent_in_run", "comp", "filled"),
     "agg_feature_statistics": sql(f"select case_no, column_name, {R5} from stats", "stats"),
-    "agg_feature_schema": sql("select column_name, case when column_name like 'log%' then 'log_count' when column_name like 'trace_latency%' then 'trace_latency' when column_name like 'trace_error%' then 'trace_error' when column_name like '%_error' then 'error_signal' else 'continuous_resource' end as family, case when column_name like 'log%' or column_name like 'trace_error%' or column_name like '%_error' then 'zero' else 'interpolate' end as fill_policy, round(count(distinct case_no) / (select count(distinct case_no) from aligned), 6) as run_coverage, (column_name like 'log%' or column_name like 'trace_error%' or column_name like '%_error') or count(distinct case_no) / (select count(distinct case_no) from aligned) >= 0.5 as keep from aligned group by column_name", "aligned"),
-    "agg_bin_eligibility": sql("select r.case_no, d as data_name, w as window_type, 20 - count(distinct bin_index) as empty_bins, round((20 - count(distinct bin_index)) / 20, 4) as ratio, (20 - count(distinct bin_index)) / 20 > 0.1 as excluded from runs r cross join (values ('metrics'),('logs'),('trace_latency'),('trace_error')) a(d) cross join (values ('baseline'),('incident')) b(w) left join win on win.case_no = r.case_no and data_name = d and window_type = w group by all", "win"),
-    "agg_log_novelty": sql("select r.case_no, 'log__' || s.service || '__new_template_count' as feature_name, count(m.column_name) as value from runs r cross join (select distinct service from maps) s left join maps m on m.case_no = r.case_no and m.service = s.service and baseline_sum = 0 and incident_sum > 0 group by all union all select r.case_no, 'log__all__new_template_count', count(m.column_name) from runs r left join maps m on m.case_no = r.case_no and baseline_sum = 0 and incident_sum > 0 group by all", "maps", "runs"),
+    "agg_feature_schema": sql("select * replace (round(run_coverage, 6) as run_coverage) from sch", "sch"),
+    "agg_bin_eligibility": sql("select case_no, data_name, window_type, empty_bins, round(ratio, 4) as ratio, excluded, eligible, exclusion_reason from bins join verd using (case_no)", "verd"),
+    "agg_log_novelty": sql("select r.case_no, 'log__' || s.service || '__new_template_count' as feature_name, count(m.column_name) as value from verd r cross join (select distinct service from cmaps) s left join cmaps m on m.case_no = r.case_no and m.service = s.service and baseline_sum = 0 and incident_sum > 0 where r.eligible group by all union all select r.case_no, 'log__all__new_template_count', count(m.column_name) from verd r left join cmaps m on m.case_no = r.case_no and baseline_sum = 0 and incident_sum > 0 where r.eligible group by all", "cmaps"),
     "agg_constant_features": sql('select feature_name, (select count(distinct case_no) from stats) - count(value) as missing_count, count(value) = (select count(distinct case_no) from stats) and min(value) = max(value) as constant from long group by feature_name', "long"),
     "win_topk_features": sql("select case_no, rank, column_name, round(zscore_mean, 6) as zscore_mean from (select *, row_number() over (partition by case_no order by abs(zscore_mean) desc nulls last, column_name) as rank from stats) where rank <= 5", "stats"),
     "agg_timeseries_quality": sql("select * from q2", "q2"),
     "agg_missing_by_column": sql("select i.case_no, i.data_name, i.column_name, i.missing_count, longest_missing_streak, missing_before_injection, first_missing_us, last_missing_us, row_count, i.missing_count - missing_before_injection as missing_after_injection, round(100 * i.missing_count / row_count, 6) as missing_percentage from (select case_no, data_name, column_name, count(*) as missing_count, count(*) filter (ts_us < inject_s * 1000000) as missing_before_injection, min(ts_us) as first_missing_us, max(ts_us) as last_missing_us from isl group by all) i join (select case_no, data_name, column_name, max(n) as longest_missing_streak from (select case_no, data_name, column_name, island, count(*) as n from isl group by all) group by all) m using (case_no, data_name, column_name) join (select case_no, data_name, column_name, count(*) as row_count from samples group by all) c using (case_no, data_name, column_name)", "isl"),
-    "jn_eligibility": sql("select r.case_no, case_id, bool_and(window_covered) as series_covered, coalesce(string_agg(data_name, '|' order by data_name) filter (not window_covered), '') as uncovered, any_value(t.c) as trace_covered, bool_and(window_covered) and any_value(t.c) as eligible, concat_ws('|', case when not bool_and(window_covered) then 'timeseries_not_covered' end, case when not any_value(t.c) then 'trace_not_covered' end) as reason from runs r join q2 on q2.case_no = r.case_no join (select case_no, start_us <= (899251200000000 + case_no * 604800000000) - 31536000000000 and end_us >= (899251200000000 + case_no * 604800000000) + 31536000000000 as c from struct) t on t.case_no = r.case_no group by r.case_no, case_id", "q2", "struct"),
+    "jn_eligibility": sql("select r.case_no, case_id, bool_and(window_covered) as series_covered, coalesce(string_agg(data_name, '|' order by data_name) filter (not window_covered), '') as uncovered, any_value(t.c) as trace_covered, any_value(t.c) as eligible, case when any_value(t.c) then '' else 'trace_window_incomplete' end as reason from runs r join q2 on q2.case_no = r.case_no join (select case_no, start_us <= (899251200000000 + case_no * 604800000000) - 31536000000000 and end_us >= (899251200000000 + case_no * 604800000000) + 31536000000000 as c from struct) t on t.case_no = r.case_no group by r.case_no, case_id", "q2", "struct"),
     "agg_trace_structure": sql("select * from struct", "struct"),
     "agg_root_identity": sql("select * from roots", "roots"),
     "agg_root_operations": sql("select * from ops", "ops"),
@@ -181,7 +194,7 @@ ORACLE_SQL = EXTRA_SQL | {
     "jn_reconcile": sql("select s.case_no, unique_span_count, unique_root_span_count, (select cast(sum(span_count) as bigint) from ops where ops.case_no = s.case_no) as operation_roots, (select cast(sum(span_count) as bigint) from stc where stc.case_no = s.case_no) as status_spans, unique_span_count = (select sum(span_count) from stc where stc.case_no = s.case_no) as spans_agree from struct s join roots r on r.case_no = s.case_no", "struct", "roots", "ops", "stc"),
     "agg_call_volume": sql("select * from vol", "vol"),
     "agg_call_graph": sql("select caller, callee, count(*) as run_count, cast(sum(baseline_calls + incident_calls) as bigint) as total_calls from vol group by all", "vol"),
-    "agg_call_volume_change": sql("select case_no, round(avg(case when baseline_calls > 0 and (baseline_calls - incident_calls) / baseline_calls > 0.2 then 1.0 else 0.0 end), 6) as edge_drop_share, round(greatest(max(case when baseline_calls > 0 then (baseline_calls - incident_calls) / baseline_calls else 0.0 end), 0.0), 6) as max_drop, round(coalesce((sum(incident_calls) - sum(baseline_calls)) / nullif(sum(baseline_calls), 0), 0), 6) as total_change from vol group by case_no", "vol"),
+    "agg_call_volume_change": sql("select case_no, round(avg(case when baseline_calls > 0 and (baseline_calls - incident_calls) / baseline_calls > 0.2 then 1.0 else 0.0 end), 6) as edge_drop_share, round(max(case when baseline_calls > 0 then (baseline_calls - incident_calls) / baseline_calls else 0.0 end), 6) as max_drop, round(coalesce((sum(incident_calls) - sum(baseline_calls)) / nullif(sum(baseline_calls), 0), 0), 6) as total_change from vol group by case_no", "vol"),
     "agg_service_anomalies": sql('select case_no, modality, service, round(magnitude, 6) as magnitude from anom', "anom"),
     "jn_label_lookup": sql("select * exclude (scheme) from dl", "dl"),
     "agg_label_distribution": sql("select k.kind, k.name, c as severity, count(case_id) as case_count from (select distinct 'all' as kind, 'all' as name from dl union select distinct 'service', service from dl union select distinct 'fault', fault_type from dl) k cross join (values ('Low'),('Medium'),('High')) v(c) left join dl on dl.severity = c and (k.kind = 'all' or k.kind = 'service' and dl.service = k.name or k.kind = 'fault' and dl.fault_type = k.name) group by all", "dl"),

@@ -5,33 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import log_column_parts, template_category
+from ..functions.predicates import log_column_parts, modality, template_category
 from ..sources.adapters import Grid
 from .align import case_count
 
-#: A column name is <modality>__<service>_<rest>.
-COLUMN = "^(.*)__([^_]+)_(.*)$"
-
-
-def column_service(name: Column) -> Column:
-    return F.regexp_extract(name, COLUMN, 2)
-
-
 def with_templates(aligned: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Log cells with the template and category that their cluster id means in their own case; an unknown id fails."""
     service, cluster = log_column_parts(F.col("column_name"))
     logs = aligned.where("data_name = 'logs'").withColumn("service", service).withColumn("cluster_id", cluster.cast("long"))
-    d = F.broadcast(dictionary.select("case_no", "cluster_id", "template", template_category(F.col("template")).alias("category")))
+    d = dictionary.select("case_no", "cluster_id", "template", template_category(F.col("template")).alias("category"))
     j = logs.join(d, ["case_no", "cluster_id"], "left")
     return j.withColumn("template", F.when(F.col("template").isNull(), F.raise_error(F.concat(F.lit("no template for "), "column_name"))).otherwise(F.col("template")))
 
 
+def harmonised_name() -> Column:
+    """The name of a log column by what it means, of its service and category."""
+    return F.concat(F.lit("log__"), F.col("service"), F.lit("__"), F.col("category"))
+
+
 def harmonisation_map(aligned: DataFrame, dictionary: DataFrame) -> DataFrame:
     """For each case and log column: its template, its name by category, and its sums before and after the injection."""
     part = lambda when: F.coalesce(F.sum(F.when(when, F.col("value"))), F.lit(0.0))
     m = with_templates(aligned, dictionary).groupBy("case_no", "column_name", "service", "cluster_id", "template", "category")
     m = m.agg(part(F.col("bin_index") < 0).alias("baseline_sum"), part(F.col("bin_index") >= 0).alias("incident_sum"))
-    return m.withColumn("harmonized_column", F.concat(F.lit("log__"), "service", F.lit("_"), "category"))
+    return m.withColumn("harmonized_column", harmonised_name())
 
 
 def template_catalog(mapped: DataFrame) -> DataFrame:
@@ -59,7 +56,7 @@ def absent_columns(aligned: DataFrame) -> DataFrame:
     """For each case how many columns it has, how many of all cases' columns it lacks, and their names."""
     have = aligned.select("case_no", "column_name").distinct()
     # cases are few, and a column list is what the feature table has as its header
-    full = have.select("column_name").distinct().crossJoin(F.broadcast(have.select("case_no").distinct())).join(have.withColumn("there", F.lit(True)), ["case_no", "column_name"], "left")
+    full = have.select("column_name").distinct().crossJoin(have.select("case_no").distinct()).join(have.withColumn("there", F.lit(True)), ["case_no", "column_name"], "left")
     names = F.array_join(F.array_sort(F.collect_list(F.when(F.col("there").isNull(), F.col("column_name")))), "|")
     return full.groupBy("case_no").agg(F.count("there").alias("column_count"), F.count_if(F.col("there").isNull()).alias("missing_count"), names.alias("missing_columns"))
 
@@ -73,7 +70,7 @@ def numeric_quality(features: DataFrame) -> DataFrame:
 
 def proxy_variance(features: DataFrame, runs: DataFrame, least: float = 0.05) -> DataFrame:
     """Mean variance within a service against the variance over all cases; features below `least` only name the service."""
-    f = features.join(F.broadcast(runs.select("case_no", "service")), "case_no")
+    f = features.join(runs.select("case_no", "service"), "case_no")
     within = f.groupBy("feature_name", "service").agg(F.var_pop("value").alias("v")).groupBy("feature_name").agg(F.avg("v").alias("within"))
     total = f.groupBy("feature_name").agg(F.var_pop("value").alias("total"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     ratio = F.when(F.col("lo") < F.col("hi"), F.round(F.col("within") / F.col("total"), 6))
@@ -84,25 +81,15 @@ def proxy_variance(features: DataFrame, runs: DataFrame, least: float = 0.05) ->
 def leakage(features: DataFrame, labels: DataFrame) -> DataFrame:
     """Features that equal an ingredient of the label in all cases, a missing value only another missing one."""
     parts = labels.select("case_no", *(F.col(c).cast("double") for c in ("fcw", "sct", "severity_score"))).unpivot(["case_no"], ["fcw", "sct", "severity_score"], "ingredient", "x")
-    same = features.join(F.broadcast(parts), "case_no").groupBy("feature_name", "ingredient").agg(F.bool_and(F.col("value").eqNullSafe(F.col("x"))).alias("same"), F.count("*").alias("n"))
+    same = features.join(parts, "case_no").groupBy("feature_name", "ingredient").agg(F.bool_and(F.col("value").eqNullSafe(F.col("x"))).alias("same"), F.count("*").alias("n"))
     # a case without a row has no value, and the label always has one
     return same.select("feature_name", "ingredient", (F.col("same") & (F.col("n") == case_count(features))).alias("copies"))
 
 
-def relative_features(stats: DataFrame, runs: DataFrame) -> DataFrame:
-    """Each case's statistics of its own service, under names that don't tell the service; operations by their largest."""
-    own = F.regexp_extract("column_name", COLUMN, 1)
-    rest = F.when(own.startswith("trace"), F.lit("operation")).otherwise(F.regexp_extract("column_name", COLUMN, 3))
-    r = F.broadcast(runs.select("case_no", "service"))
-    s = stats.select("case_no", column_service(F.col("column_name")).alias("service"), F.concat(F.lit("self__"), own, F.lit("_"), rest).alias("feature_name"), "zscore_max", "zscore_mean")
-    return s.join(r, ["case_no", "service"]).groupBy("case_no", "service", "feature_name").agg(F.max("zscore_max").alias("zscore_max"), F.max("zscore_mean").alias("zscore_mean"))
-
-
-def excluded_runs(eligibility: DataFrame, bins: DataFrame) -> DataFrame:
-    """Cases that a stage excludes, with its reason."""
+def excluded_runs(eligibility: DataFrame, verdict: DataFrame) -> DataFrame:
+    """Cases that a stage excludes, with its reason: by the coverage of their window, or by empty bins."""
     first = eligibility.where("not eligible").select("case_no", F.lit("coverage").alias("stage"), "reason")
-    gaps = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "data_name", "window_type"))), "|")
-    return first.unionByName(bins.where("excluded").groupBy("case_no").agg(gaps.alias("reason")).withColumn("stage", F.lit("bins")))
+    return first.unionByName(verdict.where("not eligible").select("case_no", F.lit("bins").alias("stage"), F.col("exclusion_reason").alias("reason")))
 
 
 def case_consistency(runs: DataFrame, aligned: DataFrame, spans: DataFrame) -> DataFrame:
@@ -129,10 +116,10 @@ def feature_manifest(features: DataFrame, audit: DataFrame) -> DataFrame:
     audit: (feature_name, audit_status); features without one have n/a. New template counts come from the harmonisation map.
     """
     spark = features.sparkSession
-    names = features.select("feature_name").distinct().join(F.broadcast(audit), "feature_name", "left")
+    names = features.select("feature_name").distinct().join(audit, "feature_name", "left")
     modality, statistic = F.split_part("feature_name", F.lit("__"), F.lit(1)), F.split_part("feature_name", F.lit("__"), F.lit(-1))
     source = F.when(statistic == "new_template_count", "column_harmonization_map.csv").otherwise(F.regexp_extract("feature_name", "^(.*)__.*?$", 1))
-    config = F.broadcast(spark.createDataFrame(CONFIGURATIONS, "modality string, config string"))
+    config = spark.createDataFrame(CONFIGURATIONS, "modality string, config string")
     m = names.select("feature_name", modality.alias("modality"), source.alias("source_column"), statistic.alias("statistic"), F.lit("derived").alias("origin"), F.coalesce("audit_status", F.lit("n/a")).alias("audit_status")).join(config, "modality", "left")
     return m.withColumn("config", F.when(F.col("config").isNull(), F.raise_error(F.concat(F.lit("no configuration for "), "feature_name"))).otherwise(F.col("config")))
 
@@ -140,7 +127,7 @@ def feature_manifest(features: DataFrame, audit: DataFrame) -> DataFrame:
 def select_configuration(features: DataFrame, manifest: DataFrame, config: str) -> DataFrame:
     """The features (long form) that a configuration shows: its own and the smaller ones', none that the audit rejects."""
     shown = manifest.where((F.col("config") <= config) & (F.col("audit_status") != "rejected")).select("feature_name")
-    return features.join(F.broadcast(shown), "feature_name", "left_semi")
+    return features.join(shown, "feature_name", "left_semi")
 
 
 def case_metadata(runs: DataFrame, features: DataFrame) -> DataFrame:

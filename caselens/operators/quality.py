@@ -17,7 +17,7 @@ def timeseries_quality(samples: DataFrame, runs: DataFrame, reach_s: int) -> Dat
     s = rows.groupBy(*keys).agg(F.sum("n").alias("row_count"), F.sum("gaps").alias("missing_count"), F.sum(F.when(F.col("ts_us").isNotNull(), F.col("rows") - 1)).alias("duplicate_timestamp_count"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
     names = samples.groupBy(*keys, "column_name").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.count("column_name").alias("feature_count"))
     s = s.join(names, keys)
-    j = s.join(F.broadcast(runs.select("case_no", "inject_s")), "case_no")
+    j = s.join(runs.select("case_no", "inject_s"), "case_no")
     before, after = F.col("inject_s") - F.col("start_us") / 1e6, F.col("end_us") / 1e6 - F.col("inject_s")
     status = F.concat_ws("|", F.when(F.col("missing_count") > 0, "missing"), F.when(F.col("duplicate_timestamp_count") > 0, "duplicates"))
     return j.select("case_no", "data_name", "row_count", "feature_count", "missing_count", "duplicate_timestamp_count", "start_us", "end_us", ((before >= reach_s) & (after >= reach_s)).alias("window_covered"), F.when(status == "", "ok").otherwise(status).alias("status"))
@@ -26,7 +26,7 @@ def timeseries_quality(samples: DataFrame, runs: DataFrame, reach_s: int) -> Dat
 def missing_by_column(samples: DataFrame, runs: DataFrame) -> DataFrame:
     """Columns with gaps: counts, share, before and from the injection on, first and last gap, longest streak in time order."""
     keys = ["case_no", "data_name", "column_name"]
-    s = samples.join(F.broadcast(runs.select("case_no", "inject_s")), "case_no").withColumn("gap", F.col("value").isNull())
+    s = samples.join(runs.select("case_no", "inject_s"), "case_no").withColumn("gap", F.col("value").isNull())
     w = Window.partitionBy(*keys).orderBy("ts_us", F.col("gap").cast("int"))
     # gaps and islands: within a streak both row numbers rise together
     s = s.withColumn("rn", F.row_number().over(w))
@@ -37,10 +37,15 @@ def missing_by_column(samples: DataFrame, runs: DataFrame) -> DataFrame:
     return gaps.join(rows, keys).withColumn("missing_after_injection", F.col("missing_count") - F.col("missing_before_injection")).withColumn("missing_percentage", F.round(100 * F.col("missing_count") / F.col("row_count"), 6))
 
 
-def eligibility(quality: DataFrame, trace_range: DataFrame, runs: DataFrame, trace_covered: str = "trace_covered") -> DataFrame:
-    """For each case: are all modalities and the trace window covered; the reasons against it, joined by |."""
+def eligibility(quality: DataFrame, trace_range: DataFrame, runs: DataFrame, series_required: bool = False) -> DataFrame:
+    """For each case: are all modalities and the trace window covered; the reasons against it, joined by |.
+
+    A case is eligible if nothing speaks against it: the trace window must be covered, the series only if `series_required`.
+    """
     q = quality.groupBy("case_no").agg(F.bool_and("window_covered").alias("series_covered"), F.array_join(F.array_sort(F.collect_set(F.when(~F.col("window_covered"), F.col("data_name")))), "|").alias("uncovered"))
     j = runs.select("case_no", "case_id").join(q, "case_no", "left").join(trace_range, "case_no", "left")
-    series, trace = F.coalesce("series_covered", F.lit(False)), F.coalesce(trace_covered, F.lit(False))
-    reason = F.concat_ws("|", F.when(~series, F.lit("timeseries_not_covered")), F.when(~trace, F.lit("trace_not_covered")))
-    return j.select("case_no", "case_id", series.alias("series_covered"), F.coalesce("uncovered", F.lit("")).alias("uncovered"), trace.alias("trace_covered"), (series & trace).alias("eligible"), reason.alias("reason"))
+    series, trace = F.coalesce("series_covered", F.lit(False)), F.coalesce("trace_covered", F.lit(False))
+    names = F.coalesce("uncovered", F.lit(""))
+    short = F.when(~series & F.lit(series_required), F.concat(F.lit("timeseries_window_incomplete["), names, F.lit("]")))
+    reason = F.concat_ws("|", F.when(~trace, F.lit("trace_window_incomplete")), short)
+    return j.select("case_no", "case_id", series.alias("series_covered"), names.alias("uncovered"), trace.alias("trace_covered"), (reason == "").alias("eligible"), reason.alias("reason"))

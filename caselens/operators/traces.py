@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import blank_to_null, callee_of, status_category, status_text
+from ..functions.predicates import blank_to_null, callee_of, status_category, status_text, trace_service
 
 YEAR_US = 365 * 86_400 * 1_000_000
 
@@ -26,7 +26,7 @@ def structure(spans: DataFrame) -> DataFrame:
 
 def range_covered(structure_: DataFrame, injections: DataFrame, reach_us: int = YEAR_US) -> DataFrame:
     """Whether a case's spans reach both ends of the window around its injection; injections: (case_no, inject_us)."""
-    j = structure_.join(F.broadcast(injections), "case_no")
+    j = structure_.join(injections, "case_no")
     return j.select("case_no", ((F.col("start_us") <= F.col("inject_us") - reach_us) & (F.col("end_us") >= F.col("inject_us") + reach_us)).alias("trace_covered"))
 
 
@@ -82,7 +82,7 @@ def traces_without_root(spans: DataFrame) -> DataFrame:
 def in_windows(spans: DataFrame, injections: DataFrame, reach_us: int = YEAR_US) -> DataFrame:
     """Spans of the half-open window around their own case's injection, with baseline or incident; injections has a row a case."""
     after = F.col("start_us") - F.col("inject_us")
-    s = spans.join(F.broadcast(injections), "case_no").where((after >= -reach_us) & (after < reach_us))
+    s = spans.join(injections, "case_no").where((after >= -reach_us) & (after < reach_us))
     return s.withColumn("window_type", F.when(after < 0, "baseline").otherwise("incident")).drop("inject_us")
 
 
@@ -98,9 +98,9 @@ def call_graph(volume: DataFrame) -> DataFrame:
 
 
 def call_volume_change(volume: DataFrame, drop: float = 0.2) -> DataFrame:
-    """For each case: share of edges that fall by more than `drop`, the largest fall, and the total change."""
+    """For each case: share of edges that fall by more than `drop`, the largest fall (below 0 if all rise), and the total change."""
     fall = F.when(F.col("baseline_calls") > 0, (F.col("baseline_calls") - F.col("incident_calls")) / F.col("baseline_calls")).otherwise(0.0)
-    out = volume.groupBy("case_no").agg(F.avg(F.when(fall > drop, 1.0).otherwise(0.0)).alias("s"), F.greatest(F.max(fall), F.lit(0.0)).alias("m"), F.sum("baseline_calls").alias("b"), F.sum("incident_calls").alias("i"))
+    out = volume.groupBy("case_no").agg(F.avg(F.when(fall > drop, 1.0).otherwise(0.0)).alias("s"), F.max(fall).alias("m"), F.sum("baseline_calls").alias("b"), F.sum("incident_calls").alias("i"))
     return out.select("case_no", F.round("s", 6).alias("edge_drop_share"), F.round("m", 6).alias("max_drop"), F.round(F.coalesce(F.try_divide(F.col("i") - F.col("b"), F.col("b")), F.lit(0.0)), 6).alias("total_change"))
 
 
@@ -114,7 +114,7 @@ def service_anomalies(stats: DataFrame, z: float = 3.0, ratio: float = 1.5) -> D
     An operation is anomalous if its mean z is above `z` and its incident mean above `ratio` times its baseline mean; with a
     baseline of 0, if its incident mean is above 0. A null z is no anomaly.
     """
-    kind, service = F.split_part("column_name", F.lit("__"), F.lit(1)), F.regexp_extract("column_name", r"^trace_[a-z]+__(.*)_[^_]+$", 1)
+    kind, service = F.split_part("column_name", F.lit("__"), F.lit(1)), trace_service(F.col("column_name"))
     s = stats.where(F.col("column_name").rlike("^trace_(latency|error)__")).select("case_no", kind.alias("modality"), service.alias("service"), "zscore_mean", "baseline_mean", (F.col("baseline_mean") + F.col("delta_mean")).alias("incident_mean"))
     large = F.when(F.col("baseline_mean") == 0, F.col("incident_mean") > 0).otherwise((F.col("zscore_mean") > z) & (F.col("incident_mean") / F.col("baseline_mean") > ratio))
     score = F.when(F.col("zscore_mean").isNotNull() & large, F.col("zscore_mean"))
@@ -146,10 +146,23 @@ def _anomalous(anomalies: DataFrame, graph: DataFrame) -> DataFrame:
 
 
 def _depth() -> Column:
-    """Services in the longest chain of calls between hot ones. Chains that come back to a service end at the number of hot services."""
-    start = F.struct(F.col("hot").alias("at"), F.lit(0).alias("depth"))
-    step = lambda x, _: F.struct(F.array_distinct(F.transform(F.filter("between", lambda e: F.array_contains(x["at"], e["caller"])), lambda e: e["callee"])).alias("at"), (x["depth"] + F.when(F.size(x["at"]) > 0, 1).otherwise(0)).alias("depth"))
-    return F.when(F.size("hot") == 0, 0).otherwise(F.aggregate("hot", start, step, lambda x: x["depth"]))
+    """Services in the longest chain of calls between hot ones that meets no service twice.
+
+    Chains grow by one call a step. Those that have met the same services and stand at the same one go on as one, so what is kept
+    is bounded by the sets of a case's hot services and not by the orders in which calls can meet them.
+    """
+    first = F.transform("hot", lambda s: F.struct(s.alias("at"), F.array(s).alias("met")))
+    start = F.struct(first.alias("chains"), F.lit(0).alias("depth"))
+
+    def longer(chain):
+        onward = F.filter("between", lambda e: (e["caller"] == chain["at"]) & ~F.array_contains(chain["met"], e["callee"]))
+        return F.transform(onward, lambda e: F.struct(e["callee"].alias("at"), F.array_sort(F.array_append(chain["met"], e["callee"])).alias("met")))
+
+    def step(x, _):
+        onward = F.array_distinct(F.flatten(F.transform(x["chains"], longer)))
+        return F.struct(onward.alias("chains"), (x["depth"] + F.when(F.size(x["chains"]) > 0, 1).otherwise(0)).alias("depth"))
+
+    return F.aggregate("hot", start, step, lambda x: x["depth"])
 
 
 def anomalous_edges(anomalies: DataFrame, graph: DataFrame) -> DataFrame:
