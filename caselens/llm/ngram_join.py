@@ -103,45 +103,47 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, k: int =
     def prefixes(batches):
         place = np.uint64(len(classes.value) - 1)
         for x in batches:
-            sizes, keys, found = [], [], []
+            keys, found, sketches = [], [], []
             for u in _sets(n, x.column(1)):
-                sizes.append(len(u))
                 keys.append(_set_key(u) if len(u) else None)
+                sketches.append(sketch(u) if len(u) else (0, 0, 0))
                 order = np.argsort(classes.value[(u & place).astype(np.int64)], kind="stable")
                 found.append(u[order[: prefix_length(len(u), percent, k)]])
             flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), lists(as_long(flat), [len(c) for c in found], pa.int64())], names=["doc_id", "n_shingles", "item", "prefix"])
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(keys, pa.int64()), lists(as_long(flat), [len(c) for c in found], pa.int64()), *sketch_columns(sketches)], names=["doc_id", "item", "prefix", "size", "bits0", "bits1"])
 
-    sig = written(docs.mapInArrow(tidy(prefixes), "doc_id long, n_shingles long, item long, prefix array<long>"), "prefixes")
-    items = sig.where("item is not null").groupBy("item").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_tokens"), F.first("prefix").alias("prefix"))
-    items = written(items, "items")
-    posted = items.select("item", "n_tokens", F.explode("prefix").alias("key"))
+    sig = written(docs.mapInArrow(tidy(prefixes), f"doc_id long, item long, prefix array<long>, {SKETCH}"), "prefixes")
+    one = (F.first(c).alias(c) for c in ("size", "bits0", "bits1", "prefix"))
+    items = written(sig.where("item is not null").groupBy("item").agg(F.min("doc_id").alias("low"), *one), "items")
+    posted = items.select("item", F.col("size").cast("long").alias("n_tokens"), F.explode("prefix").alias("key"))
     df = posted.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     met = written(posted.join(df, "key"), "met_tokens")
     postings = written(candidate_keys(met, percent, k, rare, most), "postings")
-    live = postings.select("item").distinct()
-    lows = items.join(live, "item").select("low")
 
     def full(batches):
         for x in batches:
-            keys, elems, sketches = [], [], []
-            for u in _sets(n, x.column(1)):
+            keys, elems = [], []
+            for u in _sets(n, x.column(0)):
                 if len(u):
                     keys.append(_set_key(u))
                     elems.append(u.tobytes())
-                    sketches.append(sketch(u))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(elems, pa.binary()), *sketch_columns(sketches)], names=["item", "elems", "size", "bits0", "bits1"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(elems, pa.binary())], names=["item", "elems"])
+
+    def fetch(need: DataFrame) -> DataFrame:
+        """The sets of items, from the texts of their first rows; rows that repeat an id bring a few sets that aren't asked for."""
+        lows = items.join(need, "item").select("low")
+        of = only_maybe(docs, "doc_id", lows).withColumns({"named": F.xxhash64("doc_id"), "content": F.xxhash64("text")})
+        of = of.join(lows.select(F.xxhash64("low").alias("named")).distinct(), "named", "left_semi").dropDuplicates(["named", "content"])
+        return written(of.select("text").mapInArrow(tidy(full), "item long, elems binary"), "sets")
 
-    sets = only_maybe(docs, "doc_id", lows).join(lows.distinct(), F.col("doc_id").eqNullSafe(F.col("low")), "left_semi").mapInArrow(tidy(full), f"item long, elems binary, {SKETCH}")
-    sets = written(sets.join(live, "item", "left_semi").dropDuplicates(["item"]), "sets")
     comp = link_components(
-        postings, sets.drop("elems"), alike(percent, 100, sigmas=SIGMAS), lambda need: sets.join(need, "item", "left_semi"),
-        lambda pairs, sets: confirmed(pairs, sets, percent, 100), lambda p, sets: in_cells(p, sets, percent, 100, sigmas=SIGMAS), paired=RARE,
+        postings, items.select("item", "size", "bits0", "bits1"), alike(percent, 100, sigmas=SIGMAS), fetch,
+        lambda pairs, sets: confirmed(pairs, sets, percent, 100), lambda p, sets: in_cells(p, sets, percent, 100, sigmas=SIGMAS), paired=rare,
     )
     whole = items.select("item", "low").join(comp, items["item"] == comp["node"], "left").select("item", "low", F.coalesce("component", "item").alias("component"))
     least = whole.groupBy("component").agg(F.min("low").alias("component_id"))
     named = whole.join(least, "component").select("item", "component_id")
-    out = sig.select("doc_id", "n_shingles", "item").join(named, "item", "left")
+    out = sig.select("doc_id", F.col("size").cast("long").alias("n_shingles"), "item").join(named, "item", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
