@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
+from ..functions.storage import kept
 from ..operators import align as A
+from ..operators import audits as U
 from ..operators import features as X
 from ..operators import labels as L
 from ..operators import quality as Q
 from ..operators import traces as T
 from ..sources import adapters as S
+from . import modeling
 from .oracle import ORACLE_SQL
 
 GRID = S.Grid()
@@ -22,39 +25,67 @@ FLAGSHIP = "agg_feature_statistics"
 MOST_EMPTY = 0.25
 
 
+def _step(name: str, build: Callable[[Data], DataFrame]) -> property:
+    """A step by name. Where the steps are shared, those in SHARED are written the first time that they are asked for."""
+
+    def get(d: Data) -> DataFrame:
+        if name not in d.made:
+            df = build(d)
+            if not (d.sharing and name in SHARED):
+                return df
+            d.made[name] = kept(df, name)
+        return d.made[name]
+
+    return property(get)
+
+
+#: Steps that several branches of a query read.
+SHARED = {"spans", "aligned", "verdict", "schema", "stats", "novelty", "svc", "proxy", "merged", "volume", "span_anomalies"}
+
+
 class Data:
-    """The inputs and the steps that several queries share, built when they are asked for; all are lazy."""
+    """The inputs and the steps that several queries share, built when they are asked for; all are lazy but for those that `once` writes."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, most_empty: float = MOST_EMPTY):
         self.spark, self.sf_dir, self.most_empty = spark, sf_dir, most_empty
-
-    runs = property(lambda d: S.runs(d.spark))
-    samples = property(lambda d: S.samples(d.spark, d.sf_dir))
-    injections = property(lambda d: S.span_injections(d.spark))
-    spans = property(lambda d: T.typed(S.spans(d.spark, d.sf_dir)))
-    windowed = property(lambda d: A.in_window(d.samples, d.runs, GRID))
-    aligned = property(lambda d: A.align(d.windowed))
-    dense = property(lambda d: A.densify(d.aligned, GRID))
-    harmonised = property(lambda d: A.harmonise(d.aligned, S.clusters(d.spark)))
-    schema = property(lambda d: A.feature_schema(d.harmonised))
-    bins = property(lambda d: A.bin_eligibility(d.windowed, d.runs, GRID, d.most_empty))
-    verdict = property(lambda d: A.bin_verdict(d.bins))
-    cases = property(lambda d: d.verdict.where("eligible").select("case_no"))
-    filled = property(lambda d: A.fill(A.complete(d.harmonised, d.schema, d.cases, GRID)))
-    stats = property(lambda d: A.feature_statistics(d.filled))
-    quality = property(lambda d: Q.timeseries_quality(d.samples, d.runs, GRID.reach))
-    structure = property(lambda d: T.structure(d.spans))
-    firsts = property(lambda d: T.first_spans(d.spans))
-    volume = property(lambda d: T.call_volume(d.spans, d.injections))
-    span_anomalies = property(lambda d: T.service_anomalies(T.span_signals(d.spans, d.injections), z=0.0, ratio=1.0))
-    long = property(lambda d: A.long_features(d.stats))
-    mapped = property(lambda d: X.harmonisation_map(d.aligned.join(d.cases, "case_no", "left_semi"), S.clusters(d.spark)))
-    novelty = property(lambda d: A.log_novelty(d.mapped, d.cases))
-    eligible = property(lambda d: Q.eligibility(d.quality, T.range_covered(d.structure, d.injections), d.runs))
-    audit = property(lambda d: X.proxy_variance(d.long, d.runs).select("feature_name", F.when(F.col("decision") == "rejected", "rejected").otherwise("passed").alias("audit_status")))
-    manifest = property(lambda d: X.feature_manifest(d.long, d.audit))
-    labels = property(lambda d: L.severity_labels(d.runs))
-    oof = property(lambda d: L.oof_from_labels(d.spark, d.sf_dir))
+        self.sharing, self.made = False, {}
+
+    def once(self) -> Data:
+        """These inputs with the shared steps computed once, for queries that read them in several branches."""
+        self.sharing = True
+        return self
+
+    spans = _step("spans", lambda d: T.typed(S.spans(d.spark, d.sf_dir)))
+    runs = _step("runs", lambda d: S.runs(d.spark))
+    samples = _step("samples", lambda d: S.samples(d.spark, d.sf_dir))
+    injections = _step("injections", lambda d: S.span_injections(d.spark))
+    windowed = _step("windowed", lambda d: A.in_window(d.samples, d.runs, GRID))
+    aligned = _step("aligned", lambda d: A.align(d.windowed))
+    dense = _step("dense", lambda d: A.densify(d.aligned, GRID))
+    harmonised = _step("harmonised", lambda d: A.harmonise(d.aligned, S.clusters(d.spark)))
+    schema = _step("schema", lambda d: A.feature_schema(d.harmonised))
+    bins = _step("bins", lambda d: A.bin_eligibility(d.windowed, d.runs, GRID, d.most_empty))
+    verdict = _step("verdict", lambda d: A.bin_verdict(d.bins))
+    cases = _step("cases", lambda d: d.verdict.where("eligible").select("case_no"))
+    filled = _step("filled", lambda d: A.fill(A.complete(d.harmonised, d.schema, d.cases, GRID)))
+    stats = _step("stats", lambda d: A.feature_statistics(d.filled))
+    quality = _step("quality", lambda d: Q.timeseries_quality(d.samples, d.runs, GRID.reach))
+    structure = _step("structure", lambda d: T.structure(d.spans))
+    firsts = _step("firsts", lambda d: T.first_spans(d.spans))
+    volume = _step("volume", lambda d: T.call_volume(d.spans, d.injections))
+    span_anomalies = _step("span_anomalies", lambda d: T.service_anomalies(T.span_signals(d.spans, d.injections), z=0.0, ratio=1.0))
+    long = _step("long", lambda d: A.long_features(d.stats))
+    mapped = _step("mapped", lambda d: X.harmonisation_map(d.aligned.join(d.cases, "case_no", "left_semi"), S.clusters(d.spark)))
+    novelty = _step("novelty", lambda d: A.log_novelty(d.mapped, d.cases))
+    eligible = _step("eligible", lambda d: Q.eligibility(d.quality, T.range_covered(d.structure, d.injections), d.runs))
+    context = _step("context", lambda d: T.service_context(d.span_anomalies, T.call_graph(d.volume), d.volume, "promoservice").join(d.cases, "case_no", "left_semi"))
+    svc = _step("svc", lambda d: X.as_long(d.context))
+    proxy = _step("proxy", lambda d: U.proxy_audit(d.svc, d.labels.select("case_no", "service", F.col("service_tier").alias("tier"))))
+    merged = _step("merged", lambda d: X.merged_features(d.long, d.novelty, d.svc, d.proxy))
+    audit = _step("audit", lambda d: d.proxy.select("feature_name", F.col("decision").alias("audit_status")))
+    manifest = _step("manifest", lambda d: X.feature_manifest(d.merged, d.audit))
+    labels = _step("labels", lambda d: L.severity_labels(d.runs))
+    oof = _step("oof", lambda d: L.oof_from_labels(d.spark, d.sf_dir))
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -94,14 +125,14 @@ _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "agg_root_operations": lambda d: T.root_operations(d.firsts),
     "agg_span_status": lambda d: T.status_codes(d.firsts),
     "win_first_span": lambda d: d.firsts.groupBy("case_no", "service").agg(F.count("*").alias("n"), F.sum("start_us").alias("s")),
-    "jn_reconcile": lambda d: T.reconcile(T.root_identity(d.spans), T.root_operations(d.firsts), d.structure, T.status_codes(d.firsts)),
+    "jn_reconcile": lambda d: (d := d.once()) and T.reconcile(T.root_identity(d.spans), T.root_operations(d.firsts), d.structure, T.status_codes(d.firsts)),
     "agg_call_volume": lambda d: d.volume,
     "agg_call_graph": lambda d: T.call_graph(d.volume),
     "agg_call_volume_change": lambda d: T.call_volume_change(d.volume),
     "agg_service_anomalies": lambda d: rounded(T.service_anomalies(d.stats), "magnitude"),
-    "jn_anomalous_edges": lambda d: T.anomalous_edges(d.span_anomalies, T.call_graph(d.volume)),
-    "agg_propagation_depth": lambda d: T.propagation_depth(d.span_anomalies, T.call_graph(d.volume)),
-    "agg_service_context": lambda d: rounded(T.service_context(d.span_anomalies, T.call_graph(d.volume), d.volume, "promoservice"), "svc__anomalous_service_share", "svc__latency_anomaly_magnitude", "svc__anomalous_edge_share", "svc__contagion_ratio"),
+    "jn_anomalous_edges": lambda d: (d := d.once()) and T.anomalous_edges(d.span_anomalies, T.call_graph(d.volume)),
+    "agg_propagation_depth": lambda d: (d := d.once()) and T.propagation_depth(d.span_anomalies, T.call_graph(d.volume)),
+    "agg_service_context": lambda d: (d := d.once()) and rounded(T.service_context(d.span_anomalies, T.call_graph(d.volume), d.volume, "promoservice"), "svc__anomalous_service_share", "svc__latency_anomaly_magnitude", "svc__anomalous_edge_share", "svc__contagion_ratio"),
     "jn_label_lookup": lambda d: d.labels,
     "agg_label_distribution": lambda d: L.label_distribution(d.labels),
     "agg_label_sensitivity": lambda d: L.label_sensitivity(d.runs),
@@ -110,7 +141,6 @@ _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "ml_confusion": lambda d: L.confusion(d.oof),
     "ml_scenario_accuracy": lambda d: L.scenario_accuracy(d.oof),
     "win_majority_class": lambda d: L.majority_class(d.oof),
-    "win_signed_rank": lambda d: L.signed_ranks(d.oof),
     "prj_trace_column_service": lambda d: d.samples.where("data_name like 'trace%'").select("column_name").distinct().withColumn("service", P.trace_service(F.col("column_name"))),
     "prj_blank_missing": lambda d: d.spans.groupBy("case_no").agg(*(F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in ("trace_id", "span_id", "parent_id"))),
     "jn_cluster_dictionary": lambda d: X.with_templates(d.aligned, S.clusters(d.spark)).groupBy("case_no", "column_name", "template", "category").agg(F.count("*").alias("n")),
@@ -125,22 +155,21 @@ _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "set_missing_extra": lambda d: X.absent_columns(d.aligned),
     "set_traces_without_root": lambda d: T.traces_without_root(d.spans),
     "agg_numeric_quality": lambda d: X.numeric_quality(d.long),
-    "agg_proxy_variance": lambda d: X.proxy_variance(d.long, d.runs),
+    "agg_proxy_variance": lambda d: d.once().proxy.select("feature_name", "within_service_variance_ratio", "decision", "reason"),
+    "agg_proxy_tree": lambda d: U.tier_accuracy(d.once().svc, d.labels.select("case_no", F.col("service_tier").alias("tier"))).withColumn("tier_balanced_accuracy", F.round("tier_balanced_accuracy", 6)),
     "agg_leakage_audit": lambda d: X.leakage(d.long, d.labels),
     "agg_excluded_runs": lambda d: X.excluded_runs(d.eligible, d.verdict),
     "agg_case_consistency": lambda d: X.case_consistency(d.runs, d.aligned, d.spans),
-    "jn_feature_merge": lambda d: rounded(X.merged_features(d.stats, d.novelty, T.call_volume_change(d.volume)), "largest_z"),
-    "prj_feature_manifest": lambda d: d.manifest,
-    "prj_select_config": lambda d: X.select_configuration(d.long, d.manifest, "E1").groupBy("case_no").agg(F.count("*").alias("feature_count"), F.count("value").alias("value_count")),
+    "jn_feature_merge": lambda d: rounded(d.once().merged, "value"),
+    "prj_feature_manifest": lambda d: d.once().manifest,
+    "prj_select_config": lambda d: X.configuration_counts((d := d.once()).merged, d.manifest),
     "jn_case_metadata": lambda d: X.case_metadata(d.runs, d.long),
     "jn_align_labels": lambda d: X.aligned_labels(d.long, d.labels),
-    "set_group_overlap": lambda d: X.fold_overlap(d.oof),
-    "ml_dummy_baseline": lambda d: X.majority_baseline(d.oof),
 }
 #: Queries whose rows come from fixed policy literals alone; they are operators with tests and no queries.
 _FIXED = {"src_run_metadata", "jn_label_lookup", "agg_label_distribution", "agg_label_sensitivity"}
 
-QUERIES = {k: (lambda spark, sf_dir, f=f: f(Data(spark, sf_dir))) for k, f in _BUILD.items() if k not in _FIXED}
+QUERIES = {k: (lambda spark, sf_dir, f=f: f(Data(spark, sf_dir))) for k, f in _BUILD.items() if k not in _FIXED} | modeling.QUERIES
 CHECKED = {k: (lambda spark, sf_dir, most_empty=MOST_EMPTY, f=f: f(Data(spark, sf_dir, most_empty))) for k, f in _BUILD.items()}
-ALL_SQL = ORACLE_SQL
+ALL_SQL = ORACLE_SQL = ORACLE_SQL | modeling.ORACLE_SQL
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if k in QUERIES}

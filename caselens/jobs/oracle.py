@@ -151,17 +151,11 @@ EXTRA_SQL = {
     "set_missing_extra": sql("select c.case_no, count(a.column_name) as column_count, count(*) - count(a.column_name) as missing_count, coalesce(string_agg(n.column_name, '|' order by n.column_name) filter (a.column_name is null), '') as missing_columns from (select distinct case_no from aligned) c cross join (select distinct column_name from aligned) n left join (select distinct case_no, column_name from aligned) a on a.case_no = c.case_no and a.column_name = n.column_name group by c.case_no", "aligned"),
     "set_traces_without_root": sql("select case_no, trace_id from spans group by all having count(*) = count(parent_id)", "spans"),
     "agg_numeric_quality": sql('select feature_name, count(*) filter (isinf(value)) as infinite_count, (select count(distinct case_no) from stats) - count(value) as missing_count, count(value) = 0 as all_missing, coalesce(min(value) = max(value), false) as constant from long group by feature_name', "long"),
-    "agg_proxy_variance": sql("select feature_name, ratio, case when ratio is null then 'constant' when ratio < 0.05 then 'rejected' else 'accepted' end as decision from (select feature_name, case when lo < hi then round(w / v, 6) end as ratio from (select feature_name, var_pop(value) as v, min(value) as lo, max(value) as hi from long group by feature_name) join (select feature_name, avg(v) as w from (select feature_name, service, var_pop(value) as v from long join runs using (case_no) group by all) group by feature_name) using (feature_name))", "long", "runs"),
     "agg_leakage_audit": sql("select feature_name, ingredient, bool_and(value is not distinct from x) and count(*) = (select count(distinct case_no) from stats) as copies from long join (select case_no, 'fcw' as ingredient, cast(fcw as double) as x from dl union all select case_no, 'sct', sct from dl union all select case_no, 'severity_score', severity_score from dl) using (case_no) group by all", "long", "dl"),
     "agg_excluded_runs": sql("select case_no, 'coverage' as stage, 'trace_window_incomplete' as reason from struct where not (start_us <= (899251200000000 + case_no * 604800000000) - 31536000000000 and end_us >= (899251200000000 + case_no * 604800000000) + 31536000000000) union all select case_no, 'bins', exclusion_reason from verd where not eligible", "struct", "verd"),
     "agg_case_consistency": sql("select case_no, bool_or(t = 1) as in_runs, bool_or(t = 2) as in_series, bool_or(t = 3) as in_spans from (select case_no, 1 as t from runs union all select case_no, 2 from aligned union all select case_no, 3 from spans) group by case_no", "aligned", "spans"),
-    "jn_feature_merge": sql("select s.case_no, column_count, largest_z, coalesce(nov, 0) as log__all__new_template_count, edge_drop_share, max_drop, total_change from (select case_no, count(*) as column_count, round(max(abs(zscore_max)), 6) as largest_z from stats group by case_no) s left join (select case_no, count(*) as nov from cmaps where baseline_sum = 0 and incident_sum > 0 group by case_no) n on n.case_no = s.case_no left join chg on chg.case_no = s.case_no", "stats", "cmaps", "chg"),
-    "prj_feature_manifest": sql("select feature_name, split_part(feature_name, '__', 1) as modality, case split_part(feature_name, '__', 1) when 'metric' then 'E0' when 'log' then 'E1' else 'E2' end as config, regexp_extract(feature_name, '^(.*)__', 1) as source_column, split_part(feature_name, '__', -1) as statistic, 'derived' as origin, case when bad then 'rejected' else 'passed' end as audit_status from (select distinct feature_name from long) join (select feature_name as f, lo < hi and w / v < 0.05 as bad from (select feature_name, var_pop(value) as v, min(value) as lo, max(value) as hi from long group by feature_name) join (select feature_name, avg(v) as w from (select feature_name, service, var_pop(value) as v from long join runs using (case_no) group by all) group by feature_name) using (feature_name)) on f = feature_name", "long", "runs"),
-    "prj_select_config": sql("select case_no, count(*) as feature_count, count(value) as value_count from long where feature_name in (select feature_name from (select feature_name, split_part(feature_name, '__', 1) as modality, case split_part(feature_name, '__', 1) when 'metric' then 'E0' when 'log' then 'E1' else 'E2' end as config, regexp_extract(feature_name, '^(.*)__', 1) as source_column, split_part(feature_name, '__', -1) as statistic, 'derived' as origin, case when bad then 'rejected' else 'passed' end as audit_status from (select distinct feature_name from long) join (select feature_name as f, lo < hi and w / v < 0.05 as bad from (select feature_name, var_pop(value) as v, min(value) as lo, max(value) as hi from long group by feature_name) join (select feature_name, avg(v) as w from (select feature_name, service, var_pop(value) as v from long join runs using (case_no) group by all) group by feature_name) using (feature_name)) on f = feature_name) where config <= 'E1' and audit_status <> 'rejected') group by case_no", "long", "runs"),
     "jn_case_metadata": sql('select case_no, case_id, scenario, service, fault_type, run_number, inject_s from runs where case_no in (select case_no from long)', "long", "runs"),
     "jn_align_labels": sql('select dl.case_no, severity, dl.case_no in (select case_no from long) as featured from dl', "long", "dl"),
-    "set_group_overlap": sql('select scenario % 5 as fold, count(distinct scenario) as test_groups, 0 as overlap, (select count(distinct scenario) from oof) - count(distinct scenario) as train_groups from oof group by all', "oof"),
-    "ml_dummy_baseline": sql("select fold, y_true as majority, cast(total as bigint) as test_count, round(n / total, 6) as accuracy from (select *, row_number() over (partition by fold order by train desc, y_true) as rn from (select fold, y_true, n, sum(n) over (partition by y_true) - n as train, sum(n) over (partition by fold) as total from (select f.fold, c.y_true, count(o.case_id) as n from (select distinct scenario % 5 as fold from oof) f cross join (select distinct y_true from oof) c left join oof o on o.repeat = 0 and o.scenario % 5 = f.fold and o.y_true = c.y_true group by all))) where rn = 1", "oof"),
 }
 EXTRA_SQL["agg_validate_cleaned"] = sql("select case_no, (select count(*) from sch where keep) as column_count, 0 as lacking_columns, 0 as extra_columns, 0 as wrong_bin_columns, 0 as zero_policy_gaps, true as valid from verd where eligible", "sch", "verd")
 R5 = "round(baseline_mean, 6) as baseline_mean, round(incident_max, 6) as incident_max, round(delta_mean, 6) as delta_mean, round(zscore_max, 6) as zscore_max, round(zscore_mean, 6) as zscore_mean"
@@ -204,5 +198,41 @@ ORACLE_SQL = EXTRA_SQL | {
     "ml_confusion": sql("select y_true, count(*) filter (y_pred = 'Low') as pred_low, count(*) filter (y_pred = 'Medium') as pred_medium, count(*) filter (y_pred = 'High') as pred_high from oof group by y_true", "oof"),
     "ml_scenario_accuracy": sql("select scenario, round(avg(a), 6) as accuracy, count(*) as case_count from (select scenario, case_id, avg(case when y_true = y_pred then 1.0 else 0.0 end) as a from oof group by all) group by scenario", "oof"),
     "win_majority_class": sql("select case_id, y_pred as majority, n as votes from (select case_id, y_pred, count(*) as n, row_number() over (partition by case_id order by count(*) desc, y_pred) as rn from oof group by case_id, y_pred) where rn = 1", "oof"),
-    "win_signed_rank": sql("select scenario, diff, rank() over (order by abs(diff)) + (count(*) over (partition by abs(diff)) - 1) / 2 as rank from df where diff <> 0", "df"),
+}
+
+# The service context's features in long form, audited by trees and variances, merged with the others, described and selected.
+_CONTEXT = EXTRA_SQL["agg_service_context"]
+_AUDIT = f"""ctx as ({_CONTEXT}), svc as (unpivot (select case_no, cast(columns(* exclude (case_no)) as double) from ctx where case_no in (select case_no from verd where eligible)) on columns(* exclude (case_no)) into name feature_name value value),
+  meta as (select case_no, service, service_tier as tier from dl), fm as (select * from svc join meta using (case_no)),
+  v as (select feature_name, value as x, count(*) filter (tier = 'core') as a, count(*) filter (tier = 'edge') as b from fm group by all),
+  w as (select *, sum(a) over h as la, sum(b) over h as lb, sum(a) over (partition by feature_name) as ta, sum(b) over (partition by feature_name) as tb from v window h as (partition by feature_name order by x)),
+  root as (select feature_name, x as r from w where la + lb < ta + tb qualify row_number() over (partition by feature_name order by round((la * la + lb * lb) / (la + lb) + ((ta - la) * (ta - la) + (tb - lb) * (tb - lb)) / (ta + tb - la - lb), 9) desc, x) = 1),
+  v2 as (select v.*, coalesce(x > r, false) as s from v left join root using (feature_name)),
+  w2 as (select *, sum(a) over h as la, sum(b) over h as lb, sum(a) over (partition by feature_name, s) as ta, sum(b) over (partition by feature_name, s) as tb from v2 window h as (partition by feature_name, s order by x)),
+  cut as (select feature_name, s, x as r from w2 where la + lb < ta + tb qualify row_number() over (partition by feature_name, s order by round((la * la + lb * lb) / (la + lb) + ((ta - la) * (ta - la) + (tb - lb) * (tb - lb)) / (ta + tb - la - lb), 9) desc, x) = 1),
+  leaf as (select v2.feature_name, v2.s, coalesce(x > r, false) as u, sum(a) as a, sum(b) as b from v2 left join cut on cut.feature_name = v2.feature_name and cut.s = v2.s group by all),
+  acc as (select feature_name, list_avg(list_filter([sum(case when a >= b then a else 0 end) / nullif(sum(a), 0), sum(case when b > a then b else 0 end) / nullif(sum(b), 0)], lambda q: q is not null)) as acc from leaf group by feature_name),
+  ratio as (select feature_name, wi / nullif(va, 0) as ratio, lo = hi as c from (select feature_name, var_pop(value) as va, min(value) as lo, max(value) as hi from fm group by all) join (select feature_name, avg(q) as wi from (select feature_name, service, var_pop(value) as q from fm group by all) group by all) using (feature_name)),
+  proxy as (select *, case when reason = '' then 'passed' else 'rejected' end as decision from (select feature_name, case when not c then round(acc, 4) end as acc, case when not c then round(ratio, 4) end as ratio,
+    case when c then 'constant' else concat_ws('|', case when acc >= 0.85 then 'encodes_tier' end, case when ratio < 0.05 then 'service_identifier' end) end as reason from ratio join acc using (feature_name)))"""
+_MERGED = f"""{_AUDIT}, nov as (select r.case_no, 'log__' || s.service || '__new_template_count' as feature_name, count(m.column_name) as value from verd r cross join (select distinct service from cmaps) s
+    left join cmaps m on m.case_no = r.case_no and m.service = s.service and baseline_sum = 0 and incident_sum > 0 where r.eligible group by all union all
+    select r.case_no, 'log__all__new_template_count', count(m.column_name) from verd r left join cmaps m on m.case_no = r.case_no and baseline_sum = 0 and incident_sum > 0 where r.eligible group by all),
+  every as (select * from long union all select case_no, feature_name, cast(value as double) from nov union all select case_no, feature_name, value from svc where feature_name in (select feature_name from proxy where decision = 'passed')),
+  merged as (select * from every where feature_name not in (select feature_name from every group by feature_name having count(value) = (select count(distinct case_no) from long) and min(value) = max(value))),
+  mani as (select feature_name, split_part(feature_name, '__', 1) as modality, case split_part(feature_name, '__', 1) when 'metric' then 'E0' when 'log' then 'E1' when 'svc' then 'E3' else 'E2' end as config,
+    case when feature_name like '%__new_template_count' then 'column_harmonization_map.csv' else regexp_extract(feature_name, '^(.*)__', 1) end as source_column, split_part(feature_name, '__', -1) as statistic, 'derived' as origin,
+    case when feature_name like 'svc%' then 'passed' else 'n/a' end as audit_status from (select distinct feature_name from merged))"""
+
+
+def _over(chain: str, body: str, *heads: str) -> str:
+    return sql("", *heads).rstrip() + f", {chain} {body}"
+
+
+ORACLE_SQL |= {
+    "agg_proxy_variance": _over(_AUDIT, "select feature_name, ratio as within_service_variance_ratio, decision, reason from proxy", "verd", "dl"),
+    "agg_proxy_tree": _over(_AUDIT, "select feature_name, round(acc, 6) as tier_balanced_accuracy from acc", "verd", "dl"),
+    "jn_feature_merge": _over(_MERGED, "select case_no, feature_name, round(value, 6) as value from merged", "verd", "dl", "cmaps", "long"),
+    "prj_feature_manifest": _over(_MERGED, "select * from mani", "verd", "dl", "cmaps", "long"),
+    "prj_select_config": _over(_MERGED, "select c.config, case_no, count(*) as feature_count, count(value) as value_count from merged join mani using (feature_name) join (values ('E0'),('E1'),('E2'),('E3')) c(config) on mani.config <= c.config group by all", "verd", "dl", "cmaps", "long"),
 }

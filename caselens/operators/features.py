@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import log_column_parts, modality, template_category
 from ..sources.adapters import Grid
-from .align import case_count
+from .align import case_count, constant_features
 
 def with_templates(aligned: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Log cells with the template and category that their cluster id means in their own case; an unknown id fails."""
@@ -68,16 +68,6 @@ def numeric_quality(features: DataFrame) -> DataFrame:
     return n.select("feature_name", "infinite_count", (case_count(features) - F.col("n")).alias("missing_count"), (F.col("n") == 0).alias("all_missing"), F.coalesce(F.col("lo") == F.col("hi"), F.lit(False)).alias("constant"))
 
 
-def proxy_variance(features: DataFrame, runs: DataFrame, least: float = 0.05) -> DataFrame:
-    """Mean variance within a service against the variance over all cases; features below `least` only name the service."""
-    f = features.join(runs.select("case_no", "service"), "case_no")
-    within = f.groupBy("feature_name", "service").agg(F.var_pop("value").alias("v")).groupBy("feature_name").agg(F.avg("v").alias("within"))
-    total = f.groupBy("feature_name").agg(F.var_pop("value").alias("total"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    ratio = F.when(F.col("lo") < F.col("hi"), F.round(F.col("within") / F.col("total"), 6))
-    decision = F.when(F.col("ratio").isNull(), "constant").when(F.col("ratio") < least, "rejected").otherwise("accepted")
-    return total.join(within, "feature_name").select("feature_name", ratio.alias("ratio")).withColumn("decision", decision)
-
-
 def leakage(features: DataFrame, labels: DataFrame) -> DataFrame:
     """Features that equal an ingredient of the label in all cases, a missing value only another missing one."""
     parts = labels.select("case_no", *(F.col(c).cast("double") for c in ("fcw", "sct", "severity_score"))).unpivot(["case_no"], ["fcw", "sct", "severity_score"], "ingredient", "x")
@@ -99,11 +89,21 @@ def case_consistency(runs: DataFrame, aligned: DataFrame, spans: DataFrame) -> D
     return out.select("case_no", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("in_runs", "in_series", "in_spans")))
 
 
-def merged_features(stats: DataFrame, novelty: DataFrame, change: DataFrame) -> DataFrame:
-    """One row a case: its features, with log novelty and call volume joined one to one."""
-    n = stats.groupBy("case_no").agg(F.count("*").alias("column_count"), F.max(F.abs("zscore_max")).alias("largest_z"))
-    total = novelty.where("feature_name = 'log__all__new_template_count'").select("case_no", F.col("value").alias("log__all__new_template_count"))
-    return n.join(total, "case_no", "left").join(change, "case_no", "left")
+def as_long(wide: DataFrame) -> DataFrame:
+    """(case_no, feature_name, value) of a table with a row for each case and numeric columns."""
+    names = [c for c in wide.columns if c != "case_no"]
+    return wide.select("case_no", *(F.col(c).cast("double").alias(c) for c in names)).unpivot("case_no", names, "feature_name", "value")
+
+
+def merged_features(long: DataFrame, novelty: DataFrame, svc: DataFrame, audit: DataFrame) -> DataFrame:
+    """All features of the cases that have statistics (long form), one value for each case and name: statistics, new templates, and the service context that
+    the audit passes. Constant features go after the audit; a name that comes twice for a case fails."""
+    passed = svc.join(audit.where("decision = 'passed'"), "feature_name", "left_semi")
+    rows = long.unionByName(novelty.withColumn("value", F.col("value").cast("double"))).unionByName(passed)
+    rows = rows.join(long.select("case_no").distinct(), "case_no", "left_semi")
+    once = rows.groupBy("case_no", "feature_name").agg(F.count("*").alias("n"), F.max("value").alias("value"))
+    once = once.withColumn("value", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("more than one value of "), "feature_name"))).otherwise(F.col("value"))).drop("n")
+    return once.join(constant_features(once).where("constant"), "feature_name", "left_anti").select("case_no", "feature_name", "value")
 
 
 #: The first of the nested configurations that shows a modality.
@@ -130,6 +130,14 @@ def select_configuration(features: DataFrame, manifest: DataFrame, config: str)
     return features.join(shown, "feature_name", "left_semi")
 
 
+def configuration_counts(features: DataFrame, manifest: DataFrame) -> DataFrame:
+    """For each nested configuration and case how many features it shows and how many have a value."""
+    shown = manifest.where("audit_status <> 'rejected'").select("feature_name", "config")
+    configs = F.explode(F.array(*(F.lit(c) for c in sorted({c for _, c in CONFIGURATIONS})))).alias("shows")
+    rows = features.join(shown, "feature_name").select("*", configs).where("config <= shows")
+    return rows.groupBy(F.col("shows").alias("config"), "case_no").agg(F.count("*").alias("feature_count"), F.count("value").alias("value_count"))
+
+
 def case_metadata(runs: DataFrame, features: DataFrame) -> DataFrame:
     """What identifies the cases that have features."""
     return runs.join(features.select("case_no").distinct(), "case_no", "left_semi").select("case_no", "case_id", "scenario", "service", "fault_type", "run_number", "inject_s")
@@ -141,23 +149,3 @@ def aligned_labels(features: DataFrame, labels: DataFrame) -> DataFrame:
     j = cases.join(labels.select("case_no", "severity", F.lit(True).alias("labelled")), "case_no", "full")
     severity = F.when(F.col("labelled").isNull(), F.raise_error(F.concat(F.lit("no label for case "), F.col("case_no").cast("string")))).otherwise(F.col("severity"))
     return j.select("case_no", severity.alias("severity"), F.coalesce("featured", F.lit(False)).alias("featured"))
-
-
-def fold_overlap(oof: DataFrame, folds: int = 5) -> DataFrame:
-    """For each fold of whole scenarios: its test and train scenarios, and how many are both (0, or the folds leak)."""
-    rows = oof.select("case_id", "scenario", (F.col("scenario") % folds).alias("fold")).distinct()
-    per = rows.select("scenario", "fold").distinct()
-    n = per.groupBy("scenario").agg(F.count("*").alias("in_folds"))
-    total = n.agg(F.count("*").alias("n")).scalar()
-    return per.join(n, "scenario").groupBy("fold").agg(F.count("*").alias("test_groups"), F.count_if(F.col("in_folds") > 1).alias("overlap")).withColumn("train_groups", total - F.col("test_groups") + F.col("overlap"))
-
-
-def majority_baseline(oof: DataFrame, folds: int = 5) -> DataFrame:
-    """For each fold of whole scenarios: the most frequent class of the other folds, and how often it is right."""
-    n = oof.where("repeat = 0").groupBy((F.col("scenario") % folds).alias("fold"), "y_true").agg(F.count("*").alias("n"))
-    by_class = Window.partitionBy("y_true")
-    # a class that a fold lacks still counts in its training rows
-    grid = n.select("fold").distinct().crossJoin(n.select("y_true").distinct()).join(n, ["fold", "y_true"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rest = grid.withColumn("train", F.sum("n").over(by_class) - F.col("n"))
-    best = rest.groupBy("fold").agg(F.min(F.struct((-F.col("train")).alias("m"), "y_true", "n")).alias("x"), F.sum("n").alias("test_count"))
-    return best.select("fold", F.col("x.y_true").alias("majority"), "test_count", F.round(F.col("x.n") / F.col("test_count"), 6).alias("accuracy"))

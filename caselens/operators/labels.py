@@ -84,14 +84,3 @@ def majority_class(oof: DataFrame) -> DataFrame:
     n = oof.groupBy("case_id", "y_pred").agg(F.count("*").alias("n"))
     best = n.groupBy("case_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "y_pred")).alias("x"))
     return best.select("case_id", F.col("x.y_pred").alias("majority"), (-F.col("x.m")).alias("votes"))
-
-
-def signed_ranks(oof: DataFrame) -> DataFrame:
-    """Scenario accuracy of repeat 0 against repeat 1: nonzero differences with average ranks, by Spark's rank and tie counts."""
-    a = oof.where("repeat in (0, 1)").groupBy("scenario").agg(F.avg(F.when(F.col("repeat") == 0, (F.col("y_true") == F.col("y_pred")).cast("double"))).alias("x"), F.avg(F.when(F.col("repeat") == 1, (F.col("y_true") == F.col("y_pred")).cast("double"))).alias("y"))
-    d = a.select("scenario", F.round(F.col("x") - F.col("y"), 6).alias("diff")).where("diff <> 0")
-    size = d.groupBy(F.abs("diff").alias("size")).agg(F.count("*").alias("ties"))
-    # ranks over the distinct sizes, a table of at most as many rows as scenarios
-    below = size.select(F.col("size").alias("s2"), F.col("ties").alias("t2"))
-    ranks = size.join(below, F.col("s2") < F.col("size"), "left").groupBy("size", "ties").agg((F.coalesce(F.sum("t2"), F.lit(0)) + (F.col("ties") + 1) / 2).alias("rank"))
-    return d.join(ranks, F.abs("diff") == F.col("size")).select("scenario", "diff", "rank")
