@@ -209,7 +209,9 @@ def in_cells(p: DataFrame, sets: DataFrame, num: int, den: int, head: int = 0, l
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(cells), "a long, b long")
 
 
-def link_components(postings: DataFrame, sketches: DataFrame, screen: str, fetch: Callable[[DataFrame], DataFrame], confirm: Callable, cells: Callable | None = None, rounds: int = 1, paired: int = PAIRED) -> DataFrame:
+def link_components(
+    postings: DataFrame, sketches: DataFrame, screen: str, fetch: Callable[[DataFrame], DataFrame], confirm: Callable, cells: Callable | None = None, rounds: int = 1, paired: int = PAIRED, crossed: int | None = None,
+) -> DataFrame:
     """(node, component) of the items that link with another one.
 
     postings: (key, item, n), n the key's members, null where a key has many; two items may link only if they share a key.
@@ -221,16 +223,19 @@ def link_components(postings: DataFrame, sketches: DataFrame, screen: str, fetch
     needs one comparison a member. Then only members of different components under one key are
     left, and all of those pairs are compared, for keys of more than CROSSED members by cells(postings with comp, sets) if given (see
     in_cells), else by a join: no link between components is lost.
+
+    With `crossed`, keys with one pivot meet as one key before that, and those of more than `crossed` members go to cells. Copies share
+    most of their keys, and keys with nearly the same members mostly have the same pivot, so that a pair is compared a few times and not under each key.
     """
     p = written(postings.join(sketches, "item").select("key", "item", "n", *(c for c in sketches.columns if c != "item")), "posted")
     sketch_of = [c for c in p.columns if c not in ("key", "n")]
     twin = lambda df: df.select("key", *(F.col(c).alias("other" if c == "item" else f"other_{c}") for c in sketch_of))
     wide = F.coalesce(F.col("n") > CROSSED, F.lit(True))
-    small, large = p.where(F.col("n") <= paired).drop("n"), p.where(F.coalesce(F.col("n") > paired, F.lit(True))).withColumn("wide", wide if cells else F.lit(False)).drop("n")
+    small, large = p.where(F.col("n") <= paired).drop("n"), p.where(F.coalesce(F.col("n") > paired, F.lit(True))).withColumn("wide", wide if cells and crossed is None else F.lit(False)).drop("n")
     pairs = small.join(twin(small), "key").where(f"item < other and {screen}").select(F.col("item").alias("a"), F.col("other").alias("b"))
+    pivots_of = lambda r: large.groupBy("key").agg(F.min(F.struct(F.xxhash64("item", F.lit(r)).alias("o"), *sketch_of)).alias("x")).select("key", *(f"x.{c}" for c in sketch_of))
     for r in range(rounds):
-        pivots = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("item", F.lit(r)).alias("o"), *sketch_of)).alias("x")).select("key", *(f"x.{c}" for c in sketch_of))
-        met = large.join(twin(pivots), "key").where(f"item <> other and {screen}")
+        met = large.join(twin(pivots_of(r)), "key").where(f"item <> other and {screen}")
         pairs = pairs.union(met.select(F.least("item", "other").alias("a"), F.greatest("item", "other").alias("b")))
     pairs = written(pairs.distinct(), "pairs")
     some = not large.isEmpty()
@@ -241,14 +246,19 @@ def link_components(postings: DataFrame, sketches: DataFrame, screen: str, fetch
         return comp
     q = large.join(comp, large["item"] == comp["node"], "left").withColumn("comp", F.coalesce("component", "item")).drop("node", "component")
     mixed = q.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    q = written(q.join(mixed, "key"), "crossing")
+    q = q.join(mixed, "key")
+    if crossed is not None:
+        q = q.join(pivots_of(0).select("key", F.col("item").alias("meeting")), "key").drop("key", "wide").withColumnRenamed("meeting", "key").distinct()
+        q = written(q, "meetings")
+        q = q.join(q.groupBy("key").agg(F.count("*").alias("n")), "key").withColumn("wide", F.col("n") > crossed).drop("n")
+    q = written(q, "crossing")
     joined = q.where("not wide")
     right = joined.select("key", F.col("comp").alias("other_comp"), *(F.col(c).alias("other" if c == "item" else f"other_{c}") for c in sketch_of))
     met = joined.join(right, "key").where(f"comp < other_comp and {screen}")
     met = written(met.select(F.least("item", "other").alias("a"), F.greatest("item", "other").alias("b")).distinct(), "met")
     new = None if met.isEmpty() else confirm(met, fetch(met.select(F.col("a").alias("item")).union(met.select("b")).distinct()))
     if cells and not q.where("wide").isEmpty():
-        apart = cells(q.where("wide").drop("wide"), sets)
+        apart = cells(q.where("wide").drop("wide"), sets if crossed is None else fetch(q.where("wide").select("item").distinct()))
         new = apart if new is None else new.union(apart)
     if new is None:
         return comp

@@ -14,6 +14,7 @@ from .near_dups import _set_key, _sets
 CELL_BITS, BLOCK_BITS = 22, 12  # places in which tokens are counted for their order, and of a block of them
 RARE = 8  # documents of a token up to which it is a key by itself
 MOST = 16  # frequent tokens of a prefix up to which they are combined
+CROSSED = 128  # members of a meeting from which on its pairs are met in cells
 SIGMAS = 8.0
 
 
@@ -84,7 +85,7 @@ def candidate_keys(met: DataFrame, percent: int, k: int, rare: int = RARE, most:
     return single.unionByName(combined).unionByName(alone)
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, k: int = 2, rare: int = RARE, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, k: int = 2, rare: int = RARE, most: int = MOST, crossed: int = CROSSED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id.
 
     Documents link if their sets of n-word shingles (A-Z lower-cased, words of non-space bytes) have a Jaccard similarity of
@@ -138,7 +139,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, k: int =
 
     comp = link_components(
         postings, items.select("item", "size", "bits0", "bits1"), alike(percent, 100, sigmas=SIGMAS), fetch,
-        lambda pairs, sets: confirmed(pairs, sets, percent, 100), lambda p, sets: in_cells(p, sets, percent, 100, sigmas=SIGMAS), paired=rare,
+        lambda pairs, sets: confirmed(pairs, sets, percent, 100), lambda p, sets: in_cells(p, sets, percent, 100, sigmas=SIGMAS), paired=rare, crossed=crossed,
     )
     whole = items.select("item", "low").join(comp, items["item"] == comp["node"], "left").select("item", "low", F.coalesce("component", "item").alias("component"))
     least = whole.groupBy("component").agg(F.min("low").alias("component_id"))

@@ -65,10 +65,10 @@ JOINED = [
 ]
 
 
-@pytest.mark.parametrize("rare, most, k", [(8, 16, 2), (2, 3, 2), (2, 40, 3)])
-def test_join_finds_every_link(spark, rare, most, k):
+@pytest.mark.parametrize("rare, most, k, crossed", [(8, 16, 2, 128), (2, 3, 2, 4), (2, 40, 3, 20)])
+def test_join_finds_every_link(spark, rare, most, k, crossed):
     docs = spark.createDataFrame([(d, t, "z", 5) for d, t in JOINED], "doc_id long, text string, item string, prefix int").repartition(5)
-    got = ngram_join.jaccard_components(docs, n=4, percent=85, k=k, rare=rare, most=most)
+    got = ngram_join.jaccard_components(docs, n=4, percent=85, k=k, rare=rare, most=most, crossed=crossed)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_components(JOINED, 4, 85)
 
 
