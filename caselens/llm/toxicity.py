@@ -229,13 +229,14 @@ def grades_of(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").cast("long"), (F.col("toxic") * (F.lit(2) - F.coalesce("quality", F.lit(1)))).cast("int").alias("grade"))
 
 
-def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows with expected_severity, grade and toxic (clashing names are replaced).
+def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str, str] = ("expected_severity", "grade", "toxic")) -> DataFrame:
+    """The input rows with expected_severity, grade and toxic, under the names given; columns of these names are replaced, others stay.
 
     expected_severity is the sum over thresholds of P(grade > k), grade the most likely one, toxic
-    whether P(grade > 0) is above the model's reject cut. Null and blank texts have no feature and get the thresholds' own shares.
+    whether P(grade > 0) is above the model's reject cut. Null and blank texts have no feature and get the thresholds' own shares. Rows are
+    scored one by one: repeated ones alike, texts of any length by the set of their words, no rows give no rows.
     """
-    docs = docs.drop("expected_severity", "grade", "toxic")
+    docs = docs.drop(*names)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -252,10 +253,10 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
                 z[s.first : s.first + s.n] = np.bincount(pair // BUCKETS, m.weights[pair % BUCKETS], s.n) / np.sqrt(np.maximum(np.bincount(pair // BUCKETS, m.scale[pair % BUCKETS].astype(np.float64) ** 2, s.n), 1e-12))
             p = m.above(z)
             mass = -np.diff(np.hstack([np.ones((len(z), 1)), p, np.zeros((len(z), 1))]), axis=1)
-            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(p.sum(axis=1)), pa.array(mass.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0] > m.reject)], names=[*x.schema.names, "expected_severity", "grade", "toxic"])
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(p.sum(axis=1)), pa.array(mass.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0] > m.reject)], names=[*x.schema.names, *names])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(tidy(run), f"{schema}, expected_severity double, grade int, toxic boolean")
+    return docs.mapInArrow(tidy(run), f"{schema}, `{names[0]}` double, `{names[1]}` int, `{names[2]}` boolean")
 
 
 def model_for(spark: SparkSession, docs: DataFrame, sf_dir: str) -> OrdinalModel:
