@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from ..functions.storage import kept
+from ..functions.storage import kept, new_path
 from ..operators import align as A
 from ..operators import audits as U
 from ..operators import features as X
@@ -16,6 +16,7 @@ from ..operators import labels as L
 from ..operators import quality as Q
 from ..operators import traces as T
 from ..sources import adapters as S
+from ..sources import training as W
 from . import modeling
 from .oracle import ORACLE_SQL
 
@@ -98,6 +99,21 @@ def _log_parts(d: Data) -> DataFrame:
     return d.samples.where("data_name = 'logs'").select("column_name").distinct().select("column_name", service.alias("service"), cluster.alias("cluster_id"))
 
 
+def _training(d: Data) -> DataFrame:
+    """The written training tables, read back: each configuration's cases, features, values and whether it holds all columns of the one before in the same order."""
+    d, folder = d.once(), new_path(d.spark, "training")
+    W.write_training(d.merged, d.manifest, d.labels.select("case_no", "severity"), X.case_metadata(d.runs, d.long), folder)
+    out, before = None, ["case_no"]
+    for config in W.CONFIGS:
+        t = W.read_training(d.spark, folder, f"features_{config}")
+        nested = t.columns[: len(before)] == before
+        before = t.columns
+        values = sum((F.count(f"`{c}`") for c in t.columns[1:]), F.lit(0))
+        row = t.agg(F.count("*").alias("case_count"), values.cast("long").alias("value_count")).select(F.lit(config).alias("config"), F.lit(len(t.columns) - 1).alias("feature_count"), "case_count", "value_count", F.lit(nested).alias("nested"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "src_run_metadata": lambda d: d.runs.select("case_no", "case_id", "scenario", "service", "fault_type", "run_number", "inject_s"),
     "flt_observation_window": lambda d: d.windowed.groupBy("case_no", "data_name", "window_type").agg(F.count("*").alias("n")),
@@ -163,6 +179,12 @@ _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "jn_feature_merge": lambda d: rounded(d.once().merged, "value"),
     "prj_feature_manifest": lambda d: d.once().manifest,
     "prj_select_config": lambda d: X.configuration_counts((d := d.once()).merged, d.manifest),
+    "sink_partitioned": lambda d: W.write_aligned(d.dense, d.runs, new_path(d.spark, "aligned")),
+    "sink_training": _training,
+    "srt_schema_order": lambda d: d.schema.where("keep").orderBy("position").select("position", "column_name"),
+    "srt_case_order": lambda d: X.case_metadata(d.runs, d.long).orderBy("case_id").select("case_id", "scenario"),
+    "srt_report_order": lambda d: T.root_operations(d.firsts).orderBy(F.col("span_count").desc(), "service", "operation", "case_no").select("case_no", "service", "operation", "span_count"),
+    "top_features_first_case": lambda d: rounded(A.first_case_top(d.stats), "zscore_mean"),
     "jn_case_metadata": lambda d: X.case_metadata(d.runs, d.long),
     "jn_align_labels": lambda d: X.aligned_labels(d.long, d.labels),
 }

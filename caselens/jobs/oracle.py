@@ -178,7 +178,7 @@ ORACLE_SQL = EXTRA_SQL | {
     "agg_constant_features": sql('select feature_name, (select count(distinct case_no) from stats) - count(value) as missing_count, count(value) = (select count(distinct case_no) from stats) and min(value) = max(value) as constant from long group by feature_name', "long"),
     "win_topk_features": sql("select case_no, rank, column_name, round(zscore_mean, 6) as zscore_mean from (select *, row_number() over (partition by case_no order by abs(zscore_mean) desc nulls last, column_name) as rank from stats) where rank <= 5", "stats"),
     "agg_timeseries_quality": sql("select * from q2", "q2"),
-    "agg_missing_by_column": sql("select i.case_no, i.data_name, i.column_name, i.missing_count, longest_missing_streak, missing_before_injection, first_missing_us, last_missing_us, row_count, i.missing_count - missing_before_injection as missing_after_injection, round(100 * i.missing_count / row_count, 6) as missing_percentage from (select case_no, data_name, column_name, count(*) as missing_count, count(*) filter (ts_us < inject_s * 1000000) as missing_before_injection, min(ts_us) as first_missing_us, max(ts_us) as last_missing_us from isl group by all) i join (select case_no, data_name, column_name, max(n) as longest_missing_streak from (select case_no, data_name, column_name, island, count(*) as n from isl group by all) group by all) m using (case_no, data_name, column_name) join (select case_no, data_name, column_name, count(*) as row_count from samples group by all) c using (case_no, data_name, column_name)", "isl"),
+    "agg_missing_by_column": sql("select i.case_no, i.data_name, i.column_name, i.missing_count, longest_missing_streak, missing_before_injection, first_missing_us, last_missing_us, row_count, i.missing_count - missing_before_injection - missing_on_invalid_timestamp as missing_after_injection, missing_on_invalid_timestamp, round(100 * i.missing_count / row_count, 6) as missing_percentage from (select case_no, data_name, column_name, count(*) as missing_count, count(*) filter (ts_us < inject_s * 1000000) as missing_before_injection, count(*) filter (ts_us is null) as missing_on_invalid_timestamp, min(ts_us) as first_missing_us, max(ts_us) as last_missing_us from isl group by all) i join (select case_no, data_name, column_name, max(n) as longest_missing_streak from (select case_no, data_name, column_name, island, count(*) as n from isl group by all) group by all) m using (case_no, data_name, column_name) join (select case_no, data_name, column_name, count(*) as row_count from samples group by all) c using (case_no, data_name, column_name)", "isl"),
     "jn_eligibility": sql("select r.case_no, case_id, bool_and(window_covered) as series_covered, coalesce(string_agg(data_name, '|' order by data_name) filter (not window_covered), '') as uncovered, any_value(t.c) as trace_covered, any_value(t.c) as eligible, case when any_value(t.c) then '' else 'trace_window_incomplete' end as reason from runs r join q2 on q2.case_no = r.case_no join (select case_no, start_us <= (899251200000000 + case_no * 604800000000) - 31536000000000 and end_us >= (899251200000000 + case_no * 604800000000) + 31536000000000 as c from struct) t on t.case_no = r.case_no group by r.case_no, case_id", "q2", "struct"),
     "agg_trace_structure": sql("select * from struct", "struct"),
     "agg_root_identity": sql("select * from roots", "roots"),
@@ -236,3 +236,11 @@ ORACLE_SQL |= {
     "prj_feature_manifest": _over(_MERGED, "select * from mani", "verd", "dl", "cmaps", "long"),
     "prj_select_config": _over(_MERGED, "select c.config, case_no, count(*) as feature_count, count(value) as value_count from merged join mani using (feature_name) join (values ('E0'),('E1'),('E2'),('E3')) c(config) on mani.config <= c.config group by all", "verd", "dl", "cmaps", "long"),
 }
+ORACLE_SQL |= {
+    "sink_partitioned": sql("select r.case_no, case_id, scenario, run_number, count(distinct bin_index) as row_count, count(distinct column_name) as feature_column_count, count(distinct bin_index) filter (bin_index < 0) as baseline_bin_count, count(distinct bin_index) filter (bin_index >= 0) as incident_bin_count, count(*) filter (d.case_no is not null and value is null) as missing_feature_cell_count, case when count(d.case_no) = 0 then 'alignment_error' else 'valid' end as status from runs r left join dense d on d.case_no = r.case_no group by all", "dense", "runs"),
+    "sink_training": _over(_MERGED, "select c.config, count(distinct feature_name) as feature_count, count(distinct case_no) as case_count, count(value) as value_count, true as nested from merged join mani using (feature_name) join (values ('E0'),('E1'),('E2'),('E3')) c(config) on mani.config <= c.config group by all", "verd", "dl", "cmaps", "long"),
+    "srt_schema_order": sql("select row_number() over (order by position) as position, column_name from sch where keep", "sch"),
+    "srt_case_order": sql("select case_id, scenario from runs where case_no in (select case_no from long) order by case_id", "long", "runs"),
+    "srt_report_order": sql("select case_no, service, operation, span_count from ops order by span_count desc, service, operation, case_no", "ops"),
+    "top_features_first_case": sql("select case_no, column_name, round(zscore_mean, 6) as zscore_mean from stats where case_no = (select min(case_no) from stats) and zscore_mean is not null order by stats.zscore_mean desc, column_name limit 5", "stats"),
+}

@@ -197,3 +197,9 @@ def top_features(stats: DataFrame, k: int = 5) -> DataFrame:
     """The k columns of each case whose incident differs most."""
     w = Window.partitionBy("case_no").orderBy(F.abs("zscore_mean").desc_nulls_last(), "column_name")
     return stats.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("case_no", "rank", "column_name", "zscore_mean")
+
+
+def first_case_top(stats: DataFrame, k: int = 5) -> DataFrame:
+    """The k columns of the first case with the highest mean z: a report's limit."""
+    first = stats.agg(F.min("case_no").alias("case_no"))
+    return stats.join(first, "case_no").where("zscore_mean is not null").orderBy(F.col("zscore_mean").desc(), "column_name").limit(k).select("case_no", "column_name", "zscore_mean")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,18 +23,39 @@ def timeseries_quality(samples: DataFrame, runs: DataFrame, reach_s: int) -> Dat
     return j.select("case_no", "data_name", "row_count", "feature_count", "missing_count", "duplicate_timestamp_count", "start_us", "end_us", ((before >= reach_s) & (after >= reach_s)).alias("window_covered"), F.when(status == "", "ok").otherwise(status).alias("status"))
 
 
-def missing_by_column(samples: DataFrame, runs: DataFrame) -> DataFrame:
-    """Columns with gaps: counts, share, before and from the injection on, first and last gap, longest streak in time order."""
+def missing_by_column(samples: DataFrame, runs: DataFrame, segment_s: int = 3600) -> DataFrame:
+    """Columns with gaps: counts, share, before and from the injection on, on rows without a time, first and last gap, longest streak in time order.
+
+    Values go before gaps of the same time, and rows without a time come last. A series is cut into segments of time, each of which gives its length, its gaps at
+    both ends and its longest streak; a streak over a border is put together from these, so no task orders a whole series.
+    """
     keys = ["case_no", "data_name", "column_name"]
     s = samples.join(runs.select("case_no", "inject_s"), "case_no").withColumn("gap", F.col("value").isNull())
-    w = Window.partitionBy(*keys).orderBy("ts_us", F.col("gap").cast("int"))
-    # gaps and islands: within a streak both row numbers rise together
-    s = s.withColumn("rn", F.row_number().over(w))
-    runs_of = s.where("gap").withColumn("island", F.col("rn") - F.row_number().over(w))
-    per = runs_of.groupBy(*keys, "island").agg(F.count("*").alias("n"), F.min("ts_us").alias("a"), F.max("ts_us").alias("b"), F.count_if(F.col("ts_us") < F.col("inject_s") * 1_000_000).alias("pre"))
-    gaps = per.groupBy(*keys).agg(F.sum("n").alias("missing_count"), F.max("n").alias("longest_missing_streak"), F.sum("pre").alias("missing_before_injection"), F.min("a").alias("first_missing_us"), F.max("b").alias("last_missing_us"))
-    rows = samples.groupBy(*keys).agg(F.count("*").alias("row_count"))
-    return gaps.join(rows, keys).withColumn("missing_after_injection", F.col("missing_count") - F.col("missing_before_injection")).withColumn("missing_percentage", F.round(100 * F.col("missing_count") / F.col("row_count"), 6))
+    early = F.col("gap") & (F.col("ts_us") < F.col("inject_s") * 1_000_000)
+    row = F.struct(F.col("ts_us").alias("t"), F.col("gap").cast("int").alias("g"))
+    part = s.groupBy(*keys, F.floor(F.col("ts_us") / (segment_s * 1_000_000)).alias("segment")).agg(
+        F.array_sort(F.collect_list(row)).alias("rows"), F.count_if("gap").alias("gaps"), F.count_if(early).alias("early"), F.count_if(F.col("gap") & F.col("ts_us").isNull()).alias("untimed"),
+        F.min(F.when(F.col("gap"), F.col("ts_us"))).alias("first"), F.max(F.when(F.col("gap"), F.col("ts_us"))).alias("last"), F.count("*").alias("n"),
+    )
+    zero = F.lit(0)
+    within = F.aggregate("rows", F.struct(F.lit(True).alias("open"), zero.alias("head"), zero.alias("run"), zero.alias("best")), lambda x, r: F.struct(
+        (x["open"] & (r["g"] == 1)).alias("open"), F.when(x["open"] & (r["g"] == 1), x["head"] + 1).otherwise(x["head"]).alias("head"),
+        F.when(r["g"] == 1, x["run"] + 1).otherwise(zero).alias("run"), F.greatest(x["best"], F.when(r["g"] == 1, x["run"] + 1).otherwise(zero)).alias("best"),
+    ))
+    part = part.withColumn("x", within).drop("rows")
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("segment").isNull().alias("last"), "segment", F.col("n").cast("int").alias("n"), "x.head", "x.run", "x.best")))
+    whole = part.groupBy(*keys).agg(
+        F.sum("n").alias("row_count"), F.sum("gaps").alias("missing_count"), F.sum("early").alias("missing_before_injection"), F.sum("untimed").alias("missing_on_invalid_timestamp"),
+        F.min("first").alias("first_missing_us"), F.max("last").alias("last_missing_us"), ordered.alias("segments"),
+    )
+    across = F.aggregate("segments", F.struct(zero.alias("run"), zero.alias("best")), lambda x, g: F.struct(
+        F.when(g["run"] == g["n"], x["run"] + g["n"]).otherwise(g["run"]).alias("run"), F.greatest(x["best"], g["best"], x["run"] + g["head"]).alias("best"),
+    ), lambda x: x["best"].cast("long"))
+    out = whole.where("missing_count > 0").withColumn("longest_missing_streak", across).drop("segments")
+    return out.withColumns({
+        "missing_after_injection": F.col("missing_count") - F.col("missing_before_injection") - F.col("missing_on_invalid_timestamp"),
+        "missing_percentage": F.round(100 * F.col("missing_count") / F.col("row_count"), 6),
+    })
 
 
 def eligibility(quality: DataFrame, trace_range: DataFrame, runs: DataFrame, series_required: bool = False) -> DataFrame:
