@@ -114,6 +114,13 @@ def _training(d: Data) -> DataFrame:
     return out
 
 
+def _consistency(d: Data) -> DataFrame:
+    shown = kept(X.by_configuration(d.merged, d.manifest).select("config", "case_no").distinct(), "shown")
+    tables = {f"features_{c}": shown.where(F.col("config") == c).select("case_no") for c in W.CONFIGS}
+    labels = X.aligned_labels(d.merged, d.labels).where("featured")
+    return X.case_consistency(tables, labels, X.case_metadata(d.runs, d.merged), "features_E0")
+
+
 _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "src_run_metadata": lambda d: d.runs.select("case_no", "case_id", "scenario", "service", "fault_type", "run_number", "inject_s"),
     "flt_observation_window": lambda d: d.windowed.groupBy("case_no", "data_name", "window_type").agg(F.count("*").alias("n")),
@@ -170,12 +177,12 @@ _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "win_zero_fill": lambda d: d.filled.where("method = 'zero'").groupBy("case_no", "column_name").agg(F.count("*").alias("n")),
     "set_missing_extra": lambda d: X.absent_columns(d.aligned),
     "set_traces_without_root": lambda d: T.traces_without_root(d.spans),
-    "agg_numeric_quality": lambda d: X.numeric_quality(d.long),
+    "agg_numeric_quality": lambda d: X.configuration_quality((d := d.once()).merged, d.manifest),
     "agg_proxy_variance": lambda d: d.once().proxy.select("feature_name", "within_service_variance_ratio", "decision", "reason"),
     "agg_proxy_tree": lambda d: U.tier_accuracy(d.once().svc, d.labels.select("case_no", F.col("service_tier").alias("tier"))).withColumn("tier_balanced_accuracy", F.round("tier_balanced_accuracy", 6)),
-    "agg_leakage_audit": lambda d: X.leakage(d.long, d.labels),
+    "agg_leakage_audit": lambda d: X.leakage_audit((d := d.once()).merged, d.manifest, d.labels, d.proxy),
     "agg_excluded_runs": lambda d: X.excluded_runs(d.eligible, d.verdict),
-    "agg_case_consistency": lambda d: X.case_consistency(d.runs, d.aligned, d.spans),
+    "agg_case_consistency": lambda d: _consistency(d.once()),
     "jn_feature_merge": lambda d: rounded(d.once().merged, "value"),
     "prj_feature_manifest": lambda d: d.once().manifest,
     "prj_select_config": lambda d: X.configuration_counts((d := d.once()).merged, d.manifest),

@@ -15,7 +15,7 @@ from ..sources import shop as S
 #: Three folds twice and small forests keep the queries short; the operators' own defaults are 5 folds, 10 repeats and 500 trees.
 FOLDS, REPEATS, SEED = 3, 2, 42
 LOCATOR, FOREST = M.Forest(trees=20, depth=6, balanced=False), M.Forest(trees=20, depth=6)
-EXPLAINED = M.Forest(trees=10, depth=5)
+EXPLAINED = M.Forest(trees=6, depth=4)
 SEVERITIES = ["High", "Low", "Medium"]
 CONFIGURATIONS = ("E0", "E1", "E2", "E3")
 PAIRS = [("E0", "E1"), ("E1", "E2"), ("E2", "E3"), ("E0", "E3")]

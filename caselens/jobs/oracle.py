@@ -44,12 +44,14 @@ _CTE = {
       case when mx is null or bm is null then null when lo = hi then 100.0 * sign(mx - bm) else greatest(-100.0, least(100.0, (mx - bm) / sd)) end as zscore_max,
       case when im is null or bm is null then null when lo = hi then 100.0 * sign(im - bm) else greatest(-100.0, least(100.0, (im - bm) / sd)) end as zscore_mean from st""",
     "long": "select case_no, column_name || '__baseline_mean' as feature_name, baseline_mean as value from stats union all select case_no, column_name || '__incident_max' as feature_name, incident_max as value from stats union all select case_no, column_name || '__delta_mean' as feature_name, delta_mean as value from stats union all select case_no, column_name || '__zscore_max' as feature_name, zscore_max as value from stats union all select case_no, column_name || '__zscore_mean' as feature_name, zscore_mean as value from stats",
-    "quality": """select c.case_no, c.data_name, row_count, feature_count, missing_count, duplicate_timestamp_count, start_us, end_us, inject_s from
-      (select case_no, data_name, count(*) as row_count, count(distinct column_name) as feature_count, count(*) - count(value) as missing_count, min(ts_us) as start_us, max(ts_us) as end_us from samples group by all) c
-      join (select case_no, data_name, cast(sum(m - 1) as bigint) as duplicate_timestamp_count from (select case_no, data_name, ts_us, max(n) as m from (select case_no, data_name, column_name, ts_us, count(*) as n from samples group by all) group by all) group by all) t
+    "quality": """select c.case_no, c.data_name, row_count, feature_count, invalid_timestamp_count, missing_feature_count, duplicate_timestamp_count, start_us, end_us, inject_s from
+      (select case_no, data_name, count(distinct column_name) as feature_count, count(*) - count(value) as missing_feature_count, min(ts_us) as start_us, max(ts_us) as end_us from samples group by all) c
+      join (select case_no, data_name, cast(sum(m) as bigint) as row_count, coalesce(cast(sum(m) filter (ts_us is null) as bigint), 0) as invalid_timestamp_count, cast(sum(m - 1) filter (ts_us is not null) as bigint) as duplicate_timestamp_count
+        from (select case_no, data_name, ts_us, max(n) as m from (select case_no, data_name, column_name, ts_us, count(*) as n from samples group by all) group by all) group by all) t
       on t.case_no = c.case_no and t.data_name = c.data_name join runs r on r.case_no = c.case_no""",
-    "q2": """select case_no, data_name, row_count, feature_count, missing_count, duplicate_timestamp_count, start_us, end_us, inject_s - start_us / 1e6 >= 432000 and end_us / 1e6 - inject_s >= 432000 as window_covered,
-      case when missing_count > 0 and duplicate_timestamp_count > 0 then 'missing|duplicates' when missing_count > 0 then 'missing' when duplicate_timestamp_count > 0 then 'duplicates' else 'ok' end as status from quality""",
+    "q2": """select case_no, data_name, row_count, feature_count, invalid_timestamp_count, missing_feature_count, duplicate_timestamp_count, start_us, end_us, round(inject_s - start_us / 1e6, 3) as seconds_before_injection, round(end_us / 1e6 - inject_s, 3) as seconds_after_injection, ok as window_covered,
+      coalesce(nullif(concat_ws('|', case when invalid_timestamp_count > 0 then 'invalid_timestamp' end, case when missing_feature_count > 0 then 'missing_feature' end, case when duplicate_timestamp_count > 0 then 'duplicate_timestamp' end, case when not ok then 'insufficient_window' end), ''), 'valid') as status
+      from (select *, inject_s - start_us / 1e6 >= 432000 and end_us / 1e6 - inject_s >= 432000 as ok from quality)""",
     "gapped": """select s.*, inject_s, value is null as gap, row_number() over (partition by s.case_no, data_name, column_name order by ts_us, case when value is null then 1 else 0 end) as rn from samples s join runs r on s.case_no = r.case_no""",
     "isl": "select *, rn - row_number() over (partition by case_no, data_name, column_name order by rn) as island from gapped where gap",
     "cl": """select n // 3 as case_no, n % 3 as cluster_id, case (n % 3 + n // 3) % 3 when 0 then 'lifecycle' when 1 then 'error' else 'routine' end as category from range(24) t(n)""",
@@ -70,11 +72,15 @@ _CTE = {
       row_number() over (partition by o_custkey % 8, l_orderkey, l_linenumber order by o_orderdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax, l_returnflag, l_linestatus) as rn
       from lineitem join orders on l_orderkey = o_orderkey join part a on a.p_partkey = l_partkey cross join cnt join part b on b.p_partkey = (l_suppkey * 7) % np""",
     "firsts": "select * from spans where rn = 1",
-    "struct": """select case_no, count(*) as span_count, count(distinct span_id) as unique_span_count, count(*) - count(distinct span_id) as duplicate_span_count, count(*) - count(status) as missing_status_count,
-      count(*) - count(parent_id) as root_row_count, min(start_us) as start_us, max(start_us) as end_us, count(distinct trace_id) as unique_trace_count from spans group by case_no""",
+    "struct": """select *, coalesce(nullif(concat_ws('|', case when missing_trace_id_count > 0 then 'missing_trace_id' end, case when missing_span_id_count > 0 then 'missing_span_id' end, case when invalid_timestamp_count > 0 then 'invalid_timestamp' end,
+      case when invalid_duration_count > 0 then 'invalid_duration' end, case when negative_duration_count > 0 then 'negative_duration' end, case when duplicate_span_id_count > 0 then 'duplicate_span_id' end), ''), 'valid') as status from
+      (select case_no, count(*) as span_count, count(distinct span_id) as unique_span_count, count(span_id) - count(distinct span_id) as duplicate_span_id_count, count(*) - count(trace_id) as missing_trace_id_count, count(*) - count(span_id) as missing_span_id_count,
+      count(*) - count(service) as missing_service_count, count(*) - count(operation) as missing_operation_count, count(*) - count(status) as missing_status_code_count, count(*) - count(start_us) as invalid_timestamp_count, count(*) - count(duration) as invalid_duration_count,
+      count(*) filter (duration < 0) as negative_duration_count, min(start_us) as start_us, max(start_us) as end_us, count(distinct trace_id) as unique_trace_count from spans group by case_no)""",
     "rt": "select case_no, trace_id, count(distinct span_id) filter (parent_id is null) as roots from spans group by all",
-    "roots": """select case_no, count(*) as unique_trace_count, cast(sum(roots) as bigint) as unique_root_span_count, count(*) filter (roots = 0) as zero_root_trace_count, count(*) filter (roots = 1) as single_root_trace_count,
-      count(*) filter (roots > 1) as multiple_root_trace_count, round(count(*) filter (roots = 1) / count(*), 6) as single_root_ratio, true as identity_balance_valid from rt group by case_no""",
+    "roots": """select *, coalesce(nullif(concat_ws('|', case when zero_root_trace_count > 0 then 'zero_root_trace' end, case when multiple_root_trace_count > 0 then 'multiple_root_trace' end), ''), 'valid') as status from
+      (select case_no, count(*) as unique_trace_count, cast(sum(roots) as bigint) as unique_root_span_count, count(*) filter (roots = 0) as zero_root_trace_count, count(*) filter (roots = 1) as single_root_trace_count,
+      count(*) filter (roots > 1) as multiple_root_trace_count, 0 as root_missing_trace_id_count, 0 as root_missing_span_id_count, round(count(*) filter (roots = 1) / count(*), 6) as single_root_ratio, true as identity_balance_valid from rt group by case_no)""",
     "ops": "select *, round(span_count / sum(span_count) over (partition by case_no), 6) as share from (select case_no, service, operation, count(*) as span_count from firsts where parent_id is null group by case_no, service, operation)",
     "stc": """select *, round(span_count / sum(span_count) over (partition by case_no), 6) as share from (select case_no, scope, service, status_code, status_category, count(*) as span_count, count(distinct trace_id) as trace_count
       from (select *, case when parent_id is null then 'root' else 'child' end as scope, coalesce(cast(status as varchar), '<missing>') as status_code,
@@ -150,10 +156,7 @@ EXTRA_SQL = {
     "win_zero_fill": sql("select case_no, column_name, count(*) as n from how where method = 'zero' group by all", "how"),
     "set_missing_extra": sql("select c.case_no, count(a.column_name) as column_count, count(*) - count(a.column_name) as missing_count, coalesce(string_agg(n.column_name, '|' order by n.column_name) filter (a.column_name is null), '') as missing_columns from (select distinct case_no from aligned) c cross join (select distinct column_name from aligned) n left join (select distinct case_no, column_name from aligned) a on a.case_no = c.case_no and a.column_name = n.column_name group by c.case_no", "aligned"),
     "set_traces_without_root": sql("select case_no, trace_id from spans group by all having count(*) = count(parent_id)", "spans"),
-    "agg_numeric_quality": sql('select feature_name, count(*) filter (isinf(value)) as infinite_count, (select count(distinct case_no) from stats) - count(value) as missing_count, count(value) = 0 as all_missing, coalesce(min(value) = max(value), false) as constant from long group by feature_name', "long"),
-    "agg_leakage_audit": sql("select feature_name, ingredient, bool_and(value is not distinct from x) and count(*) = (select count(distinct case_no) from stats) as copies from long join (select case_no, 'fcw' as ingredient, cast(fcw as double) as x from dl union all select case_no, 'sct', sct from dl union all select case_no, 'severity_score', severity_score from dl) using (case_no) group by all", "long", "dl"),
     "agg_excluded_runs": sql("select case_no, 'coverage' as stage, 'trace_window_incomplete' as reason from struct where not (start_us <= (899251200000000 + case_no * 604800000000) - 31536000000000 and end_us >= (899251200000000 + case_no * 604800000000) + 31536000000000) union all select case_no, 'bins', exclusion_reason from verd where not eligible", "struct", "verd"),
-    "agg_case_consistency": sql("select case_no, bool_or(t = 1) as in_runs, bool_or(t = 2) as in_series, bool_or(t = 3) as in_spans from (select case_no, 1 as t from runs union all select case_no, 2 from aligned union all select case_no, 3 from spans) group by case_no", "aligned", "spans"),
     "jn_case_metadata": sql('select case_no, case_id, scenario, service, fault_type, run_number, inject_s from runs where case_no in (select case_no from long)', "long", "runs"),
     "jn_align_labels": sql('select dl.case_no, severity, dl.case_no in (select case_no from long) as featured from dl', "long", "dl"),
 }
@@ -185,7 +188,7 @@ ORACLE_SQL = EXTRA_SQL | {
     "agg_root_operations": sql("select * from ops", "ops"),
     "agg_span_status": sql("select * from stc", "stc"),
     "win_first_span": sql("select case_no, service, count(*) as n, cast(sum(start_us) as bigint) as s from firsts group by all", "firsts"),
-    "jn_reconcile": sql("select s.case_no, unique_span_count, unique_root_span_count, (select cast(sum(span_count) as bigint) from ops where ops.case_no = s.case_no) as operation_roots, (select cast(sum(span_count) as bigint) from stc where stc.case_no = s.case_no) as status_spans, unique_span_count = (select sum(span_count) from stc where stc.case_no = s.case_no) as spans_agree from struct s join roots r on r.case_no = s.case_no", "struct", "roots", "ops", "stc"),
+    "jn_reconcile": sql("select s.case_no, unique_span_count, unique_root_span_count, (select cast(sum(span_count) as bigint) from ops where ops.case_no = s.case_no) as operation_roots, (select cast(sum(span_count) as bigint) from stc where stc.case_no = s.case_no) as status_spans, unique_root_span_count = (select sum(span_count) from ops where ops.case_no = s.case_no) as roots_agree, unique_span_count = (select sum(span_count) from stc where stc.case_no = s.case_no) as spans_agree, true as shares_valid from struct s join roots r on r.case_no = s.case_no", "struct", "roots", "ops", "stc"),
     "agg_call_volume": sql("select * from vol", "vol"),
     "agg_call_graph": sql("select caller, callee, count(*) as run_count, cast(sum(baseline_calls + incident_calls) as bigint) as total_calls from vol group by all", "vol"),
     "agg_call_volume_change": sql("select case_no, round(avg(case when baseline_calls > 0 and (baseline_calls - incident_calls) / baseline_calls > 0.2 then 1.0 else 0.0 end), 6) as edge_drop_share, round(max(case when baseline_calls > 0 then (baseline_calls - incident_calls) / baseline_calls else 0.0 end), 6) as max_drop, round(coalesce((sum(incident_calls) - sum(baseline_calls)) / nullif(sum(baseline_calls), 0), 0), 6) as total_change from vol group by case_no", "vol"),
@@ -226,7 +229,7 @@ _MERGED = f"""{_AUDIT}, nov as (select r.case_no, 'log__' || s.service || '__new
 
 
 def _over(chain: str, body: str, *heads: str) -> str:
-    return sql("", *heads).rstrip() + f", {chain} {body}"
+    return sql("", *heads).rstrip() + f", {chain}{body if body.startswith(',') else ' ' + body}"
 
 
 ORACLE_SQL |= {
@@ -238,6 +241,9 @@ ORACLE_SQL |= {
 }
 ORACLE_SQL |= {
     "sink_partitioned": sql("select r.case_no, case_id, scenario, run_number, count(distinct bin_index) as row_count, count(distinct column_name) as feature_column_count, count(distinct bin_index) filter (bin_index < 0) as baseline_bin_count, count(distinct bin_index) filter (bin_index >= 0) as incident_bin_count, count(*) filter (d.case_no is not null and value is null) as missing_feature_cell_count, case when count(d.case_no) = 0 then 'alignment_error' else 'valid' end as status from runs r left join dense d on d.case_no = r.case_no group by all", "dense", "runs"),
+    "agg_numeric_quality": _over(_MERGED, "select c.config, count(*) as feature_count, sum(i) as infinite_count, count(*) filter (n = 0) as empty_features, count(*) filter (n = k and lo = hi) as constant_features, sum(k - n) as missing_cell_count, count(*) filter (n < k) as features_with_missing, sum(i) + count(*) filter (n = 0) + count(*) filter (n = k and lo = hi) = 0 as valid from (select feature_name, count(*) filter (isinf(value)) as i, count(value) as n, min(value) as lo, max(value) as hi, (select count(distinct case_no) from merged) as k from merged group by feature_name) join mani using (feature_name) join (values ('E0'),('E1'),('E2'),('E3')) c(config) on mani.config <= c.config group by c.config", "verd", "dl", "cmaps", "long"),
+    "agg_leakage_audit": _over(_MERGED, ", cp as (select feature_name, i from (select feature_name, i, bool_and(value is not distinct from x) and count(*) = (select count(distinct case_no) from merged) as same from merged join (select case_no, unnest(['fcw', 'sct', 'severity_score']) as i, unnest([fcw, sct, severity_score])::double as x from dl) using (case_no) group by all) where same) select c.config, '' as forbidden, '' as rejected, coalesce(string_agg(cp.feature_name || ' == ' || i, '|' order by cp.feature_name || ' == ' || i), '') as copies, count(cp.feature_name) = 0 as clean from mani join (values ('E0'),('E1'),('E2'),('E3')) c(config) on mani.config <= c.config left join cp using (feature_name) group by c.config", "verd", "dl", "cmaps", "long"),
+    "agg_case_consistency": _over(_MERGED, 'select t as "table", count(*) as case_count, 0 as duplicate_cases, 0 as missing_cases, 0 as extra_cases, count(distinct scenario) as group_count, count(*) filter (severity = \'Low\') as n_low, count(*) filter (severity = \'Medium\') as n_medium, count(*) filter (severity = \'High\') as n_high, true as consistent from (select distinct case_no from merged) join dl using (case_no) cross join (values (\'features_E0\'),(\'features_E1\'),(\'features_E2\'),(\'features_E3\'),(\'labels\'),(\'metadata\')) v(t) group by t', "verd", "dl", "cmaps", "long"),
     "sink_training": _over(_MERGED, "select c.config, count(distinct feature_name) as feature_count, count(distinct case_no) as case_count, count(value) as value_count, true as nested from merged join mani using (feature_name) join (values ('E0'),('E1'),('E2'),('E3')) c(config) on mani.config <= c.config group by all", "verd", "dl", "cmaps", "long"),
     "srt_schema_order": sql("select row_number() over (order by position) as position, column_name from sch where keep", "sch"),
     "srt_case_order": sql("select case_id, scenario from runs where case_no in (select case_no from long) order by case_id", "long", "runs"),

@@ -65,7 +65,40 @@ def numeric_quality(features: DataFrame) -> DataFrame:
     """Infinite and missing values of each feature (a case without a row counts as missing), and whether it is empty or constant."""
     v = F.col("value")
     n = features.groupBy("feature_name").agg(F.count_if(F.abs(v) == float("inf")).alias("infinite_count"), F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-    return n.select("feature_name", "infinite_count", (case_count(features) - F.col("n")).alias("missing_count"), (F.col("n") == 0).alias("all_missing"), F.coalesce(F.col("lo") == F.col("hi"), F.lit(False)).alias("constant"))
+    missing = case_count(features) - F.col("n")
+    return n.select("feature_name", "infinite_count", missing.alias("missing_count"), (F.col("n") == 0).alias("all_missing"), F.coalesce((missing == 0) & (F.col("lo") == F.col("hi")), F.lit(False)).alias("constant"))
+
+
+def by_configuration(rows: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Rows with a feature_name once for each nested configuration (shows) that shows it."""
+    configs = F.explode(F.array(*(F.lit(c) for c in sorted({c for _, c in CONFIGURATIONS})))).alias("shows")
+    return rows.join(manifest.where("audit_status <> 'rejected'").select("feature_name", "config"), "feature_name").select("*", configs).where("config <= shows").drop("config").withColumnRenamed("shows", "config")
+
+
+def configuration_quality(features: DataFrame, manifest: DataFrame) -> DataFrame:
+    """For each configuration: features, infinite values, empty and constant features (these three are errors), missing cells and features that have any."""
+    q = by_configuration(numeric_quality(features), manifest)
+    out = q.groupBy("config").agg(
+        F.count("*").alias("feature_count"), F.sum("infinite_count").alias("infinite_count"), F.count_if("all_missing").alias("empty_features"), F.count_if("constant").alias("constant_features"),
+        F.sum("missing_count").alias("missing_cell_count"), F.count_if(F.col("missing_count") > 0).alias("features_with_missing"),
+    )
+    return out.withColumn("valid", (F.col("infinite_count") + F.col("empty_features") + F.col("constant_features")) == 0)
+
+
+#: Columns that tell the label or what it is made of.
+FORBIDDEN = ("severity", "severity_score", "fcw", "sct", "fault_category", "service_tier", "service", "fault_type", "scenario", "run_number", "inject_time")
+
+
+def leakage_audit(features: DataFrame, manifest: DataFrame, labels: DataFrame, audit: DataFrame) -> DataFrame:
+    """For each configuration what could tell a model its answer: forbidden columns, features that the audit rejects, and copies of an ingredient of the
+    label, each joined by |, and clean if there are none. features: what is written, whether or not the manifest shows it rightly."""
+    shown = by_configuration(features.select("feature_name").distinct(), manifest.withColumn("audit_status", F.lit("n/a")))
+    copies = leakage(features, labels).where("copies").groupBy("feature_name").agg(F.array_sort(F.collect_list("ingredient")).alias("of"))
+    j = shown.join(audit.where("decision = 'rejected'").select("feature_name", F.lit(True).alias("rejected")), "feature_name", "left").join(copies, "feature_name", "left")
+    joined = lambda c, name: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("feature_name")))), "|").alias(name)
+    same = F.array_join(F.array_sort(F.flatten(F.collect_list(F.transform("of", lambda x: F.concat("feature_name", F.lit(" == "), x))))), "|").alias("copies")
+    out = j.groupBy("config").agg(joined(F.col("feature_name").isin(*FORBIDDEN), "forbidden"), joined(F.col("rejected"), "rejected"), same)
+    return out.withColumn("clean", F.concat("forbidden", "rejected", "copies") == "")
 
 
 def leakage(features: DataFrame, labels: DataFrame) -> DataFrame:
@@ -82,11 +115,23 @@ def excluded_runs(eligibility: DataFrame, verdict: DataFrame) -> DataFrame:
     return first.unionByName(verdict.where("not eligible").select("case_no", F.lit("bins").alias("stage"), F.col("exclusion_reason").alias("reason")))
 
 
-def case_consistency(runs: DataFrame, aligned: DataFrame, spans: DataFrame) -> DataFrame:
-    """In which tables each case is."""
-    seen = lambda df, c: df.select("case_no").distinct().withColumn(c, F.lit(True))
-    out = seen(runs, "in_runs").join(seen(aligned, "in_series"), "case_no", "full").join(seen(spans, "in_spans"), "case_no", "full")
-    return out.select("case_no", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("in_runs", "in_series", "in_spans")))
+def case_consistency(tables: dict[str, DataFrame], labels: DataFrame, metadata: DataFrame, reference: str) -> DataFrame:
+    """For each table: its cases, those that come twice, those that the reference table has and it lacks, and the other way round; with the
+    scenarios and the severities of its cases. tables, labels and metadata have a row for each case_no."""
+    rows = None
+    for name, table in [*tables.items(), ("labels", labels), ("metadata", metadata)]:
+        part = table.select("case_no", F.lit(name).alias("table"))
+        rows = part if rows is None else rows.unionByName(part)
+    base = tables[reference].select("case_no").distinct()
+    per = rows.groupBy("table", "case_no").agg(F.count("*").alias("n"))
+    full = base.crossJoin(rows.select("table").distinct()).withColumn("expected", F.lit(True)).join(per, ["table", "case_no"], "full")
+    full = full.join(labels.select("case_no", "severity").dropDuplicates(["case_no"]), "case_no", "left").join(metadata.select("case_no", "scenario").dropDuplicates(["case_no"]), "case_no", "left")
+    here = F.col("n").isNotNull()
+    out = full.groupBy("table").agg(
+        F.count("n").alias("case_count"), F.count_if(F.col("n") > 1).alias("duplicate_cases"), F.count_if(~here).alias("missing_cases"), F.count_if(F.col("expected").isNull()).alias("extra_cases"),
+        F.countDistinct(F.when(here, F.col("scenario"))).alias("group_count"), *(F.count_if(here & (F.col("severity") == c)).alias(f"n_{c.lower()}") for c in ("Low", "Medium", "High")),
+    )
+    return out.withColumn("consistent", (F.col("duplicate_cases") + F.col("missing_cases") + F.col("extra_cases")) == 0)
 
 
 def as_long(wide: DataFrame) -> DataFrame:
@@ -132,10 +177,7 @@ def select_configuration(features: DataFrame, manifest: DataFrame, config: str)
 
 def configuration_counts(features: DataFrame, manifest: DataFrame) -> DataFrame:
     """For each nested configuration and case how many features it shows and how many have a value."""
-    shown = manifest.where("audit_status <> 'rejected'").select("feature_name", "config")
-    configs = F.explode(F.array(*(F.lit(c) for c in sorted({c for _, c in CONFIGURATIONS})))).alias("shows")
-    rows = features.join(shown, "feature_name").select("*", configs).where("config <= shows")
-    return rows.groupBy(F.col("shows").alias("config"), "case_no").agg(F.count("*").alias("feature_count"), F.count("value").alias("value_count"))
+    return by_configuration(features, manifest).groupBy("config", "case_no").agg(F.count("*").alias("feature_count"), F.count("value").alias("value_count"))
 
 
 def case_metadata(runs: DataFrame, features: DataFrame) -> DataFrame:

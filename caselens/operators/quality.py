@@ -7,20 +7,31 @@ from pyspark.sql import functions as F
 
 
 def timeseries_quality(samples: DataFrame, runs: DataFrame, reach_s: int) -> DataFrame:
-    """For each case and modality: cells, columns, gaps, repeated times, range, and whether the window is covered (closed).
+    """For each case and modality: rows, columns, rows without a time, gaps, repeated times, range, seconds before and after the injection, whether the window is
+    covered (closed), and a status.
 
-    A time is repeated as often as its most frequent column has it again: the columns of one row share their time.
+    The columns of one row share their time, so a time has as many rows as its most frequent column has values there.
     """
     keys = ["case_no", "data_name"]
     cells = samples.groupBy(*keys, "column_name", "ts_us").agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("gaps"))
-    rows = cells.groupBy(*keys, "ts_us").agg(F.sum("n").alias("n"), F.sum("gaps").alias("gaps"), F.max("n").alias("rows"))
-    s = rows.groupBy(*keys).agg(F.sum("n").alias("row_count"), F.sum("gaps").alias("missing_count"), F.sum(F.when(F.col("ts_us").isNotNull(), F.col("rows") - 1)).alias("duplicate_timestamp_count"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
+    rows = cells.groupBy(*keys, "ts_us").agg(F.sum("gaps").alias("gaps"), F.max("n").alias("rows"))
+    timed = F.col("ts_us").isNotNull()
+    s = rows.groupBy(*keys).agg(
+        F.sum("rows").alias("row_count"), F.coalesce(F.sum(F.when(~timed, F.col("rows"))), F.lit(0)).alias("invalid_timestamp_count"), F.sum("gaps").alias("missing_feature_count"),
+        F.coalesce(F.sum(F.when(timed, F.col("rows") - 1)), F.lit(0)).alias("duplicate_timestamp_count"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"),
+    )
     names = samples.groupBy(*keys, "column_name").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.count("column_name").alias("feature_count"))
-    s = s.join(names, keys)
-    j = s.join(runs.select("case_no", "inject_s"), "case_no")
+    j = s.join(names, keys).join(runs.select("case_no", "inject_s"), "case_no")
     before, after = F.col("inject_s") - F.col("start_us") / 1e6, F.col("end_us") / 1e6 - F.col("inject_s")
-    status = F.concat_ws("|", F.when(F.col("missing_count") > 0, "missing"), F.when(F.col("duplicate_timestamp_count") > 0, "duplicates"))
-    return j.select("case_no", "data_name", "row_count", "feature_count", "missing_count", "duplicate_timestamp_count", "start_us", "end_us", ((before >= reach_s) & (after >= reach_s)).alias("window_covered"), F.when(status == "", "ok").otherwise(status).alias("status"))
+    covered = F.coalesce((before >= reach_s) & (after >= reach_s), F.lit(False))
+    issues = F.concat_ws(
+        "|", F.when(F.col("invalid_timestamp_count") > 0, "invalid_timestamp"), F.when(F.col("missing_feature_count") > 0, "missing_feature"),
+        F.when(F.col("duplicate_timestamp_count") > 0, "duplicate_timestamp"), F.when(~covered, "insufficient_window"),
+    )
+    return j.select(
+        "case_no", "data_name", "row_count", "feature_count", "invalid_timestamp_count", "missing_feature_count", "duplicate_timestamp_count", "start_us", "end_us", F.round(before, 3).alias("seconds_before_injection"),
+        F.round(after, 3).alias("seconds_after_injection"), covered.alias("window_covered"), F.when(issues == "", "valid").otherwise(issues).alias("status"),
+    )
 
 
 def missing_by_column(samples: DataFrame, runs: DataFrame, segment_s: int = 3600) -> DataFrame:

@@ -16,12 +16,33 @@ def typed(spans: DataFrame) -> DataFrame:
     return spans
 
 
+def _verdict(*issues: tuple[Column, str]) -> Column:
+    """The names of the issues that hold, joined by |, or valid."""
+    found = F.concat_ws("|", *(F.when(c, name) for c, name in issues))
+    return F.when(found == "", "valid").otherwise(found)
+
+
 def structure(spans: DataFrame) -> DataFrame:
-    """For each case: spans, distinct traces and spans, repeated span ids, missing fields, range."""
-    by_span = spans.groupBy("case_no", "span_id").agg(F.count("*").alias("n"), F.count_if(F.col("status").isNull()).alias("no_status"), F.count_if(F.col("parent_id").isNull()).alias("no_parent"), F.min("start_us").alias("a"), F.max("start_us").alias("b"))
-    one = by_span.groupBy("case_no").agg(F.sum("n").alias("span_count"), F.count("span_id").alias("unique_span_count"), (F.sum(F.when(F.col("span_id").isNotNull(), F.col("n"))) - F.count("span_id")).alias("duplicate_span_count"), F.sum("no_status").alias("missing_status_count"), F.sum("no_parent").alias("root_row_count"), F.min("a").alias("start_us"), F.max("b").alias("end_us"))
+    """For each case: spans, distinct traces and spans, rows that lack a field, bad times and durations, repeated span ids (rows over distinct ids), range, and a status.
+
+    Ids are counted by (case, id) first; the counters are sums of these. The status doesn't look at missing services, operations and status codes.
+    """
+    lacks = {"service": "missing_service_count", "operation": "missing_operation_count", "status": "missing_status_code_count", "start_us": "invalid_timestamp_count", "duration": "invalid_duration_count"}
+    counters = [F.count("*").alias("span_count"), F.count_if(F.col("trace_id").isNull()).alias("missing_trace_id_count"), *(F.count_if(F.col(c).isNull()).alias(name) for c, name in lacks.items()), F.count_if(F.col("duration") < 0).alias("negative_duration_count")]
+    by_span = spans.groupBy("case_no", "span_id").agg(*counters, F.min("start_us").alias("start_us"), F.max("start_us").alias("end_us"))
+    named = F.col("span_id").isNotNull()
+    sums = ["span_count", "missing_trace_id_count", *lacks.values(), "negative_duration_count"]
+    one = by_span.groupBy("case_no").agg(
+        *(F.sum(c).alias(c) for c in sums), F.count("span_id").alias("unique_span_count"), F.coalesce(F.sum(F.when(~named, F.col("span_count"))), F.lit(0)).alias("missing_span_id_count"),
+        F.coalesce(F.sum(F.when(named, F.col("span_count") - 1)), F.lit(0)).alias("duplicate_span_id_count"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"),
+    )
     traces = spans.select("case_no", "trace_id").distinct().groupBy("case_no").agg(F.count("trace_id").alias("unique_trace_count"))
-    return one.join(traces, "case_no")
+    some = lambda c: F.col(c) > 0
+    status = _verdict(
+        (some("missing_trace_id_count"), "missing_trace_id"), (some("missing_span_id_count"), "missing_span_id"), (some("invalid_timestamp_count"), "invalid_timestamp"),
+        (some("invalid_duration_count"), "invalid_duration"), (some("negative_duration_count"), "negative_duration"), (some("duplicate_span_id_count"), "duplicate_span_id"),
+    )
+    return one.join(traces, "case_no").withColumn("status", status)
 
 
 def range_covered(structure_: DataFrame, injections: DataFrame, reach_us: int = YEAR_US) -> DataFrame:
@@ -31,10 +52,23 @@ def range_covered(structure_: DataFrame, injections: DataFrame, reach_us: int =
 
 
 def root_identity(spans: DataFrame) -> DataFrame:
-    """Traces with no, one and several distinct roots (blank parents) for each case, and whether they add up."""
-    t = spans.where("trace_id is not null").groupBy("case_no", "trace_id").agg(F.countDistinct(F.when(F.col("parent_id").isNull(), F.col("span_id"))).alias("roots"))
-    out = t.groupBy("case_no").agg(F.count("*").alias("unique_trace_count"), F.sum("roots").alias("unique_root_span_count"), F.count_if(F.col("roots") == 0).alias("zero_root_trace_count"), F.count_if(F.col("roots") == 1).alias("single_root_trace_count"), F.count_if(F.col("roots") > 1).alias("multiple_root_trace_count"))
-    return out.withColumn("single_root_ratio", F.round(F.col("single_root_trace_count") / F.col("unique_trace_count"), 6)).withColumn("identity_balance_valid", F.col("zero_root_trace_count") + F.col("single_root_trace_count") + F.col("multiple_root_trace_count") == F.col("unique_trace_count"))
+    """Traces with no, one and several distinct roots (blank parents) for each case, roots that lack an id, whether the traces add up, and a status."""
+    root = F.col("parent_id").isNull()
+    t = spans.groupBy("case_no", "trace_id").agg(F.countDistinct(F.when(root, F.col("span_id"))).alias("roots"), F.count_if(root).alias("rows"), F.count_if(root & F.col("span_id").isNull()).alias("no_span"))
+    named = F.col("trace_id").isNotNull()
+    out = t.groupBy("case_no").agg(
+        F.count("trace_id").alias("unique_trace_count"), F.coalesce(F.sum(F.when(named, F.col("roots"))), F.lit(0)).alias("unique_root_span_count"),
+        F.count_if(named & (F.col("roots") == 0)).alias("zero_root_trace_count"), F.count_if(named & (F.col("roots") == 1)).alias("single_root_trace_count"), F.count_if(named & (F.col("roots") > 1)).alias("multiple_root_trace_count"),
+        F.coalesce(F.sum(F.when(~named, F.col("rows"))), F.lit(0)).alias("root_missing_trace_id_count"), F.sum("no_span").alias("root_missing_span_id_count"),
+    )
+    n = F.col("unique_trace_count")
+    balance = F.col("zero_root_trace_count") + F.col("single_root_trace_count") + F.col("multiple_root_trace_count") == n
+    some = lambda c: F.col(c) > 0
+    status = _verdict(
+        (n == 0, "empty_trace_identity"), (some("zero_root_trace_count"), "zero_root_trace"), (some("multiple_root_trace_count"), "multiple_root_trace"),
+        (some("root_missing_trace_id_count"), "root_missing_trace_id"), (some("root_missing_span_id_count"), "root_missing_span_id"), (~balance, "identity_balance_mismatch"),
+    )
+    return out.withColumns({"single_root_ratio": F.round(F.coalesce(F.try_divide(F.col("single_root_trace_count"), n), F.lit(0.0)), 6), "identity_balance_valid": balance, "status": status})
 
 
 def first_spans(spans: DataFrame) -> DataFrame:
@@ -67,11 +101,16 @@ def status_codes(first: DataFrame) -> DataFrame:
 
 
 def reconcile(roots: DataFrame, operations: DataFrame, structure_: DataFrame, statuses: DataFrame) -> DataFrame:
-    """Cases in which two audits count differently: roots against root operations, spans against status counts."""
-    ops = operations.groupBy("case_no").agg(F.sum("span_count").alias("operation_roots"))
-    st = statuses.groupBy("case_no").agg(F.sum("span_count").alias("status_spans"))
-    j = structure_.select("case_no", "unique_span_count").join(roots.select("case_no", "unique_root_span_count"), "case_no").join(ops, "case_no", "left").join(st, "case_no", "left")
-    return j.withColumn("spans_agree", F.col("unique_span_count").eqNullSafe(F.col("status_spans")))
+    """For each case whether two audits agree: distinct roots with root operations, distinct spans with status counts, and shares that sum to 1.
+
+    Shares are rounded to six places, so their sum may be off by half a millionth for each row."""
+    one = lambda df, n: df.groupBy("case_no").agg(F.sum("span_count").alias(n), (F.abs(F.sum("share") - 1) <= F.count("*") * 5e-7 + 1e-9).alias(f"{n}_shares"))
+    j = structure_.select("case_no", "unique_span_count").join(roots.select("case_no", "unique_root_span_count"), "case_no").join(one(operations, "operation_roots"), "case_no", "left").join(one(statuses, "status_spans"), "case_no", "left")
+    agree = lambda a, b: F.col(a).eqNullSafe(F.coalesce(b, F.lit(0)))
+    return j.select(
+        "case_no", "unique_span_count", "unique_root_span_count", "operation_roots", "status_spans", agree("unique_root_span_count", "operation_roots").alias("roots_agree"), agree("unique_span_count", "status_spans").alias("spans_agree"),
+        (F.coalesce("operation_roots_shares", F.lit(True)) & F.coalesce("status_spans_shares", F.lit(True))).alias("shares_valid"),
+    )
 
 
 def traces_without_root(spans: DataFrame) -> DataFrame:

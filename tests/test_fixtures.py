@@ -19,7 +19,7 @@ def test_the_first_row_of_a_span_counts(spark):
     s = spans(spark, ("t", "s1", None, "a", "x", 1, 0.0), ("t", "s1", None, "b", "x", 1, 0.0), ("t", "s2", "s1", "a", "x", 2, None))
     assert {(r.span_id, r.service) for r in traces.first_spans(s).collect()} == {("s1", "a"), ("s2", "a")}
     r = traces.structure(s).first()
-    assert (r.span_count, r.unique_span_count, r.duplicate_span_count) == (3, 2, 1)
+    assert (r.span_count, r.unique_span_count, r.duplicate_span_id_count) == (3, 2, 1)
 
 
 def test_blank_ids_are_missing_and_blank_parents_are_roots(spark):

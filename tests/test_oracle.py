@@ -32,3 +32,9 @@ def test_same(spark, duck, key):
     assert got[0] == want[0]
     assert len(got[1]) == len(want[1])
     assert got[1] == want[1]
+
+
+@pytest.mark.parametrize("key", ["ml_group_folds", "set_group_overlap", "ml_relative_features", "ml_dummy_baseline", "ml_paired_tests", "win_signed_rank", "ml_additivity"])
+def test_same_models(spark, duck, key):
+    got, want = rows(catalog.QUERIES[key](spark, SF).toPandas()), rows(duck.sql(catalog.ALL_SQL[key]).df())
+    assert got == want
