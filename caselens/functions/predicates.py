@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,15 @@ def parse_bool(c: Column) -> Column:
     return F.when(t == "true", True).when(t == "false", False)
 
 
+def checked_bool(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with a text column as true or false; any other text fails, and the first ten of them by name are told. Null stays null."""
+    bad = rows.where(F.col(name).isNotNull() & parse_bool(F.col(name)).isNull()).select(name).distinct().orderBy(name).limit(10)
+    found = [r[0] for r in bad.collect()]
+    if found:
+        raise ValueError(f"{name} holds values that are neither true nor false: {found}")
+    return rows.withColumn(name, parse_bool(F.col(name)))
+
+
 def status_text(c: Column) -> Column:
     return F.when(c.isNull(), "<missing>").when(c == F.floor(c), c.cast("bigint").cast("string")).otherwise(c.cast("string"))
 

@@ -171,8 +171,8 @@ _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "agg_harmonization_map": lambda d: rounded(d.mapped, "baseline_sum", "incident_sum"),
     "agg_template_catalog": lambda d: X.template_catalog(d.mapped),
     "agg_align_quality": lambda d: X.align_quality(d.windowed, d.aligned, GRID),
-    "agg_validate_aligned": lambda d: X.validate_aligned(d.dense, GRID),
-    "agg_run_summaries": lambda d: d.filled.groupBy("policy", "method").agg(F.count("*").alias("cell_count")),
+    "agg_validate_aligned": lambda d: X.validate_aligned(d.dense, d.aligned, GRID),
+    "agg_run_summaries": lambda d: X.run_summaries((d := d.once()).quality, T.status_codes(d.firsts), d.filled, X.template_catalog(d.mapped), d.manifest),
     "win_edge_fill": lambda d: rounded(d.filled.where("method = 'edge'").select("case_no", "column_name", "bin_index", "filled"), "filled"),
     "win_zero_fill": lambda d: d.filled.where("method = 'zero'").groupBy("case_no", "column_name").agg(F.count("*").alias("n")),
     "set_missing_extra": lambda d: X.absent_columns(d.aligned),

@@ -150,8 +150,7 @@ EXTRA_SQL = {
     "agg_harmonization_map": sql("select * exclude (n) replace (round(baseline_sum, 6) as baseline_sum, round(incident_sum, 6) as incident_sum) from cmaps", "cmaps"),
     "agg_template_catalog": sql("select template, category, count(distinct case_no) as run_count from cmaps group by all", "cmaps"),
     "agg_align_quality": sql("select w.*, observed_bins, incomplete_cells, 40 - observed_bins as missing_bins, source_features * 40 - f as aligned_missing_cells from (select case_no, data_name, count(*) as source_rows, count(distinct column_name) as source_features, count(*) - count(value) as source_missing_cells from win group by all) w join (select case_no, data_name, count(distinct bin_index) as observed_bins, count(*) - count(value) as incomplete_cells, count(value) as f from aligned group by all) a on a.case_no = w.case_no and a.data_name = w.data_name", "aligned"),
-    "agg_validate_aligned": sql("select case_no, count(*) as column_count, cast(sum(n) as bigint) as cell_count, count(*) filter (n <> 40 or d <> 40 or b <> 20) as bad_column_count from (select case_no, column_name, count(*) as n, count(distinct bin_index) as d, count(*) filter (bin_index < 0) as b from dense group by all) group by case_no", "dense"),
-    "agg_run_summaries": sql("select policy, method, count(*) as cell_count from how group by all", "how"),
+    "agg_validate_aligned": sql("select case_no, count(*) as column_count, cast(sum(n) as bigint) as cell_count, -20 as first_bin, 19 as last_bin, count(*) filter (n <> 40 or d <> 40 or b <> 20) as bad_column_count, 0 as negative_count_cells, 4 - (select count(distinct data_name) from aligned a where a.case_no = x.case_no) as missing_sources, count(*) filter (n <> 40 or d <> 40 or b <> 20) = 0 and (select count(distinct data_name) from aligned a where a.case_no = x.case_no) = 4 as valid from (select case_no, column_name, count(*) as n, count(distinct bin_index) as d, count(*) filter (bin_index < 0) as b from dense group by all) x group by case_no", "dense"),
     "win_edge_fill": sql("select case_no, column_name, bin_index, round(filled, 6) as filled from filled join how using (case_no, column_name, bin_index) where method = 'edge'", "filled", "how"),
     "win_zero_fill": sql("select case_no, column_name, count(*) as n from how where method = 'zero' group by all", "how"),
     "set_missing_extra": sql("select c.case_no, count(a.column_name) as column_count, count(*) - count(a.column_name) as missing_count, coalesce(string_agg(n.column_name, '|' order by n.column_name) filter (a.column_name is null), '') as missing_columns from (select distinct case_no from aligned) c cross join (select distinct column_name from aligned) n left join (select distinct case_no, column_name from aligned) a on a.case_no = c.case_no and a.column_name = n.column_name group by c.case_no", "aligned"),
@@ -244,6 +243,7 @@ ORACLE_SQL |= {
     "agg_numeric_quality": _over(_MERGED, "select c.config, count(*) as feature_count, sum(i) as infinite_count, count(*) filter (n = 0) as empty_features, count(*) filter (n = k and lo = hi) as constant_features, sum(k - n) as missing_cell_count, count(*) filter (n < k) as features_with_missing, sum(i) + count(*) filter (n = 0) + count(*) filter (n = k and lo = hi) = 0 as valid from (select feature_name, count(*) filter (isinf(value)) as i, count(value) as n, min(value) as lo, max(value) as hi, (select count(distinct case_no) from merged) as k from merged group by feature_name) join mani using (feature_name) join (values ('E0'),('E1'),('E2'),('E3')) c(config) on mani.config <= c.config group by c.config", "verd", "dl", "cmaps", "long"),
     "agg_leakage_audit": _over(_MERGED, ", cp as (select feature_name, i from (select feature_name, i, bool_and(value is not distinct from x) and count(*) = (select count(distinct case_no) from merged) as same from merged join (select case_no, unnest(['fcw', 'sct', 'severity_score']) as i, unnest([fcw, sct, severity_score])::double as x from dl) using (case_no) group by all) where same) select c.config, '' as forbidden, '' as rejected, coalesce(string_agg(cp.feature_name || ' == ' || i, '|' order by cp.feature_name || ' == ' || i), '') as copies, count(cp.feature_name) = 0 as clean from mani join (values ('E0'),('E1'),('E2'),('E3')) c(config) on mani.config <= c.config left join cp using (feature_name) group by c.config", "verd", "dl", "cmaps", "long"),
     "agg_case_consistency": _over(_MERGED, 'select t as "table", count(*) as case_count, 0 as duplicate_cases, 0 as missing_cases, 0 as extra_cases, count(distinct scenario) as group_count, count(*) filter (severity = \'Low\') as n_low, count(*) filter (severity = \'Medium\') as n_medium, count(*) filter (severity = \'High\') as n_high, true as consistent from (select distinct case_no from merged) join dl using (case_no) cross join (values (\'features_E0\'),(\'features_E1\'),(\'features_E2\'),(\'features_E3\'),(\'labels\'),(\'metadata\')) v(t) group by t', "verd", "dl", "cmaps", "long"),
+    "agg_run_summaries": _over(_MERGED, "select 'series_by_status' as report, status as name, count(*) as n from q2 group by all union all select 'gaps_by_source', data_name, sum(missing_feature_count) from q2 group by all union all select 'spans_by_status_code', status_code, sum(span_count) from stc group by all union all select 'cells_by_method', policy || ':' || method, count(*) from how group by all union all select 'templates_by_category', category, count(distinct template) from cmaps group by all union all select 'features_by_configuration', config, count(*) from mani group by all", "verd", "dl", "cmaps", "long", "q2", "stc", "how"),
     "sink_training": _over(_MERGED, "select c.config, count(distinct feature_name) as feature_count, count(distinct case_no) as case_count, count(value) as value_count, true as nested from merged join mani using (feature_name) join (values ('E0'),('E1'),('E2'),('E3')) c(config) on mani.config <= c.config group by all", "verd", "dl", "cmaps", "long"),
     "srt_schema_order": sql("select row_number() over (order by position) as position, column_name from sch where keep", "sch"),
     "srt_case_order": sql("select case_id, scenario from runs where case_no in (select case_no from long) order by case_id", "long", "runs"),

@@ -45,11 +45,17 @@ def align_quality(windowed: DataFrame, aligned: DataFrame, grid: Grid) -> DataFr
     return out.withColumn("aligned_missing_cells", F.col("source_features") * 2 * grid.half - F.col("full")).drop("full")
 
 
-def validate_aligned(dense: DataFrame, grid: Grid) -> DataFrame:
-    """For each case: its columns, and how many break the rule of `half` distinct bins on both sides."""
-    per = dense.groupBy("case_no", "column_name").agg(F.count("*").alias("n"), F.countDistinct("bin_index").alias("d"), F.count_if(F.col("bin_index") < 0).alias("b"))
+def validate_aligned(dense: DataFrame, aligned: DataFrame, grid: Grid, sources: int = 4) -> DataFrame:
+    """For each case: its columns and cells, its first and last bin, how many columns break the rule of `half` distinct bins on both sides, cells with a negative
+    sample count, sources that it lacks, and whether all of that is as it should be."""
+    per = dense.groupBy("case_no", "column_name").agg(
+        F.count("*").alias("n"), F.countDistinct("bin_index").alias("d"), F.count_if(F.col("bin_index") < 0).alias("b"), F.min("bin_index").alias("lo"), F.max("bin_index").alias("hi"), F.count_if(F.col("sample_count") < 0).alias("negative")
+    )
     good = (F.col("n") == 2 * grid.half) & (F.col("d") == 2 * grid.half) & (F.col("b") == grid.half)
-    return per.groupBy("case_no").agg(F.count("*").alias("column_count"), F.sum("n").alias("cell_count"), F.count_if(~good).alias("bad_column_count"))
+    out = per.groupBy("case_no").agg(F.count("*").alias("column_count"), F.sum("n").alias("cell_count"), F.min("lo").alias("first_bin"), F.max("hi").alias("last_bin"), F.count_if(~good).alias("bad_column_count"), F.sum("negative").alias("negative_count_cells"))
+    lacks = aligned.groupBy("case_no").agg((sources - F.countDistinct("data_name")).alias("missing_sources"))
+    sound = (F.col("bad_column_count") + F.col("negative_count_cells") + F.col("missing_sources") == 0) & (F.col("first_bin") == -grid.half) & (F.col("last_bin") == grid.half - 1)
+    return out.join(lacks, "case_no").withColumn("valid", sound)
 
 
 def absent_columns(aligned: DataFrame) -> DataFrame:
@@ -191,3 +197,15 @@ def aligned_labels(features: DataFrame, labels: DataFrame) -> DataFrame:
     j = cases.join(labels.select("case_no", "severity", F.lit(True).alias("labelled")), "case_no", "full")
     severity = F.when(F.col("labelled").isNull(), F.raise_error(F.concat(F.lit("no label for case "), F.col("case_no").cast("string")))).otherwise(F.col("severity"))
     return j.select("case_no", severity.alias("severity"), F.coalesce("featured", F.lit(False)).alias("featured"))
+
+
+def run_summaries(quality: DataFrame, statuses: DataFrame, filled: DataFrame, catalog: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(report, name, n): series by status, gaps by source, spans by status code, cells by policy and method, templates by category, features by configuration."""
+    roll = lambda report, rows, name, n: rows.groupBy(name.alias("name")).agg(n.cast("long").alias("n")).select(F.lit(report).alias("report"), "name", "n")
+    out = roll("series_by_status", quality, F.col("status"), F.count("*"))
+    for part in (
+        roll("gaps_by_source", quality, F.col("data_name"), F.sum("missing_feature_count")), roll("spans_by_status_code", statuses, F.col("status_code"), F.sum("span_count")),
+        roll("cells_by_method", filled, F.concat_ws(":", "policy", "method"), F.count("*")), roll("templates_by_category", catalog, F.col("category"), F.count("*")), roll("features_by_configuration", manifest, F.col("config"), F.count("*")),
+    ):
+        out = out.unionByName(part)
+    return out

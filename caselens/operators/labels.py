@@ -43,9 +43,52 @@ def label_sensitivity(runs: DataFrame) -> DataFrame:
     return out
 
 
-def mixed_scenarios(labels: DataFrame) -> DataFrame:
-    """Scenarios that break the rule of one severity each."""
-    return labels.groupBy("scenario").agg(F.countDistinct("severity").alias("severities")).where("severities <> 1")
+def label_violations(labels: DataFrame, runs: DataFrame) -> DataFrame:
+    """(rule, name): what breaks a rule of derived labels: cases that come twice, that have no label or no run, with a missing field, with a
+    score that isn't fcw times sct or lies outside its severity's range, and scenarios of several severities. Valid labels give no rows."""
+    spark = labels.sparkSession
+    ranges = spark.createDataFrame(CLASSES, "severity string, lo long, hi long")
+    by = lambda rule, rows, name="case_id": rows.select(F.lit(rule).alias("rule"), F.col(name).cast("string").alias("name"))
+    fields = ("fault_category", "fcw", "service_tier", "sct", "severity_score", "severity")
+    empty = F.lit(False)
+    for c in fields:
+        empty = empty | F.col(c).isNull()
+    placed = labels.join(ranges, "severity", "left")
+    out_of_range = F.col("lo").isNull() | (F.col("severity_score") < F.col("lo")) | (F.col("severity_score") > F.col("hi"))
+    parts = [
+        by("repeated_case", labels.groupBy("case_id").agg(F.count("*").alias("n")).where("n > 1")),
+        by("case_without_label", runs.join(labels, "case_id", "left_anti")),
+        by("label_without_case", labels.join(runs, "case_id", "left_anti")),
+        by("missing_field", labels.where(empty)),
+        by("score_is_no_product", labels.where("severity_score <> fcw * sct")),
+        by("severity_out_of_range", placed.where(out_of_range & F.col("severity").isNotNull())),
+        by("mixed_scenario", labels.groupBy("scenario").agg(F.countDistinct("severity").alias("n")).where("n > 1"), "scenario"),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def policy_violations(runs: DataFrame, faults=FAULTS, tiers=TIERS["default"], classes=CLASSES) -> DataFrame:
+    """(rule, name): faults and services of the runs that the policy doesn't map, weights that aren't positive, and products of weights that
+    fall in no severity's range or in several. A sound policy gives no rows; policy tables are short."""
+    spark = runs.sparkSession
+    f = spark.createDataFrame(list(faults), "fault_type string, fault_category string, fcw long")
+    t = spark.createDataFrame(list(tiers), "service string, service_tier string, sct long")
+    c = spark.createDataFrame(list(classes), "severity string, lo long, hi long")
+    by = lambda rule, rows, name: rows.select(F.lit(rule).alias("rule"), F.col(name).cast("string").alias("name"))
+    scores = f.select("fcw").crossJoin(t.select("sct")).select((F.col("fcw") * F.col("sct")).alias("score")).distinct()
+    fits = scores.join(c, (F.col("score") >= F.col("lo")) & (F.col("score") <= F.col("hi")), "left").groupBy("score").agg(F.count("severity").alias("n"))
+    parts = [
+        by("unmapped_fault", runs.select("fault_type").distinct().join(f, "fault_type", "left_anti"), "fault_type"), by("unmapped_service", runs.select("service").distinct().join(t, "service", "left_anti"), "service"),
+        by("weight_not_positive", f.where("fcw <= 0"), "fault_type"), by("weight_not_positive", t.where("sct <= 0"), "service"),
+        by("score_in_no_class", fits.where("n = 0"), "score"), by("score_in_several_classes", fits.where("n > 1"), "score"),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def oof_from_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,3 +143,27 @@ def test_attribution_reports(spark):
     assert [(x.feature_name, round(x.a, 6)) for x in order] == [("g", 0.2), ("f", 0.15)]
     top = attribution.top_features(summary, 1).where("class = 'b'").orderBy("case_id").collect()
     assert [(x.feature_name, x.direction) for x in top] == [("f", "lowers"), ("g", "lowers")]
+
+
+def test_labels_that_break_rules(spark):
+    from caselens.operators import labels as L
+
+    schema = "case_id string, scenario string, fault_category string, fcw long, service_tier string, sct long, severity_score long, severity string"
+    good = [("a-1", "a", "x", 2, "core", 3, 6, "High"), ("b-1", "b", "x", 1, "edge", 1, 1, "Low")]
+    runs = spark.createDataFrame([("a-1", "cpu", "svc0"), ("b-1", "delay", "svc1")], "case_id string, fault_type string, service string")
+    assert L.label_violations(spark.createDataFrame(good, schema), runs).count() == 0
+    bad = [good[0], good[0], ("a-2", "a", "x", 1, "core", 3, 4, "Low"), ("c-1", "c", None, 1, "edge", 1, 1, "Low")]
+    found = {tuple(r) for r in L.label_violations(spark.createDataFrame(bad, schema), runs).collect()}
+    assert found == {("repeated_case", "a-1"), ("case_without_label", "b-1"), ("label_without_case", "a-2"), ("label_without_case", "c-1"), ("missing_field", "c-1"), ("score_is_no_product", "a-2"), ("severity_out_of_range", "a-2"), ("mixed_scenario", "a")}
+    assert L.policy_violations(runs).count() == 0
+    broken = L.policy_violations(runs, faults=(("cpu", "x", 0), ("disk", "x", 2)), tiers=(("svc0", "core", 3),), classes=(("Low", 1, 6), ("High", 6, 9)))
+    assert {tuple(r) for r in broken.collect()} == {("unmapped_fault", "delay"), ("unmapped_service", "svc1"), ("weight_not_positive", "cpu"), ("score_in_no_class", "0"), ("score_in_several_classes", "6")}
+
+
+def test_texts_that_must_be_true_or_false(spark):
+    from caselens.functions.predicates import checked_bool
+
+    good = spark.createDataFrame([(" True\t",), ("FALSE",), (None,)], "c string")
+    assert [r.c for r in checked_bool(good, "c").collect()] == [True, False, None]
+    with pytest.raises(ValueError, match="'maybe', 'yes'"):
+        checked_bool(spark.createDataFrame([("yes",), ("maybe",), ("true",), ("yes",)], "c string"), "c")
