@@ -79,5 +79,6 @@ def trace_service(name: Column) -> Column:
     return F.split_part(F.split_part(name, F.lit("__"), F.lit(2)), F.lit("_"), F.lit(1))
 
 
-def callee_of(operation: Column) -> Column:
-    return F.lower(F.nullif(F.regexp_extract(operation, r"shop\.([A-Za-z]+)/", 1), F.lit("")))
+def callee_of(operation: Column, package: str = "shop") -> Column:
+    """The service that an operation <package>.<Name>/... calls, in lower case; null for other operations, and for packages whose name only ends so."""
+    return F.lower(F.nullif(F.regexp_extract(operation, rf"\b{package}\.([A-Za-z]+)/", 1), F.lit("")))

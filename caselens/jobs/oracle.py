@@ -192,7 +192,7 @@ ORACLE_SQL = EXTRA_SQL | {
     "agg_call_graph": sql("select caller, callee, count(*) as run_count, cast(sum(baseline_calls + incident_calls) as bigint) as total_calls from vol group by all", "vol"),
     "agg_call_volume_change": sql("select case_no, round(avg(case when baseline_calls > 0 and (baseline_calls - incident_calls) / baseline_calls > 0.2 then 1.0 else 0.0 end), 6) as edge_drop_share, round(max(case when baseline_calls > 0 then (baseline_calls - incident_calls) / baseline_calls else 0.0 end), 6) as max_drop, round(coalesce((sum(incident_calls) - sum(baseline_calls)) / nullif(sum(baseline_calls), 0), 0), 6) as total_change from vol group by case_no", "vol"),
     "agg_service_anomalies": sql('select case_no, modality, service, round(magnitude, 6) as magnitude from anom', "anom"),
-    "jn_label_lookup": sql("select * exclude (scheme) from dl", "dl"),
+    "jn_label_lookup": sql("select * exclude (scheme), 'fcw_sct_v2' as label_policy_version, 'candidate' as label_status from dl", "dl"),
     "agg_label_distribution": sql("select k.kind, k.name, c as severity, count(case_id) as case_count from (select distinct 'all' as kind, 'all' as name from dl union select distinct 'service', service from dl union select distinct 'fault', fault_type from dl) k cross join (values ('Low'),('Medium'),('High')) v(c) left join dl on dl.severity = c and (k.kind = 'all' or k.kind = 'service' and dl.service = k.name or k.kind = 'fault' and dl.fault_type = k.name) group by all", "dl"),
     "agg_label_sensitivity": sql("select scheme, severity, count(*) as case_count, count(distinct scenario) as scenario_count from lab group by all", "lab"),
     "ml_scores": sql("select * from sc", "sc"),

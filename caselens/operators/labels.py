@@ -2,24 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from dataclasses import dataclass, replace
 
-#: Weight and category by fault, tier and weight by service, classes by score.
-FAULTS = (("cpu", "resource", 1), ("delay", "network", 2))
-TIERS = {"default": (("svc0", "core", 3), ("svc1", "edge", 1)), "flat": (("svc0", "core", 1), ("svc1", "core", 1)), "reversed": (("svc0", "edge", 1), ("svc1", "core", 3))}
-CLASSES = (("Low", 1, 2), ("Medium", 3, 4), ("High", 5, 9))
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def severity_labels(runs: DataFrame, scheme: str = "default") -> DataFrame:
-    """fcw x sct in a class's range gives the severity; what no policy row maps raises an error."""
+@dataclass(frozen=True)
+class LabelPolicy:
+    """Weights by fault category and service tier, and the classes of their product; short tables that whoever agrees on labels sets."""
+
+    version: str
+    frozen: bool
+    categories: dict[str, str]
+    category_weights: dict[str, int]
+    tiers: dict[str, str]
+    tier_weights: dict[str, int]
+    classes: tuple[tuple[str, int, int], ...]
+
+    @property
+    def faults(self) -> list[tuple[str, str, int]]:
+        return [(f, c, self.category_weights.get(c, 0)) for f, c in self.categories.items()]
+
+    @property
+    def services(self) -> list[tuple[str, str, int]]:
+        return [(s, t, self.tier_weights.get(t, 0)) for s, t in self.tiers.items()]
+
+
+#: Classes by score, and the default policy.
+CLASSES = (("Low", 1, 2), ("Medium", 3, 4), ("High", 5, 6))
+DEFAULT_POLICY = LabelPolicy(
+    version="fcw_sct_v2",
+    frozen=False,
+    categories={"cpu": "resource", "mem": "resource", "disk": "resource", "delay": "network", "loss": "network", "socket": "resource"},
+    category_weights={"resource": 1, "network": 2},
+    tiers={"checkoutservice": "A", "productcatalogservice": "A", "currencyservice": "B", "recommendationservice": "C", "emailservice": "C"},
+    tier_weights={"A": 3, "B": 2, "C": 1},
+    classes=CLASSES,
+)
+#: The policy of the driver's two services, and other tiers for them.
+DRIVER_POLICY = replace(DEFAULT_POLICY, tiers={"svc0": "core", "svc1": "edge"}, tier_weights={"core": 3, "edge": 1})
+SCHEMES = {"default": DRIVER_POLICY, "flat": replace(DRIVER_POLICY, tiers={"svc0": "core", "svc1": "core"}, tier_weights={"core": 1}), "reversed": replace(DRIVER_POLICY, tiers={"svc0": "edge", "svc1": "core"})}
+
+
+def severity_labels(runs: DataFrame, policy: LabelPolicy = DRIVER_POLICY) -> DataFrame:
+    """fcw x sct in a class's range gives the severity; what no policy row maps raises an error. Policy version and status stand beside it."""
     spark = runs.sparkSession
-    f = F.broadcast(spark.createDataFrame(FAULTS, "fault_type string, fault_category string, fcw long"))
-    t = F.broadcast(spark.createDataFrame(TIERS[scheme], "service string, service_tier string, sct long"))
-    c = F.broadcast(spark.createDataFrame(CLASSES, "severity string, lo long, hi long"))
+    f = spark.createDataFrame(policy.faults, "fault_type string, fault_category string, fcw long")
+    t = spark.createDataFrame(policy.services, "service string, service_tier string, sct long")
+    c = spark.createDataFrame(list(policy.classes), "severity string, lo long, hi long")
     j = runs.join(f, "fault_type", "left").join(t, "service", "left").withColumn("severity_score", F.col("fcw") * F.col("sct")).join(c, (F.col("severity_score") >= F.col("lo")) & (F.col("severity_score") <= F.col("hi")), "left")
     severity = F.when(F.col("severity").isNull(), F.raise_error(F.concat(F.lit("no label for "), "case_id"))).otherwise(F.col("severity"))
-    return j.select("case_no", "case_id", "scenario", "service", "fault_type", "fault_category", "fcw", "service_tier", "sct", "severity_score", severity.alias("severity"))
+    return j.select(
+        "case_no", "case_id", "scenario", "service", "fault_type", "fault_category", "fcw", "service_tier", "sct", "severity_score", severity.alias("severity"),
+        F.lit(policy.version).alias("label_policy_version"), F.lit("final" if policy.frozen else "candidate").alias("label_status"),
+    )
 
 
 def label_distribution(labels: DataFrame) -> DataFrame:
@@ -37,8 +74,8 @@ def label_distribution(labels: DataFrame) -> DataFrame:
 def label_sensitivity(runs: DataFrame) -> DataFrame:
     """Classes under other tier schemes."""
     out = None
-    for name in TIERS:
-        part = severity_labels(runs, name).groupBy("severity").agg(F.count("*").alias("case_count"), F.countDistinct("scenario").alias("scenario_count")).select(F.lit(name).alias("scheme"), "severity", "case_count", "scenario_count")
+    for name, policy in SCHEMES.items():
+        part = severity_labels(runs, policy).groupBy("severity").agg(F.count("*").alias("case_count"), F.countDistinct("scenario").alias("scenario_count")).select(F.lit(name).alias("scheme"), "severity", "case_count", "scenario_count")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -70,13 +107,13 @@ def label_violations(labels: DataFrame, runs: DataFrame) -> DataFrame:
     return out
 
 
-def policy_violations(runs: DataFrame, faults=FAULTS, tiers=TIERS["default"], classes=CLASSES) -> DataFrame:
+def policy_violations(runs: DataFrame, policy: LabelPolicy = DRIVER_POLICY) -> DataFrame:
     """(rule, name): faults and services of the runs that the policy doesn't map, weights that aren't positive, and products of weights that
     fall in no severity's range or in several. A sound policy gives no rows; policy tables are short."""
     spark = runs.sparkSession
-    f = spark.createDataFrame(list(faults), "fault_type string, fault_category string, fcw long")
-    t = spark.createDataFrame(list(tiers), "service string, service_tier string, sct long")
-    c = spark.createDataFrame(list(classes), "severity string, lo long, hi long")
+    f = spark.createDataFrame(policy.faults, "fault_type string, fault_category string, fcw long")
+    t = spark.createDataFrame(policy.services, "service string, service_tier string, sct long")
+    c = spark.createDataFrame(list(policy.classes), "severity string, lo long, hi long")
     by = lambda rule, rows, name: rows.select(F.lit(rule).alias("rule"), F.col(name).cast("string").alias("name"))
     scores = f.select("fcw").crossJoin(t.select("sct")).select((F.col("fcw") * F.col("sct")).alias("score")).distinct()
     fits = scores.join(c, (F.col("score") >= F.col("lo")) & (F.col("score") <= F.col("hi")), "left").groupBy("score").agg(F.count("severity").alias("n"))

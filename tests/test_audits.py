@@ -156,7 +156,10 @@ def test_labels_that_break_rules(spark):
     found = {tuple(r) for r in L.label_violations(spark.createDataFrame(bad, schema), runs).collect()}
     assert found == {("repeated_case", "a-1"), ("case_without_label", "b-1"), ("label_without_case", "a-2"), ("label_without_case", "c-1"), ("missing_field", "c-1"), ("score_is_no_product", "a-2"), ("severity_out_of_range", "a-2"), ("mixed_scenario", "a")}
     assert L.policy_violations(runs).count() == 0
-    broken = L.policy_violations(runs, faults=(("cpu", "x", 0), ("disk", "x", 2)), tiers=(("svc0", "core", 3),), classes=(("Low", 1, 6), ("High", 6, 9)))
+    from dataclasses import replace
+
+    assert L.policy_violations(runs.limit(0), L.DEFAULT_POLICY).count() == 0
+    broken = L.policy_violations(runs, replace(L.DRIVER_POLICY, categories={"cpu": "idle", "disk": "network"}, tiers={"svc0": "core"}, classes=(("Low", 1, 6), ("High", 6, 9))))
     assert {tuple(r) for r in broken.collect()} == {("unmapped_fault", "delay"), ("unmapped_service", "svc1"), ("weight_not_positive", "cpu"), ("score_in_no_class", "0"), ("score_in_several_classes", "6")}
 
 

@@ -147,6 +147,10 @@ def test_volume_that_only_rises(spark):
 def test_severity(spark):
     runs = spark.createDataFrame([(0, "svc0_delay-1", "svc0_delay", "svc0", "delay"), (1, "svc1_cpu-1", "svc1_cpu", "svc1", "cpu")], "case_no long, case_id string, scenario string, service string, fault_type string")
     assert {r.case_id: (r.severity_score, r.severity) for r in labels.severity_labels(runs).collect()} == {"svc0_delay-1": (6, "High"), "svc1_cpu-1": (1, "Low")}
+    shop = spark.createDataFrame([(0, "a", "a", "checkoutservice", "delay"), (1, "b", "b", "emailservice", "cpu")], runs.schema)
+    assert {r.case_id: (r.severity, r.label_status) for r in labels.severity_labels(shop, labels.DEFAULT_POLICY).collect()} == {"a": ("High", "candidate"), "b": ("Low", "candidate")}
+    with pytest.raises(Exception, match="no label for"):
+        labels.severity_labels(runs, labels.DEFAULT_POLICY).collect()
 
 
 def test_coverage_is_closed_and_series_need_not_cover(spark):
