@@ -64,9 +64,9 @@ def ml_two_stage_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _attributed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
-    """Attributions, base values and predictions of one repeat's forests on relative features."""
+    """Attributions, base values and predictions of the two forests of one repeat, on relative features."""
     d = Shop(spark, sf_dir)
-    placed, long, collected = kept(G.group_folds(d.cases.select("case_id", "scenario", "y"), FOLDS, 1, SEED), "folds"), kept(M.take_relative(d.lookup, d.cases), "relative"), []
+    placed, long, collected = kept(G.group_folds(d.cases.select("case_id", "scenario", "y"), 2, 1, SEED), "folds"), kept(M.take_relative(d.lookup, d.cases), "relative"), []
     oof = M.cross_validate(long, placed, EXPLAINED, SEVERITIES, collected)
     return *T.out_of_fold(collected, M.feature_names(long), SEVERITIES), oof, SEVERITIES
 

@@ -64,7 +64,7 @@ def fit_forest(rows: DataFrame, classes: list[str], params: Forest, y: str = "y"
 def predicted(model: RandomForestClassificationModel, rows: DataFrame, classes: list[str], name: str = "y_pred", proba: str = "proba") -> DataFrame:
     """The most probable class and the probabilities in the order of `classes`; classes after the model's last one have 0."""
     p = vector_to_array("probability")
-    whole = F.slice(F.concat(p, F.array(*(F.lit(0.0) for _ in classes))), 1, len(classes))
+    whole = F.array(*(F.coalesce(F.get(p, F.lit(i)), F.lit(0.0)) for i in range(len(classes))))
     out = model.transform(rows).withColumn(proba, whole)
     best = F.get(F.array(*map(F.lit, classes)), F.col("prediction").cast("int")).alias(name)
     return out.select(*rows.columns, best, proba)
@@ -116,9 +116,9 @@ def relative_lookup(long: DataFrame, services: DataFrame) -> DataFrame:
     measure = F.expr("substring(split_part(feature_name, '__', 2), length(split_part(split_part(feature_name, '__', 2), '_', 1)) + 2)")
     own = (
         F.when(traced, F.concat(F.lit("self_"), kind, F.lit("__max__"), statistic))
-        .when(metric & measure.isin(*METRICS), F.concat_ws("__", F.lit("self"), measure, statistic))
+        .when(metric & measure.isin(*METRICS), F.concat(F.lit("self__"), measure, F.lit("__"), statistic))
         .when(log & (statistic == "new_template_count"), F.lit("self_log__new_template_count"))
-        .when(log, F.concat_ws("__", F.lit("self_log"), part(3), statistic))
+        .when(log, F.concat(F.lit("self_log__"), part(3), F.lit("__"), statistic))
     )
     whole = name.isin(*GLOBAL) | (kind == "svc")
     mine = long.where(~whole & F.col("value").isNotNull()).select("case_id", service.alias("service"), own.alias("feature_name"), "value").where("feature_name is not null")
