@@ -251,6 +251,7 @@ def fingerprint_documents(docs: DataFrame, radius: int = radius_for(SIMILARITY),
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with their likeness."""
     return fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

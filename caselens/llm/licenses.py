@@ -152,6 +152,7 @@ def scan(docs: DataFrame, model: LicenseModel, least: float = 0.5, id_col: str =
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence families that every document's paragraphs name."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return scan(docs, train(docs.select(F.col("doc_id").alias("key"), "text")))
 

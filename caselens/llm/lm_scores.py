@@ -275,6 +275,7 @@ def score_documents(docs: DataFrame, held_out: str = "pmod(crc32(coalesce(cast(d
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document by the model and by smoothed unigrams."""
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -340,6 +340,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes of repeated 400-byte strings, as a digest."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
 
 

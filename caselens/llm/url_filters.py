@@ -100,6 +100,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str =
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of every page's url."""
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
