@@ -49,16 +49,21 @@ class Data:
 
     def __init__(self, spark: SparkSession, sf_dir: str, most_empty: float = MOST_EMPTY):
         self.spark, self.sf_dir, self.most_empty = spark, sf_dir, most_empty
-        self.sharing, self.made = False, {}
+        self.sharing, self.made, self.lacking = False, {}, S.ABSENT
 
     def once(self) -> Data:
         """These inputs with the shared steps computed once, for queries that read them in several branches."""
         self.sharing = True
         return self
 
+    def whole(self) -> Data:
+        """These inputs with all samples, those too that two cases are made to lack elsewhere."""
+        self.lacking = ()
+        return self
+
     spans = _step("spans", lambda d: T.typed(S.spans(d.spark, d.sf_dir)))
     runs = _step("runs", lambda d: S.runs(d.spark))
-    samples = _step("samples", lambda d: S.samples(d.spark, d.sf_dir))
+    samples = _step("samples", lambda d: S.samples(d.spark, d.sf_dir, d.lacking))
     injections = _step("injections", lambda d: S.span_injections(d.spark))
     windowed = _step("windowed", lambda d: A.in_window(d.samples, d.runs, GRID))
     aligned = _step("aligned", lambda d: A.align(d.windowed))
@@ -128,7 +133,7 @@ _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "prj_feature_family": lambda d: d.samples.select("column_name").distinct().withColumn("family", P.feature_family(F.col("column_name"))),
     "prj_log_column_split": _log_parts,
     "prj_callee": lambda d: d.spans.groupBy("operation", P.callee_of(F.col("operation")).alias("callee")).agg(F.count("*").alias("n")),
-    "agg_align_grid": lambda d: rounded(d.aligned, "value"),
+    "agg_align_grid": lambda d: rounded(d.whole().aligned, "value"),
     "jn_grid_densify": lambda d: rounded(d.dense, "value"),
     "agg_harmonize_logs": lambda d: rounded(A.harmonise_logs(d.aligned, S.clusters(d.spark)), "value"),
     "win_linear_fill": lambda d: rounded(d.filled.select("case_no", "column_name", "bin_index", "policy", "filled"), "filled"),
