@@ -134,7 +134,7 @@ _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "prj_log_column_split": _log_parts,
     "prj_callee": lambda d: d.spans.groupBy("operation", P.callee_of(F.col("operation")).alias("callee")).agg(F.count("*").alias("n")),
     "agg_align_grid": lambda d: rounded(d.whole().aligned, "value"),
-    "jn_grid_densify": lambda d: rounded(d.dense, "value"),
+    "jn_grid_densify": lambda d: rounded(d.whole().dense, "value"),
     "agg_harmonize_logs": lambda d: rounded(A.harmonise_logs(d.aligned, S.clusters(d.spark)), "value"),
     "win_linear_fill": lambda d: rounded(d.filled.select("case_no", "column_name", "bin_index", "policy", "filled"), "filled"),
     "agg_cleaning_log": lambda d: A.cleaning_log(d.filled),

@@ -26,3 +26,9 @@ def test_align_grid_has_all_columns(spark):
     k = "cast(json_extract_string(props, '$.k') as bigint)"
     assert got[LACKING[0]] == windowed("/root/testdata/sf0.01", 5, "error", f"{k} % 2 = 1") > 0
     assert got[LACKING[1]] == windowed("/root/testdata/sf0.01", 6, "purchase", f"{k} % 4 = 2") > 0
+
+
+def test_densify_has_all_bins(spark):
+    got = catalog.QUERIES["jn_grid_densify"](spark, SF).groupBy("case_no", "column_name").count().collect()
+    got = {(r[0], r[1]): r[2] for r in got}
+    assert [got.get(x) for x in LACKING] == [40, 40]
