@@ -147,7 +147,7 @@ _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "win_topk_features": lambda d: rounded(A.top_features(d.stats), "zscore_mean"),
     "agg_timeseries_quality": lambda d: d.quality,
     "agg_missing_by_column": lambda d: Q.missing_by_column(d.samples, d.runs),
-    "jn_eligibility": lambda d: d.eligible,
+    "jn_eligibility": lambda d: d.whole().eligible,
     "agg_trace_structure": lambda d: d.structure,
     "agg_root_identity": lambda d: T.root_identity(d.spans),
     "agg_root_operations": lambda d: T.root_operations(d.firsts),

@@ -32,3 +32,34 @@ def test_densify_has_all_bins(spark):
     got = catalog.QUERIES["jn_grid_densify"](spark, SF).groupBy("case_no", "column_name").count().collect()
     got = {(r[0], r[1]): r[2] for r in got}
     assert [got.get(x) for x in LACKING] == [40, 40]
+
+
+def event_rows():
+    """An event of every kind in each bin of every case, with these holes: case 5's only metric is one error of svc1, case 6's only purchases are svc0's Put,
+    and case 1 has no click in 3 of the 20 bins before its injection."""
+    for case in range(8):
+        start = datetime.datetime(2024, 1, 7) + datetime.timedelta(days=20 if case == 7 else 2 * case)
+        for b in range(-21, 21):
+            at = start + datetime.timedelta(hours=6 * b + 1)
+            for kind in ("view", "error", "click", "purchase", "signup"):
+                if case == 5 and kind in ("view", "error") and (kind, b) != ("error", 0) or case == 1 and kind == "click" and -4 < b < 0:
+                    continue
+                yield at, case, kind, 1 if case == 5 else 2
+
+
+@pytest.fixture(scope="module")
+def holes(tmp_path_factory):
+    sf = tmp_path_factory.mktemp("holes")
+    for t in ("lineitem", "orders", "part"):
+        shutil.copy(os.path.join(SF, f"{t}.parquet"), sf)
+    c = duckdb.connect()
+    c.execute("create table e (event_id bigint, ts timestamp, user_id bigint, event_type varchar, value double, props varchar)")
+    c.executemany("insert into e values (?, ?, ?, ?, ?, ?)", [(i, at, case, kind, 1.0, f'{{"k": {k}}}') for i, (at, case, kind, k) in enumerate(event_rows())])
+    c.execute(f"copy e to '{sf}/events.parquet' (format parquet)")
+    return str(sf)
+
+
+def test_eligibility_by_all_samples(spark, holes):
+    got = {r["case_no"]: r["uncovered"] for r in catalog.QUERIES["jn_eligibility"](spark, holes).collect()}
+    assert got[5] == "metrics"
+    assert got[6] == got[0] == ""
