@@ -24,6 +24,8 @@ GRID = S.Grid()
 FLAGSHIP = "agg_feature_statistics"
 #: Share of a window's bins that a source may lack. The driver's events are sparse: bins of six hours hold few of them.
 MOST_EMPTY = 0.25
+#: The operator's own limit, by which the list of excluded cases is whole.
+FULL_LIMIT = 0.10
 
 
 def _step(name: str, build: Callable[[Data], DataFrame]) -> property:
@@ -56,9 +58,10 @@ class Data:
         self.sharing = True
         return self
 
-    def whole(self) -> Data:
-        """These inputs with all samples, those too that two cases are made to lack elsewhere."""
+    def whole(self, most_empty: float | None = None) -> Data:
+        """These inputs with all samples, those too that two cases are made to lack elsewhere, and with a limit of its own."""
         self.lacking = ()
+        self.most_empty = self.most_empty if most_empty is None else most_empty
         return self
 
     spans = _step("spans", lambda d: T.typed(S.spans(d.spark, d.sf_dir)))
@@ -186,7 +189,7 @@ _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "agg_proxy_variance": lambda d: d.once().proxy.select("feature_name", "within_service_variance_ratio", "decision", "reason"),
     "agg_proxy_tree": lambda d: U.tier_accuracy(d.once().svc, d.labels.select("case_no", F.col("service_tier").alias("tier"))).withColumn("tier_balanced_accuracy", F.round("tier_balanced_accuracy", 6)),
     "agg_leakage_audit": lambda d: X.leakage_audit((d := d.once()).merged, d.manifest, d.labels, d.proxy),
-    "agg_excluded_runs": lambda d: X.excluded_runs(d.eligible, d.verdict),
+    "agg_excluded_runs": lambda d: X.excluded_runs((d := d.whole(FULL_LIMIT)).eligible, d.verdict),
     "agg_case_consistency": lambda d: _consistency(d.once()),
     "jn_feature_merge": lambda d: rounded(d.once().merged, "value"),
     "prj_feature_manifest": lambda d: d.once().manifest,

@@ -63,3 +63,8 @@ def test_eligibility_by_all_samples(spark, holes):
     got = {r["case_no"]: r["uncovered"] for r in catalog.QUERIES["jn_eligibility"](spark, holes).collect()}
     assert got[5] == "metrics"
     assert got[6] == got[0] == ""
+
+
+def test_excluded_runs_by_all_samples_and_the_own_limit(spark, holes):
+    got = {r["case_no"]: r["reason"] for r in catalog.QUERIES["agg_excluded_runs"](spark, holes).where("stage = 'bins'").collect()}
+    assert got == {1: "logs_baseline_missing_ratio=0.15", 5: "metrics_baseline_missing_ratio=1.00|metrics_incident_missing_ratio=0.95"}
