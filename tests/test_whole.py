@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from caselens.jobs import catalog
+from caselens.operators import folds as G
 
 SF = "/root/testdata/sf0.001"
 LACKING = [(5, "metric__svc1_error"), (6, "trace_latency__svc0_Put")]
@@ -68,3 +69,10 @@ def test_eligibility_by_all_samples(spark, holes):
 def test_excluded_runs_by_all_samples_and_the_own_limit(spark, holes):
     got = {r["case_no"]: r["reason"] for r in catalog.QUERIES["agg_excluded_runs"](spark, holes).where("stage = 'bins'").collect()}
     assert got == {1: "logs_baseline_missing_ratio=0.15", 5: "metrics_baseline_missing_ratio=1.00|metrics_incident_missing_ratio=0.95"}
+
+
+def test_group_overlap_counts_all_cases(spark):
+    placed = spark.createDataFrame([(0, 0, 1, "a"), (0, 1, 2, "a"), (0, 1, 3, "b"), (0, 2, 4, "c"), (0, 2, 5, "c")], "repeat int, fold int, case_id long, scenario string")
+    got = {r["fold"]: (r["group_count"], r["case_count"], r["overlap"]) for r in G.fold_overlap(placed).collect()}
+    assert got == {0: (3, 5, 1), 1: (3, 5, 1), 2: (3, 5, 0)}
+    assert "lineitem" in catalog.ALL_SQL["set_group_overlap"]
