@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import as_long, lists, mix, only_maybe, shingles, slices, word_hashes, written, tidy
 from .links import SKETCH, alike, confirmed, in_cells, link_components, sketch, sketch_columns
 
+PAIRED = 8  # sets of a posting up to which all their pairs are met at once
+CROSSED = 128  # members of a meeting from which on its pairs are met in cells
 _seeds = np.random.default_rng(71)
 FACTOR = _seeds.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 OFFSET = _seeds.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -63,7 +65,7 @@ def set_signatures(docs: DataFrame, n: int, k: int) -> DataFrame:
     return docs.mapInArrow(tidy(of), "doc_id long, n_shingles long, item long, coords array<long>")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = 32, crossed: int = CROSSED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id, kept.
 
     Documents link if their sets of n-word shingles (A-Z lower-cased, words of non-space bytes)
@@ -106,7 +108,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = 32,
     members = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     comp = link_components(
         postings.join(members, "key"), sets.drop("elems"), alike(percent, 100), lambda need: sets.join(need, "item", "left_semi"),
-        lambda pairs, sets: confirmed(pairs, sets, percent, 100, k, t), lambda p, sets: in_cells(p, sets, percent, 100, k, t),
+        lambda pairs, sets: confirmed(pairs, sets, percent, 100, k, t), lambda p, sets: in_cells(p, sets, percent, 100, k, t), paired=PAIRED, crossed=crossed,
     )
     whole = firsts.join(comp, firsts["item"] == comp["node"], "left").select("item", "low", F.coalesce("component", "item").alias("component"))
     least = whole.groupBy("component").agg(F.min("low").alias("component_id"))
