@@ -155,7 +155,7 @@ _BUILD: dict[str, Callable[[Data], DataFrame]] = {
     "agg_root_identity": lambda d: T.root_identity(d.spans),
     "agg_root_operations": lambda d: T.root_operations(d.firsts),
     "agg_span_status": lambda d: T.status_codes(d.firsts),
-    "win_first_span": lambda d: d.firsts.groupBy("case_no", "service").agg(F.count("*").alias("n"), F.sum("start_us").alias("s")),
+    "win_first_span": lambda d: T.start_sums(d.firsts),
     "jn_reconcile": lambda d: (d := d.once()) and T.reconcile(T.root_identity(d.spans), T.root_operations(d.firsts), d.structure, T.status_codes(d.firsts)),
     "agg_call_volume": lambda d: d.volume,
     "agg_call_graph": lambda d: T.call_graph(d.volume),
