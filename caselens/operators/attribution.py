@@ -1,9 +1,11 @@
-"""What each feature adds to a forest's probabilities: exact path-dependent Shapley shares, by joins of rows with leaf paths."""
+"""What each feature adds to a forest's probabilities: exact path-dependent Shapley shares, by the leaf paths that rows follow."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,38 +51,70 @@ def leaf_paths(nodes: DataFrame) -> DataFrame:
     return kept(found.select(F.concat_ws(":", "tree", "node").alias("path"), "p", (F.col("cover") / F.col("all")).alias("weight"), merged.alias("steps")), "paths")
 
 
-def _shares(steps, met):
+def _shares(rest: np.ndarray, met: np.ndarray) -> np.ndarray:
     """For each step of a path the Shapley share of its feature, given which steps a row meets: the sum over subsets of the
     other steps, by their size, whose weights are the coefficients of the product of (rest + met * t)."""
-    at = F.transform(steps, lambda s, i: F.struct(s["rest"].alias("z"), F.get(met, i).cast("double").alias("o"), i.alias("i")))
-    grown = lambda c, s: F.zip_with(F.concat(F.transform(c, lambda x: x * s["z"]), F.array(F.lit(0.0))), F.concat(F.array(F.lit(0.0)), F.transform(c, lambda x: x * s["o"])), lambda x, y: x + y)
-    size = F.size(steps)
-    factorials = F.array(*(F.lit(float(math.factorial(k))) for k in range(60)))
-    fact = lambda k: F.get(factorials, k)
-
-    def share(j):
-        others = F.filter(at, lambda s: s["i"] != j["i"])
-        coefficients = F.aggregate(others, F.array(F.lit(1.0)), grown)
-        return (j["o"] - j["z"]) * F.aggregate(F.transform(coefficients, lambda c, s: c * fact(s) * fact(size - 1 - s) / fact(size)), F.lit(0.0), lambda a, x: a + x)
-
-    return F.transform(at, share)
+    k, out = len(rest), np.empty(len(rest))
+    weights = np.array([math.factorial(s) * math.factorial(k - 1 - s) / math.factorial(k) for s in range(k)])
+    for j in range(k):
+        c = np.ones(1)
+        for i in range(k):
+            if i != j:
+                c = np.append(c * rest[i], 0.0) + np.append(0.0, c * met[i])
+        out[j] = (met[j] - rest[j]) * (c @ weights)
+    return out
+
+
+def _added(leaves: list[tuple], used: list[int], classes: list[str]):
+    """The task that sums up shares by row: from batches of (case_id, values) to (case_id, feature, value, a column for each class)."""
+    place = {f: i for i, f in enumerate(used)}
+    paths = [(np.array(f), np.array(low), np.array(high), np.array(rest), np.array(p)) for f, low, high, rest, p in leaves]
+
+    def run(batches):
+        known: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x = batch.column("values").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            total = np.zeros((len(used), len(classes), n))
+            for at, (features, low, high, rest, p) in enumerate(paths):
+                v = x[:, features]
+                # as the forest goes: left at most the threshold, else right, NaN too
+                met = ((low == -np.inf) | ~(v <= low)) & ((high == np.inf) | (v <= high))
+                codes, which = np.unique(met @ (1 << np.arange(len(features))), return_inverse=True)
+                for code in codes:
+                    if (at, code) not in known:
+                        known[at, code] = _shares(rest, (code >> np.arange(len(features)) & 1).astype(float))
+                share = np.array([known[at, code] for code in codes])[which]
+                for j, f in enumerate(features):
+                    total[place[f]] += p[:, None] * share[:, j]
+            ids = batch.column("case_id").take(pa.array(np.tile(np.arange(n), len(used))))
+            columns = [ids, pa.array(np.repeat(np.array(used, dtype=np.int32), n)), pa.array(x[:, used].T.ravel())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(total[:, i].ravel()) for i in range(len(classes))], ["case_id", "feature", "value", *classes])
+
+    return run
 
 
 def attributions(model: RandomForestClassificationModel, rows: DataFrame, names: list[str], classes: list[str]) -> tuple[DataFrame, DataFrame]:
     """(case_id, feature_name, value, a column for each class) of rows (case_id, values), and a row of the base values.
 
-    A row meets each path's steps in one of few patterns; shares are worked out once for each pattern that occurs and joined to the rows. Features
-    without any share have no row. Paths are as many as the forest's leaves, whatever the number of rows.
+    A row meets each path's steps in one of few patterns; a task works out each pattern's shares once and adds them up row by row, with no
+    shuffle. Features that no path meets have no row. Paths are as many as the forest's leaves, whatever the number of rows: they go
+    to the tasks as the forest itself does for predictions.
     """
     spark = rows.sparkSession
     paths, trees = leaf_paths(node_table(model, spark)), float(model.getNumTrees)
-    met = F.transform("steps", lambda s: (F.get("values", s["feature"]) > s["low"]) & (F.get("values", s["feature"]) <= s["high"]))
-    hits = kept(rows.select("case_id", "values").crossJoin(paths).select("case_id", "path", met.alias("met")).where(F.size("met") > 0), "hits")
-    shares = hits.select("path", "met").distinct().join(paths, "path").select("path", "met", F.inline(F.arrays_zip(F.transform("steps", lambda s: s["feature"]).alias("feature"), _shares(F.col("steps"), F.col("met")).alias("share"))), "p")
-    per = shares.select("path", "met", "feature", *((F.col("share") * F.coalesce(F.get("p", F.lit(i)), F.lit(0.0)) / trees).alias(c) for i, c in enumerate(classes)))
-    found = hits.join(per, ["path", "met"]).groupBy("case_id", "feature").agg(*(F.sum(c).alias(c) for c in classes))
-    header = spark.createDataFrame(list(enumerate(names)), "feature int, feature_name string")
-    out = found.join(header, "feature").join(rows.select("case_id", "values"), "case_id").select("case_id", "feature_name", F.get("values", F.col("feature")).alias("value"), *classes)
+    leaves = []
+    for r in paths.where(F.size("steps") > 0).select("p", "steps").collect():
+        p = [(r["p"][i] if i < len(r["p"]) else 0.0) / trees for i in range(len(classes))]
+        leaves.append((*([s[c] for s in r["steps"]] for c in ("feature", "low", "high", "rest")), p))
+    used = sorted({f for leaf in leaves for f in leaf[0]})
+    kind = rows.schema["case_id"].dataType.simpleString()
+    schema = ", ".join([f"case_id {kind}", "feature int", "value double", *(f"`{c}` double" for c in classes)])
+    found = rows.select("case_id", "values").mapInArrow(_added(leaves, used, classes), schema)
+    header = F.broadcast(spark.createDataFrame(list(enumerate(names)), "feature int, feature_name string"))
+    out = found.join(header, "feature").select("case_id", "feature_name", "value", *classes)
     base = paths.agg(*((F.sum(F.col("weight") * F.coalesce(F.get("p", F.lit(i)), F.lit(0.0))) / trees).alias(c) for i, c in enumerate(classes)))
     return out, base
 
@@ -104,8 +138,8 @@ def additivity(found: DataFrame, bases: DataFrame, oof: DataFrame, classes: list
 
 def attribution_summary(found: DataFrame, classes: list[str]) -> DataFrame:
     """(case_id, class, feature_name, mean, std, value): over repeats the mean and sample deviation of each share, and the feature's mean value."""
-    long = found.unpivot(["case_id", "repeat", "feature_name", "value"], classes, "class", "share")
-    return long.groupBy("case_id", "class", "feature_name").agg(F.avg("share").alias("mean"), F.stddev_samp("share").alias("std"), F.avg("value").alias("value"))
+    one = found.groupBy("case_id", "feature_name").agg(F.avg("value").alias("value"), *(F.struct(F.lit(c).alias("class"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std")).alias(f"class_{i}") for i, c in enumerate(classes)))
+    return one.select("case_id", F.inline(F.array(*(f"class_{i}" for i in range(len(classes))))), "feature_name", "value").select("case_id", "class", "feature_name", "mean", "std", "value")
 
 
 def global_importance(summary: DataFrame, classes: list[str]) -> DataFrame:

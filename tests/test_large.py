@@ -1,6 +1,10 @@
-"""What larger tables bring out: sums beyond a long."""
+"""What larger tables bring out: sums beyond a long, joins of all pairs, fits over many rows."""
 
-from caselens.operators import traces
+import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from caselens.operators import attribution, modeling, traces
 
 AT = 800_000_000_000_000  # microseconds; a long holds the sum of 11,529 of these
 
@@ -22,3 +26,28 @@ def test_sums_that_fit_stay_longs(spark):
     first = spark.range(4).selectExpr("id as case_no", "'a' as service", f"{AT} + id as start_us")
     out = traces.start_sums(first)
     assert dict(out.dtypes)["s"] == "bigint" and sorted(r.s for r in out.collect()) == [AT + i for i in range(4)]
+
+
+def test_shares_add_up_where_values_are_missing_or_endless(spark):
+    """Rows follow the forest's own way at values that aren't numbers or are without end, and are met by no join with all paths."""
+    nan, end = float("nan"), float("inf")
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5), float(i % 3)], "ab"[i % 7 > 3]) for i in range(80)], "case_id long, values array<double>, y string")
+    model = modeling.fit_forest(rows.withColumn("features", array_to_vector("values")), ["a", "b"], modeling.Forest(trees=3, depth=3))
+    odd = spark.createDataFrame([(0, [nan, 1.0, 2.0]), (1, [-end, nan, 0.0]), (2, [end, end, -end]), (3, [nan, nan, nan])], "case_id long, values array<double>")
+    found, base = attribution.attributions(model, odd, ["f0", "f1", "f2"], ["a", "b"])
+    want = {r.case_id: r.proba for r in modeling.predicted(model, odd.withColumn("features", array_to_vector("values")), ["a", "b"]).collect()}
+    sums, b = {r.case_id: (r.a, r.b) for r in found.groupBy("case_id").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()}, base.first()
+    for i, p in want.items():
+        assert [sums[i][0] + b.a, sums[i][1] + b.b] == pytest.approx(p, abs=1e-9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_rows_of_the_wide_table_need_no_join_of_all_pairs(spark):
+    long = spark.createDataFrame([(i, f"f{k}", None if k == 1 else float(i + k)) for i in range(6) for k in range(3) if (i, k) != (5, 2)], "case_id long, feature_name string, value double")
+    cases = spark.range(7).withColumnRenamed("id", "case_id")
+    out = modeling.vectors(long, cases, ["f2", "f0", "f1"], modeling.medians(long, cases))
+    got = {r.case_id: list(r["values"]) for r in out.collect()}
+    assert got == {i: [i + 2.0, float(i), 0.0] for i in range(5)} | {5: [4.0, 5.0, 0.0], 6: [4.0, 2.5, 0.0]}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
