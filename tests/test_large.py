@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from caselens.operators import attribution, modeling, traces
+from caselens.operators import attribution, folds, modeling, traces
 
 AT = 800_000_000_000_000  # microseconds; a long holds the sum of 11,529 of these
 
@@ -51,3 +51,31 @@ def test_rows_of_the_wide_table_need_no_join_of_all_pairs(spark):
     assert got == {i: [i + 2.0, float(i), 0.0] for i in range(5)} | {5: [4.0, 5.0, 0.0], 6: [4.0, 2.5, 0.0]}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_relative_cells_equal_the_lookup(spark):
+    names = ["metric__a_cpu__m", "metric__a_other__m", "log__a__error__m", "log__a__new_template_count", "trace_error__a_Get__m", "trace_error__a_Put_X__m", "trace_error__b_Get__m", "svc__depth", "log__all__new_template_count", "metric__c_cpu__m"]
+    long = spark.createDataFrame([(i, n, None if (i + k) % 4 == 0 else float((i * 7 + k * 3) % 11)) for i in range(8) for k, n in enumerate(names) if (i * k) % 5 != 2], "case_id long, feature_name string, value double")
+    header = modeling.feature_names(long)
+    own, seen_by = modeling.relative_cells(long, header, ["a", "b"])
+    rows = modeling.wide(long, header, "case_id").crossJoin(spark.createDataFrame([("a",), ("b",)], "service string"))
+    got = {(r.case_id, r.service, n): v for r in rows.withColumn("seen", seen_by(F.col("service"))).collect() for n, v in zip(own, r.seen, strict=True) if v is not None}
+    want = {(r.case_id, r.service, r.feature_name): r.value for r in modeling.relative_lookup(long, spark.createDataFrame([("a",), ("b",)], "service string")).collect()}
+    assert got == want and len(want) > 30
+
+
+def test_folds_of_two_stages_read_rows_by_no_join(spark, monkeypatch):
+    """With many cases the joins of each fold took the time: a fit's rows come from one table without any shuffle or join."""
+    cases, long = [], []
+    for i in range(60):
+        cases.append((i, f"s{i % 2}_{i % 12}", f"svc{i % 2}", "ab"[i % 4 > 1]))
+        long += [(i, f"metric__svc{s}_cpu__m", float(i % 4 + s)) for s in range(2)] + [(i, f"metric__svc{s}_workload__m", 5.0 * (s == i % 2)) for s in range(2)]
+    cases, long = spark.createDataFrame(cases, "case_id long, scenario string, service string, y string"), spark.createDataFrame(long, "case_id long, feature_name string, value double")
+    plans, fit = [], modeling.fit_forest
+    monkeypatch.setattr(modeling, "fit_forest", lambda rows, *a, **k: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or fit(rows, *a, **k))
+    small = modeling.Forest(3, 3)
+    by_row = modeling.cross_validate_two_stage(long, None, folds.group_folds(cases, 2, 1, 3), cases, small, small)
+    assert len(plans) == 4 and not any("Join" in p or "Exchange" in p for p in plans)
+    by_lookup = modeling.cross_validate_two_stage(long, modeling.relative_lookup(long, cases.select("service").distinct()), folds.group_folds(cases, 2, 1, 3), cases, small, small)
+    assert sorted(map(str, by_row.select("case_id", "fold", "service").collect())) == sorted(map(str, by_lookup.select("case_id", "fold", "service").collect()))
+    assert by_row.count() == 60
