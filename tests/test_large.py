@@ -79,3 +79,22 @@ def test_folds_of_two_stages_read_rows_by_no_join(spark, monkeypatch):
     by_lookup = modeling.cross_validate_two_stage(long, modeling.relative_lookup(long, cases.select("service").distinct()), folds.group_folds(cases, 2, 1, 3), cases, small, small)
     assert sorted(map(str, by_row.select("case_id", "fold", "service").collect())) == sorted(map(str, by_lookup.select("case_id", "fold", "service").collect()))
     assert by_row.count() == 60
+
+
+def test_a_kept_model_needs_no_lookup(spark, tmp_path, monkeypatch):
+    """Fits and scores from wide rows, without rows by service, also of cases and features that weren't there at the fit."""
+    cases, long = [], []
+    for i in range(80):
+        cases.append((i, f"svc{i % 2}", "ab"[i % 4 > 1]))
+        long += [(i, f"metric__svc{s}_cpu__m", float(i % 4 + s)) for s in range(2)] + [(i, f"metric__svc{s}_workload__m", 5.0 * (s == i % 2)) for s in range(2) if (i + s) % 5]
+        long += [(i, f"trace_error__svc{i % 2}_{'Late' if i > 69 else 'Get'}__m", float(i % 3))]
+    cases, long = spark.createDataFrame(cases, "case_id long, service string, y string"), spark.createDataFrame(long, "case_id long, feature_name string, value double")
+    seen, small = cases.where("case_id < 60"), modeling.Forest(3, 3)
+    plans, fit = [], modeling.fit_forest
+    monkeypatch.setattr(modeling, "fit_forest", lambda rows, *a, **k: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or fit(rows, *a, **k))
+    modeling.save_two_stage(long, None, seen, str(tmp_path / "m"), small, small)
+    assert len(plans) == 2 and not any("Join" in p or "Exchange" in p for p in plans)
+    lookup = modeling.relative_lookup(long, cases.select("service").distinct())
+    one, two = (modeling.score_two_stage(spark, str(tmp_path / "m"), long, x, cases).orderBy("case_id").collect() for x in (None, lookup))
+    assert one == two and len(one) == 80
+    assert sum(r.service == f"svc{r.case_id % 2}" for r in one) > 60
